@@ -1,0 +1,7 @@
+"""Every query by name: ``name -> f(spark, folder) -> DataFrame``."""
+
+from .reports import REPORTS, flagship
+
+QUERIES = {**REPORTS}
+
+__all__ = ["QUERIES", "flagship"]

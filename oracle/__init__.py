@@ -1,0 +1,6 @@
+"""DuckDB statements that give the same rows as the registered queries."""
+
+from .reports import REPORTS
+from .tables import with_tables
+
+STATEMENTS = {name: with_tables(body) for name, body in REPORTS.items()}
