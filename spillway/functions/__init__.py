@@ -3,6 +3,7 @@
 from .bands import AGE_GROUPS, CREDIT_BANDS, JOURNEY_SPEEDS, RESPONSE_TIERS, Band, Bands
 from .ladder import LOAN_LADDER, StageLadder, StageLog
 from .scalars import (
+    columns,
     day_of_hour,
     days_between,
     display_name,
@@ -10,9 +11,12 @@ from .scalars import (
     hours_between,
     mean_of,
     month_label,
+    name,
     percent,
     ratio,
+    rows_of,
     settled_round,
+    text,
     weekdays_after,
     whole_mean,
 )
@@ -27,6 +31,7 @@ __all__ = [
     "Bands",
     "StageLadder",
     "StageLog",
+    "columns",
     "day_of_hour",
     "days_between",
     "display_name",
@@ -34,9 +39,12 @@ __all__ = [
     "hours_between",
     "mean_of",
     "month_label",
+    "name",
     "percent",
     "ratio",
+    "rows_of",
     "settled_round",
+    "text",
     "weekdays_after",
     "whole_mean",
 ]

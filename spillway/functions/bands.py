@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .scalars import text
 
 
 @dataclass(frozen=True)
@@ -17,13 +15,13 @@ class Band:
     low: int | None = None
     high: int | None = None
 
-    def holds(self, value: Column) -> Column:
+    def holds(self, value: str) -> str:
         bounds = []
         if self.low is not None:
-            bounds.append(value >= self.low)
+            bounds.append(f"{value} >= {self.low}")
         if self.high is not None:
-            bounds.append(value <= self.high)
-        return reduce(lambda a, b: a & b, bounds)
+            bounds.append(f"{value} <= {self.high}")
+        return " AND ".join(bounds)
 
 
 @dataclass(frozen=True)
@@ -33,19 +31,19 @@ class Bands:
     bands: tuple[Band, ...]
     otherwise: str | None = None
 
-    def label(self, value: Column) -> Column:
-        return self._pick(value, [b.label for b in self.bands], self.otherwise)
+    def label(self, value: str) -> str:
+        """SQL for the label of ``value``."""
+        default = None if self.otherwise is None else text(self.otherwise)
+        return self._pick(value, [text(b.label) for b in self.bands], default)
 
-    def position(self, value: Column) -> Column:
-        """1-based rank of the band, for sorting a report in band order."""
-        ranks = list(range(1, len(self.bands) + 1))
-        return self._pick(value, ranks, None if self.otherwise is None else len(ranks) + 1).cast("int")
+    def position(self, value: str) -> str:
+        """SQL for the 1-based rank of the band, for sorting a report in band order."""
+        ranks = [str(i) for i in range(1, len(self.bands) + 2)]
+        return self._pick(value, ranks, None if self.otherwise is None else ranks[-1])
 
     def _pick(self, value, results, default):
-        chain = F
-        for band, result in zip(self.bands, results):
-            chain = chain.when(band.holds(value), F.lit(result))
-        return chain if default is None else chain.otherwise(F.lit(default))
+        cases = " ".join(f"WHEN {b.holds(value)} THEN {r}" for b, r in zip(self.bands, results))
+        return f"CASE {cases}{'' if default is None else f' ELSE {default}'} END"
 
 
 # Band limits and labels as reports print them (en dash, <= sign, aligned blanks).

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from .scalars import name, text
 
 
 @dataclass(frozen=True)
@@ -31,30 +32,29 @@ class StageLadder:
     def index(self, stage: str) -> int:
         return self.stages.index(stage)
 
-    def holds(self, stage: Column) -> Column:
-        return stage.isin(*self.stages)
+    def holds(self, stage: str, *names: str) -> str:
+        """SQL test: is ``stage`` on the ladder, or one of ``names``?"""
+        return f"{stage} IN ({', '.join(text(s) for s in names or self.stages)})"
 
-    def order(self, stage: Column) -> Column:
-        """1-based position of a stage; NULL for a name that is not on the ladder."""
-        return self._map(stage, range(1, len(self.stages) + 1)).cast("int")
+    def order(self, stage: str) -> str:
+        """SQL for the 1-based position of a stage; NULL for a name that is not on the ladder."""
+        return self._map(stage, range(1, len(self.stages) + 1))
 
-    def bit(self, stage: Column) -> Column:
-        """A long with the stage's bit set; OR-ing them gives the set of stages reached."""
-        return self._map(stage, (1 << i for i in range(len(self.stages)))).cast("bigint")
+    def bit(self, stage: str) -> str:
+        """SQL for a long with the stage's bit set; OR-ing them gives the set of stages reached."""
+        return self._map(stage, (f"{1 << i}L" for i in range(len(self.stages))))
 
-    def reached(self, mask: Column, stage: str) -> Column:
-        """0/1: is ``stage`` in the stage set ``mask``?"""
-        return F.getbit(mask, F.lit(self.index(stage))).cast("int")
+    def reached(self, stage_set: str, stage: str) -> str:
+        """SQL for 0/1: is ``stage`` in a stage set?"""
+        return f"CAST(getbit({stage_set}, {self.index(stage)}) AS INT)"
 
-    def name_at(self, order: Column) -> Column:
-        """Inverse of :meth:`order`."""
-        return F.element_at(F.array(*map(F.lit, self.stages)), order)
+    def name_at(self, order: str) -> str:
+        """SQL inverse of :meth:`order`."""
+        return f"element_at(array({', '.join(map(text, self.stages))}), {order})"
 
     def _map(self, stage, values):
-        chain = F
-        for name, value in zip(self.stages, values):
-            chain = chain.when(stage == name, F.lit(value))
-        return chain
+        cases = " ".join(f"WHEN {text(s)} THEN {v}" for s, v in zip(self.stages, values))
+        return f"CASE {stage} {cases} END"
 
 
 @dataclass(frozen=True)
@@ -71,11 +71,19 @@ class StageLog:
     stage: str = "stage"
     at: str = "event_timestamp"
 
+    @property
+    def stage_sql(self) -> str:
+        return name(self.stage)
+
+    @property
+    def at_sql(self) -> str:
+        return name(self.at)
+
     def rows(self, *stages: str) -> DataFrame:
         """Ladder rows only, or only those of the named stages."""
-        return self.events.where(F.col(self.stage).isin(*(stages or self.ladder.stages)))
+        return self.events.where(self.ladder.holds(self.stage_sql, *stages))
 
-    def where(self, condition: Column) -> StageLog:
+    def where(self, condition: str) -> StageLog:
         return replace(self, events=self.events.where(condition))
 
 

@@ -1,7 +1,14 @@
-"""Column expressions shared by every report.  All stay inside codegen; none is a UDF."""
+"""SQL expressions shared by the reports.
+
+Each helper takes and returns SQL text, for ``selectExpr`` and ``expr``: one call into the JVM per
+select list, and the same expressions in DataFrame code and in ``spark.sql``.  Only built-in
+functions are used, so everything stays inside generated code.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,70 +17,91 @@ from pyspark.sql import functions as F
 _SETTLE_DIGITS = 8
 
 
-def settled_round(value: Column, digits: int = 1) -> Column:
+def text(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def name(column: str) -> str:
+    """A quoted column name."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def columns(expressions: Iterable[str]) -> list[Column]:
+    """Columns for ``agg`` and ``groupBy``, which take no SQL text."""
+    return [F.expr(e) for e in expressions]
+
+
+def rows_of(rows: Iterable[Iterable[object]], names: Iterable[str]) -> str:
+    """A select item that turns each input row into the given rows of SQL values."""
+    rows = list(rows)
+    values = ", ".join(str(v) for row in rows for v in row)
+    return f"stack({len(rows)}, {values}) AS ({', '.join(names)})"
+
+
+def settled_round(value: str, digits: int = 1) -> str:
     """Round a double half away from zero, insensitive to its last few binary digits."""
-    return F.round(F.round(value.cast("double"), _SETTLE_DIGITS), digits)
+    return f"round(round(CAST({value} AS DOUBLE), {_SETTLE_DIGITS}), {digits})"
 
 
-def ratio(part: Column, whole: Column) -> Column:
+def ratio(part: str, whole: str) -> str:
     """``part / whole`` as a double; NULL when ``whole`` is 0 (ANSI division would raise)."""
-    return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
+    return f"(CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0D))"
 
 
-def percent(part: Column, whole: Column, digits: int = 1) -> Column:
+def percent(part: str, whole: str, digits: int = 1) -> str:
     """``part`` as a rounded percentage of ``whole``."""
-    return settled_round(ratio(part, whole) * 100, digits)
+    return settled_round(f"{ratio(part, whole)} * 100", digits)
 
 
-def mean_of(total: Column, count: Column, digits: int) -> Column:
+def mean_of(total: str, count: str, digits: int) -> str:
     """Rounded mean from an additive (sum, count) pair."""
     return settled_round(ratio(total, count), digits)
 
 
-def whole_mean(total: Column, count: Column) -> Column:
+def whole_mean(total: str, count: str) -> str:
     """Mean of integers that stays an integer: the fraction is dropped, not rounded."""
-    return F.call_function("div", total, F.nullif(count, F.lit(0)))
+    return f"({total} div nullif({count}, 0))"
 
 
-def days_between(start: Column, end: Column) -> Column:
+def days_between(start: str, end: str) -> str:
     """Midnights crossed from ``start`` to ``end`` (23:59 to 00:01 is one day)."""
-    return F.datediff(end, start).cast("bigint")
+    return f"CAST(datediff({end}, {start}) AS BIGINT)"
 
 
-def hours_between(start: Column, end: Column) -> Column:
+def hours_between(start: str, end: str) -> str:
     """Full-hour marks crossed from ``start`` to ``end`` (10:59 to 11:01 is one hour).
 
     Built from calendar fields, so it does not depend on the session time zone.
     """
-    return days_between(start, end) * 24 + (F.hour(end) - F.hour(start)).cast("bigint")
+    return f"({days_between(start, end)} * 24 + hour({end}) - hour({start}))"
 
 
-def hour_number(at: Column) -> Column:
+def hour_number(at: str) -> str:
     """Serial number of the clock hour of ``at``; differences equal :func:`hours_between`."""
-    return F.unix_date(F.to_date(at)).cast("bigint") * 24 + F.hour(at)
+    return f"(CAST(unix_date(CAST({at} AS DATE)) AS BIGINT) * 24 + hour({at}))"
 
 
-def day_of_hour(hour_no: Column) -> Column:
+def day_of_hour(hour_no: str) -> str:
     """Serial day number of an :func:`hour_number`."""
-    return F.floor(hour_no / 24).cast("bigint")
+    return f"(({hour_no} - pmod({hour_no}, 24)) div 24)"
 
 
-def display_name(name: Column) -> Column:
+def display_name(column: str) -> str:
     """``under_review`` -> ``under review``."""
-    return F.replace(name, F.lit("_"), F.lit(" "))
+    return f"replace({column}, '_', ' ')"
 
 
-def month_label(at: Column) -> Column:
+def month_label(at: str) -> str:
     """``Sep 2023``; goes through the date so that the session time zone plays no part."""
-    return F.date_format(F.to_date(at), "MMM yyyy")
+    return f"date_format(CAST({at} AS DATE), 'MMM yyyy')"
 
 
-def weekdays_after(day: Column, count: int) -> Column:
+def weekdays_after(day: str, count: int) -> str:
     """The date ``count`` working days (Monday to Friday) after ``day``.
 
     A weekend start counts from the Friday before it.
     """
-    weekday = F.least(F.weekday(day), F.lit(4))
-    friday_pull = F.weekday(day) - weekday
-    skipped_weekends = F.floor((weekday + count) / 5).cast("int")
-    return F.date_add(day, (skipped_weekends * 2 + count - friday_pull).cast("int"))
+    weekday = f"least(weekday({day}), 4)"
+    weekend_days = f"2 * CAST(floor(({weekday} + {count}) / 5) AS INT)"
+    return f"date_add({day}, {count} + {weekend_days} + {weekday} - weekday({day}))"

@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import percent, ratio, settled_round
+from ..functions import columns, percent, ratio, settled_round
 
 #: Fixed value: two-sided 95 % point of the standard normal distribution.
 Z_95 = 1.959963984540054
 
 
-def two_proportion_test(rows: DataFrame, treated: Column, converted: Column) -> DataFrame:
+def two_proportion_test(rows: DataFrame, treated: str, converted: str) -> DataFrame:
     """One row: sizes, conversions and rates of both groups, the lift in points, the pooled z
-    value and whether it is significant at 95 %."""
-    yes, won = F.when(treated, F.lit(1)).otherwise(0), converted.cast("int")
-    totals = rows.agg(
-        F.sum(yes).alias("treated_n"),
-        F.sum(yes * won).alias("treated_converted"),
-        F.sum(1 - yes).alias("control_n"),
-        F.sum((1 - yes) * won).alias("control_converted"),
-    )
-    n1, n2 = F.col("treated_n").cast("double"), F.col("control_n").cast("double")
-    p1 = ratio(F.col("treated_converted"), n1)
-    p2 = ratio(F.col("control_converted"), n2)
-    pooled = ratio(F.col("treated_converted") + F.col("control_converted"), n1 + n2)
-    spread = F.sqrt(pooled * (1 - pooled) * (ratio(F.lit(1), n1) + ratio(F.lit(1), n2)))
-    z = ratio(p1 - p2, spread)
-    return totals.select(
-        "*",
-        percent(F.col("treated_converted"), n1).alias("treated_pct"),
-        percent(F.col("control_converted"), n2).alias("control_pct"),
-        settled_round((p1 - p2) * 100, 2).alias("lift_points"),
-        settled_round(z, 4).alias("z_value"),
-        (F.abs(z) > Z_95).alias("significant_95"),
+    value and whether it is significant at 95 %.  ``treated`` and ``converted`` are SQL
+    conditions over a row."""
+    counts = [
+        f"count_if({treated}) AS treated_n",
+        f"count_if({treated} AND {converted}) AS treated_converted",
+        f"count_if(NOT ({treated})) AS control_n",
+        f"count_if(NOT ({treated}) AND {converted}) AS control_converted",
+    ]
+    return (
+        rows.agg(*columns(counts))
+        .selectExpr(
+            "*",
+            f"{ratio('treated_converted', 'treated_n')} AS p1",
+            f"{ratio('control_converted', 'control_n')} AS p2",
+            f"{ratio('treated_converted + control_converted', 'treated_n + control_n')} AS p",
+            f"{ratio('1', 'treated_n')} + {ratio('1', 'control_n')} AS spread",
+        )
+        .selectExpr("*", f"{ratio('p1 - p2', 'sqrt(p * (1 - p) * spread)')} AS z")
+        .selectExpr(
+            "treated_n",
+            "treated_converted",
+            "control_n",
+            "control_converted",
+            f"{percent('treated_converted', 'treated_n')} AS treated_pct",
+            f"{percent('control_converted', 'control_n')} AS control_pct",
+            f"{settled_round('(p1 - p2) * 100', 2)} AS lift_points",
+            f"{settled_round('z', 4)} AS z_value",
+            f"abs(z) > {Z_95}D AS significant_95",
+        )
     )

@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
-import datetime as dt
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from ..functions import StageLog, percent, settled_round
+from ..functions import StageLog, columns, percent, settled_round
 from .progress import entity_progress, reached
 
 
 def within_year(log: StageLog, year: int) -> StageLog:
     """Events of one calendar year, as a range on the raw column so that the scan can prune."""
-    at = F.col(log.at)
-    return log.where((at >= F.lit(dt.date(year, 1, 1))) & (at < F.lit(dt.date(year + 1, 1, 1))))
+    at = log.at_sql
+    return log.where(f"{at} >= DATE '{year:04d}-01-01' AND {at} < DATE '{year + 1:04d}-01-01'")
 
 
 def period_reach(log: StageLog, grain: str = "month") -> DataFrame:
     """``period_start, <stage>...``: entities with an event of the stage inside the period.
 
-    ``grain`` is ``day``, ``week``, ``month``, ``quarter`` or ``year``.
-    Each event counts in its own period, so this is a volume table and not a cohort table.
+    ``grain`` is ``day``, ``week``, ``month``, ``quarter`` or ``year``.  Each event counts in its
+    own period, so this is a volume table and not a cohort table.
     """
-    day = F.to_date(log.at)
-    start = (day if grain == "day" else F.trunc(day, grain)).alias("period_start")
+    day = f"CAST({log.at_sql} AS DATE)"
+    start = day if grain == "day" else f"trunc({day}, '{grain}')"
+    sums = [f"sum({reached(log, s)}) AS {s}" for s in log.ladder.stages]
     return (
-        entity_progress(log, by=[start])
+        entity_progress(log, by=[f"{start} AS period_start"])
         .groupBy("period_start")
-        .agg(*[F.sum(reached(log, s)).alias(s) for s in log.ladder.stages])
+        .agg(*columns(sums))
     )
 
 
@@ -37,18 +35,18 @@ def period_trend(log: StageLog, opening: str, closing: str, window: int = 3) ->
 
     Months without ``opening`` events are left out, and the windows run over the months present.
     """
-    months = (
-        period_reach(log.where(F.col(log.stage).isin(opening, closing)))
-        .where(F.col(opening) > 0)
-        .select("period_start", F.col(opening).alias("opened"), F.col(closing).alias("closed"))
-    )
-    in_order = Window.orderBy("period_start")
-    trailing = in_order.rowsBetween(1 - window, Window.currentRow)
-    return months.select(
-        "period_start",
-        "opened",
-        "closed",
-        (F.col("opened") - F.lag("opened").over(in_order)).alias("change"),
-        settled_round(F.avg(F.col("opened").cast("double")).over(trailing)).alias("rolling_avg"),
-        percent(F.col("closed"), F.col("opened")).alias("conv_pct"),
+    both = log.where(log.ladder.holds(log.stage_sql, opening, closing))
+    in_order = "ORDER BY period_start"
+    trailing = f"avg(CAST({opening} AS DOUBLE)) OVER ({in_order} ROWS {window - 1} PRECEDING)"
+    return (
+        period_reach(both)
+        .where(f"{opening} > 0")
+        .selectExpr(
+            "period_start",
+            f"{opening} AS opened",
+            f"{closing} AS closed",
+            f"{opening} - lag({opening}) OVER ({in_order}) AS change",
+            f"{settled_round(trailing)} AS rolling_avg",
+            f"{percent(closing, opening)} AS conv_pct",
+        )
     )

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import StageLog, days_between
+from ..functions import StageLog, columns, days_between, name, text
 
 STAGES = "stage_set"
 
@@ -21,23 +20,23 @@ def entity_progress(
     log: StageLog,
     first_of: Iterable[str] = (),
     last_of: Iterable[str] = (),
-    by: Iterable[Column] = (),
+    by: Iterable[str] = (),
 ) -> DataFrame:
     """``entity, [by...], stage_set, first_<s>..., last_<s>...``.
 
     ``first_of``/``last_of`` name the stages whose earliest/latest time is wanted.  ``by`` adds
-    grouping columns, such as the month of the event.
+    grouping expressions, such as the month of the event.
     """
-    stage, at = F.col(log.stage), F.col(log.at)
-    measures = [F.bit_or(log.ladder.bit(stage)).alias(STAGES)]
-    measures += [F.min(F.when(stage == s, at)).alias(f"first_{s}") for s in first_of]
-    measures += [F.max(F.when(stage == s, at)).alias(f"last_{s}") for s in last_of]
-    return log.rows().groupBy(F.col(log.entity), *by).agg(*measures)
+    stage, at = log.stage_sql, log.at_sql
+    measures = [f"bit_or({log.ladder.bit(stage)}) AS {STAGES}"]
+    measures += [f"min({at}) FILTER (WHERE {stage} = {text(s)}) AS first_{s}" for s in first_of]
+    measures += [f"max({at}) FILTER (WHERE {stage} = {text(s)}) AS last_{s}" for s in last_of]
+    return log.rows().groupBy(log.entity, *columns(by)).agg(*columns(measures))
 
 
-def reached(log: StageLog, stage: str) -> Column:
-    """0/1 flag over a row of :func:`entity_progress`."""
-    return log.ladder.reached(F.col(STAGES), stage)
+def reached(log: StageLog, stage: str) -> str:
+    """SQL 0/1 flag over a row of :func:`entity_progress`."""
+    return log.ladder.reached(STAGES, stage)
 
 
 def journeys(log: StageLog, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -46,26 +45,27 @@ def journeys(log: StageLog, start: str | None = None, end: str | None = None) ->
     From the first ``start`` event to the last ``end`` event (default: the ladder's two ends).
     """
     start, end = start or log.ladder.first, end or log.ladder.last
+    opened, closed = f"first_{start}", f"last_{end}"
     return (
         entity_progress(log, first_of=[start], last_of=[end])
-        .select(
-            log.entity,
-            F.col(f"first_{start}").alias("started_at"),
-            F.col(f"last_{end}").alias("ended_at"),
+        .where(f"{opened} IS NOT NULL AND {closed} IS NOT NULL")
+        .selectExpr(
+            name(log.entity),
+            f"{opened} AS started_at",
+            f"{closed} AS ended_at",
+            f"{days_between(opened, closed)} AS total_days",
         )
-        .where(F.col("started_at").isNotNull() & F.col("ended_at").isNotNull())
-        .withColumn("total_days", days_between(F.col("started_at"), F.col("ended_at")))
     )
 
 
 def furthest_stage(log: StageLog) -> DataFrame:
     """``entity, stage_order, last_activity``: the highest stage reached and its latest event."""
-    per_entity = entity_progress(log, last_of=log.ladder.stages)
-    order, activity = F, F
-    for position in range(len(log.ladder.stages), 0, -1):
-        name = log.ladder.stages[position - 1]
-        order = order.when(reached(log, name) == 1, F.lit(position))
-        activity = activity.when(reached(log, name) == 1, F.col(f"last_{name}"))
-    return per_entity.select(
-        log.entity, order.cast("int").alias("stage_order"), activity.alias("last_activity")
+    stages = log.ladder.stages
+    tests = [f"WHEN {reached(log, s)} = 1 THEN" for s in stages]
+    orders = [f"{test} {position}" for position, test in enumerate(tests, 1)]
+    times = [f"{test} last_{s}" for s, test in zip(stages, tests)]
+    return entity_progress(log, last_of=stages).selectExpr(
+        name(log.entity),
+        f"CASE {' '.join(reversed(orders))} END AS stage_order",
+        f"CASE {' '.join(reversed(times))} END AS last_activity",
     )

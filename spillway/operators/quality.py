@@ -10,8 +10,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from ..functions import columns, name, rows_of, text
 
 
 @dataclass(frozen=True)
@@ -22,8 +23,8 @@ class NotNull:
     def rule(self) -> str:
         return f"not_null({self.column})"
 
-    def broken(self) -> Column:
-        return F.col(self.column).isNull()
+    def broken(self) -> str:
+        return f"{name(self.column)} IS NULL"
 
 
 @dataclass(frozen=True)
@@ -38,14 +39,13 @@ class InRange:
     def rule(self) -> str:
         return f"in_range({self.column})"
 
-    def broken(self) -> Column:
-        value = F.col(self.column)
+    def broken(self) -> str:
         outside = []
         if self.low is not None:
-            outside.append(value < self.low)
+            outside.append(f"{name(self.column)} < {self.low}")
         if self.high is not None:
-            outside.append(value > self.high)
-        return reduce(lambda a, b: a | b, outside)
+            outside.append(f"{name(self.column)} > {self.high}")
+        return " OR ".join(outside)
 
 
 @dataclass(frozen=True)
@@ -57,8 +57,9 @@ class OneOf:
     def rule(self) -> str:
         return f"one_of({self.column})"
 
-    def broken(self) -> Column:
-        return ~F.col(self.column).isin(*self.values)
+    def broken(self) -> str:
+        allowed = ", ".join(text(v) if isinstance(v, str) else str(v) for v in self.values)
+        return f"{name(self.column)} NOT IN ({allowed})"
 
 
 @dataclass(frozen=True)
@@ -109,50 +110,39 @@ def constraint_violations(
 
 def _check_counts(table, frame, checks) -> DataFrame:
     """All row-level checks of a table in one pass over it."""
-    counts = frame.agg(
-        *[F.count(F.when(check.broken(), F.lit(1))).alias(check.rule) for check in checks]
-    )
-    as_rows = F.array(
-        *[
-            F.struct(
-                F.lit(table).alias("table"),
-                F.lit(check.rule).alias("rule"),
-                F.col(f"`{check.rule}`").alias("violations"),
-            )
-            for check in checks
-        ]
-    )
-    return counts.select(F.inline(as_rows))
+    counts = [f"count_if({check.broken()}) AS c{i}" for i, check in enumerate(checks)]
+    rows = [(text(table), text(check.rule), f"c{i}") for i, check in enumerate(checks)]
+    return frame.agg(*columns(counts)).selectExpr(rows_of(rows, ("table", "rule", "violations")))
 
 
 def _duplicate_keys(table, frame, rule) -> DataFrame:
-    repeated = frame.groupBy(rule.column).count().where((F.col("count") > 1) & F.col(rule.column).isNotNull())
-    return _one_count(table, rule, repeated.agg(F.count(F.lit(1)).alias("violations")))
+    key = name(rule.column)
+    repeated = frame.where(f"{key} IS NOT NULL").groupBy(rule.column).count().where("count > 1")
+    return _one_count(table, rule, repeated, "count(1)")
 
 
 def _orphans(table, frame, rule, parent) -> DataFrame:
     # Child rows are counted per reference first: a reference shared by a third of the rows
     # reaches the join as one row.
-    used = (
-        frame.where(F.col(rule.column).isNotNull())
-        .groupBy(F.col(rule.column).alias("reference"))
-        .agg(F.count(F.lit(1)).alias("uses"))
-    )
-    known = parent.select(F.col(rule.parent_column).alias("reference"))
-    lost = used.join(known, "reference", "left_anti")
-    return _one_count(
-        table, rule, lost.agg(F.coalesce(F.sum("uses"), F.lit(0)).cast("bigint").alias("violations"))
-    )
+    key = name(rule.column)
+    used = frame.where(f"{key} IS NOT NULL").selectExpr(f"{key} AS reference").groupBy("reference")
+    known = parent.selectExpr(f"{name(rule.parent_column)} AS reference")
+    lost = used.count().join(known, "reference", "left_anti")
+    return _one_count(table, rule, lost, "coalesce(sum(count), 0L)")
 
 
-def _one_count(table, rule, counted) -> DataFrame:
-    return counted.select(F.lit(table).alias("table"), F.lit(rule.rule).alias("rule"), "violations")
+def _one_count(table, rule, rows, measure) -> DataFrame:
+    return rows.agg(*columns([f"{measure} AS violations"])).selectExpr(
+        f"{text(table)} AS table", f"{text(rule.rule)} AS rule", "violations"
+    )
 
 
 def table_row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``table, row_count``: the check after a load."""
     counts = [
-        frame.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table"), "row_count")
-        for name, frame in tables.items()
+        frame.agg(*columns(["count(1) AS row_count"])).selectExpr(
+            f"{text(table)} AS table", "row_count"
+        )
+        for table, frame in tables.items()
     ]
     return reduce(DataFrame.unionAll, counts)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import StageLog, hour_number
+from ..functions import StageLog, columns, hour_number, name, text
 from .progress import STAGES
 
 
@@ -16,38 +15,36 @@ def response_gaps(log: StageLog, opened: str, answered: str) -> DataFrame:
     for an entity with one event of each.  Sets of clock hours are combined on the map side; their
     size is bounded by the hours of the log's time span, not by the number of events.
     """
-    stage, hour = F.col(log.stage), hour_number(F.col(log.at))
+    stage, hour = log.stage_sql, hour_number(log.at_sql)
     return (
         log.rows()
         .groupBy(log.entity)
         .agg(
-            F.bit_or(log.ladder.bit(stage)).alias(STAGES),
-            F.collect_set(F.when(stage == opened, hour)).alias("opened"),
-            F.collect_set(F.when(stage == answered, hour)).alias("answered"),
+            *columns(
+                [
+                    f"bit_or({log.ladder.bit(stage)}) AS {STAGES}",
+                    f"collect_set({hour}) FILTER (WHERE {stage} = {text(opened)}) AS opened",
+                    f"collect_set({hour}) FILTER (WHERE {stage} = {text(answered)}) AS answered",
+                ]
+            )
         )
-        .where((F.size("opened") > 0) & (F.size("answered") > 0))
-        .select(
-            log.entity,
-            STAGES,
-            F.explode(differences(F.col("opened"), F.col("answered"))).alias("hours"),
+        .where("size(opened) > 0 AND size(answered) > 0")
+        .selectExpr(
+            name(log.entity), STAGES, f"explode({differences('opened', 'answered')}) AS hours"
         )
     )
 
 
-def differences(starts: Column, ends: Column) -> Column:
-    """Distinct values of ``end - start`` over two non-empty sets of integers.
+def differences(starts: str, ends: str) -> str:
+    """SQL for the distinct values of ``end - start`` over two non-empty sets of integers.
 
     Few combinations are listed outright.  Beyond that every value of the possible range is
     tested for membership, so no more than the range (the hours between the extremes) is held.
     """
-    lowest = F.array_min(ends) - F.array_max(starts)
-    highest = F.array_max(ends) - F.array_min(starts)
-    combinations = F.size(starts).cast("bigint") * F.size(ends)
-    listed = F.array_distinct(
-        F.flatten(F.transform(starts, lambda s: F.transform(ends, lambda e: e - s)))
-    )
-    tested = F.filter(
-        F.sequence(lowest, highest),
-        lambda gap: F.arrays_overlap(F.transform(starts, lambda s: s + gap), ends),
-    )
-    return F.when(combinations <= highest - lowest + 1, listed).otherwise(tested)
+    lowest = f"array_min({ends}) - array_max({starts})"
+    highest = f"array_max({ends}) - array_min({starts})"
+    combinations = f"CAST(size({starts}) AS BIGINT) * size({ends})"
+    listed = f"array_distinct(flatten(transform({starts}, s -> transform({ends}, e -> e - s))))"
+    tested = f"""filter(sequence({lowest}, {highest}),
+        gap -> arrays_overlap(transform({starts}, s -> s + gap), {ends}))"""
+    return f"IF({combinations} <= ({highest}) - ({lowest}) + 1, {listed}, {tested})"

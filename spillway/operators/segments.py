@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import StageLog, percent, ratio, settled_round
+from ..functions import StageLog, columns, name, percent, ratio, settled_round
 from .progress import entity_progress, reached
 
 TOTAL = "total_applications"
@@ -28,23 +27,22 @@ def tally(
     log: StageLog,
     facts: DataFrame,
     by: Sequence[str],
-    stages: Mapping[str, str],
-    sums: Mapping[str, Column] | None = None,
+    stages: Sequence[str],
+    sums: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """``by..., total_applications, <stages...>, <sums...>`` over :func:`outcomes`.
 
-    ``stages`` maps output names to stage names; ``sums`` maps output names to per-row amounts.
+    ``sums`` maps output names to SQL amounts per row.
     """
-    return facts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias(TOTAL),
-        *[F.sum(reached(log, stage)).alias(name) for name, stage in stages.items()],
-        *[F.sum(amount).alias(name) for name, amount in (sums or {}).items()],
-    )
+    measures = [f"count(1) AS {TOTAL}"]
+    measures += [f"sum({reached(log, s)}) AS {s}" for s in stages]
+    measures += [f"sum({amount}) AS {out}" for out, amount in (sums or {}).items()]
+    return facts.groupBy(*by).agg(*columns(measures))
 
 
 def roll_up(tallies: DataFrame, by: Sequence[str], additive: Sequence[str]) -> DataFrame:
     """Sum tallies to a coarser key."""
-    return tallies.groupBy(*by).agg(*[F.sum(name).alias(name) for name in additive])
+    return tallies.groupBy(*by).agg(*columns(f"sum({c}) AS {c}" for c in additive))
 
 
 def segment_conversion(
@@ -53,7 +51,7 @@ def segment_conversion(
     dimension: DataFrame,
     on: str,
     by: Sequence[str],
-    stages: Mapping[str, str],
+    stages: Sequence[str],
     keep: Sequence[str] = (),
     weighted: Sequence[str] = (),
 ) -> DataFrame:
@@ -63,44 +61,36 @@ def segment_conversion(
     comes out as ``sum_c`` and ``n_c``, summed over facts, so its mean skips NULLs.
     """
     per_key = tally(log, outcomes(log, facts.select(log.entity, on, *keep)), [on, *keep], stages)
-    attributed = per_key.join(dimension, on)
-    additive = [TOTAL, *stages]
-    for name in weighted:
-        attributed = attributed.withColumn(f"sum_{name}", F.col(name).cast("bigint") * F.col(TOTAL))
-        attributed = attributed.withColumn(f"n_{name}", F.when(F.col(name).isNotNull(), F.col(TOTAL)))
-        additive += [f"sum_{name}", f"n_{name}"]
-    return roll_up(attributed, by, additive)
+    measures = [f"sum({c}) AS {c}" for c in (TOTAL, *stages)]
+    for c in weighted:
+        measures.append(f"sum(CAST({name(c)} AS BIGINT) * {TOTAL}) AS sum_{c}")
+        measures.append(f"sum({TOTAL}) FILTER (WHERE {name(c)} IS NOT NULL) AS n_{c}")
+    return per_key.join(dimension, on).groupBy(*by).agg(*columns(measures))
 
 
 # Report columns over a finished tally (one row per segment, so whole-table windows are small).
 
 
-def conversion_pct(converted: str, total: str = TOTAL) -> Column:
-    return percent(F.col(converted), F.col(total))
+def conversion_pct(converted: str, total: str = TOTAL) -> str:
+    return percent(converted, total)
 
 
-def share_pct(total: str = TOTAL) -> Column:
-    return percent(F.col(total), F.sum(total).over(Window.partitionBy()))
+def share_pct(total: str = TOTAL) -> str:
+    return percent(total, f"sum({total}) OVER ()")
 
 
-def overall_pct(converted: str, total: str = TOTAL) -> Column:
-    everything = Window.partitionBy()
-    return percent(F.sum(converted).over(everything), F.sum(total).over(everything))
-
-
-def delta_of_rounded(converted: str, total: str = TOTAL) -> Column:
+def delta_of_rounded(converted: str, total: str = TOTAL) -> str:
     """Rounded rate minus rounded overall rate."""
-    return settled_round(conversion_pct(converted, total) - overall_pct(converted, total))
+    overall = percent(f"sum({converted}) OVER ()", f"sum({total}) OVER ()")
+    return settled_round(f"{percent(converted, total)} - {overall}")
 
 
-def rounded_delta(converted: str, total: str = TOTAL) -> Column:
+def rounded_delta(converted: str, total: str = TOTAL) -> str:
     """Rate minus overall rate, rounded once at the end."""
-    everything = Window.partitionBy()
-    overall = ratio(F.sum(converted).over(everything), F.sum(total).over(everything)) * 100
-    return settled_round(ratio(F.col(converted), F.col(total)) * 100 - overall)
+    overall = ratio(f"sum({converted}) OVER ()", f"sum({total}) OVER ()")
+    return settled_round(f"{ratio(converted, total)} * 100 - {overall} * 100")
 
 
-def conversion_rank(converted: str, total: str = TOTAL) -> Column:
+def conversion_rank(converted: str, total: str = TOTAL) -> str:
     """Rank by the unrounded rate, best first."""
-    best_first = Window.orderBy(ratio(F.col(converted), F.col(total)).desc())
-    return F.rank().over(best_first).cast("bigint")
+    return f"CAST(rank() OVER (ORDER BY {ratio(converted, total)} DESC) AS BIGINT)"

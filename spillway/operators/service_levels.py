@@ -5,9 +5,8 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import StageLog, weekdays_after
+from ..functions import StageLog, name, weekdays_after
 from .progress import entity_progress
 
 
@@ -16,13 +15,19 @@ def service_breaches(
 ) -> DataFrame:
     """``entity, waiting_since, due_date, decided_date``: entities whose first ``decided`` event
     came after the due date, or has not come although ``as_of`` is past it."""
-    times = entity_progress(log, first_of=[waiting, decided]).where(
-        F.col(f"first_{waiting}").isNotNull()
+    return (
+        entity_progress(log, first_of=[waiting, decided])
+        .where(f"first_{waiting} IS NOT NULL")
+        .selectExpr(
+            name(log.entity),
+            f"CAST(first_{waiting} AS DATE) AS waiting_since",
+            f"CAST(first_{decided} AS DATE) AS decided_date",
+        )
+        .selectExpr(
+            name(log.entity),
+            "waiting_since",
+            f"{weekdays_after('waiting_since', working_days)} AS due_date",
+            "decided_date",
+        )
+        .where(f"coalesce(decided_date, DATE '{as_of}') > due_date")
     )
-    since = F.to_date(f"first_{waiting}")
-    return times.select(
-        log.entity,
-        since.alias("waiting_since"),
-        weekdays_after(since, working_days).alias("due_date"),
-        F.to_date(f"first_{decided}").alias("decided_date"),
-    ).where(F.coalesce(F.col("decided_date"), F.lit(as_of)) > F.col("due_date"))

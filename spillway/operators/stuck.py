@@ -5,33 +5,28 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import StageLog, days_between, mean_of
+from ..functions import StageLog, columns, days_between, mean_of, name
 from .progress import furthest_stage
 
 
 def stuck_report(log: StageLog, facts: DataFrame, amount: str, as_of: dt.date) -> DataFrame:
     """``stage_order, stage, entities, avg_days_inactive, avg_amount, total_amount`` for entities
     whose furthest stage is not the ladder's last."""
-    stopped = furthest_stage(log).where(F.col("stage_order") < len(log.ladder.stages))
-    idle = days_between(F.col("last_activity"), F.lit(as_of))
+    stopped = furthest_stage(log).where(f"stage_order < {len(log.ladder.stages)}")
+    idle, value = days_between("last_activity", f"DATE '{as_of}'"), name(amount)
     return (
         stopped.join(facts.select(log.entity, amount), log.entity)
         .groupBy("stage_order")
         .agg(
-            F.count(F.lit(1)).alias("entities"),
-            F.sum(idle).alias("idle_days"),
-            F.count(idle).alias("idle_known"),
-            F.sum(amount).alias("total_amount"),
-            F.count(amount).alias("amount_known"),
-        )
-        .select(
-            "stage_order",
-            log.ladder.name_at(F.col("stage_order")).alias("stage"),
-            "entities",
-            mean_of(F.col("idle_days"), F.col("idle_known"), 0).alias("avg_days_inactive"),
-            mean_of(F.col("total_amount"), F.col("amount_known"), 0).alias("avg_amount"),
-            F.col("total_amount").cast("bigint").alias("total_amount"),
+            *columns(
+                [
+                    "count(1) AS entities",
+                    f"{mean_of(f'sum({idle})', f'count({idle})', 0)} AS avg_days_inactive",
+                    f"{mean_of(f'sum({value})', f'count({value})', 0)} AS avg_amount",
+                    f"CAST(sum({value}) AS BIGINT) AS total_amount",
+                ]
+            )
         )
+        .selectExpr("*", f"{log.ladder.name_at('stage_order')} AS stage")
     )

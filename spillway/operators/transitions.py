@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import StageLog, day_of_hour, hour_number, mean_of, settled_round
+from ..functions import StageLog, columns, day_of_hour, hour_number, mean_of, name, rows_of, settled_round
 from .progress import entity_progress
 
-_STEP = "step"
-
 
 def stage_transitions(log: StageLog, repeats: str = "keep") -> DataFrame:
     """``entity, stage_order, next_order, hours, days, weight`` in ladder order.
@@ -32,88 +29,80 @@ def _every_visit_steps(log: StageLog) -> DataFrame:
     # Durations only depend on the clock hour, so events are first combined to
     # (entity, stage, hour, copies).  That bounds what one entity brings to the window by the
     # hours of the log's time span, however many events it has.
+    entity = name(log.entity)
     visits = (
         log.rows()
-        .select(
-            log.entity,
-            log.ladder.order(F.col(log.stage)).alias("stage_order"),
-            hour_number(F.col(log.at)).alias("hour_no"),
+        .selectExpr(
+            entity,
+            f"{log.ladder.order(log.stage_sql)} AS stage_order",
+            f"{hour_number(log.at_sql)} AS hour_no",
         )
         .groupBy(log.entity, "stage_order", "hour_no")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    in_order = Window.partitionBy(log.entity).orderBy("stage_order", "hour_no")
-    led = visits.withColumn("next_order", F.lead("stage_order").over(in_order)).withColumn(
-        "next_hour", F.lead("hour_no").over(in_order)
-    )
-    onward = F.struct(
-        F.col("next_order").alias("next_order"),
-        (F.col("next_hour") - F.col("hour_no")).alias("hours"),
-        (day_of_hour(F.col("next_hour")) - day_of_hour(F.col("hour_no"))).alias("days"),
-        F.lit(1).cast("bigint").alias("weight"),
+        .agg(*columns(["count(1) AS copies"]))
     )
-    among_copies = F.struct(
-        F.col("stage_order").alias("next_order"),
-        F.lit(0).cast("bigint").alias("hours"),
-        F.lit(0).cast("bigint").alias("days"),
-        (F.col("copies") - 1).alias("weight"),
-    )
-    steps = F.when(F.col("copies") > 1, F.array(onward, among_copies)).otherwise(F.array(onward))
+    in_order = f"(PARTITION BY {entity} ORDER BY stage_order, hour_no)"
+    onward = f"""named_struct(
+        'next_order', next_order, 'hours', next_hour - hour_no,
+        'days', {day_of_hour("next_hour")} - {day_of_hour("hour_no")}, 'weight', 1L)"""
+    among_copies = """named_struct(
+        'next_order', stage_order, 'hours', 0L, 'days', 0L, 'weight', copies - 1)"""
     return (
-        led.select(log.entity, "stage_order", F.explode(steps).alias(_STEP))
-        .select(log.entity, "stage_order", f"{_STEP}.*")
-        .where(F.col("next_order").isNotNull())
+        visits.selectExpr(
+            "*",
+            f"lead(stage_order) OVER {in_order} AS next_order",
+            f"lead(hour_no) OVER {in_order} AS next_hour",
+        )
+        .selectExpr(
+            entity,
+            "stage_order",
+            f"inline(IF(copies > 1, array({onward}, {among_copies}), array({onward})))",
+        )
+        .where("next_order IS NOT NULL")
     )
 
 
 def _first_visit_steps(log: StageLog) -> DataFrame:
-    names = log.ladder.stages
-    per_entity = entity_progress(log, first_of=names).select(
-        log.entity, *[hour_number(F.col(f"first_{s}")).alias(s) for s in names]
+    stages = log.ladder.stages
+    entity = name(log.entity)
+    per_entity = entity_progress(log, first_of=stages).selectExpr(
+        entity, *[f"{hour_number(f'first_{s}')} AS {name(s)}" for s in stages]
     )
     steps = []
-    for i, name in enumerate(names[:-1]):
-        later = names[i + 1 :]
-        next_order = F.coalesce(
-            *[F.when(F.col(s).isNotNull(), F.lit(i + 2 + k)) for k, s in enumerate(later)]
-        )
-        next_hour = F.coalesce(*[F.col(s) for s in later])
-        steps.append(
-            F.struct(
-                F.lit(i + 1).alias("stage_order"),
-                next_order.alias("next_order"),
-                (next_hour - F.col(name)).alias("hours"),
-                (day_of_hour(next_hour) - day_of_hour(F.col(name))).alias("days"),
-                F.lit(1).cast("bigint").alias("weight"),
-            )
-        )
-    return per_entity.select(log.entity, F.inline(F.array(*steps))).where(F.col("hours").isNotNull())
+    for i, stage in enumerate(stages[:-1]):
+        later = [name(s) for s in stages[i + 1 :]]
+        orders = [f"WHEN {s} IS NOT NULL THEN {i + 2 + k}" for k, s in enumerate(later)]
+        next_hour = f"coalesce({', '.join(later)})"
+        hours = f"{next_hour} - {name(stage)}"
+        days = f"{day_of_hour(next_hour)} - {day_of_hour(name(stage))}"
+        steps.append((i + 1, f"CASE {' '.join(orders)} END", hours, days, "1L"))
+    return per_entity.selectExpr(
+        entity, rows_of(steps, ("stage_order", "next_order", "hours", "days", "weight"))
+    ).where("hours IS NOT NULL")
 
 
 def transition_summary(steps: DataFrame) -> DataFrame:
-    """``stage_order, next_order, transitions, avg_hours, avg_days, min_days, max_days,
-    median_days`` of :func:`stage_transitions`.
+    """``stage_order, next_order, median_days, transitions, avg_hours, avg_days, min_days,
+    max_days`` of :func:`stage_transitions`.
 
     The median is taken per stage over all its onward steps.  Steps are first counted per
     (stage, next, days): that histogram has a few thousand rows at any data size, and every
     figure, the exact interpolated median included, follows from it.
     """
-    weight = F.col("weight")
-    histogram = steps.groupBy("stage_order", "next_order", "days").agg(
-        F.sum(weight).alias("n"), F.sum(F.col("hours") * weight).alias("hours")
-    )
-    median = F.percentile("days", F.lit(0.5), F.col("n")).over(Window.partitionBy("stage_order"))
+    median = "percentile(days, 0.5D, n) OVER (PARTITION BY stage_order)"
     return (
-        histogram.withColumn("median_days", settled_round(median))
+        steps.groupBy("stage_order", "next_order", "days")
+        .agg(*columns(["sum(weight) AS n", "sum(hours * weight) AS hours"]))
+        .selectExpr("*", f"{settled_round(median)} AS median_days")
         .groupBy("stage_order", "next_order", "median_days")
         .agg(
-            F.sum("n").alias("transitions"),
-            F.sum("hours").alias("hours"),
-            F.sum(F.col("days") * F.col("n")).alias("days"),
-            F.min("days").alias("min_days"),
-            F.max("days").alias("max_days"),
+            *columns(
+                [
+                    "sum(n) AS transitions",
+                    f"{mean_of('sum(hours)', 'sum(n)', 1)} AS avg_hours",
+                    f"{mean_of('sum(days * n)', 'sum(n)', 1)} AS avg_days",
+                    "min(days) AS min_days",
+                    "max(days) AS max_days",
+                ]
+            )
         )
-        .withColumn("avg_hours", mean_of(F.col("hours"), F.col("transitions"), 1))
-        .withColumn("avg_days", mean_of(F.col("days"), F.col("transitions"), 1))
-        .drop("hours", "days")
     )

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import StageLog, percent
+from ..functions import StageLog, columns, percent, rows_of, text
 from .progress import entity_progress, reached
 
 
@@ -15,22 +14,18 @@ def reach_totals(log: StageLog) -> DataFrame:
     Distinct counting is one sum per stage over the per-entity stage sets, where a multi-way
     ``count(DISTINCT CASE ...)`` would expand every event once per stage before the shuffle.
     """
-    return entity_progress(log).agg(*[F.sum(reached(log, s)).alias(s) for s in log.ladder.stages])
+    sums = [f"coalesce(sum({reached(log, s)}), 0) AS {s}" for s in log.ladder.stages]
+    return entity_progress(log).agg(*columns(sums))
 
 
 def stage_counts(log: StageLog) -> DataFrame:
     """``stage_order, stage, reached``; stages nobody reached are absent."""
-    as_rows = F.array(
-        *[
-            F.struct(
-                F.lit(position).alias("stage_order"),
-                F.lit(name).alias("stage"),
-                F.col(name).cast("bigint").alias("reached"),
-            )
-            for position, name in enumerate(log.ladder.stages, 1)
-        ]
+    rows = [(i, text(s), s) for i, s in enumerate(log.ladder.stages, 1)]
+    return (
+        reach_totals(log)
+        .selectExpr(rows_of(rows, ("stage_order", "stage", "reached")))
+        .where("reached > 0")
     )
-    return reach_totals(log).select(F.inline(as_rows)).where(F.col("reached") > 0)
 
 
 def funnel(counts: DataFrame) -> DataFrame:
@@ -38,26 +33,26 @@ def funnel(counts: DataFrame) -> DataFrame:
 
     Each stage is compared with the stage present before it; the windows see one row per stage.
     """
-    ladder_order = Window.orderBy("stage_order")
-    whole = ladder_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    entered, passed = F.col("entered"), F.col("reached")
-    return (
-        counts.withColumn("entered", F.lag("reached").over(ladder_order))
-        .withColumn("top", F.first("reached").over(whole))
-        .withColumn("lost", entered - passed)
-        .withColumn("pct_lost", percent(F.col("lost"), entered))
-        .withColumn(
-            "stage_conv_rate_pct",
-            F.when(entered.isNull(), F.lit(100.0)).otherwise(percent(passed, entered)),
-        )
-        .withColumn("overall_conv_rate_pct", percent(passed, F.col("top")))
-        .drop("top")
+    return counts.selectExpr(
+        "*",
+        "lag(reached) OVER (ORDER BY stage_order) AS entered",
+        """first_value(reached) OVER (ORDER BY stage_order
+           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top""",
+    ).selectExpr(
+        "stage_order",
+        "stage",
+        "reached",
+        "entered",
+        "entered - reached AS lost",
+        f"{percent('entered - reached', 'entered')} AS pct_lost",
+        f"CASE WHEN entered IS NULL THEN 100D ELSE {percent('reached', 'entered')} END"
+        " AS stage_conv_rate_pct",
+        f"{percent('reached', 'top')} AS overall_conv_rate_pct",
     )
 
 
 def drop_offs(steps: DataFrame) -> DataFrame:
     """Steps of a :func:`funnel` that have a stage before them, with ``severity_rank``."""
-    by_loss = Window.orderBy(F.desc("lost"))
-    return steps.where(F.col("entered").isNotNull()).withColumn(
-        "severity_rank", F.rank().over(by_loss).cast("bigint")
+    return steps.where("entered IS NOT NULL").selectExpr(
+        "*", "CAST(rank() OVER (ORDER BY lost DESC) AS BIGINT) AS severity_rank"
     )

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import days_between, mean_of, percent
+from ..functions import columns, days_between, mean_of, percent
 from ..operators import entity_progress, reached
 from ..sources import LoanBook
 from .funnel_reports import funnel_overview, stage_dropoff
@@ -24,34 +23,33 @@ def executive_dashboard(book: LoanBook) -> DataFrame:
     """
     log = book.log
     start, end = log.ladder.first, log.ladder.last
-    amounts = book.loan_applications.select(
-        "application_id", "loan_amount", F.lit(True).alias("on_book")
-    )
-    rows = entity_progress(log, first_of=[start], last_of=[end]).join(
-        amounts, "application_id", "left"
-    )
-    paid = reached(log, end)
-    days = days_between(F.col(f"first_{start}"), F.col(f"last_{end}"))
-    on_book, amount = F.col("on_book").isNotNull(), F.col("loan_amount")
-    totals = rows.agg(
-        F.coalesce(F.sum(reached(log, start)), F.lit(0)).alias("submitted"),
-        F.coalesce(F.sum(paid), F.lit(0)).alias("disbursed"),
-        F.sum(days).alias("days"),
-        F.count(days).alias("days_known"),
-        F.sum(F.when(on_book, F.when(paid == 1, amount).otherwise(0))).alias("paid_out"),
-        F.sum(F.when(on_book, F.when(paid == 0, amount).otherwise(0))).alias("at_risk"),
-    )
-    submitted, disbursed = F.col("submitted"), F.col("disbursed")
-    lost = submitted - disbursed
-    return totals.select(
-        submitted.alias("total_applications"),
-        disbursed.alias("total_disbursed"),
-        lost.alias("total_lost"),
-        percent(disbursed, submitted).alias("end_to_end_conv_pct"),
-        percent(lost, submitted).alias("overall_dropoff_pct"),
-        mean_of(F.col("days"), F.col("days_known"), 1).alias("avg_days_to_disburse"),
-        F.col("paid_out").alias("total_disbursed_value"),
-        F.col("at_risk").alias("pipeline_at_risk"),
+    amounts = book.loan_applications.selectExpr("application_id", "loan_amount", "true AS on_book")
+    paid = f"{reached(log, end)} = 1"
+    days = days_between(f"first_{start}", f"last_{end}")
+    return (
+        entity_progress(log, first_of=[start], last_of=[end])
+        .join(amounts, "application_id", "left")
+        .agg(
+            *columns(
+                [
+                    f"coalesce(sum({reached(log, start)}), 0L) AS submitted",
+                    f"coalesce(sum({reached(log, end)}), 0L) AS disbursed",
+                    f"{mean_of(f'sum({days})', f'count({days})', 1)} AS avg_days_to_disburse",
+                    f"sum(IF({paid}, loan_amount, 0)) FILTER (WHERE on_book) AS paid_out",
+                    f"sum(IF({paid}, 0, loan_amount)) FILTER (WHERE on_book) AS at_risk",
+                ]
+            )
+        )
+        .selectExpr(
+            "submitted AS total_applications",
+            "disbursed AS total_disbursed",
+            "submitted - disbursed AS total_lost",
+            f"{percent('disbursed', 'submitted')} AS end_to_end_conv_pct",
+            f"{percent('submitted - disbursed', 'submitted')} AS overall_dropoff_pct",
+            "avg_days_to_disburse",
+            "paid_out AS total_disbursed_value",
+            "at_risk AS pipeline_at_risk",
+        )
     )
 
 

@@ -5,17 +5,14 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import percent
+from ..functions import columns, percent
 from ..operators import (
     entity_progress,
-    outcomes,
     reached,
     response_gaps,
-    roll_up,
+    segment_conversion,
     service_breaches,
-    tally,
     two_proportion_test,
 )
 from ..operators.segments import TOTAL, conversion_pct
@@ -24,33 +21,34 @@ from ..sources import LoanBook
 
 def cohort_by_registration_month(book: LoanBook) -> DataFrame:
     """Conversion of applications by the month their applicant registered."""
-    stages = {"approved": "approved", "disbursed": "disbursed"}
-    facts = outcomes(book.log, book.loan_applications.select("application_id", "applicant_id"))
-    per_person = tally(book.log, facts, ["applicant_id"], stages)
-    people = book.applicants.select(
-        "applicant_id", F.trunc("registration_date", "month").alias("cohort_month")
+    stages = ("approved", "disbursed")
+    people = book.applicants.selectExpr(
+        "applicant_id", "trunc(registration_date, 'month') AS cohort_month"
     )
-    cohorts = roll_up(per_person.join(people, "applicant_id"), ["cohort_month"], [TOTAL, *stages])
-    return cohorts.select(
-        "cohort_month", TOTAL, *stages, conversion_pct("disbursed").alias("conv_rate_pct")
+    cohorts = segment_conversion(
+        book.log, book.loan_applications, people, "applicant_id", ["cohort_month"], stages
+    )
+    return cohorts.selectExpr(
+        "cohort_month", TOTAL, *stages, f"{conversion_pct('disbursed')} AS conv_rate_pct"
     ).orderBy("cohort_month")
 
 
 def cohort_by_application_month(book: LoanBook) -> DataFrame:
     """Conversion of applications by the month they were submitted, whenever they were disbursed."""
     log = book.log
-    start, end = log.ladder.first, log.ladder.last
-    return (
+    start, *later = log.ladder.stages
+    cohorts = (
         entity_progress(log, first_of=[start])
-        .where(F.col(f"first_{start}").isNotNull())
-        .groupBy(F.trunc(f"first_{start}", "month").alias("cohort_month"))
+        .where(f"first_{start} IS NOT NULL")
+        .groupBy(*columns([f"trunc(first_{start}, 'month') AS cohort_month"]))
         .agg(
-            F.count(F.lit(1)).alias("submitted"),
-            *[F.sum(reached(log, s)).alias(s) for s in log.ladder.stages[1:]],
+            *columns([f"count(1) AS {start}"]),
+            *columns(f"sum({reached(log, s)}) AS {s}" for s in later),
         )
-        .withColumn("conv_rate_pct", percent(F.col(end), F.col("submitted")))
-        .orderBy("cohort_month")
     )
+    return cohorts.selectExpr(
+        "*", f"{percent(log.ladder.last, start)} AS conv_rate_pct"
+    ).orderBy("cohort_month")
 
 
 def approval_breaches(
@@ -61,22 +59,34 @@ def approval_breaches(
 
 
 def registration_step(book: LoanBook) -> DataFrame:
-    """The funnel with registration in front: registered applicants, and how many applied.
+    """The step in front of the funnel: registered applicants, and how many of them applied.
 
-    Counts applicants, so that the step's rate compares like with like.
+    Counts applicants on both sides, so that the rate compares like with like.
     """
-    applied = book.loan_applications.select("applicant_id").distinct().withColumn("applied", F.lit(1))
-    totals = book.applicants.join(applied, "applicant_id", "left").agg(
-        F.count(F.lit(1)).alias("registered_applicants"),
-        F.count("applied").alias("applicants_with_application"),
-    )
-    return totals.withColumn(
-        "registered_to_submitted_pct",
-        percent(F.col("applicants_with_application"), F.col("registered_applicants")),
+    applied = book.loan_applications.select("applicant_id").distinct()
+    return (
+        book.applicants.select("applicant_id")
+        .join(applied.selectExpr("applicant_id", "1 AS applied"), "applicant_id", "left")
+        .agg(
+            *columns(
+                [
+                    "count(1) AS registered_applicants",
+                    "count(applied) AS applicants_with_application",
+                ]
+            )
+        )
+        .selectExpr(
+            "*",
+            f"{percent('applicants_with_application', 'registered_applicants')}"
+            " AS registered_to_submitted_pct",
+        )
     )
 
 
 def fast_review_experiment(book: LoanBook, within_hours: int = 6) -> DataFrame:
     """Do applications first reviewed within ``within_hours`` convert better than the others?"""
-    gaps = response_gaps(book.log, "submitted", "under_review")
-    return two_proportion_test(gaps, F.col("hours") <= within_hours, reached(book.log, "disbursed"))
+    log = book.log
+    gaps = response_gaps(log, "submitted", "under_review")
+    return two_proportion_test(
+        gaps, f"hours <= {within_hours}", f"{reached(log, log.ladder.last)} = 1"
+    )

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import display_name, month_label, percent, settled_round
+from ..functions import columns, display_name, month_label, percent, settled_round
 from ..operators import (
     drop_offs,
     funnel,
@@ -22,11 +21,11 @@ def funnel_overview(book: LoanBook, drop_name: str = "drop_off_count") -> DataFr
     """Volume, drop-off, step and overall conversion per stage."""
     return (
         funnel(stage_counts(book.log))
-        .select(
+        .selectExpr(
             "stage_order",
-            display_name(F.col("stage")).alias("stage_name"),
-            F.col("reached").alias("applications_reached"),
-            F.coalesce("lost", F.lit(0)).cast("bigint").alias(drop_name),
+            f"{display_name('stage')} AS stage_name",
+            "reached AS applications_reached",
+            f"coalesce(lost, 0L) AS {drop_name}",
             "stage_conv_rate_pct",
             "overall_conv_rate_pct",
         )
@@ -38,12 +37,12 @@ def stage_dropoff(book: LoanBook) -> DataFrame:
     """Every step's loss, worst first."""
     return (
         drop_offs(funnel(stage_counts(book.log)))
-        .select(
+        .selectExpr(
             "stage_order",
-            display_name(F.col("stage")).alias("stage_name"),
-            F.col("entered").alias("entered_stage"),
-            F.col("reached").alias("passed_stage"),
-            F.col("lost").alias("lost_applicants"),
+            f"{display_name('stage')} AS stage_name",
+            "entered AS entered_stage",
+            "reached AS passed_stage",
+            "lost AS lost_applicants",
             "pct_lost",
             "severity_rank",
         )
@@ -55,34 +54,43 @@ def biggest_dropoff(book: LoanBook) -> DataFrame:
     """The step that loses most; the earlier step where two lose the same."""
     return (
         stage_dropoff(book)
-        .orderBy(F.desc("lost_applicants"), "stage_order")
+        .orderBy("severity_rank", "stage_order")
         .limit(1)
-        .select(
-            F.col("stage_name").alias("biggest_drop_off_stage"),
+        .selectExpr(
+            "stage_name AS biggest_drop_off_stage",
             "entered_stage",
             "passed_stage",
             "lost_applicants",
-            F.col("pct_lost").alias("pct_of_stage_lost"),
-            F.lit("PRIORITY ACTION REQUIRED").alias("flag"),
+            "pct_lost AS pct_of_stage_lost",
+            "'PRIORITY ACTION REQUIRED' AS flag",
         )
     )
 
 
 def funnel_summary(book: LoanBook) -> DataFrame:
     """One row of headline figures."""
-    submitted, disbursed = F.col("submitted"), F.col("disbursed")
-    return reach_totals(book.log).select(
-        submitted.alias("total_applications"),
+    return reach_totals(book.log).selectExpr(
+        "submitted AS total_applications",
         "under_review",
         "verified",
         "approved",
-        disbursed.alias("total_disbursed"),
-        percent(disbursed, submitted).alias("end_to_end_conv_pct"),
-        (submitted - disbursed).alias("total_lost"),
-        percent(submitted - disbursed, submitted).alias("pct_lost_overall"),
+        "disbursed AS total_disbursed",
+        f"{percent('disbursed', 'submitted')} AS end_to_end_conv_pct",
+        "submitted - disbursed AS total_lost",
+        f"{percent('submitted - disbursed', 'submitted')} AS pct_lost_overall",
     )
 
 
+_MONTH_COLUMNS = (
+    "period",
+    "applications_submitted",
+    "applications_disbursed",
+    "mom_change",
+    "rolling_3m_avg",
+    "monthly_conv_pct",
+)
+
+
 def monthly_trend(book: LoanBook, year: int = 2023, window: int = 3) -> DataFrame:
     """Submissions and disbursals per month of one year, and the year's mean rate as a last row.
 
@@ -90,20 +98,10 @@ def monthly_trend(book: LoanBook, year: int = 2023, window: int = 3) -> DataFram
     in calendar order.
     """
     months = monthly_trend_by_date(book, year, window)
-    rows = months.select(
-        "period",
-        "applications_submitted",
-        "applications_disbursed",
-        "mom_change",
-        "rolling_3m_avg",
-        "monthly_conv_pct",
-        F.lit(0).alias("sort_order"),
-    )
-    benchmark = months.agg(settled_round(F.avg("monthly_conv_pct")).alias("monthly_conv_pct")).select(
-        F.lit(f"Full-year avg ({year})").alias("period"),
-        "monthly_conv_pct",
-        F.lit(1).alias("sort_order"),
-    )
+    rows = months.selectExpr(*_MONTH_COLUMNS, "0 AS sort_order")
+    benchmark = months.agg(
+        *columns([f"{settled_round('avg(monthly_conv_pct)')} AS monthly_conv_pct"])
+    ).selectExpr(f"'Full-year avg ({year})' AS period", "monthly_conv_pct", "1 AS sort_order")
     return rows.unionByName(benchmark, allowMissingColumns=True).orderBy("sort_order", "period")
 
 
@@ -111,15 +109,15 @@ def monthly_trend_by_date(book: LoanBook, year: int = 2023, window: int = 3) ->
     """Month rows of :func:`monthly_trend` with ``yr`` and ``mth``, in calendar order."""
     ladder = book.log.ladder
     trend = period_trend(within_year(book.log, year), ladder.first, ladder.last, window)
-    return trend.select(
-        F.year("period_start").cast("bigint").alias("yr"),
-        F.month("period_start").cast("bigint").alias("mth"),
-        month_label(F.col("period_start")).alias("period"),
-        F.col("opened").alias("applications_submitted"),
-        F.col("closed").alias("applications_disbursed"),
-        F.col("change").alias("mom_change"),
-        F.col("rolling_avg").alias("rolling_3m_avg"),
-        F.col("conv_pct").alias("monthly_conv_pct"),
+    return trend.selectExpr(
+        "CAST(year(period_start) AS BIGINT) AS yr",
+        "CAST(month(period_start) AS BIGINT) AS mth",
+        f"{month_label('period_start')} AS period",
+        "opened AS applications_submitted",
+        "closed AS applications_disbursed",
+        "change AS mom_change",
+        "rolling_avg AS rolling_3m_avg",
+        "conv_pct AS monthly_conv_pct",
     ).orderBy("yr", "mth")
 
 
@@ -128,10 +126,10 @@ def stage_month_heatmap(book: LoanBook) -> DataFrame:
     return (
         period_reach(book.log)
         .orderBy("period_start")
-        .select(
-            month_label(F.col("period_start")).alias("month_label"),
-            F.month("period_start").cast("bigint").alias("mth_num"),
+        .selectExpr(
+            f"{month_label('period_start')} AS month_label",
+            "CAST(month(period_start) AS BIGINT) AS mth_num",
             *book.log.ladder.stages,
-            percent(F.col("disbursed"), F.col("submitted")).alias("monthly_end_to_end_pct"),
+            f"{percent('disbursed', 'submitted')} AS monthly_end_to_end_pct",
         )
     )

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import AGE_GROUPS, CREDIT_BANDS, display_name, mean_of
-from ..operators import outcomes, segment_conversion, tally
+from ..operators import outcomes, reached, segment_conversion, tally
 from ..operators.segments import (
     TOTAL,
     conversion_pct,
@@ -17,36 +16,37 @@ from ..operators.segments import (
 )
 from ..sources import LoanBook
 
-_APPROVED = {"approved": "approved", "disbursed": "disbursed"}
-_VERIFIED = {"verified": "verified", **_APPROVED}
+_APPROVED = ("approved", "disbursed")
+_VERIFIED = ("verified", "approved", "disbursed")
+_RATE = f"{conversion_pct('disbursed')} AS conv_rate_pct"
+_AVG_AMOUNT = f"{mean_of('amount', 'amount_known', 0)} AS avg_loan_amount"
 
 
 def _loan_types(book: LoanBook) -> DataFrame:
-    facts = outcomes(book.log, book.loan_applications.select("application_id", "loan_type", "loan_amount"))
-    amount = F.col("loan_amount")
-    paid = F.when(book.log.ladder.reached(F.col("stage_set"), "disbursed") == 1, amount).otherwise(0)
+    log = book.log
+    facts = book.loan_applications.select("application_id", "loan_type", "loan_amount")
     sums = {
-        "amount": amount,
-        "amount_known": F.when(amount.isNotNull(), F.lit(1)),
-        "paid_out": paid,
+        "amount": "loan_amount",
+        "amount_known": "IF(loan_amount IS NULL, 0, 1)",
+        "paid_out": f"IF({reached(log, 'disbursed')} = 1, loan_amount, 0)",
     }
-    return tally(book.log, facts, ["loan_type"], _VERIFIED, sums)
+    return tally(log, outcomes(log, facts), ["loan_type"], _VERIFIED, sums)
 
 
 def conv_by_loan_type(book: LoanBook) -> DataFrame:
     return (
         _loan_types(book)
-        .select(
-            display_name(F.col("loan_type")).alias("loan_type"),
+        .selectExpr(
+            f"{display_name('loan_type')} AS loan_type",
             TOTAL,
-            F.col("verified").alias("reached_verification"),
-            F.col("approved").alias("reached_approval"),
-            F.col("disbursed").alias("total_disbursed"),
-            conversion_pct("disbursed").alias("conv_rate_pct"),
-            mean_of(F.col("amount"), F.col("amount_known"), 0).alias("avg_loan_amount"),
-            F.col("paid_out").alias("total_disbursed_value"),
+            "verified AS reached_verification",
+            "approved AS reached_approval",
+            "disbursed AS total_disbursed",
+            _RATE,
+            _AVG_AMOUNT,
+            "paid_out AS total_disbursed_value",
         )
-        .orderBy(F.desc("conv_rate_pct"), "loan_type")
+        .orderBy("conv_rate_pct", "loan_type", ascending=[False, True])
     )
 
 
@@ -54,16 +54,14 @@ def segment_performance(book: LoanBook) -> DataFrame:
     """Loan types with their conversion rank."""
     return (
         _loan_types(book)
-        .select(
-            display_name(F.col("loan_type")).alias("loan_type"),
+        .selectExpr(
+            f"{display_name('loan_type')} AS loan_type",
             TOTAL,
-            "verified",
-            "approved",
-            "disbursed",
-            conversion_pct("disbursed").alias("conv_rate_pct"),
-            mean_of(F.col("amount"), F.col("amount_known"), 0).alias("avg_loan_amount"),
-            F.col("paid_out").alias("total_value_disbursed"),
-            conversion_rank("disbursed").alias("conv_rank"),
+            *_VERIFIED,
+            _RATE,
+            _AVG_AMOUNT,
+            "paid_out AS total_value_disbursed",
+            f"{conversion_rank('disbursed')} AS conv_rank",
         )
         .orderBy("conv_rank", "loan_type")
     )
@@ -79,16 +77,15 @@ def _channels(book: LoanBook) -> DataFrame:
 def conv_by_channel(book: LoanBook) -> DataFrame:
     return (
         _channels(book)
-        .select(
-            display_name(F.col("acquisition_channel")).alias("channel"),
+        .selectExpr(
+            f"{display_name('acquisition_channel')} AS channel",
             TOTAL,
-            "approved",
-            "disbursed",
-            conversion_pct("disbursed").alias("conv_rate_pct"),
-            share_pct().alias("channel_share_pct"),
-            conversion_rank("disbursed").alias("conv_rank"),
+            *_APPROVED,
+            _RATE,
+            f"{share_pct()} AS channel_share_pct",
+            f"{conversion_rank('disbursed')} AS conv_rank",
         )
-        .orderBy(F.desc("conv_rate_pct"), "channel")
+        .orderBy("conv_rate_pct", "channel", ascending=[False, True])
     )
 
 
@@ -96,51 +93,49 @@ def channel_performance(book: LoanBook) -> DataFrame:
     """Channels with their share and their distance from the overall rate."""
     return (
         _channels(book)
-        .select(
-            display_name(F.col("acquisition_channel")).alias("channel"),
+        .selectExpr(
+            f"{display_name('acquisition_channel')} AS channel",
             TOTAL,
-            "approved",
-            "disbursed",
-            conversion_pct("disbursed").alias("conv_rate_pct"),
-            share_pct().alias("volume_share_pct"),
-            rounded_delta("disbursed").alias("conv_vs_avg_pct"),
-            conversion_rank("disbursed").alias("quality_rank"),
+            *_APPROVED,
+            _RATE,
+            f"{share_pct()} AS volume_share_pct",
+            f"{rounded_delta('disbursed')} AS conv_vs_avg_pct",
+            f"{conversion_rank('disbursed')} AS quality_rank",
         )
         .orderBy("quality_rank", "channel")
     )
 
 
 def conv_by_age_group(book: LoanBook) -> DataFrame:
-    people = book.applicants.select(
+    people = book.applicants.selectExpr(
         "applicant_id",
-        AGE_GROUPS.label(F.col("age")).alias("age_group"),
-        AGE_GROUPS.position(F.col("age")).alias("age_sort"),
+        f"{AGE_GROUPS.label('age')} AS age_group",
+        f"{AGE_GROUPS.position('age')} AS age_sort",
     )
     groups = segment_conversion(
         book.log, book.loan_applications, people, "applicant_id", ["age_group", "age_sort"], _VERIFIED
     )
     return (
-        groups.withColumn("diff_from_avg_pct", delta_of_rounded("disbursed"))
+        groups.selectExpr("*", f"{delta_of_rounded('disbursed')} AS diff_from_avg_pct")
         .orderBy("age_sort")
-        .select(
+        .selectExpr(
             "age_group",
             TOTAL,
-            F.col("verified").alias("reached_verification"),
-            F.col("approved").alias("reached_approval"),
+            "verified AS reached_verification",
+            "approved AS reached_approval",
             "disbursed",
-            conversion_pct("disbursed").alias("conv_rate_pct"),
+            _RATE,
             "diff_from_avg_pct",
         )
     )
 
 
 def conv_by_credit_band(book: LoanBook) -> DataFrame:
-    score = F.col("credit_score")
-    profiles = book.credit_profiles.select(
+    profiles = book.credit_profiles.selectExpr(
         "applicant_id",
-        score.cast("bigint").alias("credit_score"),
-        CREDIT_BANDS.label(score).alias("credit_band"),
-        CREDIT_BANDS.position(score).alias("band_sort"),
+        "credit_score",
+        f"{CREDIT_BANDS.label('credit_score')} AS credit_band",
+        f"{CREDIT_BANDS.position('credit_score')} AS band_sort",
     ).join(book.applicants.select("applicant_id"), "applicant_id")
     bands = segment_conversion(
         book.log,
@@ -151,37 +146,33 @@ def conv_by_credit_band(book: LoanBook) -> DataFrame:
         _APPROVED,
         weighted=["credit_score"],
     )
-    return bands.orderBy("band_sort").select(
+    return bands.orderBy("band_sort").selectExpr(
         "credit_band",
         TOTAL,
-        "approved",
-        "disbursed",
-        conversion_pct("disbursed").alias("conv_rate_pct"),
-        mean_of(F.col("sum_credit_score"), F.col("n_credit_score"), 0).alias("avg_credit_score"),
+        *_APPROVED,
+        _RATE,
+        f"{mean_of('sum_credit_score', 'n_credit_score', 0)} AS avg_credit_score",
     )
 
 
 def conv_by_employment(book: LoanBook) -> DataFrame:
-    people = book.applicants.select("applicant_id", "employment_status", "annual_income")
     statuses = segment_conversion(
         book.log,
         book.loan_applications,
-        people,
+        book.applicants.select("applicant_id", "employment_status", "annual_income"),
         "applicant_id",
         ["employment_status"],
         _VERIFIED,
         weighted=["annual_income"],
     )
-    return statuses.select(
-        display_name(F.col("employment_status")).alias("employment_status"),
+    return statuses.selectExpr(
+        f"{display_name('employment_status')} AS employment_status",
         TOTAL,
-        "verified",
-        "approved",
-        "disbursed",
-        conversion_pct("disbursed").alias("conv_rate_pct"),
-        mean_of(F.col("sum_annual_income"), F.col("n_annual_income"), 0).alias("avg_annual_income"),
-        conversion_rank("disbursed").alias("conv_rank"),
-    ).orderBy(F.desc("conv_rate_pct"), "employment_status")
+        *_VERIFIED,
+        _RATE,
+        f"{mean_of('sum_annual_income', 'n_annual_income', 0)} AS avg_annual_income",
+        f"{conversion_rank('disbursed')} AS conv_rank",
+    ).orderBy("conv_rate_pct", "employment_status", ascending=[False, True])
 
 
 def conv_channel_x_loan(book: LoanBook, min_sample: int = 5) -> DataFrame:
@@ -192,17 +183,21 @@ def conv_channel_x_loan(book: LoanBook, min_sample: int = 5) -> DataFrame:
         book.applicants.select("applicant_id", "acquisition_channel"),
         "applicant_id",
         ["acquisition_channel", "loan_type"],
-        {"disbursed": "disbursed"},
+        ["disbursed"],
         keep=["loan_type"],
     )
-    rated = cells.where(F.col(TOTAL) >= min_sample).select(
-        display_name(F.col("acquisition_channel")).alias("channel"),
-        display_name(F.col("loan_type")).alias("loan_type"),
-        TOTAL,
-        "disbursed",
-        conversion_pct("disbursed").alias("conv_rate_pct"),
+    best_in_channel = "PARTITION BY channel ORDER BY conv_rate_pct DESC"
+    return (
+        cells.where(f"{TOTAL} >= {min_sample}")
+        .selectExpr(
+            f"{display_name('acquisition_channel')} AS channel",
+            f"{display_name('loan_type')} AS loan_type",
+            TOTAL,
+            "disbursed",
+            _RATE,
+        )
+        .selectExpr(
+            "*", f"CAST(rank() OVER ({best_in_channel}) AS BIGINT) AS rank_within_channel"
+        )
+        .orderBy("conv_rate_pct", "channel", "loan_type", ascending=[False, True, True])
     )
-    best_in_channel = Window.partitionBy("channel").orderBy(F.desc("conv_rate_pct"))
-    return rated.withColumn(
-        "rank_within_channel", F.rank().over(best_in_channel).cast("bigint")
-    ).orderBy(F.desc("conv_rate_pct"), "channel", "loan_type")

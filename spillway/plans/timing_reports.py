@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import (
     JOURNEY_SPEEDS,
     RESPONSE_TIERS,
+    columns,
     days_between,
     display_name,
     mean_of,
@@ -18,6 +18,7 @@ from ..functions import (
 from ..operators import (
     journeys,
     outcomes,
+    reached,
     response_gaps,
     stage_transitions,
     stuck_report,
@@ -34,10 +35,10 @@ def stage_durations(book: LoanBook) -> DataFrame:
     return (
         transition_summary(stage_transitions(book.log))
         .orderBy("stage_order", "next_order")
-        .select(
-            display_name(ladder.name_at(F.col("stage_order"))).alias("stage"),
-            display_name(ladder.name_at(F.col("next_order"))).alias("transitions_to"),
-            F.col("transitions").alias("transitions_observed"),
+        .selectExpr(
+            f"{display_name(ladder.name_at('stage_order'))} AS stage",
+            f"{display_name(ladder.name_at('next_order'))} AS transitions_to",
+            "transitions AS transitions_observed",
             "avg_hours",
             "avg_days",
             "min_days",
@@ -57,99 +58,105 @@ def journey_durations(book: LoanBook, outlier_factor: int = 2, ordered: bool = T
     finished = journeys(book.log).join(
         book.loan_applications.select("application_id", "loan_type", "loan_amount"), "application_id"
     )
-    totals = finished.agg(F.sum("total_days").alias("days"), F.count("total_days").alias("n"))
-    days, n = F.col("days"), F.col("n")
-    means = totals.select(
-        F.struct(whole_mean(days, n).alias("whole"), mean_of(days, n, 1).alias("shown"))
+    days, n = "sum(total_days)", "count(total_days)"
+    means = finished.agg(
+        *columns(
+            [f"named_struct('whole', {whole_mean(days, n)}, 'shown', {mean_of(days, n, 1)}) AS m"]
+        )
     ).scalar()
-    total_days = F.col("total_days")
-    report = finished.select(
-        "application_id",
-        display_name(F.col("loan_type")).alias("loan_type"),
-        "loan_amount",
-        F.to_date("started_at").alias("submitted_date"),
-        F.to_date("ended_at").alias("disbursed_date"),
-        "total_days",
-        JOURNEY_SPEEDS.label(total_days).alias("journey_category"),
-        F.when(total_days > means.getField("whole") * outlier_factor, "OUTLIER")
-        .otherwise("Normal")
-        .alias("outlier_flag"),
-        means.getField("shown").alias("overall_avg_days"),
+    report = (
+        finished.withColumn("means", means)
+        .selectExpr(
+            "application_id",
+            f"{display_name('loan_type')} AS loan_type",
+            "loan_amount",
+            "CAST(started_at AS DATE) AS submitted_date",
+            "CAST(ended_at AS DATE) AS disbursed_date",
+            "total_days",
+            f"{JOURNEY_SPEEDS.label('total_days')} AS journey_category",
+            f"IF(total_days > {outlier_factor} * means.whole, 'OUTLIER', 'Normal') AS outlier_flag",
+            "means.shown AS overall_avg_days",
+        )
     )
-    return report.orderBy(F.desc("total_days"), "application_id") if ordered else report
+    if not ordered:
+        return report
+    return report.orderBy("total_days", "application_id", ascending=[False, True])
 
 
 def response_tier_conversion(book: LoanBook) -> DataFrame:
     """Conversion by the time from submission to first review."""
-    gaps = response_gaps(book.log, "submitted", "under_review")
-    per_gap = tally(
-        book.log,
-        gaps.withColumn("response_tier", RESPONSE_TIERS.label(F.col("hours"))),
-        ["response_tier"],
-        {"approved": "approved", "disbursed": "disbursed"},
-        {"hours": F.col("hours")},
+    gaps = response_gaps(book.log, "submitted", "under_review").selectExpr(
+        "*", f"{RESPONSE_TIERS.label('hours')} AS response_tier"
+    )
+    stages = ("approved", "disbursed")
+    return (
+        tally(book.log, gaps, ["response_tier"], stages, {"hours": "hours"})
+        .selectExpr(
+            "response_tier",
+            TOTAL,
+            *stages,
+            f"{conversion_pct('disbursed')} AS conv_rate_pct",
+            f"{mean_of('hours', TOTAL, 1)} AS avg_hours_to_review",
+        )
+        .orderBy("response_tier")
     )
-    return per_gap.select(
-        "response_tier",
-        TOTAL,
-        "approved",
-        "disbursed",
-        conversion_pct("disbursed").alias("conv_rate_pct"),
-        mean_of(F.col("hours"), F.col(TOTAL), 1).alias("avg_hours_to_review"),
-    ).orderBy("response_tier")
 
 
 def _journey_tally(book: LoanBook, by: str) -> DataFrame:
     """Applications, disbursals and days to disburse per fact column ``by``."""
     log = book.log
     start, end = log.ladder.first, log.ladder.last
-    facts = outcomes(
-        log, book.loan_applications.select("application_id", by), first_of=[start], last_of=[end]
-    )
-    done = log.ladder.reached(F.col("stage_set"), end) == 1
-    days = F.when(done, days_between(F.col(f"first_{start}"), F.col(f"last_{end}")))
-    return facts.groupBy(by).agg(
-        F.count(F.lit(1)).alias(TOTAL),
-        F.sum(done.cast("int")).alias("disbursed"),
-        F.sum(days).alias("days"),
-        F.count(days).alias("days_known"),
-        F.min(days).alias("fastest_days"),
-        F.max(days).alias("slowest_days"),
+    facts = book.loan_applications.select("application_id", by)
+    days = days_between(f"first_{start}", f"last_{end}")
+    return (
+        outcomes(log, facts, first_of=[start], last_of=[end])
+        .groupBy(by)
+        .agg(
+            *columns(
+                [
+                    f"count(1) AS {TOTAL}",
+                    f"sum({reached(log, end)}) AS disbursed",
+                    f"sum({days}) AS days",
+                    f"count({days}) AS days_known",
+                    f"min({days}) AS fastest_days",
+                    f"max({days}) AS slowest_days",
+                ]
+            )
+        )
     )
 
 
-def _journey_columns(name: str):
-    return (
-        display_name(F.col(name)).alias(name),
+def _journey_report(tallies: DataFrame, by: str) -> DataFrame:
+    return tallies.selectExpr(
+        f"{display_name(by)} AS {by}",
         TOTAL,
         "disbursed",
-        conversion_pct("disbursed").alias("conv_rate_pct"),
-        mean_of(F.col("days"), F.col("days_known"), 1).alias("avg_days_to_disburse"),
+        f"{conversion_pct('disbursed')} AS conv_rate_pct",
+        f"{mean_of('days', 'days_known', 1)} AS avg_days_to_disburse",
         "fastest_days",
         "slowest_days",
-    )
+    ).orderBy("avg_days_to_disburse", by, ascending=[False, True])
 
 
 def time_to_convert_by_loan_type(book: LoanBook) -> DataFrame:
-    return (
-        _journey_tally(book, "loan_type")
-        .select(*_journey_columns("loan_type"))
-        .orderBy(F.desc("avg_days_to_disburse"), "loan_type")
-    )
+    return _journey_report(_journey_tally(book, "loan_type"), "loan_type")
 
 
 def time_to_convert_by_channel(book: LoanBook) -> DataFrame:
     """As by loan type; journeys are tallied per applicant before the channel is looked up."""
-    people = book.applicants.select("applicant_id", F.col("acquisition_channel").alias("channel"))
-    per_person = _journey_tally(book, "applicant_id").join(people, "applicant_id")
-    channels = per_person.groupBy("channel").agg(
-        *[F.sum(c).alias(c) for c in (TOTAL, "disbursed", "days", "days_known")],
-        F.min("fastest_days").alias("fastest_days"),
-        F.max("slowest_days").alias("slowest_days"),
-    )
-    return channels.select(*_journey_columns("channel")).orderBy(
-        F.desc("avg_days_to_disburse"), "channel"
+    people = book.applicants.selectExpr("applicant_id", "acquisition_channel AS channel")
+    channels = (
+        _journey_tally(book, "applicant_id")
+        .join(people, "applicant_id")
+        .groupBy("channel")
+        .agg(
+            *columns(f"sum({c}) AS {c}" for c in (TOTAL, "disbursed", "days", "days_known")),
+            *columns(
+                ["min(fastest_days) AS fastest_days", "max(slowest_days) AS slowest_days"]
+            ),
+        )
     )
+    return _journey_report(channels, "channel")
 
 
 def stuck_applications(book: LoanBook, as_of: dt.date = dt.date(2024, 1, 1)) -> DataFrame:
@@ -157,11 +164,11 @@ def stuck_applications(book: LoanBook, as_of: dt.date = dt.date(2024, 1, 1)) ->
     return (
         stuck_report(book.log, book.loan_applications, "loan_amount", as_of)
         .orderBy("stage_order")
-        .select(
-            display_name(F.col("stage")).alias("stuck_at_stage"),
-            F.col("entities").alias("abandoned_applications"),
+        .selectExpr(
+            f"{display_name('stage')} AS stuck_at_stage",
+            "entities AS abandoned_applications",
             "avg_days_inactive",
-            F.col("avg_amount").alias("avg_loan_amount"),
-            F.col("total_amount").alias("total_revenue_at_risk"),
+            "avg_amount AS avg_loan_amount",
+            "total_amount AS total_revenue_at_risk",
         )
     )

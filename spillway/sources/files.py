@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +45,9 @@ def load_delimited(spark: SparkSession, path: str, table: str, delimiter: str =
 
 def read_delimited_book(spark: SparkSession, folder: str) -> LoanBook:
     """``<folder>/<table>.csv`` for each of the four tables."""
-    return LoanBook(**{t: load_delimited(spark, f"{folder}/{t}.csv", t) for t in SCHEMAS})
+    return LoanBook(
+        {t: partial(load_delimited, spark, f"{folder}/{t}.csv", t) for t in SCHEMAS}
+    )
 
 
 def write_parquet_book(book: LoanBook, folder: str) -> None:
@@ -60,7 +64,9 @@ def write_parquet_book(book: LoanBook, folder: str) -> None:
 
 
 def read_parquet_book(spark: SparkSession, folder: str) -> LoanBook:
-    return LoanBook(**{t: spark.read.schema(s).parquet(f"{folder}/{t}") for t, s in SCHEMAS.items()})
+    return LoanBook(
+        {t: partial(spark.read.schema(s).parquet, f"{folder}/{t}") for t, s in SCHEMAS.items()}
+    )
 
 
 def write_bucketed_book(book: LoanBook, database: str, buckets: int) -> None:
@@ -81,7 +87,7 @@ def write_bucketed_book(book: LoanBook, database: str, buckets: int) -> None:
 
 
 def read_table_book(spark: SparkSession, database: str) -> LoanBook:
-    return LoanBook(**{t: spark.table(f"{database}.{t}") for t in SCHEMAS})
+    return LoanBook({t: partial(spark.table, f"{database}.{t}") for t in SCHEMAS})
 
 
 def write_report(report: DataFrame, path: str, format: str = "parquet") -> None:

@@ -5,10 +5,9 @@ Integer arithmetic only, so the same rows come out on any engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import LOAN_LADDER, StageLadder, StageLog
+from ..functions import LOAN_LADDER, StageLadder, StageLog, rows_of, text
 from .book import LoanBook
 from .schemas import ACQUISITION_CHANNELS, SCHEMAS
 
@@ -34,126 +33,120 @@ REACH_SCORE = {"submitted": 0, "under_review": 8, "verified": 34, "approved": 60
 CLICK_LADDER = StageLadder(("view", "click", "signup", "purchase"))
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
 def loan_book_from_orders(spark: SparkSession, folder: str) -> LoanBook:
-    orders, customers = read_table(spark, folder, "orders"), read_table(spark, folder, "customer")
+    def derived(make, source):
+        return lambda: make(read_table(spark, folder, source))
+
     return LoanBook(
-        applicants=_typed(applicants(customers), "applicants"),
-        loan_applications=_typed(loan_applications(orders), "loan_applications"),
-        application_events=_typed(application_events(orders), "application_events"),
-        credit_profiles=_typed(credit_profiles(customers), "credit_profiles"),
+        {
+            "applicants": derived(applicants, "customer"),
+            "loan_applications": derived(loan_applications, "orders"),
+            "application_events": derived(application_events, "orders"),
+            "credit_profiles": derived(credit_profiles, "customer"),
+        }
     )
 
 
 def loan_applications(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    return orders.select(
-        key.alias("application_id"),
-        F.col("o_custkey").alias("applicant_id"),
-        _translate(F.col("o_orderpriority"), LOAN_TYPE_OF_PRIORITY).alias("loan_type"),
-        F.floor("o_totalprice").alias("loan_amount"),
-        ((key % 5 + 1) * 12).alias("loan_term_months"),
-        F.lit(LOAN_LADDER.first).alias("status"),
-        _applied_at().alias("application_date"),
+    return _typed(
+        orders,
+        "loan_applications",
+        application_id="o_orderkey",
+        applicant_id="o_custkey",
+        loan_type=_translated("o_orderpriority", LOAN_TYPE_OF_PRIORITY),
+        loan_amount="floor(o_totalprice)",
+        loan_term_months="12 * (1 + o_orderkey % 5)",
+        status=text(LOAN_LADDER.first),
+        application_date=_APPLIED_AT,
     )
 
 
 def application_events(orders: DataFrame) -> DataFrame:
     """One row per stage an order reaches, each stage some minutes after the one before."""
-    key = F.col("o_orderkey")
-    long_wait = F.when(key % 8 == 0, F.floor(key / 8).cast("bigint") % 25 * 1440).otherwise(0)
     delays = {
-        "submitted": F.lit(0),
-        "under_review": key * 53 % 3900 + 60,
-        "verified": key * 71 % 5000 + 720,
-        "approved": key * 89 % 3500 + 600,
-        "disbursed": key * 97 % 4800 + 1440 + long_wait,
+        "submitted": "0L",
+        "under_review": "60 + (o_orderkey * 53) % 3900",
+        "verified": "720 + (o_orderkey * 71) % 5000",
+        "approved": "600 + (o_orderkey * 89) % 3500",
+        "disbursed": """1440 + (o_orderkey * 97) % 4800
+            + IF(o_orderkey % 8 = 0, ((o_orderkey div 8) % 25) * 1440, 0L)""",
     }
-    entries, minutes = [], F.lit(0)
+    entries, minutes = [], "0L"
     for number, stage in enumerate(LOAN_LADDER.stages, 1):
-        minutes = minutes + delays[stage]
-        entries.append(
-            F.struct(
-                F.lit(number).alias("stage_no"),
-                F.lit(stage).alias("stage"),
-                F.lit(REACH_SCORE[stage]).alias("needed"),
-                minutes.cast("bigint").alias("minutes"),
-            )
-        )
-    return (
-        orders.select(
-            key.alias("application_id"),
-            _applied_at().alias("applied_at"),
-            ((key * 31 + 7) % 100).alias("score"),
-            F.inline(F.array(*entries)),
-        )
-        .where(F.col("score") >= F.col("needed"))
-        .select(
-            (F.col("application_id") * 10 + F.col("stage_no")).alias("event_id"),
-            "application_id",
-            "stage",
-            F.timestamp_add("MINUTE", F.col("minutes"), F.col("applied_at")).alias("event_timestamp"),
-            F.lit(None).cast("string").alias("notes"),
-        )
+        minutes = f"{minutes} + {delays[stage]}"
+        entries.append((number, text(stage), REACH_SCORE[stage], minutes))
+    steps = orders.selectExpr(
+        "o_orderkey",
+        f"{_APPLIED_AT} AS applied_at",
+        "(o_orderkey * 31 + 7) % 100 AS score",
+        rows_of(entries, ("number", "stage", "needed", "minutes")),
+    )
+    return _typed(
+        steps.where("score >= needed"),
+        "application_events",
+        event_id="o_orderkey * 10 + number",
+        application_id="o_orderkey",
+        stage="stage",
+        event_timestamp="timestampadd(MINUTE, minutes, applied_at)",
     )
 
 
 def applicants(customers: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    registered = F.date_add(F.lit("1995-01-01").cast("date"), (key * 13 % 365).cast("int"))
-    channel = F.element_at(
-        F.array(*map(F.lit, ACQUISITION_CHANNELS)), (F.col("c_nationkey") % 6 + 1).cast("int")
-    )
-    return customers.select(
-        key.alias("applicant_id"),
-        F.col("c_name").alias("first_name"),
-        F.lit("n/a").alias("last_name"),
-        F.lower("c_name").alias("email"),
-        F.lit(None).cast("string").alias("phone"),
-        (key * 7 % 60 + 18).alias("age"),
-        F.lit(None).cast("string").alias("city"),
-        _translate(F.col("c_mktsegment"), EMPLOYMENT_OF_SEGMENT).alias("employment_status"),
-        (key * 37 % 80000 + 20000).alias("annual_income"),
-        channel.alias("acquisition_channel"),
-        registered.cast("timestamp_ntz").alias("registration_date"),
+    channels = ", ".join(map(text, ACQUISITION_CHANNELS))
+    return _typed(
+        customers,
+        "applicants",
+        applicant_id="c_custkey",
+        first_name="c_name",
+        last_name="'n/a'",
+        email="lower(c_name)",
+        age="18 + (c_custkey * 7) % 60",
+        employment_status=_translated("c_mktsegment", EMPLOYMENT_OF_SEGMENT),
+        annual_income="20000 + (c_custkey * 37) % 80000",
+        acquisition_channel=f"element_at(array({channels}), CAST(c_nationkey % 6 + 1 AS INT))",
+        registration_date="date_add(DATE '1995-01-01', CAST((c_custkey * 13) % 365 AS INT))",
     )
 
 
 def credit_profiles(customers: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    return customers.select(
-        key.alias("applicant_id"),
-        (key * 131 % 551 + 300).alias("credit_score"),
-        ((key * 17 % 61 + 5) / 100).alias("debt_to_income_ratio"),
-        (key % 6).alias("existing_loans"),
-        (key % 3).alias("previous_defaults"),
+    return _typed(
+        customers,
+        "credit_profiles",
+        applicant_id="c_custkey",
+        credit_score="300 + (c_custkey * 131) % 551",
+        debt_to_income_ratio="((c_custkey * 17) % 61 + 5) / 100",
+        existing_loans="c_custkey % 6",
+        previous_defaults="c_custkey % 3",
     )
 
 
 def clickstream_log(events: DataFrame) -> StageLog:
     """User-days as entities; repeated, skipped and out-of-order stages are usual here."""
-    visits = events.select(
-        (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("visit_id"),
-        F.col("event_type").alias("stage"),
-        F.col("ts").alias("event_timestamp"),
+    visits = events.selectExpr(
+        "user_id * 100 + day(ts) AS visit_id", "event_type AS stage", "ts AS event_timestamp"
     )
     return StageLog(visits, CLICK_LADDER, entity="visit_id")
 
 
-def _applied_at() -> Column:
-    minutes = F.col("o_orderkey") * 37 % 1440
-    return F.timestamp_add("MINUTE", minutes, F.col("o_orderdate").cast("timestamp_ntz"))
+_APPLIED_AT = (
+    "timestampadd(MINUTE, (o_orderkey * 37) % 1440, CAST(o_orderdate AS TIMESTAMP_NTZ))"
+)
 
 
-def _translate(name: Column, names: dict[str, str]) -> Column:
-    chain = F
-    for source, target in names.items():
-        chain = chain.when(name == source, F.lit(target))
-    return chain
+def _translated(column: str, names: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN {text(a)} THEN {text(b)}" for a, b in names.items())
+    return f"CASE {column} {cases} END"
 
 
-def _typed(frame: DataFrame, table: str) -> DataFrame:
-    return frame.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[table].fields])
+def _typed(frame: DataFrame, table: str, **expressions: str) -> DataFrame:
+    """The table's declared columns; those without an expression are NULL."""
+    return frame.selectExpr(
+        *[
+            f"CAST({expressions.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in SCHEMAS[table].fields
+        ]
+    )
