@@ -1,7 +1,8 @@
 """Every query by name: ``name -> f(spark, folder) -> DataFrame``."""
 
 from .reports import REPORTS, flagship
+from .streams import STREAMS
 
-QUERIES = {**REPORTS}
+QUERIES = {**REPORTS, **STREAMS}
 
 __all__ = ["QUERIES", "flagship"]

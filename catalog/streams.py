@@ -1,0 +1,52 @@
+"""Streaming queries, run to the end of the data at hand."""
+
+from __future__ import annotations
+
+from spillway.functions import LOAN_LADDER, StageLog
+from spillway.sources import read_table, shared_folder
+from spillway.sources.orders import application_events, clickstream_log
+from spillway.streaming import live_funnel, service_alerts, start_live_funnel
+
+
+def _stream(spark, folder, table):
+    schema = read_table(spark, folder, table).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}*.parquet")
+
+
+def _run_live_funnel(spark, log):
+    place = shared_folder(spark, "live-funnel")
+    run = start_live_funnel(log, f"{place}/counts", f"{place}/checkpoint", availableNow=True)
+    run.awaitTermination()
+    return live_funnel(spark, f"{place}/counts", log.ladder)
+
+
+def live_loan_funnel(spark, folder):
+    events = application_events(_stream(spark, folder, "orders"))
+    return _run_live_funnel(spark, StageLog(events, LOAN_LADDER))
+
+
+def live_click_funnel(spark, folder):
+    return _run_live_funnel(spark, clickstream_log(_stream(spark, folder, "events")))
+
+
+def live_approval_alerts(spark, folder):
+    events = application_events(_stream(spark, folder, "orders"))
+    alerts = service_alerts(StageLog(events, LOAN_LADDER), "verified", "approved", 5)
+    place = shared_folder(spark, "alerts")
+    run = (
+        alerts.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{place}/alerts")
+        .option("checkpointLocation", f"{place}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return spark.read.schema(alerts.schema).parquet(f"{place}/alerts")
+
+
+STREAMS = {
+    "live_loan_funnel": live_loan_funnel,
+    "live_click_funnel": live_click_funnel,
+    "live_approval_alerts": live_approval_alerts,
+}

@@ -1,6 +1,7 @@
 """DuckDB statements that give the same rows as the registered queries."""
 
 from .reports import REPORTS
+from .streams import STREAMS
 from .tables import with_tables
 
-STATEMENTS = {name: with_tables(body) for name, body in REPORTS.items()}
+STATEMENTS = {name: with_tables(body) for name, body in {**REPORTS, **STREAMS}.items()}

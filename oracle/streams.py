@@ -1,0 +1,45 @@
+"""DuckDB statements for the streaming queries: their batch equivalents."""
+
+from .reports import pct
+
+
+def _steps(volume: str) -> str:
+    return f"""
+WITH volume AS ({volume}), steps AS (
+  SELECT *, lag(n) OVER (ORDER BY stage_order) AS before, first(n) OVER (ORDER BY stage_order) AS top
+  FROM volume
+)
+SELECT stage_order, stage, n AS reached, before AS entered, before - n AS lost,
+       {pct("before - n", "before")} AS pct_lost,
+       coalesce({pct("n", "before")}, 100.0) AS stage_conv_rate_pct,
+       {pct("n", "top")} AS overall_conv_rate_pct
+FROM steps"""
+
+
+CLICK_STEPS = _steps(
+    """SELECT stage_order, stage, count(DISTINCT visit_id) AS n
+       FROM visits JOIN click_ladder USING (stage) GROUP BY ALL"""
+)
+
+STREAMS = {
+    "live_loan_funnel": _steps(
+        """SELECT stage_order, stage, count(DISTINCT application_id) AS n
+           FROM application_events JOIN ladder USING (stage) GROUP BY ALL"""
+    ),
+    "live_click_funnel": CLICK_STEPS,
+    "live_approval_alerts": """
+WITH waits AS (
+  SELECT application_id, CAST(verified_at AS DATE) AS waiting_since,
+         CAST(approved_at AS DATE) AS decided_date
+  FROM app WHERE verified_at IS NOT NULL
+), clock AS (
+  SELECT CAST(max(event_timestamp) - INTERVAL 1 HOUR AS DATE) AS today
+  FROM application_events WHERE stage IN ('verified', 'approved')
+), due AS (
+  SELECT *, CAST(waiting_since + CASE isodow(waiting_since) WHEN 6 THEN 6 WHEN 7 THEN 5 ELSE 7 END
+              AS DATE) AS due_date
+  FROM waits
+)
+SELECT application_id, waiting_since, due_date, decided_date FROM due, clock
+WHERE coalesce(decided_date, today) > due_date""",
+}

@@ -17,7 +17,7 @@ from .responses import differences, response_gaps
 from .segments import outcomes, roll_up, segment_conversion, tally
 from .service_levels import service_breaches
 from .stuck import stuck_report
-from .transitions import stage_transitions, transition_summary
+from .transitions import next_stages, stage_transitions, transition_summary
 from .volumes import drop_offs, funnel, reach_totals, stage_counts
 
 __all__ = [
@@ -33,6 +33,7 @@ __all__ = [
     "funnel",
     "furthest_stage",
     "journeys",
+    "next_stages",
     "outcomes",
     "period_reach",
     "period_trend",

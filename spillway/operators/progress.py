@@ -46,8 +46,9 @@ def journeys(log: StageLog, start: str | None = None, end: str | None = None) ->
     """
     start, end = start or log.ladder.first, end or log.ladder.last
     opened, closed = f"first_{start}", f"last_{end}"
+    ends = log.where(log.ladder.holds(log.stage_sql, start, end))
     return (
-        entity_progress(log, first_of=[start], last_of=[end])
+        entity_progress(ends, first_of=[start], last_of=[end])
         .where(f"{opened} IS NOT NULL AND {closed} IS NOT NULL")
         .selectExpr(
             name(log.entity),

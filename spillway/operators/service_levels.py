@@ -15,8 +15,9 @@ def service_breaches(
 ) -> DataFrame:
     """``entity, waiting_since, due_date, decided_date``: entities whose first ``decided`` event
     came after the due date, or has not come although ``as_of`` is past it."""
+    both = log.where(log.ladder.holds(log.stage_sql, waiting, decided))
     return (
-        entity_progress(log, first_of=[waiting, decided])
+        entity_progress(both, first_of=[waiting, decided])
         .where(f"first_{waiting} IS NOT NULL")
         .selectExpr(
             name(log.entity),

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import StageLog, columns, day_of_hour, hour_number, mean_of, name, rows_of, settled_round
+from ..functions import (
+    StageLog,
+    columns,
+    day_of_hour,
+    days_between,
+    hour_number,
+    mean_of,
+    name,
+    rows_of,
+    settled_round,
+)
 from .progress import entity_progress
 
 
@@ -62,22 +72,40 @@ def _every_visit_steps(log: StageLog) -> DataFrame:
 
 
 def _first_visit_steps(log: StageLog) -> DataFrame:
+    from_hour, to_hour = hour_number("at"), hour_number("next_at")
+    return (
+        next_stages(log)
+        .where("next_order IS NOT NULL")
+        .selectExpr(
+            name(log.entity),
+            "stage_order",
+            "next_order",
+            f"{to_hour} - {from_hour} AS hours",
+            f"{days_between('at', 'next_at')} AS days",
+            "1L AS weight",
+        )
+    )
+
+
+def next_stages(log: StageLog) -> DataFrame:
+    """``entity, stage_order, at, next_order, next_at``: the first visit of each stage reached and
+    the first visit of the next stage present; NULL after the furthest stage.
+
+    One aggregation gives an entity's first visits side by side, so no window sorts the log.
+    """
     stages = log.ladder.stages
-    entity = name(log.entity)
-    per_entity = entity_progress(log, first_of=stages).selectExpr(
-        entity, *[f"{hour_number(f'first_{s}')} AS {name(s)}" for s in stages]
+    rows = []
+    for position, stage in enumerate(stages, 1):
+        later = [(position + k, f"first_{s}") for k, s in enumerate(stages[position:], 1)]
+        cases = " ".join(f"WHEN {at} IS NOT NULL THEN {order}" for order, at in later)
+        next_order = f"CASE {cases} END" if later else "CAST(NULL AS INT)"
+        next_at = f"coalesce({', '.join(at for _, at in later)})" if later else "NULL"
+        rows.append((position, f"first_{stage}", next_order, next_at))
+    return (
+        entity_progress(log, first_of=stages)
+        .selectExpr(name(log.entity), rows_of(rows, ("stage_order", "at", "next_order", "next_at")))
+        .where("at IS NOT NULL")
     )
-    steps = []
-    for i, stage in enumerate(stages[:-1]):
-        later = [name(s) for s in stages[i + 1 :]]
-        orders = [f"WHEN {s} IS NOT NULL THEN {i + 2 + k}" for k, s in enumerate(later)]
-        next_hour = f"coalesce({', '.join(later)})"
-        hours = f"{next_hour} - {name(stage)}"
-        days = f"{day_of_hour(next_hour)} - {day_of_hour(name(stage))}"
-        steps.append((i + 1, f"CASE {' '.join(orders)} END", hours, days, "1L"))
-    return per_entity.selectExpr(
-        entity, rows_of(steps, ("stage_order", "next_order", "hours", "days", "weight"))
-    ).where("hours IS NOT NULL")
 
 
 def transition_summary(steps: DataFrame) -> DataFrame:

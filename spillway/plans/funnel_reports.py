@@ -33,27 +33,27 @@ def funnel_overview(book: LoanBook, drop_name: str = "drop_off_count") -> DataFr
     )
 
 
+def _drop_offs(book: LoanBook) -> DataFrame:
+    return drop_offs(funnel(stage_counts(book.log))).selectExpr(
+        "stage_order",
+        f"{display_name('stage')} AS stage_name",
+        "entered AS entered_stage",
+        "reached AS passed_stage",
+        "lost AS lost_applicants",
+        "pct_lost",
+        "severity_rank",
+    )
+
+
 def stage_dropoff(book: LoanBook) -> DataFrame:
     """Every step's loss, worst first."""
-    return (
-        drop_offs(funnel(stage_counts(book.log)))
-        .selectExpr(
-            "stage_order",
-            f"{display_name('stage')} AS stage_name",
-            "entered AS entered_stage",
-            "reached AS passed_stage",
-            "lost AS lost_applicants",
-            "pct_lost",
-            "severity_rank",
-        )
-        .orderBy("severity_rank", "stage_order")
-    )
+    return _drop_offs(book).orderBy("severity_rank", "stage_order")
 
 
 def biggest_dropoff(book: LoanBook) -> DataFrame:
     """The step that loses most; the earlier step where two lose the same."""
     return (
-        stage_dropoff(book)
+        _drop_offs(book)
         .orderBy("severity_rank", "stage_order")
         .limit(1)
         .selectExpr(
@@ -97,7 +97,7 @@ def monthly_trend(book: LoanBook, year: int = 2023, window: int = 3) -> DataFram
     Month rows sort by label, as the report prints them; :func:`monthly_trend_by_date` has them
     in calendar order.
     """
-    months = monthly_trend_by_date(book, year, window)
+    months = _months(book, year, window)
     rows = months.selectExpr(*_MONTH_COLUMNS, "0 AS sort_order")
     benchmark = months.agg(
         *columns([f"{settled_round('avg(monthly_conv_pct)')} AS monthly_conv_pct"])
@@ -107,6 +107,10 @@ def monthly_trend(book: LoanBook, year: int = 2023, window: int = 3) -> DataFram
 
 def monthly_trend_by_date(book: LoanBook, year: int = 2023, window: int = 3) -> DataFrame:
     """Month rows of :func:`monthly_trend` with ``yr`` and ``mth``, in calendar order."""
+    return _months(book, year, window).orderBy("yr", "mth")
+
+
+def _months(book: LoanBook, year: int, window: int) -> DataFrame:
     ladder = book.log.ladder
     trend = period_trend(within_year(book.log, year), ladder.first, ladder.last, window)
     return trend.selectExpr(
@@ -118,7 +122,7 @@ def monthly_trend_by_date(book: LoanBook, year: int = 2023, window: int = 3) ->
         "change AS mom_change",
         "rolling_avg AS rolling_3m_avg",
         "conv_pct AS monthly_conv_pct",
-    ).orderBy("yr", "mth")
+    )
 
 
 def stage_month_heatmap(book: LoanBook) -> DataFrame:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 #: Adaptive execution sizes shuffles and joins from measured bytes: start with many partitions
-#: and let it merge them.  The object-aggregate threshold keeps per-entity hour sets in hash maps.
+#: and let it merge them.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
