@@ -32,14 +32,13 @@ WITH waits AS (
   SELECT application_id, CAST(verified_at AS DATE) AS waiting_since,
          CAST(approved_at AS DATE) AS decided_date
   FROM app WHERE verified_at IS NOT NULL
-), clock AS (
-  SELECT CAST(max(event_timestamp) - INTERVAL 1 HOUR AS DATE) AS today
-  FROM application_events WHERE stage IN ('verified', 'approved')
 ), due AS (
   SELECT *, CAST(waiting_since + CASE isodow(waiting_since) WHEN 6 THEN 6 WHEN 7 THEN 5 ELSE 7 END
               AS DATE) AS due_date
   FROM waits
+), clock AS (
+  SELECT least(max(due_date) + 1, max(decided_date)) - 1 AS today FROM due
 )
-SELECT application_id, waiting_since, due_date, decided_date FROM due, clock
-WHERE coalesce(decided_date, today) > due_date""",
+SELECT application_id, waiting_since, due_date FROM due, clock
+WHERE due_date < today AND (decided_date IS NULL OR decided_date > due_date)""",
 }

@@ -1,27 +1,16 @@
 """Alerts for entities that wait too long for a decision, raised while events arrive.
 
-One small state row per entity.  A timer in event time fires once the watermark passes the due
-date, so an alert never depends on the wall clock.  Dates are worked out by Spark expressions; the
-per-entity function only compares day numbers.
+An outer join of two streams, the waits and the decisions.  A wait whose due date passes without a
+matching decision leaves the join unmatched, and that row is the alert.  "Passes" is judged by the
+watermark, never by the wall clock, and both sides drop their state as it advances.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..functions import StageLog, name, text, weekdays_after
-
-_STATE = "since INT, due INT, due_ms BIGINT, decided INT, done BOOLEAN"
-_DAY_MS = 86_400_000
+from pyspark.sql import functions as F
 
-# The per-entity function travels with the query: executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ..functions import StageLog, name, weekdays_after
 
 
 def service_alerts(
@@ -29,76 +18,43 @@ def service_alerts(
     waiting: str,
     decided: str,
     working_days: int,
-    late: str = "1 hour",
+    late: str = "1 day",
     remember_days: int = 90,
 ) -> DataFrame:
-    """Streaming rows ``entity, waiting_since, due_date, decided_date``, append mode.
+    """Streaming rows ``entity, waiting_since, due_date``, append mode.
 
-    ``late`` is how much later than a newer event an older one may still arrive.  A settled entity
-    is remembered for ``remember_days`` of event time, so that repeats do not raise it again, and
-    then leaves the state.
+    ``late`` is how much later than a newer event an older one may still arrive.  A decision
+    settles the waits of its entity that are due up to ``remember_days`` after it.  Time advances
+    with the decisions seen.
+
+    Waits and decisions are reduced to one per entity and day before the join, so an entity that
+    repeats them all day brings no more rows to it than one that does so once.
     """
-    stage, day = log.stage_sql, f"CAST({log.at_sql} AS DATE)"
+    entity, day = name(log.entity), f"CAST({log.at_sql} AS DATE)"
     due = weekdays_after(day, working_days)
-    is_waiting = f"{stage} = {text(waiting)}"
-    rows = (
-        log.rows(waiting, decided)
+    waits = (
+        log.rows(waiting)
         .selectExpr(
-            name(log.entity),
-            f"CAST({log.at_sql} AS TIMESTAMP) AS event_time",
-            f"IF({is_waiting}, unix_date({day}), NULL) AS since",
-            f"IF({is_waiting}, unix_date({due}), NULL) AS due",
-            f"IF({is_waiting}, unix_millis(CAST(date_add({due}, 1) AS TIMESTAMP)), NULL) AS due_ms",
-            f"IF({is_waiting}, NULL, unix_date({day})) AS decided",
+            entity,
+            f"{day} AS waiting_since",
+            f"{due} AS due_date",
+            f"CAST(date_add({due}, 1) AS TIMESTAMP) AS due_time",
         )
-        .withWatermark("event_time", late)
+        .withWatermark("due_time", late)
+        .dropDuplicates([log.entity, "waiting_since", "due_time"])
     )
-    key = log.events.schema[log.entity].dataType.simpleString()
-    alerts = rows.groupBy(log.entity).applyInPandasWithState(
-        _watcher(log.entity, remember_days * _DAY_MS),
-        outputStructType=f"{name(log.entity)} {key}, since INT, due INT, decided INT",
-        stateStructType=_STATE,
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    decisions = (
+        log.rows(decided)
+        .selectExpr(f"{entity} AS decided_entity", f"CAST({day} AS TIMESTAMP) AS decided_time")
+        .withWatermark("decided_time", late)
+        .dropDuplicates(["decided_entity", "decided_time"])
     )
-    return alerts.selectExpr(
-        name(log.entity),
-        "date_from_unix_date(since) AS waiting_since",
-        "date_from_unix_date(due) AS due_date",
-        "date_from_unix_date(decided) AS decided_date",
+    in_time = F.expr(
+        f"""{entity} = decided_entity AND decided_time < due_time
+            AND due_time <= decided_time + INTERVAL {remember_days} DAYS"""
+    )
+    return (
+        waits.join(decisions, in_time, "leftOuter")
+        .where("decided_time IS NULL")
+        .select(log.entity, "waiting_since", "due_date")
     )
-
-
-def _watcher(entity: str, remember_ms: int):
-    def watch(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        since, due, due_ms, decided, done = state.get if state.exists else (None,) * 4 + (False,)
-        if state.hasTimedOut and (done or since is None):
-            state.remove()
-            return
-        for batch in batches:
-            since = _least(since, batch["since"])
-            due = _least(due, batch["due"])
-            due_ms = _least(due_ms, batch["due_ms"])
-            decided = _least(decided, batch["decided"])
-        watermark = state.getCurrentWatermarkMs()
-        if not done and since is not None:
-            overdue = due_ms <= watermark if decided is None else decided > due
-            done = overdue or decided is not None
-            if overdue:
-                days = {"since": [since], "due": [due], "decided": [decided]}
-                yield pd.DataFrame({entity: [key[0]], **days})
-        waits = since is not None and not done
-        wake = due_ms if waits else max(due or 0, decided or 0) * _DAY_MS + remember_ms
-        state.update((since, due, due_ms, decided, done))
-        state.setTimeoutTimestamp(max(wake, watermark + 1))
-
-    return watch
-
-
-def _least(known: int | None, values: pd.Series) -> int | None:
-    low = values.min()
-    if pd.isna(low):
-        return known
-    return int(low) if known is None else min(known, int(low))
