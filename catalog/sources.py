@@ -1,0 +1,150 @@
+"""Loads, sinks, views and constraint checks over the derived loan book."""
+
+from __future__ import annotations
+
+from spillway.functions import LOAN_LADDER, columns
+from spillway.operators import (
+    NotNull,
+    OneOf,
+    Unique,
+    constraint_violations,
+)
+from spillway.plans import create_views, funnel_overview
+from spillway.sources import (
+    CONSTRAINTS,
+    conform,
+    load_delimited,
+    loan_book_from_orders,
+    read_parquet_book,
+    read_table,
+    shared_folder,
+    write_parquet_book,
+    write_report,
+)
+from spillway.sources.orders import CLICK_LADDER
+
+from .reports import over_book
+
+
+def load_csv(spark, folder):
+    """Write the applications as delimited files and bulk-load them under the declared schema."""
+    place = shared_folder(spark, "load")
+    write_report(loan_book_from_orders(spark, folder).loan_applications, place, "csv")
+    return load_delimited(spark, place, "loan_applications")
+
+
+def load_csv_events(spark, folder):
+    """The same for events, with stage names that differ in case and outer blanks."""
+    place = shared_folder(spark, "load")
+    events = loan_book_from_orders(spark, folder).application_events.selectExpr(
+        "event_id",
+        "application_id",
+        "IF(event_id % 2 = 0, upper(stage), concat(stage, ' ')) AS stage",
+        "event_timestamp",
+        "notes",
+    )
+    write_report(events, place, "csv")
+    loaded = load_delimited(spark, place, "application_events")
+    return loaded.groupBy("stage").agg(
+        *columns(["count(1) AS n", "min(event_timestamp) AS first_at", "max(event_timestamp) AS last_at"])
+    )
+
+
+def load_defaults(spark, folder):
+    """Empty fields take the column default on load."""
+    place = shared_folder(spark, "load")
+    gaps = loan_book_from_orders(spark, folder).credit_profiles.selectExpr(
+        "applicant_id",
+        "credit_score",
+        "debt_to_income_ratio",
+        "IF(applicant_id % 4 = 0, NULL, existing_loans) AS existing_loans",
+        "IF(applicant_id % 5 = 0, NULL, previous_defaults) AS previous_defaults",
+    )
+    write_report(gaps, place, "csv")
+    loaded = load_delimited(spark, place, "credit_profiles")
+    return loaded.groupBy("existing_loans", "previous_defaults").agg(*columns(["count(1) AS n"]))
+
+
+def status_default(book):
+    """The same default applied to a table already loaded."""
+    gaps = book.loan_applications.selectExpr(
+        "application_id", "loan_type", "IF(application_id % 3 = 0, NULL, status) AS status"
+    )
+    return conform(gaps, "loan_applications").groupBy("status").agg(*columns(["count(1) AS n"]))
+
+
+def parquet_sink(spark, folder):
+    """Write the whole book twice (the second write replaces the first) and read it back."""
+    place = shared_folder(spark, "book")
+    book = loan_book_from_orders(spark, folder)
+    write_parquet_book(book, place)
+    write_parquet_book(book, place)
+    stored = read_parquet_book(spark, place)
+    return stored.application_events.groupBy("stage").agg(
+        *columns(["count(1) AS n", "sum(application_id) AS application_sum"])
+    )
+
+
+def report_output(spark, folder):
+    """A report stored as CSV with a header, read back by its column names."""
+    place = shared_folder(spark, "report")
+    report = funnel_overview(loan_book_from_orders(spark, folder))
+    write_report(report, place, "csv")
+    return spark.read.schema(report.schema).option("header", True).csv(place)
+
+
+def read_all_views(spark, folder):
+    """Define the five views, twice, and count the rows each one gives."""
+    book = loan_book_from_orders(spark, folder)
+    create_views(book)
+    create_views(book)
+    names = (
+        "vw_funnel_kpi_summary",
+        "vw_stage_dropoff",
+        "vw_channel_performance",
+        "vw_segment_conversion",
+        "vw_executive_dashboard",
+    )
+    return spark.sql(
+        " UNION ALL ".join(f"SELECT '{v}' AS view_name, count(*) AS n FROM {v}" for v in names)
+    )
+
+
+def tables_in_sql(spark, folder):
+    """The four tables under their names in ``spark.sql``."""
+    loan_book_from_orders(spark, folder).create_views()
+    return spark.sql(
+        """SELECT loan_type, count(*) AS `applications per type`, max(loan_amount) AS `max`
+           FROM loan_applications GROUP BY loan_type"""
+    )
+
+
+def dq_constraint_violations(book):
+    return constraint_violations(book.tables(), CONSTRAINTS)
+
+
+def dq_clickstream(spark, folder):
+    """Rules that this log does break: stray stages, repeated users, missing values."""
+    events = read_table(spark, folder, "events")
+    rules = (
+        NotNull("ts"),
+        Unique("event_id"),
+        Unique("user_id"),
+        OneOf("event_type", CLICK_LADDER.stages),
+        OneOf("event_type", LOAN_LADDER.stages),
+    )
+    return constraint_violations({"events": events}, {"events": rules})
+
+
+SOURCES = {
+    "load_csv": load_csv,
+    "load_csv_events": load_csv_events,
+    "load_defaults": load_defaults,
+    "status_default": over_book(status_default),
+    "parquet_sink": parquet_sink,
+    "report_output": report_output,
+    "read_all_views": read_all_views,
+    "tables_in_sql": tables_in_sql,
+    "dq_constraint_violations": over_book(dq_constraint_violations),
+    "dq_clickstream": dq_clickstream,
+}

@@ -1,7 +1,12 @@
 """DuckDB statements that give the same rows as the registered queries."""
 
+from .operators import OPERATORS
 from .reports import REPORTS
+from .sources import SOURCES
 from .streams import STREAMS
 from .tables import with_tables
 
-STATEMENTS = {name: with_tables(body) for name, body in {**REPORTS, **STREAMS}.items()}
+STATEMENTS = {
+    name: with_tables(body)
+    for name, body in {**REPORTS, **SOURCES, **STREAMS, **OPERATORS}.items()
+}

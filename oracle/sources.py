@@ -1,0 +1,121 @@
+"""DuckDB statements for loads, sinks, views and constraint checks."""
+
+from .reports import REPORTS
+
+
+def _rule(table: str, rule: str, violations: str) -> str:
+    return f"SELECT '{table}' AS \"table\", '{rule}' AS rule, ({violations}) AS violations"
+
+
+def _null(table: str, column: str) -> str:
+    return _rule(table, f"not_null({column})", f"SELECT count(*) - count({column}) FROM {table}")
+
+
+def _unique(table: str, column: str) -> str:
+    repeated = f"SELECT {column} FROM {table} WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+    return _rule(table, f"unique({column})", f"SELECT count(*) FROM ({repeated})")
+
+
+def _check(table: str, rule: str, broken: str) -> str:
+    return _rule(table, rule, f"SELECT count(*) FILTER (WHERE {broken}) FROM {table}")
+
+
+def _one_of(table: str, column: str, values: str) -> str:
+    return _check(table, f"one_of({column})", f"{column} NOT IN ({values})")
+
+
+def _references(table: str, column: str, parent: str, parent_column: str) -> str:
+    return _rule(
+        table,
+        f"references({column}, {parent})",
+        f"""SELECT count(*) FROM {table} c WHERE c.{column} IS NOT NULL
+            AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{parent_column} = c.{column})""",
+    )
+
+
+_STAGES = "'submitted', 'under_review', 'verified', 'approved', 'disbursed'"
+_DQ = [
+    _null("applicants", "applicant_id"),
+    _unique("applicants", "applicant_id"),
+    _null("applicants", "first_name"),
+    _rule("applicants", "not_null(last_name)", "SELECT 0"),
+    _null("applicants", "email"),
+    _unique("applicants", "email"),
+    _check("applicants", "in_range(age)", "NOT age BETWEEN 18 AND 100"),
+    _one_of(
+        "applicants",
+        "employment_status",
+        "'employed', 'self_employed', 'unemployed', 'student', 'retired'",
+    ),
+    _one_of(
+        "applicants",
+        "acquisition_channel",
+        "'organic_search', 'paid_search', 'referral', 'social_media', 'email_campaign', 'direct'",
+    ),
+    _null("applicants", "registration_date"),
+    _null("loan_applications", "application_id"),
+    _unique("loan_applications", "application_id"),
+    _null("loan_applications", "applicant_id"),
+    _references("loan_applications", "applicant_id", "applicants", "applicant_id"),
+    _one_of(
+        "loan_applications",
+        "loan_type",
+        "'personal_loan', 'home_loan', 'auto_loan', 'business_loan', 'education_loan'",
+    ),
+    _null("loan_applications", "loan_amount"),
+    _check("loan_applications", "in_range(loan_amount)", "NOT loan_amount > 0"),
+    _one_of("loan_applications", "loan_term_months", "12, 24, 36, 48, 60"),
+    _null("loan_applications", "status"),
+    _null("loan_applications", "application_date"),
+    _null("application_events", "event_id"),
+    _unique("application_events", "event_id"),
+    _null("application_events", "application_id"),
+    _references("application_events", "application_id", "loan_applications", "application_id"),
+    _null("application_events", "stage"),
+    _one_of("application_events", "stage", _STAGES),
+    _null("application_events", "event_timestamp"),
+    _null("credit_profiles", "applicant_id"),
+    _unique("credit_profiles", "applicant_id"),
+    _references("credit_profiles", "applicant_id", "applicants", "applicant_id"),
+    _check("credit_profiles", "in_range(credit_score)", "NOT credit_score BETWEEN 300 AND 850"),
+    _check(
+        "credit_profiles",
+        "in_range(debt_to_income_ratio)",
+        "NOT debt_to_income_ratio BETWEEN 0 AND 1",
+    ),
+]
+
+_VIEW_NAMES = [v for v in REPORTS if v.startswith("vw_")]
+
+SOURCES = {
+    "load_csv": "SELECT * FROM loan_applications",
+    "load_csv_events": """
+SELECT stage, count(*) AS n, min(event_timestamp) AS first_at, max(event_timestamp) AS last_at
+FROM application_events GROUP BY stage""",
+    "load_defaults": """
+SELECT CASE WHEN applicant_id % 4 = 0 THEN 0 ELSE existing_loans END AS existing_loans,
+       CASE WHEN applicant_id % 5 = 0 THEN 0 ELSE previous_defaults END AS previous_defaults,
+       count(*) AS n
+FROM credit_profiles GROUP BY 1, 2""",
+    "status_default": "SELECT status, count(*) AS n FROM loan_applications GROUP BY status",
+    "parquet_sink": """
+SELECT stage, count(*) AS n, CAST(sum(application_id) AS BIGINT) AS application_sum
+FROM application_events GROUP BY stage""",
+    "report_output": REPORTS["funnel_overview"],
+    "read_all_views": " UNION ALL ".join(
+        f"SELECT '{v}' AS view_name, (SELECT count(*) FROM ({REPORTS[v]})) AS n" for v in _VIEW_NAMES
+    ),
+    "tables_in_sql": """
+SELECT loan_type, count(*) AS "applications per type", max(loan_amount) AS "max"
+FROM loan_applications GROUP BY loan_type""",
+    "dq_constraint_violations": " UNION ALL ".join(_DQ),
+    "dq_clickstream": " UNION ALL ".join(
+        [
+            _null("events", "ts"),
+            _unique("events", "event_id"),
+            _unique("events", "user_id"),
+            _one_of("events", "event_type", "'view', 'click', 'signup', 'purchase'"),
+            _one_of("events", "event_type", _STAGES),
+        ]
+    ),
+}

@@ -50,7 +50,8 @@ class StageLadder:
 
     def name_at(self, order: str) -> str:
         """SQL inverse of :meth:`order`."""
-        return f"element_at(array({', '.join(map(text, self.stages))}), {order})"
+        cases = " ".join(f"WHEN {i} THEN {text(s)}" for i, s in enumerate(self.stages, 1))
+        return f"CASE {order} {cases} END"
 
     def _map(self, stage, values):
         cases = " ".join(f"WHEN {text(s)} THEN {v}" for s, v in zip(self.stages, values))

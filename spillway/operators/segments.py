@@ -79,10 +79,13 @@ def share_pct(total: str = TOTAL) -> str:
     return percent(total, f"sum({total}) OVER ()")
 
 
+def overall_pct(converted: str, total: str = TOTAL) -> str:
+    return percent(f"sum({converted}) OVER ()", f"sum({total}) OVER ()")
+
+
 def delta_of_rounded(converted: str, total: str = TOTAL) -> str:
     """Rounded rate minus rounded overall rate."""
-    overall = percent(f"sum({converted}) OVER ()", f"sum({total}) OVER ()")
-    return settled_round(f"{percent(converted, total)} - {overall}")
+    return settled_round(f"{percent(converted, total)} - {overall_pct(converted, total)}")
 
 
 def rounded_delta(converted: str, total: str = TOTAL) -> str:

@@ -96,7 +96,7 @@ def application_events(orders: DataFrame) -> DataFrame:
 
 
 def applicants(customers: DataFrame) -> DataFrame:
-    channels = ", ".join(map(text, ACQUISITION_CHANNELS))
+    channels = dict(enumerate(ACQUISITION_CHANNELS))
     return _typed(
         customers,
         "applicants",
@@ -107,7 +107,7 @@ def applicants(customers: DataFrame) -> DataFrame:
         age="18 + (c_custkey * 7) % 60",
         employment_status=_translated("c_mktsegment", EMPLOYMENT_OF_SEGMENT),
         annual_income="20000 + (c_custkey * 37) % 80000",
-        acquisition_channel=f"element_at(array({channels}), CAST(c_nationkey % 6 + 1 AS INT))",
+        acquisition_channel=_translated("c_nationkey % 6", channels),
         registration_date="date_add(DATE '1995-01-01', CAST((c_custkey * 13) % 365 AS INT))",
     )
 
@@ -137,8 +137,9 @@ _APPLIED_AT = (
 )
 
 
-def _translated(column: str, names: dict[str, str]) -> str:
-    cases = " ".join(f"WHEN {text(a)} THEN {text(b)}" for a, b in names.items())
+def _translated(column: str, names: dict) -> str:
+    keys = [text(key) if isinstance(key, str) else key for key in names]
+    cases = " ".join(f"WHEN {key} THEN {text(to)}" for key, to in zip(keys, names.values()))
     return f"CASE {column} {cases} END"
 
 
