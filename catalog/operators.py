@@ -133,7 +133,7 @@ def having_two_aggregates(book):
 
 def filter_year(book):
     events = within_year(book.log, TREND_YEAR).rows("submitted")
-    return events.selectExpr("application_id", "month(event_timestamp) AS mth")
+    return events.selectExpr("application_id", "CAST(month(event_timestamp) AS BIGINT) AS mth")
 
 
 def filter_in_list(book):
@@ -225,7 +225,10 @@ def join_aggregate_to_detail(book):
 def left_join_months(book):
     """Months of submissions with the approvals of the same month, where there are any."""
     months = period_reach(book.log).selectExpr(
-        "year(period_start) AS yr", "month(period_start) AS mth", "submitted", "approved"
+        "CAST(year(period_start) AS BIGINT) AS yr",
+        "CAST(month(period_start) AS BIGINT) AS mth",
+        "submitted",
+        "approved",
     )
     opened = months.where("submitted > 0").select("yr", "mth", "submitted")
     closed = months.where("approved > 0 AND mth != 2").select("yr", "mth", "approved")
@@ -387,7 +390,12 @@ def global_aggregate(book):
 def group_by_expression(book):
     return (
         book.application_events.groupBy(
-            *columns(["year(event_timestamp) AS yr", "month(event_timestamp) AS mth"]),
+            *columns(
+                [
+                    "CAST(year(event_timestamp) AS BIGINT) AS yr",
+                    "CAST(month(event_timestamp) AS BIGINT) AS mth",
+                ]
+            ),
             F.expr(month_label("event_timestamp")).alias("label"),
         )
         .agg(*columns(["count(1) AS n"]))
@@ -613,7 +621,8 @@ def cast_to_date(book):
 
 def year_and_month(book):
     parts = book.applicants.selectExpr(
-        "year(registration_date) AS yr", "month(registration_date) AS mth"
+        "CAST(year(registration_date) AS BIGINT) AS yr",
+        "CAST(month(registration_date) AS BIGINT) AS mth",
     )
     return _count(parts, "yr", "mth")
 

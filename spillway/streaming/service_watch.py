@@ -25,7 +25,7 @@ def service_alerts(
 
     ``late`` is how much later than a newer event an older one may still arrive.  A decision
     settles the waits of its entity that are due up to ``remember_days`` after it.  Time advances
-    with the decisions seen.
+    with the slower side: the newest decision, or the newest due date.
 
     Waits and decisions are reduced to one per entity and day before the join, so an entity that
     repeats them all day brings no more rows to it than one that does so once.
