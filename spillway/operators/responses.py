@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import StageLog, columns, hour_number, name, text
+from ..functions import StageLog, columns, day_of_hour, hour_number, name, text
 from .progress import STAGES
 
 
@@ -36,15 +36,57 @@ def response_gaps(log: StageLog, opened: str, answered: str) -> DataFrame:
 
 
 def differences(starts: str, ends: str) -> str:
-    """SQL for the distinct values of ``end - start`` over two non-empty sets of integers.
+    """SQL for the distinct values of ``end - start`` over two non-empty sets of clock hours.
 
-    Few combinations are listed outright.  Beyond that every value of the possible range is
-    tested for membership, so no more than the range (the hours between the extremes) is held.
+    Few combinations are listed outright.  Beyond that the sets are compared day by day, each day
+    of ``ends`` being one bit mask, so the work grows with the days squared and the memory with
+    the hours between the extremes, never with the combinations.
     """
-    lowest = f"array_min({ends}) - array_max({starts})"
-    highest = f"array_max({ends}) - array_min({starts})"
+    span = f"""array_max({ends}) - array_min({starts}) + array_max({starts}) - array_min({ends}) + 1"""
     combinations = f"CAST(size({starts}) AS BIGINT) * size({ends})"
     listed = f"array_distinct(flatten(transform({starts}, s -> transform({ends}, e -> e - s))))"
-    tested = f"""filter(sequence({lowest}, {highest}),
-        gap -> arrays_overlap(transform({starts}, s -> s + gap), {ends}))"""
-    return f"IF({combinations} <= ({highest}) - ({lowest}) + 1, {listed}, {tested})"
+    return f"IF({combinations} <= {span}, {listed}, {_differences_by_day(starts, ends)})"
+
+
+def _differences_by_day(starts: str, ends: str) -> str:
+    earliest = f"least(array_min({starts}), array_min({ends}))"
+    mask = "aggregate(hours, 0L, (bits, hour) -> bits | shiftleft(1L, hour))"
+    # Bit i of a day shift stands for the gap of that many days and i - 23 hours.
+    every_bit = f"{(1 << 47) - 1}L"
+    meet = """IF(bits = every_bit OR NOT coalesce(get(days.ends, day + shift) != 0, false), bits,
+        aggregate(get(days.starts, day), bits, (found, hour) ->
+            found | shiftleft(get(days.ends, day + shift), 23 - hour)))"""
+    meet = meet.replace("every_bit", every_bit)
+    shifted = f"aggregate(sequence(0, size(days.starts) - 1), 0L, (bits, day) -> {meet})"
+    gaps = """transform(filter(sequence(0, 46), i -> getbit(bits, i) = 1),
+        i -> CAST(shift * 24 + i - 23 AS BIGINT))"""
+    shifts = "sequence(1 - size(days.starts), size(days.ends) - 1)"
+    return _let(
+        "origin",
+        f"{day_of_hour(earliest)} * 24",
+        _let(
+            "days",
+            f"""named_struct('starts', {_hours_by_day(starts)},
+                             'ends', transform({_hours_by_day(ends)}, hours -> {mask}))""",
+            f"array_distinct(flatten(transform({shifts}, shift -> {_let('bits', shifted, gaps)})))",
+        ),
+    )
+
+
+def _hours_by_day(hours: str) -> str:
+    """SQL for the sorted hours of day (0 to 23) of each day, from the day of ``origin`` on."""
+    in_order = f"concat(array(origin - 1), array_sort({hours}))"
+    # One flag per hour from the origin on: false up to the next hour of the set, then true.
+    flags = f"""flatten(zip_with(slice({in_order}, 1, size({hours})), array_sort({hours}),
+        (before, hour) -> concat(array_repeat(false, CAST(hour - before - 1 AS INT)), array(true))))"""
+    return _let(
+        "flags",
+        flags,
+        """transform(sequence(0, (size(flags) - 1) div 24), day ->
+            filter(sequence(0, 23), hour -> coalesce(get(flags, CAST(day * 24 + hour AS INT)), false)))""",
+    )
+
+
+def _let(variable: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``variable`` worked out once, however often a lambda in it runs."""
+    return f"get(transform(array({value}), {variable} -> {body}), 0)"

@@ -5,6 +5,8 @@ Integer arithmetic only, so the same rows come out on any engine.
 
 from __future__ import annotations
 
+from functools import cache, partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import LOAN_LADDER, StageLadder, StageLog, rows_of, text
@@ -38,8 +40,10 @@ def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def loan_book_from_orders(spark: SparkSession, folder: str) -> LoanBook:
+    read = cache(partial(read_table, spark, folder))
+
     def derived(make, source):
-        return lambda: make(read_table(spark, folder, source))
+        return lambda: make(read(source))
 
     return LoanBook(
         {

@@ -95,16 +95,26 @@ def test_all_gaps_of_the_hot_application(loans, rows):
     assert sum(r["total_applications"] for r in tiers) == len(expected)
 
 
-@pytest.mark.parametrize("size", [1, 2, 7, 40])
-def test_differences_listed_or_tested(spark, size):
+@pytest.mark.parametrize("origin", [0, -50, 467_000])
+@pytest.mark.parametrize("size", [1, 2, 7, 40, 300])
+def test_differences_listed_or_by_day(spark, size, origin):
     chance = random.Random(size)
-    a, b = chance.sample(range(60), size), chance.sample(range(30, 90), size)
+    a = [origin + h for h in chance.sample(range(size + 20), size)]
+    b = [origin + h for h in chance.sample(range(30, size + 90), size)]
     frame = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>")
     found = frame.selectExpr(f"{differences('a', 'b')} AS d").first().d
     assert len(found) == len(set(found))
     assert set(found) == {y - x for x in a for y in b}
 
 
+def test_differences_of_sparse_hours_with_far_outliers(spark):
+    a = [5, *range(20_000, 21_000, 2)]
+    b = [9, *range(30_000, 31_000, 2)]
+    frame = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>")
+    found = frame.selectExpr(f"{differences('a', 'b')} AS d").first().d
+    assert sorted(found) == sorted({y - x for x in a for y in b})
+
+
 def test_hot_applicant_is_tallied_before_the_lookup(loans, rows):
     seen = {a for a, _, _ in rows}
     paid = {a for a, s, _ in rows if s == "disbursed"}
