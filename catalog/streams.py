@@ -5,7 +5,7 @@ from __future__ import annotations
 from spillway.functions import LOAN_LADDER, StageLog
 from spillway.sources import read_table, shared_folder
 from spillway.sources.orders import application_events, clickstream_log
-from spillway.streaming import live_funnel, service_alerts, start_live_funnel
+from spillway.streaming import live_funnel, service_alerts, start_live_funnel, state_partitions
 
 
 def _stream(spark, folder, table):
@@ -15,7 +15,8 @@ def _stream(spark, folder, table):
 
 def _run_live_funnel(spark, log):
     place = shared_folder(spark, "live-funnel")
-    run = start_live_funnel(log, f"{place}/counts", f"{place}/checkpoint", availableNow=True)
+    with state_partitions(spark):
+        run = start_live_funnel(log, f"{place}/counts", f"{place}/checkpoint", availableNow=True)
     run.awaitTermination()
     return live_funnel(spark, f"{place}/counts", log.ladder)
 
@@ -33,14 +34,15 @@ def live_approval_alerts(spark, folder):
     events = application_events(_stream(spark, folder, "orders"))
     alerts = service_alerts(StageLog(events, LOAN_LADDER), "verified", "approved", 5)
     place = shared_folder(spark, "alerts")
-    run = (
-        alerts.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{place}/alerts")
-        .option("checkpointLocation", f"{place}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    with state_partitions(spark):
+        run = (
+            alerts.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{place}/alerts")
+            .option("checkpointLocation", f"{place}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
     run.awaitTermination()
     return spark.read.schema(alerts.schema).parquet(f"{place}/alerts")
 

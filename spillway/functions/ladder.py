@@ -48,6 +48,11 @@ class StageLadder:
         """SQL for 0/1: is ``stage`` in a stage set?"""
         return f"CAST(getbit({stage_set}, {self.index(stage)}) AS INT)"
 
+    def includes(self, stage_set: str, *names: str) -> str:
+        """SQL test: are all ``names`` in a stage set?"""
+        wanted = sum(1 << self.index(s) for s in names)
+        return f"({stage_set} & {wanted}L) = {wanted}L"
+
     def name_at(self, order: str) -> str:
         """SQL inverse of :meth:`order`."""
         cases = " ".join(f"WHEN {i} THEN {text(s)}" for i, s in enumerate(self.stages, 1))

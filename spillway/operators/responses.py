@@ -4,31 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import StageLog, columns, day_of_hour, hour_number, name, text
-from .progress import STAGES
+from ..functions import StageLog, columns, day_of_hour, hour_number, hours_between, name, text
+from .progress import STAGES, entity_progress
 
 
-def response_gaps(log: StageLog, opened: str, answered: str) -> DataFrame:
+def response_gaps(
+    log: StageLog, opened: str, answered: str, repeats: str = "keep"
+) -> DataFrame:
     """``entity, stage_set, hours``: one row per distinct hour gap of an entity.
 
-    The gaps are those between every ``opened`` and every ``answered`` event, which is one gap
-    for an entity with one event of each.  Sets of clock hours are combined on the map side; their
-    size is bounded by the hours of the log's time span, not by the number of events.
+    ``repeats="keep"``: the gaps are those between every ``opened`` and every ``answered`` event.
+    Sets of clock hours are combined on the map side; their size is bounded by the hours of the
+    log's time span, not by the number of events.  ``repeats="first"``: only the first event of
+    each stage counts, which is faster and gives the same rows where no stage repeats.
     """
+    if repeats == "first":
+        return (
+            entity_progress(log, first_of=[opened, answered])
+            .where(log.ladder.includes(STAGES, opened, answered))
+            .selectExpr(
+                name(log.entity),
+                STAGES,
+                f"{hours_between(f'first_{opened}', f'first_{answered}')} AS hours",
+            )
+        )
+    if repeats != "keep":
+        raise ValueError("repeats is 'keep' or 'first'")
     stage, hour = log.stage_sql, hour_number(log.at_sql)
+    # One set for both stages, even numbers for opened and odd ones for answered: half the
+    # buffers of two sets.
+    marked = f"""CASE {stage} WHEN {text(opened)} THEN {hour} * 2
+        WHEN {text(answered)} THEN {hour} * 2 + 1 END"""
     return (
         log.rows()
         .groupBy(log.entity)
         .agg(
             *columns(
-                [
-                    f"bit_or({log.ladder.bit(stage)}) AS {STAGES}",
-                    f"collect_set({hour}) FILTER (WHERE {stage} = {text(opened)}) AS opened",
-                    f"collect_set({hour}) FILTER (WHERE {stage} = {text(answered)}) AS answered",
-                ]
+                [f"bit_or({log.ladder.bit(stage)}) AS {STAGES}", f"collect_set({marked}) AS hours"]
             )
         )
-        .where("size(opened) > 0 AND size(answered) > 0")
+        .where(log.ladder.includes(STAGES, opened, answered))
+        .selectExpr(
+            name(log.entity),
+            STAGES,
+            "transform(filter(hours, h -> pmod(h, 2) = 0), h -> h div 2) AS opened",
+            "transform(filter(hours, h -> pmod(h, 2) = 1), h -> (h - 1) div 2) AS answered",
+        )
         .selectExpr(
             name(log.entity), STAGES, f"explode({differences('opened', 'answered')}) AS hours"
         )
@@ -45,7 +66,10 @@ def differences(starts: str, ends: str) -> str:
     span = f"""array_max({ends}) - array_min({starts}) + array_max({starts}) - array_min({ends}) + 1"""
     combinations = f"CAST(size({starts}) AS BIGINT) * size({ends})"
     listed = f"array_distinct(flatten(transform({starts}, s -> transform({ends}, e -> e - s))))"
-    return f"IF({combinations} <= {span}, {listed}, {_differences_by_day(starts, ends)})"
+    return f"""CASE WHEN size({starts}) = 1 THEN transform({ends}, e -> e - get({starts}, 0))
+        WHEN size({ends}) = 1 THEN transform({starts}, s -> get({ends}, 0) - s)
+        WHEN {combinations} <= {span} THEN {listed}
+        ELSE {_differences_by_day(starts, ends)} END"""
 
 
 def _differences_by_day(starts: str, ends: str) -> str:

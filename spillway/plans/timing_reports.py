@@ -29,11 +29,14 @@ from ..operators.segments import TOTAL, conversion_pct
 from ..sources import LoanBook
 
 
-def stage_durations(book: LoanBook) -> DataFrame:
-    """How long applications spend between one stage and the next."""
+def stage_durations(book: LoanBook, repeats: str = "keep") -> DataFrame:
+    """How long applications spend between one stage and the next.
+
+    ``repeats`` as for :func:`~spillway.operators.stage_transitions`.
+    """
     ladder = book.log.ladder
     return (
-        transition_summary(stage_transitions(book.log))
+        transition_summary(stage_transitions(book.log, repeats))
         .orderBy("stage_order", "next_order")
         .selectExpr(
             f"{display_name(ladder.name_at('stage_order'))} AS stage",
@@ -83,9 +86,13 @@ def journey_durations(book: LoanBook, outlier_factor: int = 2, ordered: bool = T
     return report.orderBy("total_days", "application_id", ascending=[False, True])
 
 
-def response_tier_conversion(book: LoanBook) -> DataFrame:
-    """Conversion by the time from submission to first review."""
-    gaps = response_gaps(book.log, "submitted", "under_review").selectExpr(
+def response_tier_conversion(book: LoanBook, repeats: str = "keep") -> DataFrame:
+    """Conversion by the time from submission to first review.
+
+    An application with repeated submissions or reviews counts once per distinct hour gap;
+    ``repeats="first"`` counts it once.
+    """
+    gaps = response_gaps(book.log, "submitted", "under_review", repeats).selectExpr(
         "*", f"{RESPONSE_TIERS.label('hours')} AS response_tier"
     )
     stages = ("approved", "disbursed")

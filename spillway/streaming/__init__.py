@@ -2,6 +2,7 @@
 
 from .live_funnel import first_reached, live_counts, live_funnel, start_live_funnel
 from .service_watch import service_alerts
+from .sizing import state_partitions
 
 __all__ = [
     "first_reached",
@@ -9,4 +10,5 @@ __all__ = [
     "live_funnel",
     "service_alerts",
     "start_live_funnel",
+    "state_partitions",
 ]

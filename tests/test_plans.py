@@ -68,6 +68,11 @@ def test_shared_parts_are_shuffled_once(spark, stored):
         assert "ReusedExchange" in physical(frame)
 
 
+def test_first_row_per_application_is_taken_before_the_shuffle(spark):
+    plan = physical(QUERIES["filter_row_number"](spark, SMALL))
+    assert plan.index("Exchange hashpartitioning(application_id") < plan.rindex("WindowGroupLimit")
+
+
 def test_bucketed_tables_need_no_shuffle_by_application(spark, stored):
     from spillway.sources import read_table_book, write_bucketed_book
 

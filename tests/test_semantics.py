@@ -224,6 +224,8 @@ def test_repeated_stage(spark):
     assert sorted((r["application_id"], r["hours"]) for r in gaps) == [(1, 3), (1, 5), (2, 4)]
     tiers = dicts(plans.response_tier_conversion(book(spark, rows)))
     assert [(r["total_applications"], r["avg_hours_to_review"]) for r in tiers] == [(3, 4.0)]
+    once = dicts(plans.response_tier_conversion(book(spark, rows), repeats="first"))
+    assert [(r["total_applications"], r["avg_hours_to_review"]) for r in once] == [(2, 3.5)]
     every = dicts(stage_transitions(log(spark, rows)))
     assert sorted((r["application_id"], r["next_order"], r["hours"], r["weight"]) for r in every) == [
         (1, 2, 0, 1),
