@@ -11,8 +11,8 @@ import json
 import os
 import time
 
-from catalog import QUERIES
-from catalog.reports import REPORTS
+from spillway.catalog import QUERIES
+from spillway.catalog.reports import REPORTS
 from spillway.session import session
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

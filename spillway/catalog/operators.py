@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from spillway.functions import (
+from ..functions import (
     AGE_GROUPS,
     CREDIT_BANDS,
     JOURNEY_SPEEDS,
@@ -22,7 +22,7 @@ from spillway.functions import (
     settled_round,
     whole_mean,
 )
-from spillway.operators import (
+from ..operators import (
     drop_offs,
     entity_progress,
     funnel,
@@ -40,9 +40,9 @@ from spillway.operators import (
     transition_summary,
     within_year,
 )
-from spillway.operators.segments import TOTAL, conversion_rank, overall_pct, share_pct
-from spillway.plans.funnel_reports import monthly_trend_by_date
-from spillway.sources import clickstream_log, read_table
+from ..operators.segments import TOTAL, conversion_rank, overall_pct, share_pct
+from ..plans.funnel_reports import monthly_trend_by_date
+from ..sources import clickstream_log, read_table
 
 from .reports import TREND_YEAR, over_book
 

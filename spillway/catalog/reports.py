@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from spillway import plans
-from spillway.operators import table_row_counts
-from spillway.sources import loan_book_from_orders
+from .. import plans
+from ..operators import table_row_counts
+from ..sources import loan_book_from_orders
 
 # The order data runs from 1995 to 2001: report parameters that make sense for it.
 TREND_YEAR = 1997

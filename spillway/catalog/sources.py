@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from spillway.functions import LOAN_LADDER, columns
-from spillway.operators import (
+from ..functions import LOAN_LADDER, columns
+from ..operators import (
     NotNull,
     OneOf,
     Unique,
     constraint_violations,
 )
-from spillway.plans import create_views, funnel_overview
-from spillway.sources import (
+from ..plans import create_views, funnel_overview
+from ..sources import (
     CONSTRAINTS,
     conform,
     load_delimited,
@@ -21,7 +21,7 @@ from spillway.sources import (
     write_parquet_book,
     write_report,
 )
-from spillway.sources.orders import CLICK_LADDER
+from ..sources.orders import CLICK_LADDER
 
 from .reports import over_book
 

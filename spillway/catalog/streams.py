@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from spillway.functions import LOAN_LADDER, StageLog
-from spillway.sources import read_table, shared_folder
-from spillway.sources.orders import application_events, clickstream_log
-from spillway.streaming import live_funnel, service_alerts, start_live_funnel, state_partitions
+from ..functions import LOAN_LADDER, StageLog
+from ..sources import read_table, shared_folder
+from ..sources.orders import application_events, clickstream_log
+from ..streaming import live_funnel, service_alerts, start_live_funnel, state_partitions
 
 
 def _stream(spark, folder, table):

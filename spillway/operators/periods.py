@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import StageLog, columns, percent, settled_round
+from ..functions import StageLog, columns, name, percent, settled_round
 from .progress import entity_progress, reached
 
 
@@ -22,7 +22,7 @@ def period_reach(log: StageLog, grain: str = "month") -> DataFrame:
     """
     day = f"CAST({log.at_sql} AS DATE)"
     start = day if grain == "day" else f"trunc({day}, '{grain}')"
-    sums = [f"sum({reached(log, s)}) AS {s}" for s in log.ladder.stages]
+    sums = [f"sum({reached(log, s)}) AS {name(s)}" for s in log.ladder.stages]
     return (
         entity_progress(log, by=[f"{start} AS period_start"])
         .groupBy("period_start")
@@ -36,6 +36,7 @@ def period_trend(log: StageLog, opening: str, closing: str, window: int = 3) ->
     Months without ``opening`` events are left out, and the windows run over the months present.
     """
     both = log.where(log.ladder.holds(log.stage_sql, opening, closing))
+    opening, closing = name(opening), name(closing)
     in_order = "ORDER BY period_start"
     trailing = f"avg(CAST({opening} AS DOUBLE)) OVER ({in_order} ROWS {window - 1} PRECEDING)"
     return (

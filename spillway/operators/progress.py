@@ -29,11 +29,21 @@ def entity_progress(
     """
     stage, at = log.stage_sql, log.at_sql
     measures = [f"bit_or({log.ladder.bit(stage)}) AS {STAGES}"]
-    measures += [f"min({at}) FILTER (WHERE {stage} = {text(s)}) AS first_{s}" for s in first_of]
-    measures += [f"max({at}) FILTER (WHERE {stage} = {text(s)}) AS last_{s}" for s in last_of]
+    measures += [f"min({at}) FILTER (WHERE {stage} = {text(s)}) AS {first_of_stage(s)}" for s in first_of]
+    measures += [f"max({at}) FILTER (WHERE {stage} = {text(s)}) AS {last_of_stage(s)}" for s in last_of]
     return log.rows().groupBy(log.entity, *columns(by)).agg(*columns(measures))
 
 
+def first_of_stage(stage: str) -> str:
+    """SQL name of a stage's earliest time."""
+    return name(f"first_{stage}")
+
+
+def last_of_stage(stage: str) -> str:
+    """SQL name of a stage's latest time."""
+    return name(f"last_{stage}")
+
+
 def reached(log: StageLog, stage: str) -> str:
     """SQL 0/1 flag over a row of :func:`entity_progress`."""
     return log.ladder.reached(STAGES, stage)
@@ -45,7 +55,7 @@ def journeys(log: StageLog, start: str | None = None, end: str | None = None) ->
     From the first ``start`` event to the last ``end`` event (default: the ladder's two ends).
     """
     start, end = start or log.ladder.first, end or log.ladder.last
-    opened, closed = f"first_{start}", f"last_{end}"
+    opened, closed = first_of_stage(start), last_of_stage(end)
     ends = log.where(log.ladder.holds(log.stage_sql, start, end))
     return (
         entity_progress(ends, first_of=[start], last_of=[end])
@@ -64,7 +74,7 @@ def furthest_stage(log: StageLog) -> DataFrame:
     stages = log.ladder.stages
     tests = [f"WHEN {reached(log, s)} = 1 THEN" for s in stages]
     orders = [f"{test} {position}" for position, test in enumerate(tests, 1)]
-    times = [f"{test} last_{s}" for s, test in zip(stages, tests)]
+    times = [f"{test} {last_of_stage(s)}" for s, test in zip(stages, tests)]
     return entity_progress(log, last_of=stages).selectExpr(
         name(log.entity),
         f"CASE {' '.join(reversed(orders))} END AS stage_order",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import StageLog, columns, day_of_hour, hour_number, hours_between, name, text
-from .progress import STAGES, entity_progress
+from .progress import STAGES, entity_progress, first_of_stage
 
 
 def response_gaps(
@@ -25,7 +25,7 @@ def response_gaps(
             .selectExpr(
                 name(log.entity),
                 STAGES,
-                f"{hours_between(f'first_{opened}', f'first_{answered}')} AS hours",
+                f"{hours_between(first_of_stage(opened), first_of_stage(answered))} AS hours",
             )
         )
     if repeats != "keep":

@@ -35,14 +35,14 @@ def tally(
     ``sums`` maps output names to SQL amounts per row.
     """
     measures = [f"count(1) AS {TOTAL}"]
-    measures += [f"sum({reached(log, s)}) AS {s}" for s in stages]
+    measures += [f"sum({reached(log, s)}) AS {name(s)}" for s in stages]
     measures += [f"sum({amount}) AS {out}" for out, amount in (sums or {}).items()]
     return facts.groupBy(*by).agg(*columns(measures))
 
 
 def roll_up(tallies: DataFrame, by: Sequence[str], additive: Sequence[str]) -> DataFrame:
     """Sum tallies to a coarser key."""
-    return tallies.groupBy(*by).agg(*columns(f"sum({c}) AS {c}" for c in additive))
+    return tallies.groupBy(*by).agg(*columns(f"sum({name(c)}) AS {name(c)}" for c in additive))
 
 
 def segment_conversion(
@@ -61,10 +61,10 @@ def segment_conversion(
     comes out as ``sum_c`` and ``n_c``, summed over facts, so its mean skips NULLs.
     """
     per_key = tally(log, outcomes(log, facts.select(log.entity, on, *keep)), [on, *keep], stages)
-    measures = [f"sum({c}) AS {c}" for c in (TOTAL, *stages)]
+    measures = [f"sum({name(c)}) AS {name(c)}" for c in (TOTAL, *stages)]
     for c in weighted:
-        measures.append(f"sum(CAST({name(c)} AS BIGINT) * {TOTAL}) AS sum_{c}")
-        measures.append(f"sum({TOTAL}) FILTER (WHERE {name(c)} IS NOT NULL) AS n_{c}")
+        measures.append(f"sum(CAST({name(c)} AS BIGINT) * {TOTAL}) AS {name(f'sum_{c}')}")
+        measures.append(f"sum({TOTAL}) FILTER (WHERE {name(c)} IS NOT NULL) AS {name(f'n_{c}')}")
     return per_key.join(dimension, on).groupBy(*by).agg(*columns(measures))
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from ..functions import StageLog, name, weekdays_after
-from .progress import entity_progress
+from .progress import entity_progress, first_of_stage
 
 
 def service_breaches(
@@ -18,11 +18,11 @@ def service_breaches(
     both = log.where(log.ladder.holds(log.stage_sql, waiting, decided))
     return (
         entity_progress(both, first_of=[waiting, decided])
-        .where(f"first_{waiting} IS NOT NULL")
+        .where(f"{first_of_stage(waiting)} IS NOT NULL")
         .selectExpr(
             name(log.entity),
-            f"CAST(first_{waiting} AS DATE) AS waiting_since",
-            f"CAST(first_{decided} AS DATE) AS decided_date",
+            f"CAST({first_of_stage(waiting)} AS DATE) AS waiting_since",
+            f"CAST({first_of_stage(decided)} AS DATE) AS decided_date",
         )
         .selectExpr(
             name(log.entity),

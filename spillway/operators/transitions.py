@@ -15,7 +15,7 @@ from ..functions import (
     rows_of,
     settled_round,
 )
-from .progress import entity_progress
+from .progress import entity_progress, first_of_stage
 
 
 def stage_transitions(log: StageLog, repeats: str = "keep") -> DataFrame:
@@ -96,11 +96,11 @@ def next_stages(log: StageLog) -> DataFrame:
     stages = log.ladder.stages
     rows = []
     for position, stage in enumerate(stages, 1):
-        later = [(position + k, f"first_{s}") for k, s in enumerate(stages[position:], 1)]
+        later = [(position + k, first_of_stage(s)) for k, s in enumerate(stages[position:], 1)]
         cases = " ".join(f"WHEN {at} IS NOT NULL THEN {order}" for order, at in later)
         next_order = f"CASE {cases} END" if later else "CAST(NULL AS INT)"
         next_at = f"coalesce({', '.join(at for _, at in later)})" if later else "NULL"
-        rows.append((position, f"first_{stage}", next_order, next_at))
+        rows.append((position, first_of_stage(stage), next_order, next_at))
     return (
         entity_progress(log, first_of=stages)
         .selectExpr(name(log.entity), rows_of(rows, ("stage_order", "at", "next_order", "next_at")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import StageLog, columns, percent, rows_of, text
+from ..functions import StageLog, columns, name, percent, rows_of, text
 from .progress import entity_progress, reached
 
 
@@ -14,13 +14,13 @@ def reach_totals(log: StageLog) -> DataFrame:
     Distinct counting is one sum per stage over the per-entity stage sets, where a multi-way
     ``count(DISTINCT CASE ...)`` would expand every event once per stage before the shuffle.
     """
-    sums = [f"coalesce(sum({reached(log, s)}), 0) AS {s}" for s in log.ladder.stages]
+    sums = [f"coalesce(sum({reached(log, s)}), 0) AS {name(s)}" for s in log.ladder.stages]
     return entity_progress(log).agg(*columns(sums))
 
 
 def stage_counts(log: StageLog) -> DataFrame:
     """``stage_order, stage, reached``; stages nobody reached are absent."""
-    rows = [(i, text(s), s) for i, s in enumerate(log.ladder.stages, 1)]
+    rows = [(i, text(s), name(s)) for i, s in enumerate(log.ladder.stages, 1)]
     return (
         reach_totals(log)
         .selectExpr(rows_of(rows, ("stage_order", "stage", "reached")))

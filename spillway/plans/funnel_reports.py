@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import columns, display_name, month_label, percent, settled_round
+from ..functions import columns, display_name, month_label, percent, settled_round, text
 from ..operators import (
     drop_offs,
     funnel,
@@ -17,6 +17,11 @@ from ..operators import (
 from ..sources import LoanBook
 
 
+# Texts that reports print.
+_WORST_STEP_FLAG = "PRIORITY ACTION REQUIRED"
+_BENCHMARK_LABEL = "Full-year avg ({year})"
+
+
 def funnel_overview(book: LoanBook, drop_name: str = "drop_off_count") -> DataFrame:
     """Volume, drop-off, step and overall conversion per stage."""
     return (
@@ -62,7 +67,7 @@ def biggest_dropoff(book: LoanBook) -> DataFrame:
             "passed_stage",
             "lost_applicants",
             "pct_lost AS pct_of_stage_lost",
-            "'PRIORITY ACTION REQUIRED' AS flag",
+            f"{text(_WORST_STEP_FLAG)} AS flag",
         )
     )
 
@@ -101,7 +106,7 @@ def monthly_trend(book: LoanBook, year: int = 2023, window: int = 3) -> DataFram
     rows = months.selectExpr(*_MONTH_COLUMNS, "0 AS sort_order")
     benchmark = months.agg(
         *columns([f"{settled_round('avg(monthly_conv_pct)')} AS monthly_conv_pct"])
-    ).selectExpr(f"'Full-year avg ({year})' AS period", "monthly_conv_pct", "1 AS sort_order")
+    ).selectExpr(f"{text(_BENCHMARK_LABEL.format(year=year))} AS period", "monthly_conv_pct", "1 AS sort_order")
     return rows.unionByName(benchmark, allowMissingColumns=True).orderBy("sort_order", "period")
 
 

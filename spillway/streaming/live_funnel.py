@@ -2,11 +2,16 @@
 
 The stream keeps one small state row per (entity, stage).  A pair counts in the micro-batch in
 which all its rows so far carry that batch's timestamp, which is the first batch that has it, so
-repeated events are never counted twice.  Because this is an aggregation, Spark combines a batch's
+repeated events are never counted twice (a batch takes longer than the clock's millisecond, so no
+two batches carry the same timestamp).  Because this is an aggregation, Spark combines a batch's
 repeats before the shuffle; a deduplication would ship every one of them.
 
 Each batch stores at most one count per stage under its batch id.  A batch that is run again after
 a failure replaces its own folder, and the funnel is the sum over all folders.
+
+The pairs stay in the state for good, as exact distinct counts require; for a log with more of
+them than executors have memory, set ``spark.sql.streaming.stateStore.providerClass`` to Spark's
+RocksDB provider.
 """
 
 from __future__ import annotations

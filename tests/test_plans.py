@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from conftest import SMALL
 
-from catalog import QUERIES
-from catalog.reports import REPORTS
+from spillway.catalog import QUERIES
+from spillway.catalog.reports import REPORTS
 from spillway import plans
 from spillway.sources import loan_book_from_orders, read_parquet_book, write_parquet_book
 

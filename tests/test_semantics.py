@@ -13,6 +13,8 @@ from spillway.functions import (
     CREDIT_BANDS,
     JOURNEY_SPEEDS,
     RESPONSE_TIERS,
+    StageLadder,
+    StageLog,
     hours_between,
     percent,
     settled_round,
@@ -21,8 +23,10 @@ from spillway.functions import (
 )
 from spillway.operators import (
     furthest_stage,
+    journeys,
     next_stages,
     period_reach,
+    period_trend,
     response_gaps,
     stage_counts,
     stage_transitions,
@@ -395,6 +399,31 @@ def test_service_breaches(spark):
     assert sorted(r["application_id"] for r in found) == [2, 3]
 
 
+def test_any_stage_names_and_columns(spark):
+    rows = [(1, "it's on", "2023-01-01"), (1, "sign up!", "2023-01-04"), (2, "it's on", "2023-01-02")]
+    frame = spark.createDataFrame(rows, "`who is it` int, `what` string, day string").selectExpr(
+        "`who is it`", "what", "CAST(day AS TIMESTAMP_NTZ) AS `at time`"
+    )
+    names = ("it's on", "a\\b", "sign up!")
+    odd = StageLog(frame, StageLadder(names), "who is it", "what", "at time")
+    assert [(r["stage"], r["reached"]) for r in dicts(stage_counts(odd))] == [
+        ("it's on", 2),
+        ("sign up!", 1),
+    ]
+    for repeats in ("keep", "first"):
+        steps = dicts(stage_transitions(odd, repeats))
+        assert [(r["who is it"], r["next_order"], r["days"]) for r in steps] == [(1, 3, 3)]
+        gaps = dicts(response_gaps(odd, names[0], names[2], repeats))
+        assert [r["hours"] for r in gaps] == [72]
+    assert dicts(journeys(odd))[0]["total_days"] == 3
+    assert sorted(r["stage_order"] for r in dicts(furthest_stage(odd))) == [1, 3]
+    assert dicts(period_trend(odd, names[0], names[2]))[0]["conv_pct"] == 50.0
+    with pytest.raises(ValueError, match="keep"):
+        stage_transitions(odd, "last")
+    with pytest.raises(ValueError, match="differ"):
+        StageLadder(("a", "a"))
+
+
 def test_empty_log(spark):
     empty = book(spark, [], [])
     assert dicts(stage_counts(empty.log)) == []
