@@ -5,10 +5,37 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, repetition, simhash, statements
+from . import (
+    attribution,
+    huffman,
+    itq,
+    lattice_lm,
+    licenses,
+    mixing,
+    packing,
+    quality_model,
+    repetition,
+    simhash,
+)
+from .statements import STATEMENTS
 from .storage import workers_find_package
 from .texts import documents
 
+#: Domains are groups of sources; large ones weigh more, and no document is taken more than twice.
+DOMAINS = """CASE pmod(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT), 4)
+    WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'forums' WHEN 3 THEN 'news' ELSE 'other' END"""
+LEVELS = (("domain", DOMAINS), ("lang", "lang"), ("source", "source"))
+WEIGHTS = {
+    "domain": {"web": 4, "books": 3, "forums": 1, "news": 2},
+    "lang": {"en": 6, "de": 2, "fr": 2},
+}
+MIX = mixing.Mix(LEVELS, WEIGHTS, share=1.0, epochs=2)
+
+
+def op1_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = lattice_lm.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice_lm.lattice_scores(documents(spark, folder), pieces)
+
 
 def op2_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -18,16 +45,60 @@ def op2_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    taken = mixing.mixed(documents(spark, folder), MIX)
+    return taken.selectExpr(
+        "doc_id",
+        f"{DOMAINS} AS domain",
+        "coalesce(lang, '(none)') AS lang",
+        "coalesce(source, '(none)') AS source",
+        f"CAST({MIX.tokens} AS BIGINT) AS n_tokens",
+        "epoch",
+    )
+
+
+def op4_token_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return attribution.attributed_tokens(documents(spark, folder), path)
+
+
+def op5_quality_gbt(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    return quality_model.quality_scores(docs, quality_model.fit_quality(docs, labels))
+
+
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.token_pieces(documents(spark, folder), path, 2)
+    return packing.packed(
+        pieces.selectExpr("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32")
+    )
+
+
 def op7_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition_rules(documents(spark, folder))
 
 
+def op8_itq_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return itq.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, folder)).drop("spans")
+
+
 def op10_simhash_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_near_duplicates(documents(spark, folder)).selectExpr(
         "doc_id", "lower(lpad(hex(fingerprint), 16, '0')) AS fingerprint", "component_id"
     )
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def _registered(*found):
     def ready(query):
         def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,5 +110,18 @@ def _registered(*found):
     return {query.__name__: ready(query) for query in found}
 
 
-QUERIES = _registered(op2_huffman_ids, op7_repetition_rules, op10_simhash_near_dups)
-STATEMENTS = statements.STATEMENTS
+QUERIES = _registered(
+    op1_lattice_lm,
+    op2_huffman_ids,
+    op3_source_mix,
+    op4_token_attribution,
+    op5_quality_gbt,
+    op6_best_fit_packing,
+    op7_repetition_rules,
+    op8_itq_near_dups,
+    op9_license_scan,
+    op10_simhash_near_dups,
+    pipeline,
+)
+
+__all__ = ["QUERIES", "STATEMENTS"]
