@@ -27,10 +27,12 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class RepetitionRules:
     """Least words, the most words (in percent) inside repeated 3-word windows, and the most
-    characters inside n-grams and lines seen before."""
+    characters inside n-grams and lines seen before; with fewer than ``least_duplicate`` words
+    inside them, such as one heading that comes again, they reject nothing."""
 
     least_words: int = 50
     most_repeated_percent: int = 50
+    least_duplicate: int = 20
     ngrams: tuple[tuple[int, float], ...] = tuple(DUPLICATE_NGRAM_SHARES.items())
     lines: float = DUPLICATE_LINE_CHARACTERS
 
@@ -99,13 +101,14 @@ def measures(text: bytes, rules: RepetitionRules) -> dict[str, float]:
     out["base_failed"] = (
         len(words) < rules.least_words or 100 * repeated > rules.most_repeated_percent * len(words)
     )
-    rejected = out["dup_line_chars"] > rules.lines * characters
+    doubled = sum(len(line.split()) for line in again)
+    rejected = doubled >= rules.least_duplicate and out["dup_line_chars"] > rules.lines * characters
     for n, most in rules.ngrams:
         _, before = repeats(rolling_hashes(numbers, n))
-        share = int(lengths[covered(before, n, len(words))].sum())
-        out[f"dup_{n}gram_chars"] = share
-        rejected |= share > most * characters
-    out["kept"] = not (out["base_failed"] or rejected)
+        inside = covered(before, n, len(words))
+        out[f"dup_{n}gram_chars"] = share = int(lengths[inside].sum())
+        rejected |= inside.sum() >= rules.least_duplicate and share > most * characters
+    out["kept"] = not (out["base_failed"] or bool(rejected))
     return out
 
 

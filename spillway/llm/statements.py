@@ -77,20 +77,21 @@ FROM (SELECT *, unnest(range(times::BIGINT)) AS epoch FROM taken WHERE times > 0
 _NGRAMS = "".join(
     f""",
 c{n} AS (
-    SELECT doc_id, coalesce(sum(size), 0)::BIGINT AS dup_{n}gram_chars FROM (
-        SELECT DISTINCT w.doc_id, w.at, w.size
-        FROM (SELECT doc_id, at, gram, row_number() OVER (PARTITION BY doc_id, gram ORDER BY at) AS nth
-              FROM (SELECT doc_id, generate_subscripts(words, 1) AS at,
-                        array_to_string(words[at : at + {n - 1}], ' ') AS gram, len(words) AS n_words FROM listed)
-              WHERE at <= n_words - {n - 1}) g
-        JOIN word w ON w.doc_id = g.doc_id AND w.at >= g.at AND w.at < g.at + {n}
-        WHERE nth > 1) GROUP BY doc_id)"""
+    SELECT doc_id, sum(size)::BIGINT AS chars_{n}, count(*) AS words_{n} FROM (
+        SELECT doc_id, size, max(again) OVER (PARTITION BY doc_id ORDER BY pos
+            ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside
+        FROM (SELECT *, gram IS NOT NULL
+                  AND row_number() OVER (PARTITION BY doc_id, gram ORDER BY pos) > 1 AS again
+              FROM (SELECT doc_id, pos, size, CASE WHEN pos <= n_words - {n - 1}
+                        THEN hash(words[pos : pos + {n - 1}]) END AS gram FROM word)))
+    WHERE inside GROUP BY doc_id)"""
     for n in (5, 6, 7, 8, 9, 10)
 )
 _JOINS = " ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in (5, 6, 7, 8, 9, 10))
-_SHARES = ", ".join(f"coalesce(dup_{n}gram_chars, 0) AS dup_{n}gram_chars" for n in (5, 6, 7, 8, 9, 10))
+_SHARES = ", ".join(f"coalesce(chars_{n}, 0) AS dup_{n}gram_chars, coalesce(words_{n}, 0) AS words_{n}" for n in (5, 6, 7, 8, 9, 10))
+_WORDS = ", ".join(f"words_{n}" for n in (5, 6, 7, 8, 9, 10))
 _FAILS = " OR ".join(
-    f"dup_{n}gram_chars > {most} * word_chars"
+    f"(words_{n} >= 20 AND dup_{n}gram_chars > {most} * word_chars)"
     for n, most in {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}.items()
 )
 
@@ -100,35 +101,37 @@ WITH listed AS (
         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words
     FROM documents),
 word AS (
-    SELECT doc_id, generate_subscripts(words, 1) AS at, length(unnest(words)) AS size FROM listed),
+    SELECT doc_id, generate_subscripts(words, 1) AS pos, length(unnest(words)) AS size, words,
+        len(words) AS n_words FROM listed),
 lines AS (
     SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM listed)
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 line_counts AS (
-    SELECT doc_id, count(*) AS n_dup_lines, sum(len(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')))::BIGINT
-        AS dup_line_chars FROM lines WHERE nth > 1 GROUP BY doc_id),
-triples AS (
-    SELECT doc_id, at, count(*) OVER (PARTITION BY doc_id, gram) AS times
-    FROM (SELECT doc_id, generate_subscripts(words, 1) AS at,
-              array_to_string(words[at : at + 2], ' ') AS gram, len(words) AS n_words FROM listed)
-    WHERE at <= n_words - 2),
+    SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')))::BIGINT
+        AS dup_line_chars, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')))::BIGINT AS line_words
+    FROM lines WHERE nth > 1 GROUP BY doc_id),
 repeated AS (
-    SELECT doc_id, count(DISTINCT word.at) AS n_repeat_words
-    FROM word JOIN triples USING (doc_id)
-    WHERE times > 1 AND word.at >= triples.at AND word.at <= triples.at + 2 GROUP BY doc_id)
+    SELECT doc_id, count(*) AS n_repeat_words FROM (
+        SELECT doc_id, max(twice) OVER (PARTITION BY doc_id ORDER BY pos
+            ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS inside
+        FROM (SELECT *, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS twice
+              FROM (SELECT doc_id, pos, CASE WHEN pos <= n_words - 2
+                        THEN hash(words[pos : pos + 2]) END AS gram FROM word)))
+    WHERE inside GROUP BY doc_id)
 {_NGRAMS},
 base AS (
     SELECT doc_id, len(words)::BIGINT AS n_words,
-        coalesce(list_sum(list_transform(words, w -> length(w))), 0)::BIGINT AS word_chars,
-        len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM listed),
+        length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM listed),
 found AS (
     SELECT base.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(dup_line_chars, 0) AS dup_line_chars,
+        coalesce(line_words, 0) AS line_words,
         coalesce(n_repeat_words, 0) AS n_repeat_words, {_SHARES}
     FROM base LEFT JOIN line_counts USING (doc_id) LEFT JOIN repeated USING (doc_id) {_JOINS})
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+SELECT * EXCLUDE (line_words, {_WORDS}), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
-        OR dup_line_chars > 0.20 * word_chars OR {_FAILS}) AS kept
+        OR (line_words >= 20 AND dup_line_chars > 0.20 * word_chars) OR {_FAILS}) AS kept
 FROM found
 """
 
