@@ -83,12 +83,13 @@ c{n} AS (
         FROM (SELECT *, gram IS NOT NULL
                   AND row_number() OVER (PARTITION BY doc_id, gram ORDER BY pos) > 1 AS again
               FROM (SELECT doc_id, pos, size, CASE WHEN pos <= n_words - {n - 1}
-                        THEN hash(words[pos : pos + {n - 1}]) END AS gram FROM word)))
+                        THEN hash({', '.join(f'h{k}' for k in range(n))}) END AS gram FROM word)))
     WHERE inside GROUP BY doc_id)"""
     for n in (5, 6, 7, 8, 9, 10)
 )
 _JOINS = " ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in (5, 6, 7, 8, 9, 10))
 _SHARES = ", ".join(f"coalesce(chars_{n}, 0) AS dup_{n}gram_chars, coalesce(words_{n}, 0) AS words_{n}" for n in (5, 6, 7, 8, 9, 10))
+_FOLLOWING = ", ".join(f"lead(hash(word), {k}) OVER o AS h{k}" for k in range(1, 10))
 _WORDS = ", ".join(f"words_{n}" for n in (5, 6, 7, 8, 9, 10))
 _FAILS = " OR ".join(
     f"(words_{n} >= 20 AND dup_{n}gram_chars > {most} * word_chars)"
@@ -101,8 +102,10 @@ WITH listed AS (
         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words
     FROM documents),
 word AS (
-    SELECT doc_id, generate_subscripts(words, 1) AS pos, length(unnest(words)) AS size, words,
-        len(words) AS n_words FROM listed),
+    SELECT doc_id, pos, n_words, length(word) AS size, hash(word) AS h0, {_FOLLOWING}
+    FROM (SELECT doc_id, generate_subscripts(words, 1) AS pos, unnest(words) AS word, len(words) AS n_words
+          FROM listed)
+    WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 lines AS (
     SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM listed)
@@ -117,7 +120,7 @@ repeated AS (
             ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS inside
         FROM (SELECT *, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS twice
               FROM (SELECT doc_id, pos, CASE WHEN pos <= n_words - 2
-                        THEN hash(words[pos : pos + 2]) END AS gram FROM word)))
+                        THEN hash(h0, h1, h2) END AS gram FROM word)))
     WHERE inside GROUP BY doc_id)
 {_NGRAMS},
 base AS (
