@@ -75,13 +75,13 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     names = _names(mix)
     used = " AND ".join(f"{_weight(mix, level)} > 0" for level in range(len(names)))
     nodes = leaves.withColumn("_cap", F.expr(f"IF({used}, supply * {mix.epochs}, 0)"))
-    parents = nodes.agg(F.sum("supply").alias("_all"), F.sum("_cap").alias("_caps")).selectExpr(
-        f"least(_all * {float(mix.share)}D, CAST(_caps AS DOUBLE)) AS _budget"
-    )
+    everything, capacity = nodes.agg(F.sum("supply"), F.sum("_cap")).first()
+    whole = min((everything or 0) * float(mix.share), float(capacity or 0))
+    parents = None
     for level in range(len(names)):
         path = names[: level + 1]
         children = nodes.groupBy(*path).agg(F.sum("_cap").alias("_cap"))
-        joined = children.join(parents, names[:level]) if level else children.crossJoin(parents)
+        joined = children.join(parents, names[:level]) if level else children.withColumn("_budget", F.lit(whole))
         parents = _filled(joined, names[:level], names[level], _weight(mix, level)).select(*path, "_budget")
     return leaves.join(parents, names).withColumn(
         "budget", F.expr("CAST(floor(_budget + 1e-6D) AS BIGINT)")
