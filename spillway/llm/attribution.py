@@ -69,7 +69,7 @@ def attributed_tokens(
     given = sections is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(path, blanks_count, None, True)
+        library = encoder(path, blanks_count)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

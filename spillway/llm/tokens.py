@@ -1,137 +1,187 @@
 """Token ids and character spans by the tokenizers library, each distinct word encoded once.
 
 No token crosses the start of a word, so a text's ids are those of its words in order.  A worker
-keeps the ids of the words it has met; only new ones reach the library, many in one call.  Texts
-with any white space but single blanks and line ends are encoded as a whole.
+keeps the ids of the words it has met; of a new word, only runs of letters or marks not met before
+reach the library's model.  Texts with any white space but single blanks and line ends, and words
+beyond Latin-1 that are not all letters, go through the whole library.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import struct
 import unicodedata
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import numpy as np
+import regex
 
 #: White space that is more than one character long, or neither a blank nor a line end.
-_UNUSUAL = re.compile(r"\s\s|[^\S \n]")
-#: Words kept per worker and way of encoding; beyond that the memory starts anew.
-WORDS_KEPT = 300_000
+_UNUSUAL = ("  ", "\n\n", " \n", "\n ", *filter(str.isspace, map(chr, set(range(0x3001)) - {10, 32})))
+_UNUSUAL_ASCII = tuple(s for s in _UNUSUAL if s.isascii())
+#: How the two kinds of vocabulary cut a word into runs.
+_RUNS = {
+    True: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"),
+    False: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
+}
+#: New words a memory takes up before it drops those not met since the last time.
+WORDS_KEPT = 250_000
+
+
+class Memory:
+    """Words and what is known of them: those met lately, and those met before that."""
+
+    def __init__(self):
+        self.lately: dict = {}
+        self.before: dict = {}
+
+    def learn(self, words: Iterable[str], find: Callable[[list], Iterable]) -> None:
+        """Know all ``words``; ``find`` gives the values of those never met."""
+        new = set(words).difference(self.lately)
+        if len(self.lately) > WORDS_KEPT:
+            self.before, self.lately = self.lately, {}
+            new = set(words)
+        old = new.intersection(self.before)
+        self.lately.update((w, self.before[w]) for w in old)
+        unknown = list(new - old)
+        self.lately.update(zip(unknown, find(unknown)))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class WordEncoder:
     """Encodes texts with one tokenizer file.
 
-    ``blanks_count``: the vocabulary joins a blank to the word after it (byte-level BPE); otherwise
-    white space only separates words.  ``end_id`` is appended to every text unless it is None.
+    ``blanks_count``: the vocabulary joins a blank to the word after it (byte-level BPE, capitals
+    kept); otherwise white space only separates words, and capitals become small.  ``end_id`` is
+    appended to every text unless it is None.
     """
 
-    def __init__(self, path: str, blanks_count: bool, end_id: int | None = None, spans: bool = False):
+    def __init__(self, path: str, blanks_count: bool, end_id: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.blanks_count, self.spans = blanks_count, spans
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
-        self.after_blank: dict[str, tuple] = {}
-        self.at_start: dict[str, tuple] = {}
+        self.model, self.blanks_count = self.library.model, blanks_count
+        size = self.library.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.end = b"" if end_id is None else self._raw([end_id])
+        #: How many bytes of text each id stands for.
+        self.widths = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.after_blank, self.at_start = Memory(), Memory()
+        self.runs: dict[str, bytes] = {}
+        self.newline = self._library_ids("\n")
+
+    def _raw(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+
+    def _library_ids(self, text: str) -> bytes:
+        return self._raw(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _run_ids(self, run: str) -> bytes:
+        shown = run.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return self._raw([t.id for t in self.model.tokenize(shown)])
+
+    def _word_ids(self, word: str, before: str) -> bytes:
+        """The ids of one word without white space (it may be empty), with ``before`` in front."""
+        plain = word if self.blanks_count else word.lower()
+        if plain.isalpha() and word.isalpha():
+            # A small sigma depends on its place.
+            if plain.isascii() or "Σ" not in word and unicodedata.is_normalized("NFC", word):
+                return self._run_ids(before + plain)
+        if not plain.isascii() and max(plain) > "ÿ":
+            return self._library_ids(before + word)
+        out = []
+        for run in _RUNS[self.blanks_count].findall(before + plain):
+            if (ids := self.runs.get(run)) is None:
+                if len(self.runs) > WORDS_KEPT:
+                    self.runs.clear()
+                ids = self.runs[run] = self._run_ids(run)
+            out.append(ids)
+        return b"".join(out)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as ``kind`` integers, the end id last."""
-        return [b"".join([x[0] for x in found]) + self.end for found, _ in self._encoded(texts)]
+        if not self.blanks_count:
+            return self._separated(texts)
+        cut = [None if _unusual(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        usual = [line for lines in cut if lines for line in lines]
+        self.after_blank.learn(
+            set().union(*[line[1:] for line in usual]), lambda new: (self._word_ids(w, " ") for w in new)
+        )
+        firsts = {line[0] for line in usual}
+        self.at_start.learn(firsts, lambda new: (self._word_ids(w, "") for w in new))
+        known, start, newline = self.after_blank.lately, self.at_start.lately, self.newline
+        out = []
+        for text, lines in zip(texts, cut):
+            if lines is None:
+                out.append(self._library_ids(text) + self.end)
+                continue
+            parts = []
+            for line in lines:
+                parts.append(newline)
+                parts.append(start[line[0]])
+                parts += [known[w] for w in line[1:]]
+            parts.append(self.end)
+            out.append(b"".join(parts[1:]))
+        return out
+
+    def _separated(self, texts: list[str]) -> list[bytes]:
+        # The library's white space does not include the four separators that str.split knows.
+        whole = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
+        cut = [[] if w else _small(t).split() for t, w in zip(texts, whole)]
+        self.at_start.learn(set().union(*cut), lambda new: (self._word_ids(w, "") for w in new))
+        known = self.at_start.lately
+        return [
+            (self._library_ids(t) if w else b"".join([known[x] for x in c])) + self.end
+            for t, c, w in zip(texts, cut, whole)
+        ]
 
     def ids_and_spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each text's ids, and rows of first and last-plus-one character, without the end id."""
+        """Each text's ids, and rows of first and last-plus-one character, without the end id; for
+        vocabularies in which blanks count, whose ids spell the text byte by byte.  Ids that share a
+        character have it in both spans."""
         out = []
-        for found, bases in self._encoded(texts):
-            ids = np.frombuffer(b"".join([x[0] for x in found]), self.kind)
-            spans = np.frombuffer(b"".join([x[1] for x in found]), np.int32).reshape(-1, 2)
-            counts = np.fromiter((len(x[0]) for x in found), np.int64, len(found)) // self.kind.itemsize
-            shift = np.repeat(np.asarray(bases, np.int64), counts)
-            out.append((ids, spans + shift[:, None]))
+        for text, raw in zip(texts, self.ids(texts)):
+            ids = np.frombuffer(raw[: len(raw) - len(self.end)], self.kind)
+            ends = np.cumsum(self.widths[ids])
+            starts = np.append(0, ends[:-1])[: len(ends)]
+            if not text.isascii():
+                lead = np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80
+                character = np.cumsum(lead) - 1
+                starts, ends = character[starts], character[ends - 1] + 1
+            out.append((ids, np.stack([starts, ends], axis=1)))
         return out
 
-    def _encoded(self, texts: list[str]):
-        """Per text the entries of its words in order, and (for spans) the character each begins at."""
-        cut = [None if _UNUSUAL.search(t) else self._words(t) for t in texts]
-        if len(self.after_blank) + len(self.at_start) > WORDS_KEPT:
-            self.after_blank.clear()
-            self.at_start.clear()
-        self._learn(self.after_blank, " ", (w for c in cut if c for line in c for w in line[1:]))
-        self._learn(self.at_start, "\n", (line[0] for c in cut if c for line in c if line))
-        for text, lines in zip(texts, cut):
-            yield self._whole(text) if lines is None else self._joined(lines)
-
-    def _words(self, text: str) -> list[list[str]]:
-        if not self.blanks_count and not self.spans:
-            return [["", *text.split()]]
-        return [line.split(" ") for line in text.split("\n")]
-
-    def _joined(self, lines: list[list[str]]):
-        found, bases, at = [], [], 0
-        after_blank, line_end = self.after_blank, self.at_start.get("\n")
-        for number, line in enumerate(lines):
-            if number:
-                if self.blanks_count:
-                    found.append(line_end)
-                    bases.append(at)
-                at += 1
-            if line[0]:
-                found.append(self.at_start[line[0]])
-                bases.append(at)
-            found.extend([after_blank[w] for w in line[1:]])
-            if self.spans:
-                at += len(line[0])
-                for w in line[1:]:
-                    bases.append(at)
-                    at += 1 + len(w)
-        return found, bases
-
-    def _whole(self, text: str):
-        return [self._entry(self.library.encode(text, add_special_tokens=False))], [0]
-
-    def _entry(self, encoded) -> tuple:
-        ids = np.array(encoded.ids, self.kind).tobytes()
-        return (ids, np.array(encoded.offsets, np.int32).tobytes()) if self.spans else (ids,)
-
-    def _learn(self, known: dict[str, tuple], before: str, words) -> None:
-        new = set(words).difference(known)
-        if before == "\n":
-            new |= {"\n"} - known.keys()
-            new.discard("")
-        # Composed characters move offsets: such words go one by one, as do single white spaces.
-        alone = {w for w in new if not w or w.isspace() or not (w.isascii() or unicodedata.is_normalized("NFC", w))}
-        for word in alone:
-            text = word if before == "\n" else before + word
-            known[word] = self._entry(self.library.encode(text, add_special_tokens=False))
-        if not (rest := list(new - alone)):
-            return
-        encoded = self.library.encode(before + before.join(rest), add_special_tokens=False)
-        spans = np.array(encoded.offsets, np.int32)
-        ids = np.array(encoded.ids, self.kind)
-        starts = np.cumsum([0] + [len(w) + 1 for w in rest])
-        if before == "\n":  # the line end is a token of its own, or none
-            own = spans[:, 0] != starts[np.searchsorted(starts, spans[:, 0], "right") - 1]
-            spans, ids = spans[own], ids[own]
-            starts[:-1] += 1
-        cuts = np.searchsorted(spans[:, 0], starts).tolist()
-        raw, width = ids.tobytes(), self.kind.itemsize
-        pieces = [raw[a * width : b * width] for a, b in zip(cuts, cuts[1:])]
-        if not self.spans:
-            known.update(zip(rest, ((p,) for p in pieces)))
-            return
-        own = spans - np.repeat(starts[:-1], np.diff(cuts))[:, None].astype(np.int32)
-        where = own.astype(np.int32).tobytes()
-        known.update(zip(rest, zip(pieces, (where[a * 8 : b * 8] for a, b in zip(cuts, cuts[1:])))))
+
+def _unusual(text: str) -> bool:
+    return any(s in text for s in (_UNUSUAL_ASCII if text.isascii() else _UNUSUAL))
+
+
+def _small(text: str) -> str:
+    """The text with small letters where that commutes with what the library does: in Latin-1."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
 
 
 @cache
-def encoder(path: str, blanks_count: bool, end_id: int | None = None, spans: bool = False) -> WordEncoder:
+def encoder(path: str, blanks_count: bool, end_id: int | None = None) -> WordEncoder:
     """One encoder per worker and setting, with the words it has met."""
-    return WordEncoder(path, blanks_count, end_id, spans)
+    return WordEncoder(path, blanks_count, end_id)
 
 
 def decoded(texts: list[bytes]) -> list[str]:
