@@ -9,8 +9,9 @@ from ..streaming import live_funnel, service_alerts, start_live_funnel, state_pa
 
 
 def _stream(spark, folder, table):
+    # A stream reads folders and patterns only; this pattern fits the table's own name and no other.
     schema = read_table(spark, folder, table).schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/{table}*.parquet")
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def _run_live_funnel(spark, log):

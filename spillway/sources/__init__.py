@@ -13,10 +13,11 @@ from .files import (
     write_report,
 )
 from .orders import clickstream_log, loan_book_from_orders, read_table
-from .schemas import CONSTRAINTS, DEFAULTS, SCHEMAS
-from .scratch import shared_folder
+from .schemas import CLUSTERING, CONSTRAINTS, DEFAULTS, SCHEMAS
+from .scratch import remove_folder, shared_folder
 
 __all__ = [
+    "CLUSTERING",
     "CONSTRAINTS",
     "DEFAULTS",
     "SCHEMAS",
@@ -30,6 +31,7 @@ __all__ = [
     "read_parquet_book",
     "read_table",
     "read_table_book",
+    "remove_folder",
     "shared_folder",
     "write_bucketed_book",
     "write_parquet_book",

@@ -1,24 +1,27 @@
-"""Where jobs put intermediate files: the folder all executors share."""
+"""Where jobs put intermediate files: a folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_SETTING = "spark.checkpoint.dir"
 
+def shared_folder(spark: SparkSession, purpose: str, base: str | None = None) -> str:
+    """A new path under ``base``, by default the session's ``spark.checkpoint.dir``.
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path under the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session gets a temporary folder and a cluster session an error,
-    since no folder of one machine is readable by the others.
+    Where that is unset the path lies in the session's warehouse, which every session has and all
+    executors reach; the rule is the same on every master.  Whoever asked for the path removes it,
+    see :func:`remove_folder`.
     """
-    base = spark.conf.get(_SETTING, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {_SETTING} to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="spillway-")
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
     return f"{base.rstrip('/')}/spillway-{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a path of :func:`shared_folder` through Spark's own file system."""
+    if "/spillway-" not in path:
+        raise ValueError(f"{path} is not an intermediate folder")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
