@@ -6,28 +6,41 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
-from ..functions import StageLog, name, weekdays_after
-from .progress import entity_progress, first_of_stage
+from ..functions import StageLog, columns, name, text, weekdays_after
 
 
 def service_breaches(
     log: StageLog, waiting: str, decided: str, working_days: int, as_of: dt.date
 ) -> DataFrame:
-    """``entity, waiting_since, due_date, decided_date``: entities whose first ``decided`` event
-    came after the due date, or has not come although ``as_of`` is past it."""
-    both = log.where(log.ladder.holds(log.stage_sql, waiting, decided))
-    return (
-        entity_progress(both, first_of=[waiting, decided])
-        .where(f"{first_of_stage(waiting)} IS NOT NULL")
-        .selectExpr(
-            name(log.entity),
-            f"CAST({first_of_stage(waiting)} AS DATE) AS waiting_since",
-            f"CAST({first_of_stage(decided)} AS DATE) AS decided_date",
+    """``entity, waiting_since, due_date, decided_date``: one row per entity and day on which it
+    began to wait, if no ``decided`` event lies between that day and the due date, and that date is
+    past at ``as_of``.  ``decided_date`` is the first decision from that day on, if any; decisions
+    before a wait say nothing about it.
+
+    Events are first reduced to days, so an entity brings at most one row per day to the window.
+    """
+    entity = name(log.entity)
+    days = (
+        log.rows(waiting, decided)
+        .selectExpr(entity, f"CAST({log.at_sql} AS DATE) AS day", f"{log.stage_sql} AS stage_name")
+        .groupBy(log.entity, "day")
+        .agg(
+            *columns(
+                [
+                    f"bool_or(stage_name = {text(waiting)}) AS waits",
+                    f"max(IF(stage_name = {text(decided)}, day, NULL)) AS decided_on",
+                ]
+            )
         )
+    )
+    onward = f"(PARTITION BY {entity} ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return (
+        days.selectExpr("*", f"min(decided_on) OVER {onward} AS decided_date")
+        .where("waits")
         .selectExpr(
-            name(log.entity),
-            "waiting_since",
-            f"{weekdays_after('waiting_since', working_days)} AS due_date",
+            entity,
+            "day AS waiting_since",
+            f"{weekdays_after('day', working_days)} AS due_date",
             "decided_date",
         )
         .where(f"coalesce(decided_date, DATE '{as_of}') > due_date")

@@ -1,13 +1,15 @@
 """The funnel and its alerts over a stream of events."""
 
 from .live_funnel import first_reached, live_counts, live_funnel, start_live_funnel
-from .service_watch import service_alerts
+from .service_watch import late_rows, longest_wait, service_alerts
 from .sizing import state_partitions
 
 __all__ = [
     "first_reached",
+    "late_rows",
     "live_counts",
     "live_funnel",
+    "longest_wait",
     "service_alerts",
     "start_live_funnel",
     "state_partitions",

@@ -11,7 +11,7 @@ from conftest import dicts, events, log
 from spillway.functions import LOAN_LADDER, StageLog
 from spillway.operators import funnel, service_breaches, stage_counts
 from spillway.sources import SCHEMAS
-from spillway.streaming import live_counts, live_funnel, service_alerts, start_live_funnel
+from spillway.streaming import late_rows, live_counts, live_funnel, service_alerts, start_live_funnel
 
 
 def arrivals(seed=3):
@@ -101,6 +101,7 @@ def test_alerts_equal_the_batch_report(spark, tmp_path, split):
     found = dicts(spark.read.parquet(str(tmp_path / "alerts")))
     texts = [(a, s, str(t)) for a, s, t in rows]
     everyone = dicts(service_breaches(log(spark, texts), "verified", "approved", 5, dt.date.max))
+    assert late_rows(run) == 0
     last_due = max(r["due_date"] for r in everyone) + dt.timedelta(days=1)
     last_decision = max(t for _, s, t in rows if s == "approved").date()
     clock = min(last_due, last_decision) - dt.timedelta(days=1)
@@ -108,3 +109,38 @@ def test_alerts_equal_the_batch_report(spark, tmp_path, split):
     expected = {r["application_id"]: r["due_date"] for r in breaches if r["due_date"] < clock}
     assert len(found) == len(expected) > 10
     assert {r["application_id"]: r["due_date"] for r in found} == expected
+
+
+def test_a_decision_before_the_wait_does_not_settle_it(spark, tmp_path):
+    """Batch and stream agree however long ago the decision was, over several batches."""
+    batches = [
+        [(1, "approved", "2022-01-01 10:00:00"), (2, "verified", "2022-01-03 09:00:00")],
+        [(2, "approved", "2022-01-05 09:00:00"), (1, "verified", "2023-01-02 10:00:00")],
+        [(2, "verified", "2023-01-03 08:00:00"), (3, "verified", "2023-01-03 08:00:00")],
+        [(3, "approved", "2023-01-04 08:00:00"), (2, "approved", "2023-02-01 08:00:00")],
+        [(9, "verified", "2024-01-01 00:00:00"), (9, "approved", "2024-01-02 00:00:00")],
+        [(9, "approved", "2024-01-09 00:00:00")],
+    ]
+    incoming, alerts = str(tmp_path / "in"), str(tmp_path / "alerts")
+    for rows in batches:
+        deliver(spark, incoming, rows)
+        run = (
+            service_alerts(stream(spark, incoming), "verified", "approved", 5)
+            .writeStream.option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True)
+            .start(alerts)
+        )
+        run.awaitTermination()
+    found = {(r["application_id"], str(r["waiting_since"])) for r in spark.read.parquet(alerts).collect()}
+    everything = log(spark, [row for rows in batches for row in rows])
+    batch = service_breaches(everything, "verified", "approved", 5, dt.date(2024, 1, 2))
+    expected = {(r["application_id"], str(r["waiting_since"])) for r in batch.collect()}
+    assert found == expected == {(1, "2023-01-02"), (2, "2023-01-03")}
+
+
+def test_old_counts_are_removed(spark, tmp_path):
+    incoming, counts, checkpoint = (str(tmp_path / n) for n in ("in", "counts", "checkpoint"))
+    for rows in arrivals(5):
+        deliver(spark, incoming, rows)
+    start_live_funnel(stream(spark, incoming), counts, checkpoint, availableNow=True).awaitTermination()
+    assert len(list((tmp_path / "counts").glob("batch=*"))) <= 2
