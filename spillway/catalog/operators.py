@@ -208,15 +208,13 @@ def join_derived_to_table(book):
 
 
 def join_aggregate_to_detail(book):
-    """Each application's amount against the mean of its loan type.
-
-    The mapping yields five loan types, so the means are at most six rows: safe to broadcast.
-    """
+    """Each application's amount against the mean of its loan type; whether the means are
+    broadcast is left to their measured size."""
     means = book.loan_applications.groupBy("loan_type").agg(
         *columns([f"{mean_of('sum(loan_amount)', 'count(loan_amount)', 0)} AS type_mean"])
     )
     return (
-        book.loan_applications.join(F.broadcast(means), "loan_type")
+        book.loan_applications.join(means, "loan_type")
         .where("loan_amount > 1.9 * type_mean")
         .select("application_id", "loan_amount", "type_mean")
     )
@@ -266,9 +264,11 @@ def rejoin_outcomes(book):
 
 
 def rows_without_partner(book):
-    """Applicants who never applied."""
+    """Applicants who never applied for a one-year home loan.  Applications are reduced to distinct
+    applicants first, so one with very many of them is one row in the join."""
+    applied = book.loan_applications.where("loan_type = 'home_loan' AND loan_term_months = 12")
     return book.applicants.select("applicant_id").join(
-        book.loan_applications.select("applicant_id"), "applicant_id", "left_anti"
+        applied.select("applicant_id").distinct(), "applicant_id", "left_anti"
     )
 
 
@@ -446,6 +446,7 @@ def window_moving_average(book):
 
 
 def lead_next_timestamp(book):
+    """The first visit of each stage, and the first visit of the next stage present."""
     return next_stages(book.log).selectExpr("application_id", "stage_order", "next_at")
 
 
@@ -458,8 +459,13 @@ def lead_next_stage(book):
 
 
 def lead_every_event(book):
-    return stage_transitions(book.log).select(
-        "application_id", "stage_order", "next_order", "hours", "days"
+    """Every event's step to the next, repeats included: how many equal steps an application has."""
+    return _equal_steps(stage_transitions(book.log), "application_id")
+
+
+def _equal_steps(steps, entity):
+    return steps.groupBy(entity, "stage_order", "next_order", "hours", "days").agg(
+        *columns(["sum(weight) AS steps"])
     )
 
 
@@ -634,6 +640,7 @@ def month_name(book):
 
 
 def hours_crossed(book):
+    """Between first visits of consecutive stages."""
     return (
         next_stages(book.log)
         .where("next_at IS NOT NULL")
@@ -642,6 +649,7 @@ def hours_crossed(book):
 
 
 def days_crossed(book):
+    """Between first visits of consecutive stages."""
     return (
         next_stages(book.log)
         .where("next_at IS NOT NULL")
@@ -766,6 +774,10 @@ def click_transitions_all(log):
     return transition_summary(stage_transitions(log))
 
 
+def click_steps(log):
+    return _equal_steps(stage_transitions(log), log.entity)
+
+
 def click_journeys(log):
     return journeys(log)
 
@@ -804,7 +816,7 @@ _OVER_BOOK = (
     steps_of_steps, relation_used_twice, derived_table, two_aliases,
 )
 _OVER_CLICKS = (
-    click_funnel, click_transitions, click_transitions_all, click_journeys, click_response_gaps,
+    click_funnel, click_transitions, click_transitions_all, click_steps, click_journeys, click_response_gaps,
     click_furthest, click_days,
 )
 

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from ..functions import LOAN_LADDER, columns
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
+
+from ..functions import LOAN_LADDER, columns, text
 from ..operators import (
     NotNull,
     OneOf,
     Unique,
     constraint_violations,
 )
-from ..plans import create_views, funnel_overview
+from ..plans import conv_by_loan_type, create_views, funnel_overview
 from ..sources import (
+    CLUSTERING,
     CONSTRAINTS,
     conform,
     load_delimited,
     loan_book_from_orders,
+    read_delimited_book,
     read_parquet_book,
     read_table,
+    read_table_book,
     shared_folder,
+    write_bucketed_book,
     write_parquet_book,
     write_report,
 )
@@ -33,6 +42,30 @@ def load_csv(spark, folder):
     return load_delimited(spark, place, "loan_applications")
 
 
+def load_csv_book(spark, folder):
+    """All four tables written as delimited files and bulk-loaded: rows, keys and a number each."""
+    place = shared_folder(spark, "load")
+    for table, frame in loan_book_from_orders(spark, folder).tables().items():
+        write_report(frame, f"{place}/{table}.csv", "csv")
+    numbers = {
+        "applicants": "annual_income",
+        "loan_applications": "loan_amount",
+        "application_events": "event_id",
+        "credit_profiles": "credit_score",
+    }
+    loaded = read_delimited_book(spark, place).tables()
+    parts = [
+        loaded[table].selectExpr(
+            f"{text(table)} AS `table`",
+            "count(1) AS n",
+            f"sum({CLUSTERING[table]}) AS key_sum",
+            f"CAST(sum({number}) AS BIGINT) AS number_sum",
+        )
+        for table, number in numbers.items()
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def load_csv_events(spark, folder):
     """The same for events, with stage names that differ in case and outer blanks."""
     place = shared_folder(spark, "load")
@@ -85,6 +118,14 @@ def parquet_sink(spark, folder):
     )
 
 
+def bucketed_tables(spark, folder):
+    """The book as managed, bucketed tables, and a report that joins them by application."""
+    database = f"spillway_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    write_bucketed_book(loan_book_from_orders(spark, folder), database, 4)
+    return conv_by_loan_type(read_table_book(spark, database))
+
+
 def report_output(spark, folder):
     """A report stored as CSV with a header, read back by its column names."""
     place = shared_folder(spark, "report")
@@ -123,6 +164,43 @@ def dq_constraint_violations(book):
     return constraint_violations(book.tables(), CONSTRAINTS)
 
 
+#: Expressions that break rules of every kind, by table and column.
+BREAKERS = {
+    "applicants": {
+        "applicant_id": "IF(applicant_id % 31 = 0, applicant_id - 1, applicant_id)",
+        "email": "IF(applicant_id % 40 = 0, NULL, email)",
+        "age": "IF(applicant_id % 50 = 0, 130, age)",
+        "acquisition_channel": "IF(applicant_id % 60 = 0, 'billboard', acquisition_channel)",
+    },
+    "loan_applications": {
+        "applicant_id": "IF(application_id % 97 = 0, -application_id, applicant_id)",
+        "loan_amount": "IF(application_id % 89 = 0, -loan_amount, loan_amount)",
+        "status": "IF(application_id % 83 = 0, NULL, status)",
+    },
+    "application_events": {
+        "event_id": "IF(event_id % 101 = 0, event_id - 1, event_id)",
+        "application_id": "IF(event_id % 103 = 0, -application_id, application_id)",
+        "stage": "IF(event_id % 107 = 0, 'lost', stage)",
+        "event_timestamp": "IF(event_id % 109 = 0, NULL, event_timestamp)",
+    },
+    "credit_profiles": {
+        "credit_score": "IF(applicant_id % 37 = 0, credit_score + 600, credit_score)",
+        "debt_to_income_ratio": "IF(applicant_id % 41 = 0, 1.5, debt_to_income_ratio)",
+    },
+}
+
+
+def dq_broken_book(book):
+    """The book's own rows with some values broken: every kind of rule has something to count."""
+    broken = {
+        table: frame.selectExpr(
+            *[f"{BREAKERS[table].get(c, c)} AS {c}" for c in frame.columns]
+        )
+        for table, frame in book.tables().items()
+    }
+    return constraint_violations(broken, CONSTRAINTS)
+
+
 def dq_clickstream(spark, folder):
     """Rules that this log does break: stray stages, repeated users, missing values."""
     events = read_table(spark, folder, "events")
@@ -138,6 +216,8 @@ def dq_clickstream(spark, folder):
 
 SOURCES = {
     "load_csv": load_csv,
+    "load_csv_book": load_csv_book,
+    "bucketed_tables": bucketed_tables,
     "load_csv_events": load_csv_events,
     "load_defaults": load_defaults,
     "status_default": over_book(status_default),
@@ -146,5 +226,6 @@ SOURCES = {
     "read_all_views": read_all_views,
     "tables_in_sql": tables_in_sql,
     "dq_constraint_violations": over_book(dq_constraint_violations),
+    "dq_broken_book": over_book(dq_broken_book),
     "dq_clickstream": dq_clickstream,
 }

@@ -147,7 +147,8 @@ SELECT application_id, hours, CAST(is_approved AS INTEGER) AS is_approved,
 FROM {_GAPS} JOIN app USING (application_id)""",
     "rows_without_partner": """
 SELECT applicant_id FROM applicants
-WHERE applicant_id NOT IN (SELECT applicant_id FROM loan_applications)""",
+WHERE applicant_id NOT IN (SELECT applicant_id FROM loan_applications
+                           WHERE loan_type = 'home_loan' AND loan_term_months = 12)""",
     # Aggregations.
     "count_rows": "SELECT count(*) AS n FROM application_events",
     "count_distinct_entities": """
@@ -221,8 +222,16 @@ FROM (SELECT application_id, count(DISTINCT stage) AS stage_order FROM applicati
 SELECT stage, stage_next AS next_stage, count(*) AS n FROM {_ALONG} GROUP BY ALL""",
     "lead_every_event": f"""
 SELECT application_id, stage_order, order_next AS next_order, date_diff('hour', t, t_next) AS hours,
-       date_diff('day', t, t_next) AS days
-FROM {_ALONG} WHERE t_next IS NOT NULL""",
+       date_diff('day', t, t_next) AS days, count(*) AS steps
+FROM {_ALONG} WHERE t_next IS NOT NULL GROUP BY ALL""",
+    "click_steps": """
+SELECT visit_id, stage_order, order_next AS next_order, date_diff('hour', t, t_next) AS hours,
+       date_diff('day', t, t_next) AS days, count(*) AS steps
+FROM (SELECT visit_id, stage_order, ts AS t, lead(ts) OVER w AS t_next,
+             lead(stage_order) OVER w AS order_next
+      FROM visits JOIN click_ladder USING (stage)
+      WINDOW w AS (PARTITION BY visit_id ORDER BY stage_order, ts))
+WHERE t_next IS NOT NULL GROUP BY ALL""",
     "row_number_furthest": """
 SELECT application_id, stage_order, event_timestamp AS last_activity
 FROM application_events JOIN ladder USING (stage)
@@ -376,11 +385,9 @@ FROM (SELECT count(*) AS applications, sum(loan_amount) AS amount
       FROM loan_applications GROUP BY applicant_id)
 GROUP BY applications""",
     "two_aliases": """
-SELECT a.application_id, l.stage_order,
-       date_diff('day', a.event_timestamp, b.event_timestamp) AS days_since_submission
-FROM application_events a JOIN application_events b USING (application_id)
-     JOIN ladder l ON b.stage = l.stage
-WHERE a.stage = 'submitted' AND b.stage <> 'submitted'""",
+SELECT b.application_id, stage_order, date_diff('day', a.t0, event_timestamp) AS days_since_submission
+FROM stage_plan a JOIN application_events b ON a.k = b.application_id JOIN ladder USING (stage)
+WHERE stage <> 'submitted'""",
     # The click log.
     "click_funnel": CLICK_STEPS,
     "click_transitions": _click_moves(_FIRST_CLICKS, "stage_order"),

@@ -322,12 +322,16 @@ SELECT count(*) AS registered_applicants,
        {pct("count(*) FILTER (WHERE applicant_id IN (SELECT applicant_id FROM loan_applications))",
             "count(*)")} AS registered_to_submitted_pct
 FROM applicants""",
-    "fast_review_experiment": f"""{_TIERS}, g AS (
+    "fast_review_experiment": """
+WITH pairs AS (
+  SELECT date_diff('hour', submitted_at, reviewed_at) AS hours, is_disbursed
+  FROM app WHERE submitted_at IS NOT NULL AND reviewed_at IS NOT NULL
+), g AS (
   SELECT count(*) FILTER (WHERE hours <= 6) AS treated_n,
          count(*) FILTER (WHERE hours <= 6 AND is_disbursed) AS treated_converted,
          count(*) FILTER (WHERE hours > 6) AS control_n,
          count(*) FILTER (WHERE hours > 6 AND is_disbursed) AS control_converted
-  FROM pairs JOIN app USING (application_id)
+  FROM pairs
 ), r AS (
   SELECT *, treated_converted / treated_n AS p1, control_converted / control_n AS p2,
          (treated_converted + control_converted) / (treated_n + control_n) AS p FROM g

@@ -1,5 +1,7 @@
 """DuckDB statements for loads, sinks, views and constraint checks."""
 
+import re
+
 from .reports import REPORTS
 
 
@@ -85,10 +87,54 @@ _DQ = [
     ),
 ]
 
+#: The same rows with some values broken, as in the query.
+_BROKEN = """
+WITH broken_applicants AS (
+  SELECT CASE WHEN applicant_id % 31 = 0 THEN applicant_id - 1 ELSE applicant_id END AS applicant_id,
+         first_name, CASE WHEN applicant_id % 40 = 0 THEN NULL ELSE email END AS email,
+         CASE WHEN applicant_id % 50 = 0 THEN 130 ELSE age END AS age, employment_status,
+         CASE WHEN applicant_id % 60 = 0 THEN 'billboard' ELSE acquisition_channel END
+           AS acquisition_channel, registration_date
+  FROM applicants
+), broken_loan_applications AS (
+  SELECT application_id,
+         CASE WHEN application_id % 97 = 0 THEN -application_id ELSE applicant_id END AS applicant_id,
+         loan_type, CASE WHEN application_id % 89 = 0 THEN -loan_amount ELSE loan_amount END AS loan_amount,
+         loan_term_months, CASE WHEN application_id % 83 = 0 THEN NULL ELSE status END AS status,
+         application_date
+  FROM loan_applications
+), broken_application_events AS (
+  SELECT CASE WHEN event_id % 101 = 0 THEN event_id - 1 ELSE event_id END AS event_id,
+         CASE WHEN event_id % 103 = 0 THEN -application_id ELSE application_id END AS application_id,
+         CASE WHEN event_id % 107 = 0 THEN 'lost' ELSE stage END AS stage,
+         CASE WHEN event_id % 109 = 0 THEN NULL ELSE event_timestamp END AS event_timestamp
+  FROM application_events
+), broken_credit_profiles AS (
+  SELECT applicant_id,
+         CASE WHEN applicant_id % 37 = 0 THEN credit_score + 600 ELSE credit_score END AS credit_score,
+         CASE WHEN applicant_id % 41 = 0 THEN 1.5 ELSE debt_to_income_ratio END AS debt_to_income_ratio
+  FROM credit_profiles
+)
+"""
+_TABLE_NAMES = "applicants|loan_applications|application_events|credit_profiles"
+
 _VIEW_NAMES = [v for v in REPORTS if v.startswith("vw_")]
 
 SOURCES = {
     "load_csv": "SELECT * FROM loan_applications",
+    "load_csv_book": """
+SELECT 'applicants' AS "table", count(*) AS n, CAST(sum(applicant_id) AS BIGINT) AS key_sum,
+       CAST(sum(annual_income) AS BIGINT) AS number_sum FROM applicants
+UNION ALL
+SELECT 'loan_applications', count(*), CAST(sum(application_id) AS BIGINT),
+       CAST(sum(loan_amount) AS BIGINT) FROM loan_applications
+UNION ALL
+SELECT 'application_events', count(*), CAST(sum(application_id) AS BIGINT),
+       CAST(sum(event_id) AS BIGINT) FROM application_events
+UNION ALL
+SELECT 'credit_profiles', count(*), CAST(sum(applicant_id) AS BIGINT),
+       CAST(sum(credit_score) AS BIGINT) FROM credit_profiles""",
+    "bucketed_tables": REPORTS["conv_by_loan_type"],
     "load_csv_events": """
 SELECT stage, count(*) AS n, min(event_timestamp) AS first_at, max(event_timestamp) AS last_at
 FROM application_events GROUP BY stage""",
@@ -109,6 +155,8 @@ FROM application_events GROUP BY stage""",
 SELECT loan_type, count(*) AS "applications per type", max(loan_amount) AS "max"
 FROM loan_applications GROUP BY loan_type""",
     "dq_constraint_violations": " UNION ALL ".join(_DQ),
+    "dq_broken_book": _BROKEN
+    + re.sub(rf"FROM ({_TABLE_NAMES})\b", r"FROM broken_\1", " UNION ALL ".join(_DQ)),
     "dq_clickstream": " UNION ALL ".join(
         [
             _null("events", "ts"),

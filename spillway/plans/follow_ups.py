@@ -84,9 +84,12 @@ def registration_step(book: LoanBook) -> DataFrame:
 
 
 def fast_review_experiment(book: LoanBook, within_hours: int = 6) -> DataFrame:
-    """Do applications first reviewed within ``within_hours`` convert better than the others?"""
+    """Do applications first reviewed within ``within_hours`` convert better than the others?
+
+    The unit is the application: one row each, from its first submission to its first review.
+    """
     log = book.log
-    gaps = response_gaps(log, "submitted", "under_review")
+    gaps = response_gaps(log, "submitted", "under_review", repeats="first")
     return two_proportion_test(
         gaps, f"hours <= {within_hours}", f"{reached(log, log.ladder.last)} = 1"
     )

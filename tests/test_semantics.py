@@ -435,3 +435,46 @@ def test_empty_log(spark):
     assert dicts(plans.stage_durations(empty)) == []
     assert dicts(plans.journey_durations(empty)) == []
     assert {r["row_count"] for r in dicts(table_row_counts(empty.tables()))} == {0}
+
+
+def test_experiment_counts_an_application_once(spark):
+    from spillway.plans import fast_review_experiment
+
+    rows = [(1, "submitted", "2023-01-02 08:00:00"), (1, "under_review", "2023-01-02 09:00:00")]
+    rows += [(1, "under_review", "2023-01-05 09:00:00"), (1, "disbursed", "2023-01-09 09:00:00")]
+    rows += [(2, "submitted", "2023-01-02 08:00:00"), (2, "under_review", "2023-01-04 08:00:00")]
+    found = dicts(fast_review_experiment(book(spark, rows)))[0]
+    assert (found["treated_n"], found["treated_converted"]) == (1, 1)
+    assert (found["control_n"], found["control_converted"]) == (1, 0)
+
+
+def test_every_event_has_its_step(spark):
+    from spillway.catalog.operators import lead_every_event
+
+    rows = [(1, "submitted", f"2023-01-02 08:{m}:00") for m in (10, 20, 30, 40)]
+    rows.append((1, "under_review", "2023-01-02 11:00:00"))
+    steps = dicts(lead_every_event(book(spark, rows)))
+    assert sum(s["steps"] for s in steps) == 4
+    assert {(s["next_order"], s["hours"], s["steps"]) for s in steps} == {(1, 0, 3), (2, 3, 1)}
+
+
+def test_settings_for_large_jobs(spark):
+    from spillway.session import RECOMMENDED, initial_partitions
+
+    assert initial_partitions(0) == 200 and initial_partitions(100 << 40) == 819_200
+    assert "RocksDB" in RECOMMENDED["spark.sql.streaming.stateStore.providerClass"]
+    for name, value in RECOMMENDED.items():
+        assert spark.conf.get(name) == value
+
+
+def test_shared_folder_is_the_same_on_every_master(spark, tmp_path):
+    from spillway.sources import remove_folder, shared_folder
+
+    path = shared_folder(spark, "test", str(tmp_path))
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    remove_folder(spark, path)
+    assert not list(tmp_path.iterdir())
+    assert shared_folder(spark, "test").startswith(spark.conf.get("spark.checkpoint.dir"))
+    with pytest.raises(ValueError):
+        remove_folder(spark, "/some/other/folder")
