@@ -9,8 +9,9 @@ beyond Latin-1 that are not all letters, go through the whole library.
 from __future__ import annotations
 
 import os
-import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
 from functools import cache
 
@@ -26,7 +27,7 @@ _RUNS = {
     False: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
 }
 #: New words a memory takes up before it drops those not met since the last time.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 400_000
 
 
 class Memory:
@@ -83,7 +84,10 @@ class WordEncoder:
         self.newline = self._library_ids("\n")
 
     def _raw(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
+        out = array("H" if self.kind.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _library_ids(self, text: str) -> bytes:
         return self._raw(self.library.encode(text, add_special_tokens=False).ids)
@@ -95,9 +99,13 @@ class WordEncoder:
     def _word_ids(self, word: str, before: str) -> bytes:
         """The ids of one word without white space (it may be empty), with ``before`` in front."""
         plain = word if self.blanks_count else word.lower()
-        if plain.isalpha() and word.isalpha():
+        if word.isascii():
+            if word.isalpha():
+                shown = "Ġ" + plain if before else plain
+                return self._raw([t.id for t in self.model.tokenize(shown)])
+        elif plain.isalpha() and word.isalpha():
             # A small sigma depends on its place.
-            if plain.isascii() or "Σ" not in word and unicodedata.is_normalized("NFC", word):
+            if "Σ" not in word and unicodedata.is_normalized("NFC", word):
                 return self._run_ids(before + plain)
         if not plain.isascii() and max(plain) > "ÿ":
             return self._library_ids(before + word)
