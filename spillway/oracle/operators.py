@@ -1,5 +1,6 @@
 """DuckDB statements for the single-operator queries."""
 
+from .bands import AGES, CREDIT, JOURNEYS, RESPONSES, Ladder
 from .reports import REPORTS, mean, pct
 from .streams import CLICK_STEPS, STREAMS
 
@@ -40,15 +41,9 @@ SELECT stage_order, next_order, any_value(median_days) AS median_days, count(*)
 FROM moves JOIN middle USING (stage_order) GROUP BY stage_order, next_order"""
 
 
-def _bands(source: str, cases: list[tuple[str, str]], otherwise: str | None = None) -> str:
-    """``cases`` are (condition, label) in band order."""
-    labels = " ".join(f"WHEN {c} THEN '{label}'" for c, label in cases)
-    places = " ".join(f"WHEN {c} THEN {i}" for i, (c, _) in enumerate(cases, 1))
-    if otherwise:
-        labels += f" ELSE '{otherwise}'"
-        places += f" ELSE {len(cases) + 1}"
+def _bands(source: str, ladder: Ladder, value: str) -> str:
     return f"""
-SELECT CASE {labels} END AS band, CASE {places} END AS position, count(*) AS n
+SELECT {ladder.label(value)} AS band, {ladder.place(value)} AS position, count(*) AS n
 FROM {source} GROUP BY 1, 2"""
 
 
@@ -199,12 +194,9 @@ FROM credit_profiles""",
 SELECT year(event_timestamp) AS yr, month(event_timestamp) AS mth,
        strftime(event_timestamp, '%b %Y') AS label, count(*) AS n
 FROM application_events GROUP BY ALL""",
-    "group_with_sort_key": """
-SELECT age_group, age_sort, count(*) AS n
-FROM (SELECT CASE WHEN age <= 25 THEN 1 WHEN age <= 35 THEN 2 WHEN age <= 45 THEN 3
-                  WHEN age <= 55 THEN 4 ELSE 5 END AS age_sort,
-             ['18–25', '26–35', '36–45', '46–55', '56+'][age_sort] AS age_group
-      FROM applicants) GROUP BY ALL""",
+    "group_with_sort_key": f"""
+SELECT {AGES.label("age")} AS age_group, {AGES.place("age")} AS age_sort, count(*) AS n
+FROM applicants GROUP BY ALL""",
     "average_of_averages": f"""
 SELECT round(round(avg(monthly_conv_pct), 8), 1) AS mean_monthly_pct FROM ({_MONTHS})""",
     "two_level_aggregate": """
@@ -329,44 +321,10 @@ FROM loan_applications""",
     "stage_ordinal": """
 SELECT stage, stage_order AS position, count(*) AS n
 FROM application_events JOIN ladder USING (stage) GROUP BY ALL""",
-    "bands_age": _bands(
-        "applicants",
-        [
-            ("age >= 18 AND age < 26", "18–25"),
-            ("age >= 26 AND age < 36", "26–35"),
-            ("age >= 36 AND age < 46", "36–45"),
-            ("age >= 46 AND age < 56", "46–55"),
-            ("age >= 56", "56+"),
-        ],
-    ),
-    "bands_credit": _bands(
-        "credit_profiles",
-        [
-            ("credit_score > 749", "750–850  Excellent"),
-            ("credit_score > 699", "700–749  Good"),
-            ("credit_score > 649", "650–699  Fair"),
-            ("credit_score > 599", "600–649  Poor"),
-            ("credit_score < 600", "300–599  Very Poor"),
-        ],
-    ),
-    "bands_journey": _bands(
-        _TRIPS,
-        [
-            ("total_days < 8", "Fast    (≤7 days)"),
-            ("total_days < 15", "Average (8–14 days)"),
-            ("total_days < 22", "Slow    (15–21 days)"),
-        ],
-        "Very slow (>21 days)",
-    ),
-    "bands_response": _bands(
-        _GAPS,
-        [
-            ("hours < 7", "1. Same day     (≤6 hrs)"),
-            ("hours < 25", "2. Next day     (7–24 hrs)"),
-            ("hours < 49", "3. Two days     (25–48 hrs)"),
-        ],
-        "4. Slow         (>48 hrs)",
-    ),
+    "bands_age": _bands("applicants", AGES, "age"),
+    "bands_credit": _bands("credit_profiles", CREDIT, "credit_score"),
+    "bands_journey": _bands(_TRIPS, JOURNEYS, "total_days"),
+    "bands_response": _bands(_GAPS, RESPONSES, "hours"),
     "outlier_flag": f"""
 SELECT if(total_days > 2 * (SELECT CAST(sum(total_days) AS BIGINT) // count(*) FROM {_TRIPS}),
           'OUTLIER', 'Normal') AS flag, count(*) AS n

@@ -1,5 +1,7 @@
 """DuckDB statements for the named reports."""
 
+from .bands import AGES, CREDIT, JOURNEYS, RESPONSES
+
 
 def pct(part: str, whole: str) -> str:
     return f"round(round(CAST({part} AS DOUBLE) / nullif({whole}, 0) * 100, 8), 1)"
@@ -176,9 +178,7 @@ SELECT replace(acquisition_channel, '_', ' ') AS channel, count(*) AS total_appl
     "conv_by_age_group": f"""
 WITH rows AS (
   SELECT is_verified, is_approved, is_disbursed,
-         CASE WHEN age < 18 THEN NULL WHEN age <= 25 THEN '18–25' WHEN age <= 35 THEN '26–35'
-              WHEN age <= 45 THEN '36–45' WHEN age <= 55 THEN '46–55'
-              WHEN age > 55 THEN '56+' END AS age_group
+         {AGES.label("age")} AS age_group
   FROM loan_applications JOIN app USING (application_id) JOIN applicants USING (applicant_id)
 ), whole AS (SELECT {_RATE} AS rate FROM rows)
 SELECT age_group, count(*) AS total_applications, {flags("verified")} AS reached_verification,
@@ -189,11 +189,7 @@ FROM rows GROUP BY age_group""",
     "conv_by_credit_band": f"""
 WITH rows AS (
   SELECT is_approved, is_disbursed, credit_score,
-         CASE WHEN credit_score < 600 THEN '300–599  Very Poor'
-              WHEN credit_score < 650 THEN '600–649  Poor'
-              WHEN credit_score < 700 THEN '650–699  Fair'
-              WHEN credit_score < 750 THEN '700–749  Good'
-              WHEN credit_score >= 750 THEN '750–850  Excellent' END AS credit_band
+         {CREDIT.label("credit_score")} AS credit_band
   FROM loan_applications JOIN app USING (application_id) JOIN applicants USING (applicant_id)
        JOIN credit_profiles USING (applicant_id)
 )
@@ -230,18 +226,12 @@ FROM moves JOIN middle USING (stage) GROUP BY moves.stage, stage_next""",
 SELECT application_id, replace(loan_type, '_', ' ') AS loan_type, loan_amount,
        CAST(submitted_at AS DATE) AS submitted_date, CAST(disbursed_at AS DATE) AS disbursed_date,
        total_days,
-       CASE WHEN total_days > 21 THEN 'Very slow (>21 days)'
-            WHEN total_days > 14 THEN 'Slow    (15–21 days)'
-            WHEN total_days > 7 THEN 'Average (8–14 days)'
-            ELSE 'Fast    (≤7 days)' END AS journey_category,
+       {JOURNEYS.label("total_days")} AS journey_category,
        if(total_days > 2 * cut, 'OUTLIER', 'Normal') AS outlier_flag, shown AS overall_avg_days
 FROM trip, whole""",
     "response_tier_conversion": f"""{_TIERS}, tiers AS (
   SELECT hours, is_approved, is_disbursed,
-         CASE WHEN hours > 48 THEN '4. Slow         (>48 hrs)'
-              WHEN hours > 24 THEN '3. Two days     (25–48 hrs)'
-              WHEN hours > 6 THEN '2. Next day     (7–24 hrs)'
-              ELSE '1. Same day     (≤6 hrs)' END AS response_tier
+         {RESPONSES.label("hours")} AS response_tier
   FROM pairs JOIN app USING (application_id)
 )
 SELECT response_tier, count(*) AS total_applications, {flags("approved")} AS approved,

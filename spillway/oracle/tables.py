@@ -1,5 +1,6 @@
 """The derived tables, as common table expressions put in front of every statement."""
 
+# Names of stages, loan types, channels and employment, and the mapping's numbers.
 TABLES = """
 applicants AS (
   SELECT c_custkey AS applicant_id, c_name AS first_name, lower(c_name) AS email,
