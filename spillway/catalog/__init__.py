@@ -1,10 +1,10 @@
 """Every query by name: ``name -> f(spark, folder) -> DataFrame``."""
 
 from .operators import OPERATORS
-from .reports import REPORTS, flagship
+from .reports import MODELS, REPORTS, flagship
 from .sources import SOURCES
 from .streams import STREAMS
 
-QUERIES = {**REPORTS, **SOURCES, **STREAMS, **OPERATORS}
+QUERIES = {**REPORTS, **MODELS, **SOURCES, **STREAMS, **OPERATORS}
 
 __all__ = ["QUERIES", "flagship"]

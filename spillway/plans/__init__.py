@@ -1,5 +1,6 @@
 """Named reports over a loan book."""
 
+from .approval_model import approval_features, approval_probability, fit_approval
 from .dashboard import VIEWS, create_views, executive_dashboard, read_view
 from .follow_ups import (
     approval_breaches,
@@ -37,6 +38,9 @@ from .timing_reports import (
 )
 
 __all__ = [
+    "approval_features",
+    "approval_probability",
+    "fit_approval",
     "VIEWS",
     "approval_breaches",
     "biggest_dropoff",

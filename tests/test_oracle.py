@@ -8,6 +8,7 @@ from conftest import SMALL
 
 import __spark_entry__ as registry
 from spillway.catalog import QUERIES
+from spillway.catalog.reports import MODELS
 from spillway.oracle import STATEMENTS
 
 #: Queries that may well have nothing to report on the smallest data.
@@ -19,7 +20,7 @@ def duck():
     return compare.connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(STATEMENTS))
 def test_rows_equal(spark, duck, name):
     spark_names, spark_rows = compare.spark_rows(QUERIES[name](spark, SMALL))
     duck_names, duck_rows = compare.duck_rows(duck, STATEMENTS[name])
@@ -33,7 +34,7 @@ def test_flagship(spark):
 
 
 def test_every_query_has_a_statement():
-    assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) - set(MODELS) == set(STATEMENTS)
     assert set(QUERIES) <= set(registry.queries())
     assert set(STATEMENTS) <= set(registry.oracle_sql())
 

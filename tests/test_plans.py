@@ -10,7 +10,7 @@ from spillway.catalog.reports import REPORTS
 from spillway import plans
 from spillway.sources import loan_book_from_orders, read_parquet_book, write_parquet_book
 
-EAGER = {"live_loan_funnel", "live_click_funnel", "live_approval_alerts"}
+EAGER = {"approval_probability", "live_loan_funnel", "live_click_funnel", "live_approval_alerts"}
 
 
 def physical(frame):
