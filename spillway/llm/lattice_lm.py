@@ -188,7 +188,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def learned(
-    pieces: Pieces, counts: DataFrame, texts: int, rounds: int = 2, smoothing: float = 0.1
+    pieces: Pieces, counts: DataFrame, texts: int, rounds: int = 4, smoothing: float = 0.1
 ) -> Pieces:
     """``pieces`` with probabilities from ``counts`` (of :func:`word_counts`, over ``texts`` texts),
     by ``rounds`` of expectation maximisation with ``smoothing`` added to every expected count.
@@ -225,7 +225,7 @@ def lattice_scores(
     docs: DataFrame,
     pieces: Pieces,
     folds: int = 5,
-    rounds: int = 2,
+    rounds: int = 4,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:

@@ -24,7 +24,7 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
 def small(frame: DataFrame, most_rows: int = 50_000) -> DataFrame:
     """``frame`` marked for broadcast if it has at most ``most_rows`` (narrow) rows, else as it is:
     the join is then Spark's shuffled one, with the same rows.  Give a stored frame."""
-    return F.broadcast(frame) if frame.limit(most_rows + 1).count() <= most_rows else frame
+    return F.broadcast(frame) if frame.count() <= most_rows else frame
 
 
 def workers_find_package(spark: SparkSession) -> None:

@@ -70,7 +70,7 @@ def test_learning_raises_the_likelihood(spark, docs):
     assert likelihoods[0] < likelihoods[1] < likelihoods[2]
 
 
-def brute(first, folds=5, rounds=2):
+def brute(first, folds=5, rounds=4):
     """Every text's figures, word by word."""
     words = [[*(t or "").encode().lower().split(), b""] for _, t in TEXTS]
     held = [i is not None and zlib.crc32(str(i).encode()) % folds == 1 for i, _ in TEXTS]
