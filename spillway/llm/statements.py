@@ -138,4 +138,29 @@ SELECT * EXCLUDE (line_words, {_WORDS}), n_words < 50 OR 100 * n_repeat_words >
 FROM found
 """
 
-STATEMENTS: dict[str, str] = {"op3_source_mix": _MIX, "op7_repetition_rules": _REPETITION}
+#: All pairs of a label: the rows of the index at full recall.
+_VECTORS = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS vector FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND list_count(embedding) = len(embedding)
+        AND list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) < 'inf'::DOUBLE
+        AND list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) > 0),
+pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b USING (label)
+    WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.vector, b.vector) >= 0.98),
+reached AS (
+    SELECT vec_id, vec_id AS other FROM sound
+    UNION SELECT vec_id, b FROM reached JOIN pairs ON other = a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+    vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a) USING (vec_id)
+LEFT JOIN (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id) USING (vec_id)
+"""
+
+STATEMENTS: dict[str, str] = {
+    "op3_source_mix": _MIX,
+    "op7_repetition_rules": _REPETITION,
+    "op8_itq_near_dups": _VECTORS,
+}

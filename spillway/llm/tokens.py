@@ -26,8 +26,9 @@ _RUNS = {
     True: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"),
     False: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
 }
-#: New words a memory takes up before it drops those not met since the last time.
-WORDS_KEPT = 400_000
+#: New words, and their characters, a memory takes up before it drops those not met since the last
+#: time.
+WORDS_KEPT, CHARACTERS_KEPT = 300_000, 8_000_000
 
 
 class Memory:
@@ -36,16 +37,18 @@ class Memory:
     def __init__(self):
         self.lately: dict = {}
         self.before: dict = {}
+        self.characters = 0
 
     def learn(self, words: Iterable[str], find: Callable[[list], Iterable]) -> None:
         """Know all ``words``; ``find`` gives the values of those never met."""
         new = set(words).difference(self.lately)
-        if len(self.lately) > WORDS_KEPT:
-            self.before, self.lately = self.lately, {}
+        if len(self.lately) > WORDS_KEPT or self.characters > CHARACTERS_KEPT:
+            self.before, self.lately, self.characters = self.lately, {}, 0
             new = set(words)
         old = new.intersection(self.before)
         self.lately.update((w, self.before[w]) for w in old)
         unknown = list(new - old)
+        self.characters += sum(map(len, new))
         self.lately.update(zip(unknown, find(unknown)))
 
 
