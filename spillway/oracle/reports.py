@@ -211,7 +211,8 @@ WITH cells AS (
          replace(loan_type, '_', ' ') AS loan_type, count(*) AS total_applications,
          {flags("disbursed")} AS disbursed, {_RATE} AS conv_rate_pct
   FROM loan_applications JOIN app USING (application_id) JOIN applicants USING (applicant_id)
-  GROUP BY acquisition_channel, loan_applications.loan_type HAVING count(*) >= 460
+  GROUP BY acquisition_channel, loan_applications.loan_type HAVING count(*) >= 5
+     AND count(*) * 1000 >= 32 * (SELECT count(*) FROM loan_applications)
 )
 SELECT *, rank() OVER (PARTITION BY channel ORDER BY conv_rate_pct DESC) AS rank_within_channel
 FROM cells""",

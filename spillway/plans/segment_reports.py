@@ -175,8 +175,11 @@ def conv_by_employment(book: LoanBook) -> DataFrame:
     ).orderBy("conv_rate_pct", "employment_status", ascending=[False, True])
 
 
-def conv_channel_x_loan(book: LoanBook, min_sample: int = 5) -> DataFrame:
-    """Cells with at least ``min_sample`` applications, ranked inside their channel by rounded rate."""
+def conv_channel_x_loan(
+    book: LoanBook, min_sample: int = 5, min_permille: int = 0
+) -> DataFrame:
+    """Cells with at least ``min_sample`` applications and ``min_permille`` thousandths of all of
+    them, ranked inside their channel by rounded rate."""
     cells = segment_conversion(
         book.log,
         book.loan_applications,
@@ -188,7 +191,8 @@ def conv_channel_x_loan(book: LoanBook, min_sample: int = 5) -> DataFrame:
     )
     best_in_channel = "PARTITION BY channel ORDER BY conv_rate_pct DESC"
     return (
-        cells.where(f"{TOTAL} >= {min_sample}")
+        cells.selectExpr("*", f"sum({TOTAL}) OVER () AS everything")
+        .where(f"{TOTAL} >= {min_sample} AND {TOTAL} * 1000 >= everything * {min_permille}")
         .selectExpr(
             f"{display_name('acquisition_channel')} AS channel",
             f"{display_name('loan_type')} AS loan_type",

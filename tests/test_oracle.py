@@ -12,7 +12,7 @@ from spillway.catalog.reports import MODELS
 from spillway.oracle import STATEMENTS
 
 #: Queries that may well have nothing to report on the smallest data.
-MAY_BE_EMPTY = {"conv_channel_x_loan", "rows_without_partner"}
+MAY_BE_EMPTY = {"rows_without_partner"}
 
 
 @pytest.fixture(scope="module")
