@@ -17,10 +17,10 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
     one skewed key of a plain join of two tables, which adaptive execution splits.  Nulls and links
     of a node with itself are dropped; repeated links change nothing.
     """
-    ends = links.select("a", "b").where("a < b OR a > b")
-    both = stored(
-        ends.union(ends.select("b", "a")).toDF("node", "other").distinct(), f"{purpose}-links"
+    ends = links.where("a < b OR a > b").selectExpr(
+        "inline(array(named_struct('node', a, 'other', b), named_struct('node', b, 'other', a)))"
     )
+    both = stored(ends.distinct(), f"{purpose}-links")
     labels = stored(
         both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")),
         f"{purpose}-labels",
