@@ -82,8 +82,9 @@ class Code:
         codes[order] = starts >> (longest - own)
         object.__setattr__(self, "codes", codes)
         object.__setattr__(self, "longest", longest)
-        table = np.zeros(1 << longest, np.int64)
-        table[: int(sizes.sum())] = np.repeat(order, sizes)
+        # For every way the next bits can begin: the id, and in the lowest five bits its length.
+        table = np.zeros(1 << longest, np.int32)
+        table[: int(sizes.sum())] = np.repeat((order << 5 | own).astype(np.int32), sizes)
         object.__setattr__(self, "table", table)
 
     def encode(self, ids: np.ndarray, step: int = STEP) -> tuple[bytes, np.ndarray]:
@@ -95,31 +96,31 @@ class Code:
         starts = ends - sizes
         word, free = starts >> 6, 64 - (starts & 63) - sizes
         codes = self.codes[ids]
-        fits = free >= 0
-        left = np.where(fits, codes << np.maximum(free, 0).astype(np.uint64), codes >> np.maximum(-free, 0).astype(np.uint64))
+        left = codes << np.maximum(free, 0).astype(np.uint64)
+        over = np.flatnonzero(free < 0)  # codes that reach into the next word
+        left[over] = codes[over] >> (-free[over]).astype(np.uint64)
         firsts = np.flatnonzero(np.diff(word, prepend=-1))
         out = np.zeros(int(ends[-1] + 63 >> 6) + 1, np.uint64)
         out[word[firsts]] = np.bitwise_or.reduceat(left, firsts)
-        over = ~fits
         out[word[over] + 1] |= codes[over] << (64 + free[over]).astype(np.uint64)
         return out.astype(">u8").tobytes()[: int(ends[-1] + 7 >> 3)], starts[::step]
 
     def decode(self, bits: bytes, checkpoints: np.ndarray, count: int, step: int = STEP) -> np.ndarray:
         """The ``count`` ids of a block."""
         if not count:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int32)
         # Past a block's last id a stretch reads on; it then meets zeros, or stays on the last byte.
         raw = np.frombuffer(bits + bytes(8), np.uint8).astype(np.uint32)
         window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
         at = np.array(checkpoints, np.int64)
-        out = np.empty((len(at), step), np.int64)
+        out = np.empty((step, len(at)), np.int32)
         shift, mask, last = 32 - self.longest, (1 << self.longest) - 1, len(window) - 1
         for k in range(min(step, count)):
             seen = window[np.minimum(at >> 3, last)].astype(np.int64)
-            symbol = self.table[seen >> (shift - (at & 7)) & mask]
-            out[:, k] = symbol
-            at += self.lengths[symbol]
-        return out.reshape(-1)[:count]
+            found = self.table[seen >> (shift - (at & 7)) & mask]
+            out[k] = found >> 5
+            at += found & 31
+        return out.T.reshape(-1)[:count]
 
     def decode_part(self, bits: bytes, checkpoints: np.ndarray, first: int, count: int, step: int = STEP) -> np.ndarray:
         """Ids ``first`` to ``first + count`` of a block, from the checkpoint before them on."""
