@@ -3,7 +3,7 @@
 Rotations are learned on a bounded sample so that the signs of the rotated vectors are balanced
 binary codes that keep angles; several rotations, from different starts, give a longer code.  The
 code is cut into segments, and every segment is a table: vectors with an equal segment (and label)
-meet in a bucket.  Inside a bucket the original vectors are compared in double precision, block by
+meet in a bucket.  Every dimension that occurs has rotations and buckets of its own.  Inside a bucket the original vectors are compared in double precision, block by
 block; a pair that also met in an earlier table is counted there only.  A large bucket is dealt out
 as pairs of blocks, so no task gets a whole one.
 """
@@ -91,12 +91,11 @@ def near_vectors(
     they meet in a table; equal vectors always do.  At the cosine 0.98 a bit differs with
     probability 0.064, so a pair shares one of 20 segments of 16 bits with probability 0.9998, and
     closer pairs more surely.  ``width`` should grow with the logarithm of the rows of a label, and
-    ``tables`` with it, to keep buckets small.  ``sample`` bounds what the driver learns from; every
-    row is indexed.
+    ``tables`` with it, to keep buckets small.  ``sample`` bounds what the driver learns from,
+    over all dimensions; every row is indexed, by the quantiser of its vector's dimension.
 
     A null id, label or vector, a zero vector, and one with null or non-finite components link with
-    nothing and are their own component; a vector whose dimension is not the table's most frequent
-    one links with its equals only.  Repeated rows are vectors of their own that link as copies; an
+    nothing and are their own component; vectors of different dimensions never link.  Repeated rows are vectors of their own that link as copies; an
     empty table gives an empty one; other columns are not read.
     """
     base = vectors.select(
@@ -135,16 +134,18 @@ def near_vectors(
     )
 
 
-def _sampled(classes: DataFrame, sample: int) -> np.ndarray | None:
-    """About ``sample`` vectors of the most frequent dimension, those with the smallest hashes."""
-    size = F.size("vector")
-    common = classes.groupBy(size.alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if common is None:
-        return None
-    chance = min(1.0, sample / common["count"])
-    hashed = f"pmod(xxhash64(vector), 1000000) < {chance} * 1000000"
-    rows = classes.where(size == common["size"]).where(hashed).select("vector").collect()
-    return unit(sorted(r["vector"] for r in rows), common["size"]) if rows else None
+def _sampled(classes: DataFrame, sample: int) -> dict[int, np.ndarray]:
+    """About ``sample`` vectors in all, by dimension: an equal number of each, or all it has, those
+    with the smallest hashes."""
+    counts = {r["size"]: r["count"] for r in classes.groupBy(F.size("vector").alias("size")).count().collect()}
+    chances = "".join(f" WHEN {d} THEN {min(1.0, sample / len(counts) / n)}D" for d, n in counts.items())
+    if not counts:
+        return {}
+    hashed = f"pmod(xxhash64(vector), 1000000) < CASE size(vector){chances} END * 1000000"
+    found: dict[int, list] = {d: [] for d in counts}
+    for row in classes.where(hashed).select("vector").collect():
+        found[len(row["vector"])].append(row["vector"])
+    return {d: unit(sorted(rows), d) for d, rows in sorted(found.items())}
 
 
 def _links(
@@ -153,28 +154,33 @@ def _links(
     """``class, links, other``: how many rows of other classes a class links with, bucket by bucket,
     and the smallest class it is connected with inside that bucket (null if it is that itself)."""
     picked = _sampled(classes, sample)
-    if picked is None:
+    if not picked:
         return classes.sparkSession.createDataFrame([], _FOUND)
-    size = picked.shape[1]
-    model = classes.sparkSession.sparkContext.broadcast(learn(picked, width * tables, width))
+    models = {d: learn(rows, width * tables, width) for d, rows in picked.items()}
+    shared_models = classes.sparkSession.sparkContext.broadcast(models)
     label = classes.schema["label"].dataType
-    coded = schema_of(**{"class": "long"}, label=label, copies="long", vector="array<double>", segments="array<long>")
+    coded = schema_of(
+        **{"class": "long"}, label=label, copies="long", size="int", vector="array<double>", segments="array<long>"
+    )
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = unit(batch.column(3).to_pylist(), size)
-            found = [pa.array(list(rows), pa.list_(pa.float64()))]
-            found.append(pa.array(list(model.value.segments(rows)), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *found], coded.fieldNames())
+            sizes = batch.column(3).to_numpy()
+            for size in np.unique(sizes).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                rows = unit(part.column(4).to_pylist(), size)
+                found = [pa.array(list(rows), pa.list_(pa.float64()))]
+                found.append(pa.array(list(shared_models.value[size].segments(rows)), pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *found], coded.fieldNames())
 
     codes = stored(
-        classes.where(F.size("vector") == size)
-        .select("class", "label", "copies", F.col("vector").cast("array<double>"))
-        .mapInArrow(code, coded),
+        classes.select(
+            "class", "label", "copies", F.size("vector").alias("size"), F.col("vector").cast("array<double>")
+        ).mapInArrow(code, coded),
         "vector-codes",
     )
-    bucket = ["label", "table", "segment"]
-    entries = codes.select("class", "label", F.posexplode("segments").alias("table", "segment"))
+    bucket = ["size", "label", "table", "segment"]
+    entries = codes.select("class", "size", "label", F.posexplode("segments").alias("table", "segment"))
     shared = stored(
         entries.groupBy(*bucket)
         .count()
@@ -189,17 +195,18 @@ def _links(
     )
     dealt = (
         codes.join(met, "class")
-        .select("class", "label", "copies", "vector", "segments", F.inline("met"))
+        .select("class", "size", "label", "copies", "vector", "segments", F.inline("met"))
         .withColumn("own", F.expr("CAST(pmod(xxhash64(class), blocks) AS INT)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     )
     group = [*bucket, "low", "high"]
-    columns = ["label", "table", "segment", "low", "high", "own", "class", "copies", "segments", "vector"]
+    columns = [*group, "own", "class", "copies", "segments", "vector"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches, 5):
-            yield _compared(rows, least)
+        for portion in _whole_groups(batches, len(group)):
+            for rows in _by_size(*portion):
+                yield _compared(rows, least)
 
     return (
         dealt.select(*columns)
@@ -241,12 +248,22 @@ def _begins(rows: pa.Table, keys: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _by_size(rows: pa.Table, begins: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A portion in parts whose vectors have one dimension."""
+    sizes = rows.column(0).to_numpy()[begins]
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(begins)]
+    ends = np.append(begins, rows.num_rows)
+    for a, b in zip(cuts, cuts[1:]):
+        first = int(ends[a])
+        yield rows.slice(first, int(ends[b]) - first), begins[a:b] - first
+
+
 def _compared(portion: tuple[pa.Table, np.ndarray], least: float) -> pa.RecordBatch:
     rows, begins = portion
     number = rows.num_rows
-    table, low, high, own, name, copies = (rows.column(k).to_numpy() for k in (1, 3, 4, 5, 6, 7))
-    segments = _matrix(rows.column(8), np.int64)
-    vectors = _matrix(rows.column(9), np.float64)
+    table, low, high, own, name, copies = (rows.column(k).to_numpy() for k in (2, 4, 5, 6, 7, 8))
+    segments = _matrix(rows.column(9), np.int64)
+    vectors = _matrix(rows.column(10), np.float64)
     sizes = np.diff(np.append(begins, number))
     links, root = np.zeros(number, np.int64), np.arange(number)
     for a, b in _pairs(vectors, begins, sizes, least):

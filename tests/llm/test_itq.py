@@ -53,6 +53,19 @@ def test_links_and_components(spark, block):
     assert sum(n for n, _ in expected.values()) > 3000
 
 
+def test_every_dimension_is_indexed(spark):
+    rows = vectors()
+    pick = np.random.default_rng(7)
+    short = [(v, n % 2) for n in range(90) for v in [pick.normal(size=20)]]
+    short += [(v * 2.5, label) for v, label in short[:30]]
+    short += [(v + 0.08 * pick.normal(size=20), label) for v, label in short[:40]]
+    short = [(5000 + n, v.astype(np.float32).tolist(), label, "x") for n, (v, label) in enumerate(short)]
+    expected = brute(rows) | brute(short)
+    got = near_vectors(spark.createDataFrame(rows + short, SCHEMA)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == expected
+    assert sum(expected[i][0] for i, *_ in short) > 100
+
+
 def test_recall_close_to_the_limit(spark):
     rows = vectors(5, (2,) * 200, 0.095)
     expected = brute(rows)
