@@ -25,7 +25,7 @@ from .texts import schema_of
 
 @dataclass(frozen=True)
 class Quantiser:
-    """``rotations`` from centred vectors to signs; segments of ``width`` bits."""
+    """``rotations`` from centred vectors to signs; segments of ``width`` bits (0: one table of all)."""
 
     mean: np.ndarray
     rotations: np.ndarray  # dimension x bits
@@ -33,14 +33,16 @@ class Quantiser:
 
     @property
     def tables(self) -> int:
-        return self.rotations.shape[1] // self.width
+        return self.rotations.shape[1] // self.width if self.width else 1
+
+    def signs(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors - self.mean) @ self.rotations > 0
 
     def segments(self, vectors: np.ndarray) -> np.ndarray:
         """One row of segment values per vector; vectors of length one."""
         if not len(vectors):
             return np.empty((0, self.tables), np.int64)
-        signs = (vectors - self.mean) @ self.rotations > 0
-        used = signs[:, : self.tables * self.width].reshape(len(vectors), self.tables, self.width)
+        used = self.signs(vectors)[:, : self.tables * self.width].reshape(len(vectors), self.tables, self.width)
         return used @ (np.int64(1) << np.arange(self.width, dtype=np.int64))
 
 
@@ -63,6 +65,56 @@ def learn(vectors: np.ndarray, bits: int, width: int, rounds: int = 30) -> Quant
     return Quantiser(mean, np.concatenate(turns, axis=1)[:, :bits], width)
 
 
+#: The least share of pairs at the limit that have to meet, measured on so many pairs of each kind,
+#: and how many times the bits asked for may be used to reach it.
+RECALL, _MEASURED, _LONGER = 0.999, 4000, 8
+
+
+def at_limit(vectors: np.ndarray, least: float, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of a sample with partners at the cosine ``least``: apart in any direction, and in the
+    directions in which the sample's vectors differ."""
+    pick = np.random.default_rng(seed)
+    own = vectors[pick.integers(len(vectors), size=_MEASURED)]
+    for away in (pick.normal(size=own.shape), vectors[pick.integers(len(vectors), size=_MEASURED)]):
+        away = away - (away * own).sum(axis=1, keepdims=True) * own
+        long = np.linalg.norm(away, axis=1, keepdims=True)
+        step = np.divide(away, long, out=np.zeros_like(own), where=long > 1e-6)
+        yield own, np.where(long > 1e-6, least * own + np.sqrt(1 - least * least) * step, own)
+
+
+def fitted(vectors: np.ndarray, least: float, width: int, tables: int, rows: int) -> Quantiser:
+    """A quantiser under which at least :data:`RECALL` of the pairs at the limit meet in a table:
+    ``tables`` of ``width`` bits if they do it, else the number and width that compare least for
+    ``rows`` vectors of a label.  One table that holds a whole label always does it."""
+    if not len(vectors):  # nothing to learn from
+        return Quantiser(np.zeros(vectors.shape[1]), np.empty((vectors.shape[1], 0)), 0)
+    model = learn(vectors, width * tables, width)
+    if all((model.segments(a) == model.segments(b)).any(axis=1).mean() >= RECALL for a, b in at_limit(vectors, least)):
+        return model
+    some = vectors[np.random.default_rng(0).permutation(len(vectors))[: 2 * _MEASURED]]
+    model = learn(some[::2], _LONGER * width * tables, width)
+    others = some[1::2] if len(some) > 1 else some  # learned vectors lie farther from the cuts
+    apart = [model.signs(a) != model.signs(b) for a, b in at_limit(others, least)]
+
+    def cost(share: float, number: int) -> float:
+        bucket = share * rows
+        return number * (vectors.shape[1] * max(1.0, bucket / 1024) + bucket)
+
+    best = (cost(1.0, 1), 0, 0)
+    for bits in range(width, 0, -1):
+        most = model.rotations.shape[1] // bits
+        met = [~x[:, : most * bits].reshape(len(x), most, bits).any(axis=2) for x in apart]
+        recall = np.min([np.logical_or.accumulate(x, axis=1).mean(axis=0) for x in met], axis=0)
+        goal = (1 + RECALL) / 2  # other vectors than the sample's meet a little less often
+        if recall[-1] >= goal:
+            number = int(np.argmax(recall >= goal)) + 1
+            _, found = np.unique(Quantiser(model.mean, model.rotations[:, :bits], bits).segments(some), return_counts=True)
+            together = (found * (found - 1)).sum() / max(1, len(some) * (len(some) - 1))
+            best = min(best, (cost(max(together, 0.5**bits), number), bits, number))
+    _, bits, number = best
+    return Quantiser(model.mean, model.rotations[:, : bits * number], bits)
+
+
 def unit(rows: list, size: int) -> np.ndarray:
     vectors = np.array(rows, np.float64).reshape(-1, size)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -88,10 +140,13 @@ def near_vectors(
     """``vec_id, n_links, component_id, kept`` per row of ``vectors``.
 
     Two rows link if their labels are equal, the cosine of their vectors is at least ``least`` and
-    they meet in a table; equal vectors always do.  At the cosine 0.98 a bit differs with
-    probability 0.064, so a pair shares one of 20 segments of 16 bits with probability 0.9998, and
-    closer pairs more surely.  ``width`` should grow with the logarithm of the rows of a label, and
-    ``tables`` with it, to keep buckets small.  ``sample`` bounds what the driver learns from,
+    they meet in a table; equal vectors always do.  If the vectors' mean is near zero, a bit differs
+    at the cosine 0.98 with probability 0.064 at most, so a pair shares one of 20 segments of 16 bits
+    with probability 0.9998, and closer pairs more surely.  Centring widens the angles where the mean
+    is large; so the share that meets is measured on pairs at the limit around the sample's vectors,
+    and where ``tables`` of ``width`` bits give less than 0.999, more or narrower tables are used (see
+    :func:`fitted`), up to one that holds a whole label.  ``width`` should grow with the logarithm of
+    the rows of a label, and ``tables`` with it, to keep buckets small.  ``sample`` bounds what the driver learns from,
     over all dimensions; every row is indexed, by the quantiser of its vector's dimension.
 
     A null id, label or vector, a zero vector, and one with null or non-finite components link with
@@ -134,10 +189,12 @@ def near_vectors(
     )
 
 
-def _sampled(classes: DataFrame, sample: int) -> dict[int, np.ndarray]:
+def _sampled(classes: DataFrame, sample: int) -> dict[int, tuple[np.ndarray, int]]:
     """About ``sample`` vectors in all, by dimension: an equal number of each, or all it has, those
-    with the smallest hashes."""
-    counts = {r["size"]: r["count"] for r in classes.groupBy(F.size("vector").alias("size")).count().collect()}
+    with the smallest hashes; and the most vectors of one label."""
+    sizes = classes.groupBy(F.size("vector").alias("size"), "label").count().groupBy("size")
+    sizes = sizes.agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()
+    counts, most = {r["size"]: r["n"] for r in sizes}, {r["size"]: r["most"] for r in sizes}
     chances = "".join(f" WHEN {d} THEN {min(1.0, sample / len(counts) / n)}D" for d, n in counts.items())
     if not counts:
         return {}
@@ -145,7 +202,7 @@ def _sampled(classes: DataFrame, sample: int) -> dict[int, np.ndarray]:
     found: dict[int, list] = {d: [] for d in counts}
     for row in classes.where(hashed).select("vector").collect():
         found[len(row["vector"])].append(row["vector"])
-    return {d: unit(sorted(rows), d) for d, rows in sorted(found.items())}
+    return {d: (unit(sorted(rows), d), most[d]) for d, rows in sorted(found.items())}
 
 
 def _links(
@@ -156,7 +213,7 @@ def _links(
     picked = _sampled(classes, sample)
     if not picked:
         return classes.sparkSession.createDataFrame([], _FOUND)
-    models = {d: learn(rows, width * tables, width) for d, rows in picked.items()}
+    models = {d: fitted(rows, least, width, tables, most) for d, (rows, most) in picked.items()}
     shared_models = classes.sparkSession.sparkContext.broadcast(models)
     label = classes.schema["label"].dataType
     coded = schema_of(

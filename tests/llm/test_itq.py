@@ -5,7 +5,7 @@ import pytest
 from conftest import rows_of
 from test_components import brute as components_of
 
-from spillway.llm.itq import learn, learn_rotation, near_vectors, unit
+from spillway.llm.itq import RECALL, at_limit, fitted, learn, learn_rotation, near_vectors, unit
 
 SCHEMA = "vec_id long, embedding array<float>, label int, class string"
 
@@ -74,6 +74,34 @@ def test_recall_close_to_the_limit(spark):
     assert sum(got.values()) >= 0.98 * sum(n for n, _ in expected.values()) > 100
 
 
+def off_centre(norm, count=6000, size=64):
+    pick = np.random.default_rng(4)
+    centre = unit(pick.normal(size=size), size) * norm / np.sqrt(1 - norm * norm)
+    return unit(unit(pick.normal(size=(count, size)), size) + centre, size)
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.83, 0.9, 0.95, 0.99])
+def test_recall_off_centre(norm):
+    sample = off_centre(norm)
+    model = fitted(sample[:4000], 0.98, 16, 20, 1_000_000)
+    for a, b in at_limit(sample[4000:], 0.98, 9):
+        assert (model.segments(a) == model.segments(b)).any(axis=1).mean() >= RECALL - 0.002
+    assert norm or (model.width, model.tables) == (16, 20)
+    assert norm > 0.95 or model.width >= 8
+
+
+def test_links_off_centre(spark):
+    own = off_centre(0.95, 500)
+    every = np.concatenate([own] + [b[:500] for a, b in at_limit(own, 0.981)])
+    rows = [(n, v.astype(np.float32).tolist(), 0, "x") for n, v in enumerate(every)]
+    rows += [(9000, [1.0, 2.0, 3.0], 0, "x"), (9001, [1.0, 2.1, 3.0], 0, "x")]
+    expected = brute(rows[:-2]) | {9000: (1, 9000), 9001: (1, 9000)}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got.keys() == expected.keys() and all(got[i][0] <= n for i, (n, _) in expected.items())
+    assert got[9001] == expected[9001]
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in expected.values()) > 500
+
+
 def test_null_ids_and_empty_table(spark):
     rows = [(None, [1.0, 2.0], 0, "x"), (None, [1.0, 2.0], 0, "x"), (3, [1.0, 2.0], 0, "x"), (4, [1.0, 2.0], 0, "x")]
     got = [tuple(r) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()]
