@@ -1,8 +1,8 @@
-"""SimHash fingerprints and their near duplicates by multi-index hashing.
+"""SimHash fingerprints and their near duplicates by an index of Hamming balls.
 
-The fingerprint is cut into segments.  For each segment the values in a small Hamming ball around
-its own value are enumerated, and each of them, in place of the segment, is an entry of the index.
-Two fingerprints at distance d meet at an entry exactly if each of them can walk half of d, so balls
+The values in a small Hamming ball around the whole fingerprint are enumerated, and each of them is
+an entry of the index; there are no segments and no tables per segment.  The ball has half the
+wanted distance as its radius: 65 entries a fingerprint for 2 bits, 2,081 for 4.  Two fingerprints at distance d meet at an entry exactly if each of them can walk half of d, so balls
 of half the wanted distance find every pair.  An entry holds the distinct fingerprints within one
 ball around it and no more, however many near copies a text has; all of an entry's fingerprints are
 linked to its smallest, after the complete distance is verified.  No pair list is ever built.
