@@ -163,8 +163,10 @@ def mixed(docs: DataFrame, mix: Mix, epoch: str = "epoch") -> DataFrame:
     replaced), once for each epoch they are taken in.
 
     The documents of an epoch that a leaf does not finish are those that begin before its budget
-    ends, so a leaf goes over its budget by less than one document.  Rows that repeat an id have one
-    place in the order and are taken or left together.  Nulls in a level are a value of their own;
+    ends, so a leaf goes over its budget by less than the tokens of one id: one document where ids
+    are unique.  Rows that repeat an id, and all rows with a null (or empty) id, have one place in the
+    order and are taken or left together, so a leaf can pass its budget by up to all their tokens in
+    it.  Nulls in a level are a value of their own;
     a null text has no tokens and is taken if its place is before the end; a leaf without tokens has
     no budget and gives nothing; an empty table gives an empty one.
     """
