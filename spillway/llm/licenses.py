@@ -135,6 +135,10 @@ def spans(
     return out
 
 
+#: Hits, of four numbers each, that may be broadcast with their texts' ids.
+MOST_HITS = 500_000
+
+
 def license_scan(
     docs: DataFrame,
     known: tuple[Template, ...] | None = None,
@@ -155,7 +159,8 @@ def license_scan(
     Null and empty texts have no words.  Repeated rows have equal results; a null id is an id like
     any other; an empty table gives an empty one; other columns are not read.  Templates have at
     least ``k`` words.  Only the hits per diagonal are shuffled; they return to the texts by a join
-    on id and text hash, broadcast where their number allows it.
+    on id and text hash, broadcast where the number of texts and that of all their hits
+    (:data:`MOST_HITS`) allow it.
     """
     known = known or templates()
     if any(len(t.words) < k for t in known):
@@ -166,6 +171,8 @@ def license_scan(
         .agg(F.collect_list(F.struct("template", "diagonal", "first", "last")).alias("hits")),
         "licence-votes",
     ).withColumnsRenamed({"id": "_id", "text_key": "_text_key"})
+    number = per_text.agg(F.sum(F.size("hits"))).first()[0] or 0
+    hits_side = small(per_text) if number <= MOST_HITS else per_text
     base = docs.select(F.col(doc_id).alias("id"), _text_key(text).alias("text_key"), F.col(text).alias("_text"))
     same = base["id"].eqNullSafe(per_text["_id"]) & (base["text_key"] == per_text["_text_key"])
     schema = schema_of(
@@ -187,7 +194,7 @@ def license_scan(
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema.fieldNames())
 
-    return base.join(small(per_text), same, "left").select("id", "_text", "hits").mapInArrow(run, schema)
+    return base.join(hits_side, same, "left").select("id", "_text", "hits").mapInArrow(run, schema)
 
 
 def _verdict(words, hits, known, k, drift, least) -> tuple:

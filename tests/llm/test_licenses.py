@@ -5,6 +5,7 @@ import re
 
 from conftest import TEXTS, rows_of, table, words
 
+from spillway.llm import licenses
 from spillway.llm.license_texts import NOTICES, PHRASES
 from spillway.llm.licenses import license_scan
 
@@ -68,3 +69,14 @@ def test_changed_notices(spark):
         if label != "apache-2":  # its first half has the phrase
             assert label not in rows[100 + n]["labels"].split(",")
             assert 0.3 < rows[100 + n]["score"] < 0.8
+
+
+def test_many_hits_are_not_broadcast(spark, monkeypatch):
+    phrase = "Released under the MIT License. "
+    docs = table(spark, [(1, phrase * 300), (2, "no licence here at all")])
+    hinted = lambda f: "strategy=broadcast" in f._jdf.queryExecution().analyzed().toString()
+    usual = license_scan(docs)
+    monkeypatch.setattr(licenses, "MOST_HITS", 200)
+    many = license_scan(docs)
+    assert hinted(usual) and not hinted(many)
+    assert sorted(map(str, usual.collect())) == sorted(map(str, many.collect()))
