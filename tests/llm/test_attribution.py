@@ -3,7 +3,7 @@
 from collections import Counter
 
 import public_tokenizers
-from conftest import TEXTS, rows_of
+from llm_helpers import TEXTS, rows_of
 
 from spillway.llm.attribution import attributed_tokens
 from spillway.llm.tokens import WordEncoder

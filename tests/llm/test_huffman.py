@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import TEXTS, rows_of
+from llm_helpers import TEXTS, rows_of
 
 from spillway.llm.huffman import Code, code_lengths, ids_written_and_read
 from spillway.llm.tokens import WordEncoder

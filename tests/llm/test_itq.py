@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import rows_of
+from llm_helpers import rows_of
 from test_components import brute as components_of
 
 from spillway.llm.itq import RECALL, at_limit, fitted, learn, learn_rotation, near_vectors, unit

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import TEXTS, rows_of
+from llm_helpers import TEXTS, rows_of
 
 from spillway.llm.lattice_lm import Lattice, Pieces, lattice_scores, learned, pieces_of, word_counts
 from spillway.llm.texts import held_out

@@ -3,7 +3,7 @@
 import random
 import re
 
-from conftest import TEXTS, rows_of, table, words
+from llm_helpers import TEXTS, rows_of, table, words
 
 from spillway.llm import licenses
 from spillway.llm.license_texts import NOTICES, PHRASES

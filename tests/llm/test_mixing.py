@@ -5,7 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import rows_of, table
+from llm_helpers import rows_of, table
 
 from spillway.llm.mixing import Mix, budgets, mixed
 

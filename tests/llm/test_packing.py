@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import TEXTS, rows_of
+from llm_helpers import TEXTS, rows_of
 
 from spillway.llm.packing import best_fit, packed, token_pieces
 from spillway.llm.tokens import WordEncoder

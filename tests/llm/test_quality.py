@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import TEXTS, rows_of
+from llm_helpers import TEXTS, rows_of
 
 from spillway.llm.boosting import Settings, fitted
 from spillway.llm.quality_model import FEATURES, accepted, fit_quality, quality_scores, statistics

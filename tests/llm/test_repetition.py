@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import TEXTS, rows_of, words
+from llm_helpers import TEXTS, rows_of, words
 
 from spillway.llm.repetition import RepetitionRules, measures, passing, repetition_rules
 

@@ -4,7 +4,7 @@ import re
 
 import pytest
 import xxhash
-from conftest import TEXTS, rows_of, table, words
+from llm_helpers import TEXTS, rows_of, table, words
 from test_components import brute as components_of
 
 from spillway.llm.simhash import fingerprint, near_links, one_per_group, simhash_near_duplicates

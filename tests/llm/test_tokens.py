@@ -3,7 +3,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import words
+from llm_helpers import words
 
 from spillway.llm.tokens import WordEncoder
 
