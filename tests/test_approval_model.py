@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from conftest import SMALL, book
+from helpers import SMALL, book
 
 from spillway import plans
 from spillway.catalog import QUERIES

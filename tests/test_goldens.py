@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import book, dicts
+from helpers import book, dicts
 
 from spillway import plans
 from spillway.functions import LOAN_LADDER

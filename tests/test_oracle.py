@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import compare
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 
 import __spark_entry__ as registry
 from spillway.catalog import QUERIES

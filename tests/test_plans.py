@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 
 from spillway.catalog import QUERIES
 from spillway.catalog.reports import REPORTS

@@ -7,7 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import book, dicts
+from helpers import book, dicts
 
 from spillway import plans
 from spillway.functions import LOAN_LADDER

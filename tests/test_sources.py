@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import SMALL, book, dicts, events, table
+from helpers import SMALL, book, dicts, events, table
 
 from spillway import plans
 from spillway.operators import constraint_violations, stage_counts

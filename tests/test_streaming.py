@@ -6,7 +6,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import dicts, events, log
+from helpers import dicts, events, log
 
 from spillway.functions import LOAN_LADDER, StageLog
 from spillway.operators import funnel, service_breaches, stage_counts
