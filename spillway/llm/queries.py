@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     attribution,
+    hard_negatives,
     huffman,
     itq,
     lattice_lm,
@@ -93,6 +94,12 @@ def op10_simhash_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    moved = "CASE WHEN id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+    return hard_negatives.hard_negatives(vectors, label_rule=moved)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,6 +128,7 @@ QUERIES = _registered(
     op8_itq_near_dups,
     op9_license_scan,
     op10_simhash_near_dups,
+    op13_hard_negatives,
     pipeline,
 )
 

