@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     attribution,
@@ -17,6 +18,7 @@ from . import (
     quality_model,
     repetition,
     simhash,
+    whitening,
 )
 from .statements import STATEMENTS
 from .storage import workers_find_package
@@ -94,6 +96,20 @@ def op10_simhash_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per vector and component; ``deviation`` is null where it is beyond a long."""
+    rows = whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return rows.select("*", F.posexplode("whitened").alias("place", "value")).selectExpr(
+        "vec_id",
+        "place + 1 AS component",
+        "n",
+        "try_cast(deviation AS BIGINT) AS deviation",
+        "value AS whitened",
+        "explained[place] AS explained",
+        "identity_error",
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     moved = "CASE WHEN id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
@@ -128,6 +144,7 @@ QUERIES = _registered(
     op8_itq_near_dups,
     op9_license_scan,
     op10_simhash_near_dups,
+    op11_embedding_whitening,
     op13_hard_negatives,
     pipeline,
 )

@@ -21,6 +21,7 @@ CONTRACT = {
     "op8_itq_near_dups": "vec_id n_links component_id kept",
     "op9_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op10_simhash_near_dups": "doc_id fingerprint component_id",
+    "op11_embedding_whitening": "vec_id component n deviation whitened explained identity_error",
     "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
     "pipeline": "doc_id piece start length ids sequence_id offset",
 }
