@@ -18,6 +18,7 @@ from . import (
     quality_model,
     repetition,
     simhash,
+    suffix_dedup,
     whitening,
 )
 from .statements import STATEMENTS
@@ -110,6 +111,16 @@ def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, folder)).selectExpr(
+        "doc_id",
+        "n_bytes",
+        "n_bytes - length(kept) AS n_removed",
+        "CAST(size(spans) AS BIGINT) AS n_spans",
+        "sha2(kept, 256) AS kept_sha256",
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     moved = "CASE WHEN id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
@@ -145,6 +156,7 @@ QUERIES = _registered(
     op9_license_scan,
     op10_simhash_near_dups,
     op11_embedding_whitening,
+    op12_suffix_dedup,
     op13_hard_negatives,
     pipeline,
 )

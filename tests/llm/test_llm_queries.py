@@ -22,6 +22,7 @@ CONTRACT = {
     "op9_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op10_simhash_near_dups": "doc_id fingerprint component_id",
     "op11_embedding_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op12_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
     "pipeline": "doc_id piece start length ids sequence_id offset",
 }
