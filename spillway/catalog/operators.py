@@ -36,6 +36,8 @@ from ..operators import (
     response_gaps,
     stage_counts,
     stage_transitions,
+    strict_cohorts,
+    strict_progress,
     tally,
     transition_summary,
     within_year,
@@ -790,6 +792,15 @@ def click_furthest(log):
     return furthest_stage(log)
 
 
+def click_strict(log):
+    """How far user-days come when the stages count in order and within six hours."""
+    return strict_progress(log, 6 * 3600).select("visit_id", "stage_order", "entered_on")
+
+
+def click_strict_cohorts(log):
+    return strict_cohorts(log, period="week")
+
+
 def click_days(log):
     return period_reach(log, "day")
 
@@ -817,7 +828,7 @@ _OVER_BOOK = (
 )
 _OVER_CLICKS = (
     click_funnel, click_transitions, click_transitions_all, click_steps, click_journeys, click_response_gaps,
-    click_furthest, click_days,
+    click_furthest, click_strict, click_strict_cohorts, click_days,
 )
 
 OPERATORS = {

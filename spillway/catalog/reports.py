@@ -11,6 +11,8 @@ from ..sources import loan_book_from_orders
 # The order data runs from 1995 to 2001: report parameters that make sense for it.
 TREND_YEAR = 1997
 AS_OF = dt.date(2001, 12, 31)
+#: About the median journey, so that the window cuts some chains short.
+STRICT_DAYS = 9
 #: A little below the mean of 30 cells, so that the filter takes some away at every size.
 MIN_PERMILLE = 32
 
@@ -53,6 +55,9 @@ REPORTS = {
     "time_to_convert_by_channel": over_book(plans.time_to_convert_by_channel),
     "cohort_by_registration_month": over_book(plans.cohort_by_registration_month),
     "cohort_by_application_month": over_book(plans.cohort_by_application_month),
+    "strict_cohort_by_application_month": over_book(
+        plans.strict_cohort_by_application_month, within_days=STRICT_DAYS
+    ),
     "approval_breaches": over_book(plans.approval_breaches, as_of=AS_OF),
     "registration_step": over_book(plans.registration_step),
     "fast_review_experiment": over_book(plans.fast_review_experiment),

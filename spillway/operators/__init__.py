@@ -16,6 +16,7 @@ from .quality import (
 from .responses import differences, response_gaps
 from .segments import outcomes, roll_up, segment_conversion, tally
 from .service_levels import service_breaches
+from .strict import strict_cohorts, strict_progress
 from .stuck import stuck_report
 from .transitions import next_stages, stage_transitions, transition_summary
 from .volumes import drop_offs, funnel, reach_totals, stage_counts
@@ -46,6 +47,8 @@ __all__ = [
     "service_breaches",
     "stage_counts",
     "stage_transitions",
+    "strict_cohorts",
+    "strict_progress",
     "stuck_report",
     "table_row_counts",
     "tally",

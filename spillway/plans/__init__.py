@@ -8,6 +8,7 @@ from .follow_ups import (
     cohort_by_registration_month,
     fast_review_experiment,
     registration_step,
+    strict_cohort_by_application_month,
 )
 from .funnel_reports import (
     biggest_dropoff,
@@ -68,6 +69,7 @@ __all__ = [
     "stage_dropoff",
     "stage_durations",
     "stage_month_heatmap",
+    "strict_cohort_by_application_month",
     "stuck_applications",
     "time_to_convert_by_channel",
     "time_to_convert_by_loan_type",

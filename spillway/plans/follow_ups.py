@@ -13,6 +13,7 @@ from ..operators import (
     response_gaps,
     segment_conversion,
     service_breaches,
+    strict_cohorts,
     two_proportion_test,
 )
 from ..operators.segments import TOTAL, conversion_pct
@@ -51,6 +52,11 @@ def cohort_by_application_month(book: LoanBook) -> DataFrame:
     ).orderBy("cohort_month")
 
 
+def strict_cohort_by_application_month(book: LoanBook, within_days: int | None = None) -> DataFrame:
+    """The cohorts again, counting only applications that went through all stages in order."""
+    return strict_cohorts(book.log, None if within_days is None else within_days * 86_400)
+
+
 def approval_breaches(
     book: LoanBook, working_days: int = 5, as_of: dt.date = dt.date(2024, 1, 1)
 ) -> DataFrame:
