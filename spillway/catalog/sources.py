@@ -14,15 +14,17 @@ from ..operators import (
     Unique,
     constraint_violations,
 )
-from ..plans import conv_by_loan_type, create_views, funnel_overview
+from ..plans import StandingViews, conv_by_loan_type, create_views, funnel_overview
 from ..sources import (
     CLUSTERING,
     CONSTRAINTS,
     conform,
     load_delimited,
     loan_book_from_orders,
+    merge_latest,
     read_delimited_book,
     read_parquet_book,
+    read_partitions,
     read_table,
     read_table_book,
     shared_folder,
@@ -214,7 +216,54 @@ def dq_clickstream(spark, folder):
     return constraint_violations({"events": events}, {"events": rules})
 
 
+def partition_reload(spark, folder):
+    """Events in partitions by day: a first load with wrong stages and days, then corrections of some
+    days, loaded twice; the latest version of every event is what stays."""
+    place = shared_folder(spark, "event-days")
+    events = loan_book_from_orders(spark, folder).application_events
+    right = events.selectExpr("event_id", "application_id", "stage", "event_timestamp", "2 AS version")
+    wrong = right.selectExpr(
+        "event_id",
+        "application_id",
+        "IF(event_id % 11 = 0, 'lost', stage) AS stage",
+        "IF(event_id % 13 = 0, event_timestamp + INTERVAL 400 DAYS, event_timestamp) AS event_timestamp",
+        "1 AS version",
+    )
+    day = "CAST(trunc(event_timestamp, 'month') AS DATE) AS event_month"
+    corrections = right.where("event_id % 11 = 0 OR event_id % 13 = 0").selectExpr("*", day)
+    for load in (wrong.selectExpr("*", day), corrections, corrections):
+        merge_latest(load, place, "event_month", ["event_id"], "version")
+    return (
+        read_partitions(spark, place, corrections)
+        .groupBy("event_month", "stage")
+        .agg(*columns(["count(1) AS n", "sum(event_id) AS event_sum", "max(event_timestamp) AS last_at"]))
+    )
+
+
+def _standing(view):
+    """A view after three loads, of which one brings late events of the others, and the last comes
+    twice."""
+
+    def query(spark, folder):
+        book = loan_book_from_orders(spark, folder)
+        views = StandingViews(spark, shared_folder(spark, "standing-views"))
+        late = "event_id % 7 = 3 AND application_id % 3 < 2"
+        for number in (0, 1, 2, 2):
+            events = book.application_events.where(
+                f"IF({late}, {number} = 2, application_id % 3 = {number})"
+            )
+            applications = book.loan_applications.where(f"application_id % 3 = {number}")
+            views.load(number, events, applications, book.applicants)
+        return getattr(views, view)()
+
+    return query
+
+
 SOURCES = {
+    "partition_reload": partition_reload,
+    "standing_channel_performance": _standing("channel_performance"),
+    "standing_segment_conversion": _standing("segment_conversion"),
+    "standing_executive_dashboard": _standing("executive_dashboard"),
     "load_csv": load_csv,
     "load_csv_book": load_csv_book,
     "bucketed_tables": bucketed_tables,

@@ -121,6 +121,13 @@ _TABLE_NAMES = "applicants|loan_applications|application_events|credit_profiles"
 _VIEW_NAMES = [v for v in REPORTS if v.startswith("vw_")]
 
 SOURCES = {
+    "partition_reload": """
+SELECT CAST(date_trunc('month', event_timestamp) AS DATE) AS event_month, stage, count(*) AS n,
+       CAST(sum(event_id) AS BIGINT) AS event_sum, max(event_timestamp) AS last_at
+FROM application_events GROUP BY 1, 2""",
+    "standing_channel_performance": REPORTS["vw_channel_performance"],
+    "standing_segment_conversion": REPORTS["vw_segment_conversion"],
+    "standing_executive_dashboard": REPORTS["vw_executive_dashboard"],
     "load_csv": "SELECT * FROM loan_applications",
     "load_csv_book": """
 SELECT 'applicants' AS "table", count(*) AS n, CAST(sum(applicant_id) AS BIGINT) AS key_sum,

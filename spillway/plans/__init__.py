@@ -29,6 +29,7 @@ from .segment_reports import (
     conv_channel_x_loan,
     segment_performance,
 )
+from .standing_views import StandingViews
 from .timing_reports import (
     journey_durations,
     response_tier_conversion,
@@ -42,6 +43,7 @@ __all__ = [
     "approval_features",
     "approval_probability",
     "fit_approval",
+    "StandingViews",
     "VIEWS",
     "approval_breaches",
     "biggest_dropoff",

@@ -26,7 +26,7 @@ def executive_dashboard(book: LoanBook) -> DataFrame:
     amounts = book.loan_applications.selectExpr("application_id", "loan_amount", "true AS on_book")
     paid = f"{reached(log, end)} = 1"
     days = days_between(f"first_{start}", f"last_{end}")
-    return (
+    return dashboard_figures(
         entity_progress(log, first_of=[start], last_of=[end])
         .join(amounts, "application_id", "left")
         .agg(
@@ -34,22 +34,27 @@ def executive_dashboard(book: LoanBook) -> DataFrame:
                 [
                     f"coalesce(sum({reached(log, start)}), 0L) AS submitted",
                     f"coalesce(sum({reached(log, end)}), 0L) AS disbursed",
-                    f"{mean_of(f'sum({days})', f'count({days})', 1)} AS avg_days_to_disburse",
+                    f"sum({days}) AS days",
+                    f"count({days}) AS days_known",
                     f"sum(IF({paid}, loan_amount, 0)) FILTER (WHERE on_book) AS paid_out",
                     f"sum(IF({paid}, 0, loan_amount)) FILTER (WHERE on_book) AS at_risk",
                 ]
             )
         )
-        .selectExpr(
-            "submitted AS total_applications",
-            "disbursed AS total_disbursed",
-            "submitted - disbursed AS total_lost",
-            f"{percent('disbursed', 'submitted')} AS end_to_end_conv_pct",
-            f"{percent('submitted - disbursed', 'submitted')} AS overall_dropoff_pct",
-            "avg_days_to_disburse",
-            "paid_out AS total_disbursed_value",
-            "at_risk AS pipeline_at_risk",
-        )
+    )
+
+
+def dashboard_figures(sums: DataFrame) -> DataFrame:
+    """The snapshot from its additive figures, one row."""
+    return sums.selectExpr(
+        "submitted AS total_applications",
+        "disbursed AS total_disbursed",
+        "submitted - disbursed AS total_lost",
+        f"{percent('disbursed', 'submitted')} AS end_to_end_conv_pct",
+        f"{percent('submitted - disbursed', 'submitted')} AS overall_dropoff_pct",
+        f"{mean_of('days', 'days_known', 1)} AS avg_days_to_disburse",
+        "paid_out AS total_disbursed_value",
+        "at_risk AS pipeline_at_risk",
     )
 
 

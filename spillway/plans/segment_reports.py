@@ -52,9 +52,13 @@ def conv_by_loan_type(book: LoanBook) -> DataFrame:
 
 def segment_performance(book: LoanBook) -> DataFrame:
     """Loan types with their conversion rank."""
+    return segment_figures(_loan_types(book))
+
+
+def segment_figures(tallies: DataFrame) -> DataFrame:
+    """The report from tallies per loan type."""
     return (
-        _loan_types(book)
-        .selectExpr(
+        tallies.selectExpr(
             f"{display_name('loan_type')} AS loan_type",
             TOTAL,
             *_VERIFIED,
@@ -91,9 +95,13 @@ def conv_by_channel(book: LoanBook) -> DataFrame:
 
 def channel_performance(book: LoanBook) -> DataFrame:
     """Channels with their share and their distance from the overall rate."""
+    return channel_figures(_channels(book))
+
+
+def channel_figures(tallies: DataFrame) -> DataFrame:
+    """The report from tallies per channel."""
     return (
-        _channels(book)
-        .selectExpr(
+        tallies.selectExpr(
             f"{display_name('acquisition_channel')} AS channel",
             TOTAL,
             *_APPROVED,

@@ -13,6 +13,7 @@ from .files import (
     write_report,
 )
 from .orders import clickstream_log, loan_book_from_orders, read_table
+from .partitions import latest, merge, merge_latest, overwrite_partitions, read_partitions
 from .schemas import CLUSTERING, CONSTRAINTS, DEFAULTS, SCHEMAS
 from .scratch import remove_folder, shared_folder
 
@@ -24,11 +25,16 @@ __all__ = [
     "LoanBook",
     "clickstream_log",
     "conform",
+    "latest",
     "load_delimited",
     "loan_book_from_orders",
+    "merge",
+    "merge_latest",
+    "overwrite_partitions",
     "read_delimited",
     "read_delimited_book",
     "read_parquet_book",
+    "read_partitions",
     "read_table",
     "read_table_book",
     "remove_folder",
