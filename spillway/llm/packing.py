@@ -29,6 +29,8 @@ from .texts import id_type, schema_of, texts_of
 from .tokens import decoded, encoder
 
 _PART, _RANK, _SIZE = "_pack_part", "_pack_rank", "_pack_size"
+#: Texts encoded at once.
+_TEXTS = 256
 
 
 def token_pieces(
@@ -43,16 +45,26 @@ def token_pieces(
     """``doc_id, piece, start, length, ids``: each text's ids (32-bit little-endian) and the end id,
     cut into pieces of ``capacity`` ids, of which the first may be shorter.
 
-    A null or empty text is the end id alone; repeated rows are documents of their own; null ids
-    stay null; an empty table has no pieces; other columns are not read.
+    A null or empty text is the end id alone; a very long one is many pieces; repeated rows are
+    documents of their own; null ids stay null; an empty table has no pieces; other columns are not
+    read.
     """
-    schema = schema_of(doc_id=id_type(docs, doc_id), piece="int", start="long", length="long", ids="binary")
+    texts = docs.select(F.col(doc_id), F.col(text).alias("_text"))
+    return texts.mapInArrow(_cutting(path, end_id, capacity, blanks_count), _pieces(docs, doc_id))
+
+
+def _pieces(docs: DataFrame, doc_id: str) -> T.StructType:
+    return schema_of(doc_id=id_type(docs, doc_id), piece="int", start="long", length="long", ids="binary")
+
+
+def _cutting(path: str, end_id: int, capacity: int, blanks_count: bool):
+    names = ["doc_id", "piece", "start", "length", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(path, blanks_count, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(at, _TEXTS)
                 rows, pieces, starts, lengths, ids = [], [], [], [], []
                 for row, raw in enumerate(library.ids(decoded(texts_of(part.column(1))))):
                     own = np.frombuffer(raw, library.kind).astype("<u4").tobytes()
@@ -66,9 +78,9 @@ def token_pieces(
                         ids.append(own[4 * a : 4 * b])
                 columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32())]
                 columns += [pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(doc_id), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return run
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -139,26 +151,64 @@ def packed(items: DataFrame, length: str = "length", capacity: int = 1024) -> Da
     fills a sequence alone.  Equal items are placed one after the other in an order that depends on
     how the table is split; an empty table gives an empty one.
     """
-    schema = T.StructType(items.schema.fields + schema_of(**{_PART: "int", _SIZE: "long", _RANK: "long"}).fields)
-    place = items.columns.index(length)
+    ranked = _ranking(items.columns.index(length), capacity)
+    return _placed(items.mapInArrow(ranked, _with_ranks(items.schema)), items.columns, capacity)
+
 
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed_documents(
+    docs: DataFrame,
+    path: str,
+    end_id: int,
+    capacity: int = 1024,
+    blanks_count: bool = True,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id", "piece", "start", "length", "ids"),
+) -> DataFrame:
+    """The pieces of :func:`token_pieces`, :func:`packed`; encoding and ranking are one pass.
+
+    ``keep`` is SQL over a piece's columns: what of it is stored and returned.
+    """
+    schema = _pieces(docs, doc_id)
+    cut, ranked = _cutting(path, end_id, capacity, blanks_count), _ranking(3, capacity)
+    texts = docs.select(F.col(doc_id), F.col(text).alias("_text"))
+    rows = texts.mapInArrow(lambda batches: ranked(cut(batches)), _with_ranks(schema))
+    rows = rows.selectExpr(*keep, _PART, _SIZE, _RANK)
+    return _placed(rows, rows.columns[: len(keep)], capacity)
+
+
+def _with_ranks(schema: T.StructType) -> T.StructType:
+    return T.StructType(schema.fields + schema_of(**{_PART: "int", _SIZE: "long", _RANK: "long"}).fields)
+
+
+def _ranking(place: int, capacity: int):
+    """Adds the task, the length in column ``place`` and the rank among the task's rows of that
+    length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             raw = batch.column(place).fill_null(0).to_numpy(zero_copy_only=False)
             sizes = np.clip(raw, 0, capacity).astype(np.int64)
             new = [np.full(len(sizes), part, np.int32), sizes, _ranks(sizes, seen)]
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(x) for x in new], schema.fieldNames())
+            names = [*batch.schema.names, _PART, _SIZE, _RANK]
+            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(x) for x in new], names)
+
+    return run
+
 
-    rows = stored(items.mapInArrow(ranked, schema), "ranked-pieces")
+def _placed(ranked: DataFrame, columns: list[str], capacity: int) -> DataFrame:
+    """The rounds over the histogram of lengths, and every ranked row's place."""
+    rows = stored(ranked, "ranked-pieces")
     counts = stored(rows.groupBy(_SIZE, _PART).agg(F.count("*").alias("n")), "piece-counts")
     per_size = counts.where(f"{_SIZE} > 0").groupBy(_SIZE).agg(F.sum("n").alias("n"))
     table, _ = best_fit({r[_SIZE]: r["n"] for r in per_size.collect()}, capacity)
     before = counts.selectExpr(
         _SIZE, _PART, f"sum(n) OVER (PARTITION BY {_SIZE} ORDER BY {_PART}) - n AS _pack_before"
     )
-    plan = items.sparkSession.sparkContext.broadcast(table)
-    out = T.StructType(items.schema.fields + schema_of(sequence_id="long", offset="long").fields)
+    plan = rows.sparkSession.sparkContext.broadcast(table)
+    kept = [rows.schema[c] for c in columns]
+    out = T.StructType(kept + schema_of(sequence_id="long", offset="long").fields)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = plan.value
@@ -177,6 +227,6 @@ def packed(items: DataFrame, length: str = "length", capacity: int = 1024) -> Da
 
     return (
         rows.join(small(stored(before, "piece-ranks")), [_SIZE, _PART])
-        .select(*items.columns, _SIZE, (F.col(_RANK) + F.col("_pack_before")).alias(_RANK))
+        .select(*columns, _SIZE, (F.col(_RANK) + F.col("_pack_before")).alias(_RANK))
         .mapInArrow(placed, out)
     )

@@ -73,10 +73,8 @@ def op5_quality_gbt(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    pieces = packing.token_pieces(documents(spark, folder), path, 2)
-    return packing.packed(
-        pieces.selectExpr("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32")
-    )
+    keep = ("doc_id", "piece", "start", "length", "crc32(ids) AS ids_crc32")
+    return packing.packed_documents(documents(spark, folder), path, 2, keep=keep)
 
 
 def op7_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:

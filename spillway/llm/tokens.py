@@ -12,7 +12,7 @@ import os
 import sys
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -26,30 +26,33 @@ _RUNS = {
     True: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"),
     False: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
 }
+#: What often ends a word, and is a run of its own.
+_ENDS = ".,;:!?"
 #: New words, and their characters, a memory takes up before it drops those not met since the last
 #: time.
 WORDS_KEPT, CHARACTERS_KEPT = 300_000, 8_000_000
 
 
-class Memory:
-    """Words and what is known of them: those met lately, and those met before that."""
+class Memory(dict):
+    """What ``find`` gives for the words met lately; asks ``before`` for those met before that."""
 
-    def __init__(self):
-        self.lately: dict = {}
-        self.before: dict = {}
-        self.characters = 0
+    def __init__(self, find: Callable[[str], bytes], before: Memory | None = None):
+        self.find, self.before, self.characters = find, before, 0
 
-    def learn(self, words: Iterable[str], find: Callable[[list], Iterable]) -> None:
-        """Know all ``words``; ``find`` gives the values of those never met."""
-        new = set(words).difference(self.lately)
-        if len(self.lately) > WORDS_KEPT or self.characters > CHARACTERS_KEPT:
-            self.before, self.lately, self.characters = self.lately, {}, 0
-            new = set(words)
-        old = new.intersection(self.before)
-        self.lately.update((w, self.before[w]) for w in old)
-        unknown = list(new - old)
-        self.characters += sum(map(len, new))
-        self.lately.update(zip(unknown, find(unknown)))
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word) if self.before is not None else None
+        if found is None:
+            found = self.find(word)
+        self[word] = found
+        self.characters += len(word)
+        return found
+
+    def renewed(self) -> Memory:
+        """Itself, or once it is full a new one that still remembers it, but nothing older."""
+        if len(self) <= WORDS_KEPT and self.characters <= CHARACTERS_KEPT:
+            return self
+        self.before = None
+        return Memory(self.find, self)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -75,14 +78,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model, self.blanks_count = self.library.model, blanks_count
         size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else self._raw([end_id])
         #: How many bytes of text each id stands for.
         self.widths = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.after_blank, self.at_start = Memory(), Memory()
+        self.after_blank = Memory(lambda word: self._word_ids(word, " "))
+        self.at_start = Memory(lambda word: self._word_ids(word, ""))
         self.runs: dict[str, bytes] = {}
         self.newline = self._library_ids("\n")
 
@@ -112,51 +116,51 @@ class WordEncoder:
                 return self._run_ids(before + plain)
         if not plain.isascii() and max(plain) > "ÿ":
             return self._library_ids(before + word)
-        out = []
-        for run in _RUNS[self.blanks_count].findall(before + plain):
-            if (ids := self.runs.get(run)) is None:
-                if len(self.runs) > WORDS_KEPT:
-                    self.runs.clear()
-                ids = self.runs[run] = self._run_ids(run)
-            out.append(ids)
-        return b"".join(out)
+        if word and word[-1] in _ENDS and word[:-1].isalpha():
+            return (self.after_blank if before else self.at_start)[plain[:-1]] + self._known_run(word[-1])
+        return b"".join([self._known_run(run) for run in _RUNS[self.blanks_count].findall(before + plain)])
+
+    def _known_run(self, run: str) -> bytes:
+        if (ids := self.runs.get(run)) is None:
+            if len(self.runs) > WORDS_KEPT:
+                self.runs.clear()
+            ids = self.runs[run] = self._run_ids(run)
+        return ids
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text holds one of the vocabulary's special tokens, which only the library finds."""
+        return any(s in text for s in self.special)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as ``kind`` integers, the end id last."""
+        self.at_start, self.after_blank = self.at_start.renewed(), self.after_blank.renewed()
         if not self.blanks_count:
             return self._separated(texts)
-        cut = [None if _unusual(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        usual = [line for lines in cut if lines for line in lines]
-        self.after_blank.learn(
-            set().union(*[line[1:] for line in usual]), lambda new: (self._word_ids(w, " ") for w in new)
-        )
-        firsts = {line[0] for line in usual}
-        self.at_start.learn(firsts, lambda new: (self._word_ids(w, "") for w in new))
-        known, start, newline = self.after_blank.lately, self.at_start.lately, self.newline
+        known, start, newline = self.after_blank.__getitem__, self.at_start, self.newline
         out = []
-        for text, lines in zip(texts, cut):
-            if lines is None:
+        for text in texts:
+            if _unusual(text) or self._whole(text):
                 out.append(self._library_ids(text) + self.end)
                 continue
             parts = []
-            for line in lines:
+            for line in text.split("\n"):
+                first, *words = line.split(" ")
                 parts.append(newline)
-                parts.append(start[line[0]])
-                parts += [known[w] for w in line[1:]]
+                parts.append(start[first])
+                parts += map(known, words)
             parts.append(self.end)
             out.append(b"".join(parts[1:]))
         return out
 
     def _separated(self, texts: list[str]) -> list[bytes]:
-        # The library's white space does not include the four separators that str.split knows.
-        whole = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        cut = [[] if w else _small(t).split() for t, w in zip(texts, whole)]
-        self.at_start.learn(set().union(*cut), lambda new: (self._word_ids(w, "") for w in new))
-        known = self.at_start.lately
-        return [
-            (self._library_ids(t) if w else b"".join([known[x] for x in c])) + self.end
-            for t, c, w in zip(texts, cut, whole)
-        ]
+        known, out = self.at_start.__getitem__, []
+        for text in texts:
+            # The library's white space does not include the four separators that str.split knows.
+            if any(c in text for c in "\x1c\x1d\x1e\x1f") or self._whole(text):
+                out.append(self._library_ids(text) + self.end)
+            else:
+                out.append(b"".join(map(known, _small(text).split())) + self.end)
+        return out
 
     def ids_and_spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Each text's ids, and rows of first and last-plus-one character, without the end id; for

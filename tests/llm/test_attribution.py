@@ -4,12 +4,12 @@ from collections import Counter
 
 import public_tokenizers
 from llm_helpers import TEXTS, rows_of
+from tokenizers import Tokenizer
 
 from spillway.llm.attribution import attributed_tokens
-from spillway.llm.tokens import WordEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-LIBRARY = WordEncoder(PATH, True).library
+LIBRARY = Tokenizer.from_file(PATH)
 
 
 def brute(text, sections):

@@ -7,16 +7,16 @@ import numpy as np
 import public_tokenizers
 import pytest
 from llm_helpers import TEXTS, rows_of
+from tokenizers import Tokenizer
 
 from spillway.llm.packing import best_fit, packed, token_pieces
-from spillway.llm.tokens import WordEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_pieces(docs, empty):
     rows = rows_of(token_pieces(docs, PATH, 2, 64))
-    library = WordEncoder(PATH, True).library
+    library = Tokenizer.from_file(PATH)
     whole = sorted((str(i), [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in TEXTS)
     texts, open_ = [], {}
     for r in rows:

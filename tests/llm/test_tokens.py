@@ -4,12 +4,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 from llm_helpers import words
+from tokenizers import Tokenizer
 
 from spillway.llm.tokens import WordEncoder
 
 ODD = [
     "", "a", " ", "\n", " a", "a ", "a\n", "\na", "a  b", "a \n b", "x\ty", "don't stop's it's. 's.",
-    "Ⅷ ﬁ é à", "é a ́b", "foo\xa0bar", "<|endoftext|> a<|endoftext|>b", "a\x1cb", "naïve 日本語 テスト 12345 ab12",
+    "Ⅷ ﬁ é à", "é a ́b", "foo\xa0bar", "<|endoftext|> a<|endoftext|>b", "<|startoftext|>x <|ENDOFTEXT|>.", "A. a. B, b.. c.d. .e", "a\x1cb", "naïve 日本語 テスト 12345 ab12",
     "\n\n\nx", "a\n\nb", "😀 x😀y 👩‍👩‍👧", " ́x", "A.B,C!\nD", "word. word, word!! WORD... ΑΣ ΣΑΣ İstanbul ǅ Straße. ﬀ",
     "Ünï. Ö, ŉ ǰ ẞ", "a. b, c? d; e: f! .. ,a", "ªº µ ﬁ. ① ²", "́", "x" * 3000,
 ]
@@ -19,9 +20,10 @@ ODD = [
 def test_same_as_library(name, blanks, monkeypatch):
     monkeypatch.setattr("spillway.llm.tokens.WORDS_KEPT", 50)  # memories turn over
     own = WordEncoder(public_tokenizers.path(name), blanks, 5)
+    library = Tokenizer.from_file(public_tokenizers.path(name))  # as it comes
     for _ in range(2):
         for text in [*ODD, *(words(n, 200) for n in range(5))]:
-            expected = own.library.encode(text, add_special_tokens=False)
+            expected = library.encode(text, add_special_tokens=False)
             assert np.frombuffer(own.ids([text])[0], own.kind).tolist() == [*expected.ids, 5]
             if blanks:
                 ids, spans = own.ids_and_spans([text])[0]
