@@ -41,8 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, piece, start, length, ids, sequence_id, offset``: sequences of at most 1024 ids."""
-    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
-    return packing.packed(pieces)
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
 STAGES = [
