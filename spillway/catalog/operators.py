@@ -25,12 +25,14 @@ from ..functions import (
 from ..operators import (
     drop_offs,
     entity_progress,
+    exact_percentiles,
     funnel,
     furthest_stage,
     journeys,
     next_stages,
     outcomes,
     period_reach,
+    ranked,
     reach_totals,
     reached,
     response_gaps,
@@ -757,6 +759,35 @@ def two_aliases(book):
     )
 
 
+def rank_of_applicants(book):
+    """Every applicant by the share of applications paid out, and by the amount applied for."""
+    log = book.log
+    facts = outcomes(log, book.loan_applications.select("application_id", "applicant_id", "loan_amount"))
+    people = tally(log, facts, ["applicant_id"], ["disbursed"], {"amount": "loan_amount"})
+    by_rate = ranked(people, f"CAST(disbursed AS DOUBLE) / {TOTAL}", "rate_rank")
+    return ranked(by_rate, "amount", "amount_rank").select(
+        "applicant_id", TOTAL, "disbursed", "amount", "rate_rank", "amount_rank"
+    )
+
+
+def percentiles_of_amounts(book):
+    """Quartiles and the ninth decile of the amounts of each loan type."""
+    found = exact_percentiles(book.loan_applications, ["loan_type"], "loan_amount", (0.25, 0.5, 0.75, 0.9))
+    return found.selectExpr("loan_type", "fraction", "n", f"{settled_round('percentile', 3)} AS amount")
+
+
+def median_review_seconds(book):
+    """The median time from submission to review in seconds, of each month."""
+    log = book.log
+    seconds = "(datediff({0}, DATE'1970-01-01') * 86400L + hour({0}) * 3600 + minute({0}) * 60 + CAST(floor(second({0})) AS INT))"
+    waits = entity_progress(log, first_of=["submitted", "under_review"]).selectExpr(
+        "CAST(trunc(first_submitted, 'month') AS DATE) AS submitted_month",
+        f"{seconds.format('first_under_review')} - {seconds.format('first_submitted')} AS wait",
+    )
+    found = exact_percentiles(waits, ["submitted_month"], "wait")
+    return found.selectExpr("submitted_month", "n", f"{settled_round('percentile', 3)} AS median_seconds")
+
+
 # A second, messy log: generic operators with another ladder and entity.
 
 
@@ -824,7 +855,8 @@ _OVER_BOOK = (
     round_to_tenth, round_to_whole, cast_to_double, cast_to_date, year_and_month, month_name,
     hours_crossed, days_crossed, days_until_date, arithmetic, stage_ordinal, bands_age,
     bands_credit, bands_journey, bands_response, outlier_flag, default_for_first_stage,
-    steps_of_steps, relation_used_twice, derived_table, two_aliases,
+    steps_of_steps, relation_used_twice, derived_table, two_aliases, rank_of_applicants,
+    percentiles_of_amounts, median_review_seconds,
 )
 _OVER_CLICKS = (
     click_funnel, click_transitions, click_transitions_all, click_steps, click_journeys, click_response_gaps,

@@ -1,6 +1,7 @@
 """Generic operators over stage logs."""
 
 from .experiments import two_proportion_test
+from .order_statistics import exact_percentiles, ranked
 from .periods import period_reach, period_trend, within_year
 from .progress import entity_progress, furthest_stage, journeys, reached
 from .quality import (
@@ -31,6 +32,7 @@ __all__ = [
     "differences",
     "drop_offs",
     "entity_progress",
+    "exact_percentiles",
     "funnel",
     "furthest_stage",
     "journeys",
@@ -39,6 +41,7 @@ __all__ = [
     "period_reach",
     "period_trend",
     "primary_key",
+    "ranked",
     "reach_totals",
     "reached",
     "response_gaps",

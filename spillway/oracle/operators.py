@@ -346,6 +346,25 @@ GROUP BY applications""",
 SELECT b.application_id, stage_order, date_diff('day', a.t0, event_timestamp) AS days_since_submission
 FROM stage_plan a JOIN application_events b ON a.k = b.application_id JOIN ladder USING (stage)
 WHERE stage <> 'submitted'""",
+    # Order statistics of whole tables.
+    "rank_of_applicants": """
+WITH people AS (
+  SELECT applicant_id, count(*) AS total_applications, count(*) FILTER (WHERE is_disbursed) AS disbursed,
+         CAST(sum(loan_amount) AS BIGINT) AS amount
+  FROM loan_applications JOIN app USING (application_id) GROUP BY applicant_id
+)
+SELECT *, rank() OVER (ORDER BY CAST(disbursed AS DOUBLE) / total_applications DESC NULLS LAST) AS rate_rank,
+       rank() OVER (ORDER BY amount DESC NULLS LAST) AS amount_rank
+FROM people""",
+    "percentiles_of_amounts": """
+SELECT loan_type, fraction, n, round(round(amount, 8), 3) AS amount FROM (
+  SELECT loan_type, count(loan_amount) AS n, unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE]) AS fraction,
+         unnest(quantile_cont(loan_amount, [0.25, 0.5, 0.75, 0.9])) AS amount
+  FROM loan_applications GROUP BY loan_type)""",
+    "median_review_seconds": """
+SELECT CAST(date_trunc('month', submitted_at) AS DATE) AS submitted_month, count(*) AS n,
+       round(round(quantile_cont(date_diff('second', submitted_at, reviewed_at), 0.5), 8), 3) AS median_seconds
+FROM app WHERE submitted_at IS NOT NULL AND reviewed_at IS NOT NULL GROUP BY 1""",
     # The click log.
     "click_funnel": CLICK_STEPS,
     "click_transitions": _click_moves(_FIRST_CLICKS, "stage_order"),
