@@ -18,8 +18,10 @@ from ..plans import StandingViews, conv_by_loan_type, create_views, funnel_overv
 from ..sources import (
     CLUSTERING,
     CONSTRAINTS,
+    accepted,
     conform,
     load_delimited,
+    load_or_reject,
     loan_book_from_orders,
     merge_latest,
     read_delimited_book,
@@ -27,6 +29,7 @@ from ..sources import (
     read_partitions,
     read_table,
     read_table_book,
+    reject_counts,
     shared_folder,
     write_bucketed_book,
     write_parquet_book,
@@ -259,7 +262,43 @@ def _standing(view):
     return query
 
 
+#: Texts that break a field's type or a row's rule, by column.
+BAD_FIELDS = {
+    "application_id": "IF(application_id % 41 = 0, NULL, application_id)",
+    "loan_type": "IF(application_id % 23 = 0, 'boat', IF(application_id % 10 = 0, concat(' ', upper(loan_type)), loan_type))",
+    "loan_amount": "IF(application_id % 17 = 0, 'much', IF(application_id % 19 = 0, concat('-', loan_amount), loan_amount))",
+    "loan_term_months": "IF(application_id % 29 = 0, '13', loan_term_months)",
+    "status": "IF(application_id % 7 = 0, NULL, status)",
+    "application_date": "IF(application_id % 31 = 0, 'soon', application_date)",
+}
+
+
+def _rejecting_load(spark, folder):
+    place = shared_folder(spark, "rejects")
+    applications = loan_book_from_orders(spark, folder).loan_applications
+    texts = applications.selectExpr(*[f"CAST({c} AS STRING) AS {c}" for c in applications.columns])
+    broken = texts.selectExpr(*[f"{BAD_FIELDS.get(c, c)} AS {c}" for c in texts.columns])
+    write_report(broken, f"{place}/in", "csv")
+    load_or_reject(spark, f"{place}/in", "loan_applications", f"{place}/loaded")
+    return f"{place}/loaded"
+
+
+def load_reject_reasons(spark, folder):
+    """How many rows of a partly broken file are accepted, and how many rejected for each reason."""
+    return reject_counts(spark, _rejecting_load(spark, folder), "loan_applications")
+
+
+def load_accepted(spark, folder):
+    """The rows of the same file that fit, with defaults and spellings applied."""
+    rows = accepted(spark, _rejecting_load(spark, folder), "loan_applications")
+    return rows.groupBy("loan_type", "status").agg(
+        *columns(["count(1) AS n", "sum(application_id) AS application_sum", "sum(loan_amount) AS amount"])
+    )
+
+
 SOURCES = {
+    "load_reject_reasons": load_reject_reasons,
+    "load_accepted": load_accepted,
     "partition_reload": partition_reload,
     "standing_channel_performance": _standing("channel_performance"),
     "standing_segment_conversion": _standing("segment_conversion"),

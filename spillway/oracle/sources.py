@@ -120,7 +120,32 @@ _TABLE_NAMES = "applicants|loan_applications|application_events|credit_profiles"
 
 _VIEW_NAMES = [v for v in REPORTS if v.startswith("vw_")]
 
+_FIELDS = """
+WITH fields AS (
+  SELECT application_id AS k, CASE WHEN application_id % 41 = 0 THEN NULL ELSE application_id END AS application_id,
+         CASE WHEN application_id % 23 = 0 THEN 'boat' ELSE loan_type END AS loan_type,
+         CASE WHEN application_id % 19 = 0 THEN -loan_amount ELSE loan_amount END AS loan_amount,
+         CASE WHEN application_id % 29 = 0 THEN 13 ELSE loan_term_months END AS loan_term_months, status,
+         application_id % 17 = 0 OR application_id % 31 = 0 AS malformed
+  FROM loan_applications
+), judged AS (
+  SELECT *, list_filter(CASE WHEN malformed THEN ['malformed'] ELSE [
+    CASE WHEN application_id IS NULL THEN 'not_null(application_id)' END,
+    CASE WHEN loan_type = 'boat' THEN 'one_of(loan_type)' END,
+    CASE WHEN loan_amount < 1 THEN 'in_range(loan_amount)' END,
+    CASE WHEN loan_term_months = 13 THEN 'one_of(loan_term_months)' END] END, lambda x: x IS NOT NULL) AS reasons
+  FROM fields
+)"""
+
 SOURCES = {
+    "load_reject_reasons": f"""{_FIELDS}
+SELECT reason, count(*) AS n FROM (
+  SELECT unnest(CASE WHEN len(reasons) = 0 THEN ['accepted'] ELSE reasons END) AS reason FROM judged)
+GROUP BY reason""",
+    "load_accepted": f"""{_FIELDS}
+SELECT loan_type, status, count(*) AS n, CAST(sum(application_id) AS BIGINT) AS application_sum,
+       CAST(sum(loan_amount) AS BIGINT) AS amount
+FROM judged WHERE len(reasons) = 0 GROUP BY 1, 2""",
     "partition_reload": """
 SELECT CAST(date_trunc('month', event_timestamp) AS DATE) AS event_month, stage, count(*) AS n,
        CAST(sum(event_id) AS BIGINT) AS event_sum, max(event_timestamp) AS last_at

@@ -14,6 +14,7 @@ from .files import (
 )
 from .orders import clickstream_log, loan_book_from_orders, read_table
 from .partitions import latest, merge, merge_latest, overwrite_partitions, read_partitions
+from .quarantine import accepted, load_or_reject, reject_counts, rejected
 from .schemas import CLUSTERING, CONSTRAINTS, DEFAULTS, SCHEMAS
 from .scratch import remove_folder, shared_folder
 
@@ -23,10 +24,12 @@ __all__ = [
     "DEFAULTS",
     "SCHEMAS",
     "LoanBook",
+    "accepted",
     "clickstream_log",
     "conform",
     "latest",
     "load_delimited",
+    "load_or_reject",
     "loan_book_from_orders",
     "merge",
     "merge_latest",
@@ -37,6 +40,8 @@ __all__ = [
     "read_partitions",
     "read_table",
     "read_table_book",
+    "reject_counts",
+    "rejected",
     "remove_folder",
     "shared_folder",
     "write_bucketed_book",
