@@ -64,4 +64,8 @@ REPORTS = {
 }
 
 #: What SQL cannot express: checked by its own tests.
-MODELS = {"approval_probability": over_book(plans.approval_probability)}
+MODELS = {
+    "approval_probability": over_book(plans.approval_probability),
+    "approval_evaluation": over_book(plans.approval_evaluation),
+    "approval_calibration": over_book(plans.approval_calibration),
+}

@@ -15,6 +15,7 @@ from .quality import (
     table_row_counts,
 )
 from .responses import differences, response_gaps
+from .scoring import area_under_curve, calibration
 from .segments import outcomes, roll_up, segment_conversion, tally
 from .service_levels import service_breaches
 from .strict import strict_cohorts, strict_progress
@@ -28,6 +29,8 @@ __all__ = [
     "OneOf",
     "References",
     "Unique",
+    "area_under_curve",
+    "calibration",
     "constraint_violations",
     "differences",
     "drop_offs",

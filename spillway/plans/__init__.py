@@ -1,6 +1,13 @@
 """Named reports over a loan book."""
 
-from .approval_model import approval_features, approval_probability, fit_approval
+from .approval_model import (
+    approval_calibration,
+    approval_evaluation,
+    approval_features,
+    approval_probability,
+    fit_approval,
+    held_out_probability,
+)
 from .dashboard import VIEWS, create_views, executive_dashboard, read_view
 from .follow_ups import (
     approval_breaches,
@@ -40,6 +47,8 @@ from .timing_reports import (
 )
 
 __all__ = [
+    "approval_calibration",
+    "approval_evaluation",
     "approval_features",
     "approval_probability",
     "fit_approval",
@@ -61,6 +70,7 @@ __all__ = [
     "fast_review_experiment",
     "funnel_overview",
     "funnel_summary",
+    "held_out_probability",
     "journey_durations",
     "monthly_trend",
     "monthly_trend_by_date",

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import entity_progress, reached
+from ..operators import area_under_curve, calibration, entity_progress, reached
 from ..sources import LoanBook
 
 _NUMBERS = ("credit_score", "debt_to_income_ratio", "loan_amount")
@@ -57,12 +57,36 @@ def fit_approval(features: DataFrame, steps: int = 30) -> PipelineModel:
     ).fit(features)
 
 
-def approval_probability(book: LoanBook) -> DataFrame:
-    """``application_id, approved, probability`` for every application with events."""
-    features = approval_features(book)
-    scored = fit_approval(features).transform(features)
+def _scored(features: DataFrame, learned_from: DataFrame) -> DataFrame:
+    scored = fit_approval(learned_from).transform(features)
     return scored.select(
         "application_id",
         F.col("approved").cast("int").alias("approved"),
         vector_to_array("probability")[1].alias("probability"),
     )
+
+
+def approval_probability(book: LoanBook) -> DataFrame:
+    """``application_id, approved, probability`` for every application with events."""
+    features = approval_features(book)
+    return _scored(features, features)
+
+
+#: One application in five is held out, whichever load or run it comes in.
+_HELD_OUT = "pmod(crc32(CAST(CAST(application_id AS STRING) AS BINARY)), 5) = 1"
+
+
+def held_out_probability(book: LoanBook) -> DataFrame:
+    """The same for the held-out applications only, by a model that has not seen them."""
+    features = approval_features(book)
+    return _scored(features.where(_HELD_OUT), features.where(f"NOT {_HELD_OUT}"))
+
+
+def approval_evaluation(book: LoanBook) -> DataFrame:
+    """``n, positives, auc`` of the model on applications it has not seen."""
+    return area_under_curve(held_out_probability(book), "probability", "approved")
+
+
+def approval_calibration(book: LoanBook, bins: int = 10) -> DataFrame:
+    """Predicted and actual shares of approval by bin, on applications the model has not seen."""
+    return calibration(held_out_probability(book), "probability", "approved", bins)
