@@ -10,7 +10,12 @@ from spillway.catalog.reports import REPORTS
 from spillway import plans
 from spillway.sources import loan_book_from_orders, read_parquet_book, write_parquet_book
 
-EAGER = {"approval_probability", "live_loan_funnel", "live_click_funnel", "live_approval_alerts"}
+#: Queries that have done their work before they return a frame to read.
+EAGER = {
+    "approval_calibration", "approval_evaluation", "approval_probability", "live_approval_alerts",
+    "live_click_funnel", "live_click_sessions", "live_loan_days", "live_loan_funnel",
+    "standing_channel_performance", "standing_executive_dashboard", "standing_segment_conversion",
+}
 
 
 def physical(frame):
