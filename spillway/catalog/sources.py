@@ -249,7 +249,7 @@ def _standing(view):
 
     def query(spark, folder):
         book = loan_book_from_orders(spark, folder)
-        views = StandingViews(spark, shared_folder(spark, "standing-views"))
+        views = StandingViews(spark, shared_folder(spark, "standing-views"), "month")
         late = "event_id % 7 = 3 AND application_id % 3 < 2"
         for number in (0, 1, 2, 2):
             events = book.application_events.where(

@@ -38,10 +38,14 @@ _ADDITIVE = {
 
 
 class StandingViews:
-    """The two tables in a folder, and the views over them."""
+    """The two tables in a folder, and the views over them.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    ``period`` is what a partition holds: the applications of a ``day``, or of a ``month`` where days
+    are small.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, period: str = "day"):
+        self.spark, self.folder, self.period = spark, folder, period
 
     def load(
         self,
@@ -63,7 +67,7 @@ class StandingViews:
         return days
 
     def _reduced(self, number, events, applications, applicants) -> DataFrame:
-        parts = []
+        parts, day = [], f"CAST(date_trunc('{self.period}', application_date) AS DATE)"
         if events is not None:
             log = StageLog(events, LOAN_LADDER)
             parts.append(
@@ -80,9 +84,9 @@ class StandingViews:
                 applications.join(people, "applicant_id", "left").selectExpr(
                     "application_id", "CAST(NULL AS BIGINT) AS stage_set",
                     "CAST(NULL AS TIMESTAMP_NTZ) AS first_submitted", "CAST(NULL AS TIMESTAMP_NTZ) AS last_disbursed",
-                    f"""struct({number}L AS load, CAST(application_date AS DATE) AS applied_on, loan_type,
+                    f"""struct({number}L AS load, {day} AS applied_on, loan_type,
                         loan_amount, coalesce(person, false) AS person, channel) AS facts""",
-                    "CAST(application_date AS DATE) AS applied_on",
+                    f"{day} AS applied_on",
                 )
             )
         typed = [p.to(self.spark.createDataFrame([], _PROGRESS).schema) for p in parts]
