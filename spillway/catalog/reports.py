@@ -61,6 +61,7 @@ REPORTS = {
     "approval_breaches": over_book(plans.approval_breaches, as_of=AS_OF),
     "registration_step": over_book(plans.registration_step),
     "fast_review_experiment": over_book(plans.fast_review_experiment),
+    "fast_review_interval": over_book(plans.fast_review_interval),
 }
 
 #: What SQL cannot express: checked by its own tests.

@@ -7,14 +7,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from ..functions import LOAN_LADDER, columns, text
+from ..functions import LOAN_LADDER, StageLog, columns, text
 from ..operators import (
     NotNull,
     OneOf,
     Unique,
     constraint_violations,
 )
-from ..plans import StandingViews, conv_by_loan_type, create_views, funnel_overview
+from ..plans import StandingReach, StandingViews, conv_by_loan_type, create_views, funnel_overview
 from ..sources import (
     CLUSTERING,
     CONSTRAINTS,
@@ -32,6 +32,7 @@ from ..sources import (
     reject_counts,
     shared_folder,
     write_bucketed_book,
+    write_interleaved,
     write_parquet_book,
     write_report,
 )
@@ -262,6 +263,56 @@ def _standing(view):
     return query
 
 
+def rolling_click_reach(spark, folder):
+    """Users per click stage in the seven days up to each day, kept up to date by three loads: the
+    second brings late events of the first one's days, the third comes twice."""
+    reach = StandingReach(spark, shared_folder(spark, "reach"), CLICK_LADDER)
+    clicks = read_table(spark, folder, "events")
+    for part in ("event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2", "event_id % 3 = 2"):
+        reach.load(StageLog(clicks.where(part), CLICK_LADDER, "user_id", "event_type", "ts"))
+    return reach.rolling(7)
+
+
+#: Months of the range report: the first and the last.
+REACH_MONTHS = ("1996-02-01", "1997-04-01")
+
+
+def loan_reach_between(spark, folder):
+    """Applications per stage, and those with the stage before, over a range of stored months."""
+    reach = StandingReach(spark, shared_folder(spark, "reach"), LOAN_LADDER, "month")
+    events = loan_book_from_orders(spark, folder).application_events
+    for part in ("application_id % 2 = 1 OR stage = 'verified'", "application_id % 2 = 0"):
+        reach.load(StageLog(events.where(part), LOAN_LADDER))
+    return reach.between(*REACH_MONTHS)
+
+
+def layout_for_two_keys(spark, folder):
+    """Events clustered by application and time alike, read back by either and by reference."""
+    place = shared_folder(spark, "layout")
+    events = loan_book_from_orders(spark, folder).application_events
+    write_interleaved(
+        events.selectExpr(
+            "*", "CAST(event_timestamp AS DATE) AS event_day", "md5(CAST(event_id AS STRING)) AS reference"
+        ),
+        place,
+        {"application_id": "application_id", "event_day": "unix_date(event_day)"},
+        spread=["event_id"],
+        lookups={"reference": 100_000},
+    )
+    stored = spark.read.parquet(place)
+    filters = {
+        "application": "application_id BETWEEN 1000 AND 2000",
+        "time": """event_day BETWEEN DATE '1996-03-01' AND DATE '1996-03-31'
+            AND event_timestamp < TIMESTAMP_NTZ '1996-03-31 18:00:00'""",
+        "reference": "reference IN (md5('10011'), md5('10012'), md5('11'))",
+    }
+    parts = [
+        stored.where(f).groupBy("stage").agg(*columns(["count(1) AS n", "sum(event_id) AS id_sum"])).selectExpr(f"{text(k)} AS filtered_by", "*")
+        for k, f in filters.items()
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
 #: Texts that break a field's type or a row's rule, by column.
 BAD_FIELDS = {
     "application_id": "IF(application_id % 41 = 0, NULL, application_id)",
@@ -300,6 +351,9 @@ SOURCES = {
     "load_reject_reasons": load_reject_reasons,
     "load_accepted": load_accepted,
     "partition_reload": partition_reload,
+    "rolling_click_reach": rolling_click_reach,
+    "loan_reach_between": loan_reach_between,
+    "layout_for_two_keys": layout_for_two_keys,
     "standing_channel_performance": _standing("channel_performance"),
     "standing_segment_conversion": _standing("segment_conversion"),
     "standing_executive_dashboard": _standing("executive_dashboard"),

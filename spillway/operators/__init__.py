@@ -1,6 +1,6 @@
 """Generic operators over stage logs."""
 
-from .experiments import two_proportion_test
+from .experiments import bootstrap_lift, two_proportion_test
 from .order_statistics import exact_percentiles, ranked
 from .periods import period_reach, period_trend, within_year
 from .progress import entity_progress, furthest_stage, journeys, reached
@@ -14,6 +14,13 @@ from .quality import (
     primary_key,
     table_row_counts,
 )
+from .reach import (
+    reach_between,
+    reach_sketches,
+    reach_words,
+    rolling_reach,
+    sketched_between,
+)
 from .responses import differences, response_gaps
 from .scoring import area_under_curve, calibration
 from .segments import outcomes, roll_up, segment_conversion, tally
@@ -30,6 +37,7 @@ __all__ = [
     "References",
     "Unique",
     "area_under_curve",
+    "bootstrap_lift",
     "calibration",
     "constraint_violations",
     "differences",
@@ -45,12 +53,17 @@ __all__ = [
     "period_trend",
     "primary_key",
     "ranked",
+    "reach_between",
+    "reach_sketches",
     "reach_totals",
+    "reach_words",
     "reached",
     "response_gaps",
     "roll_up",
+    "rolling_reach",
     "segment_conversion",
     "service_breaches",
+    "sketched_between",
     "stage_counts",
     "stage_transitions",
     "strict_cohorts",

@@ -1,5 +1,6 @@
 """DuckDB statements for the named reports."""
 
+from ..operators.experiments import poisson_steps
 from .bands import AGES, CREDIT, JOURNEYS, RESPONSES
 
 
@@ -334,4 +335,34 @@ SELECT treated_n, treated_converted, control_n, control_converted,
        round(round((p1 - p2) * 100, 8), 2) AS lift_points, round(round(z, 8), 4) AS z_value,
        abs(z) > 1.959963984540054 AS significant_95
 FROM t""",
+    "fast_review_interval": f"""
+WITH units AS (
+  SELECT application_id, acquisition_channel AS channel, is_disbursed AS hit,
+         date_diff('hour', submitted_at, reviewed_at) <= 6 AS treated
+  FROM app JOIN loan_applications USING (application_id) LEFT JOIN applicants USING (applicant_id)
+  WHERE submitted_at IS NOT NULL AND reviewed_at IS NOT NULL
+), hashed AS (
+  SELECT channel, hit, treated, r,
+         CAST('0x' || substr(md5('42:' || application_id || ':' || (r // 4)), 1 + 8 * (r % 4), 8) AS BIGINT) AS u
+  FROM units, range(200) AS t(r)
+), weighted AS (
+  SELECT *, {" + ".join(f"CAST(u >= {step} AS BIGINT)" for step in poisson_steps())} AS w FROM hashed
+), strata AS (
+  SELECT r, channel, sum(w) AS w, count(*) AS n,
+         sum(w) FILTER (WHERE treated AND hit) AS wth, sum(w) FILTER (WHERE treated) AS wt,
+         sum(w) FILTER (WHERE NOT treated AND hit) AS wch, sum(w) FILTER (WHERE NOT treated) AS wc,
+         avg(hit::INT) FILTER (WHERE treated) - avg(hit::INT) FILTER (WHERE NOT treated) AS plain
+  FROM weighted GROUP BY r, channel
+), lifts AS (
+  SELECT r, sum(w * diff) / sum(w) FILTER (WHERE diff IS NOT NULL) AS lift,
+         sum(n * plain) / sum(n) FILTER (WHERE plain IS NOT NULL) AS plain,
+         count(plain) AS strata, sum(n) FILTER (WHERE plain IS NOT NULL) AS compared
+  FROM (SELECT *, coalesce(wth, 0) / nullif(wt, 0) - coalesce(wch, 0) / nullif(wc, 0) AS diff FROM strata)
+  GROUP BY r
+)
+SELECT CAST(max(compared) AS BIGINT) AS compared, max(strata) AS strata, count(lift) AS replicates,
+       round(round(max(plain) * 100, 8), 2) AS lift_points,
+       round(round(quantile_cont(lift, 0.025) * 100, 8), 2) AS low_points,
+       round(round(quantile_cont(lift, 0.975) * 100, 8), 2) AS high_points
+FROM lifts""",
 }

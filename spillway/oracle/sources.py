@@ -175,6 +175,37 @@ SELECT CASE WHEN applicant_id % 4 = 0 THEN 0 ELSE existing_loans END AS existing
        CASE WHEN applicant_id % 5 = 0 THEN 0 ELSE previous_defaults END AS previous_defaults,
        count(*) AS n
 FROM credit_profiles GROUP BY 1, 2""",
+    "rolling_click_reach": """
+WITH clicks AS (
+  SELECT user_id, CAST(ts AS DATE) AS d, stage_order
+  FROM events JOIN click_ladder ON stage = event_type WHERE ts IS NOT NULL AND user_id IS NOT NULL
+), days AS (SELECT DISTINCT d AS on_day FROM clicks)
+SELECT on_day, CAST(stage_order AS INTEGER) AS stage_order, count(DISTINCT user_id) AS entities
+FROM days JOIN clicks ON d BETWEEN on_day - 6 AND on_day
+GROUP BY 1, 2""",
+    "loan_reach_between": """
+WITH inside AS (
+  SELECT DISTINCT application_id, stage_order
+  FROM application_events JOIN ladder USING (stage)
+  WHERE date_trunc('month', event_timestamp) BETWEEN DATE '1996-02-01' AND DATE '1997-04-01'
+)
+SELECT stage, CAST(stage_order AS INTEGER) AS stage_order, count(a.application_id) AS entities,
+       CASE WHEN stage_order > 1 THEN count(b.application_id) END AS with_stage_before
+FROM ladder l LEFT JOIN inside a USING (stage_order)
+     LEFT JOIN inside b ON b.application_id = a.application_id AND b.stage_order = l.stage_order - 1
+GROUP BY stage, stage_order""",
+    "layout_for_two_keys": """
+WITH hits AS (
+  SELECT 'application' AS filtered_by, stage, event_id FROM application_events
+  WHERE application_id BETWEEN 1000 AND 2000
+  UNION ALL
+  SELECT 'time', stage, event_id FROM application_events
+  WHERE event_timestamp >= TIMESTAMP '1996-03-01' AND event_timestamp < TIMESTAMP '1996-03-31 18:00:00'
+  UNION ALL
+  SELECT 'reference', stage, event_id FROM application_events WHERE event_id IN (10011, 10012, 11)
+)
+SELECT filtered_by, stage, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum
+FROM hits GROUP BY 1, 2""",
     "status_default": "SELECT status, count(*) AS n FROM loan_applications GROUP BY status",
     "parquet_sink": """
 SELECT stage, count(*) AS n, CAST(sum(application_id) AS BIGINT) AS application_sum

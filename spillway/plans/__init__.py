@@ -14,6 +14,7 @@ from .follow_ups import (
     cohort_by_application_month,
     cohort_by_registration_month,
     fast_review_experiment,
+    fast_review_interval,
     registration_step,
     strict_cohort_by_application_month,
 )
@@ -36,6 +37,7 @@ from .segment_reports import (
     conv_channel_x_loan,
     segment_performance,
 )
+from .standing_reach import StandingReach
 from .standing_views import StandingViews
 from .timing_reports import (
     journey_durations,
@@ -52,6 +54,7 @@ __all__ = [
     "approval_features",
     "approval_probability",
     "fit_approval",
+    "StandingReach",
     "StandingViews",
     "VIEWS",
     "approval_breaches",
@@ -68,6 +71,7 @@ __all__ = [
     "create_views",
     "executive_dashboard",
     "fast_review_experiment",
+    "fast_review_interval",
     "funnel_overview",
     "funnel_summary",
     "held_out_probability",

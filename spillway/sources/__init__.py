@@ -12,6 +12,7 @@ from .files import (
     write_parquet_book,
     write_report,
 )
+from .layout import interleaved, rows_scanned, write_interleaved
 from .orders import clickstream_log, loan_book_from_orders, read_table
 from .partitions import latest, merge, merge_latest, overwrite_partitions, read_partitions
 from .quarantine import accepted, load_or_reject, reject_counts, rejected
@@ -27,6 +28,7 @@ __all__ = [
     "accepted",
     "clickstream_log",
     "conform",
+    "interleaved",
     "latest",
     "load_delimited",
     "load_or_reject",
@@ -43,8 +45,10 @@ __all__ = [
     "reject_counts",
     "rejected",
     "remove_folder",
+    "rows_scanned",
     "shared_folder",
     "write_bucketed_book",
+    "write_interleaved",
     "write_parquet_book",
     "write_report",
 ]

@@ -64,8 +64,8 @@ def merge(
 
     ``combine`` gets the new rows together with all rows of the touched partitions, and gives one row
     per ``key``, with the same columns.  It has to be indifferent to order and repeats, which makes a
-    repeated load change nothing.  A key may move to another partition; a partition left without
-    rows is removed.  Returns the touched partitions' values, in no order.  Their number is bounded
+    repeated load change nothing.  A key may move to another partition, unless ``by`` is part of it;
+    a partition left without rows is removed.  Returns the touched partitions' values, in no order.  Their number is bounded
     by the table's partitions, which the driver lists in any case.
     """
     spark = new.sparkSession
@@ -73,9 +73,12 @@ def merge(
     new.write.parquet(staged)
     arrived = spark.read.schema(new.schema).parquet(staged)
     table = read_partitions(spark, path, arrived)
-    # Only the key column of the table is read to find out where older versions lie.
-    old = table.select(by, *key).join(arrived.select(*key).distinct(), key, "left_semi").select(by)
-    values = [r[0] for r in arrived.select(by).union(old).distinct().collect()]
+    touched = arrived.select(by)
+    if by not in key:
+        # Only the key column of the table is read to find out where older versions lie.
+        old = table.select(by, *key).join(arrived.select(*key).distinct(), key, "left_semi")
+        touched = touched.union(old.select(by))
+    values = [r[0] for r in touched.distinct().collect()]
     if not values:
         remove_folder(spark, staged)
         return []
@@ -83,7 +86,7 @@ def merge(
     combine(rows).select(*new.columns).write.parquet(merged)
     done = spark.read.schema(new.schema).parquet(merged)
     left = {r[0] for r in done.select(by).distinct().collect()}
-    overwrite_partitions(done, path, by, key)
+    overwrite_partitions(done, path, by, [k for k in key if k != by])
     for value in set(values) - left:
         _drop_partition(spark, path, by, value)
     for folder in (staged, merged):
