@@ -1,15 +1,20 @@
-"""SimHash fingerprints and their near duplicates by an index of Hamming balls.
-
-The values in a small Hamming ball around the whole fingerprint are enumerated, and each of them is
-an entry of the index; there are no segments and no tables per segment.  The ball has half the
-wanted distance as its radius: 65 entries a fingerprint for 2 bits, 2,081 for 4.  Two fingerprints at distance d meet at an entry exactly if each of them can walk half of d, so balls
-of half the wanted distance find every pair.  An entry holds the distinct fingerprints within one
-ball around it and no more, however many near copies a text has; all of an entry's fingerprints are
-linked to its smallest, after the complete distance is verified.  No pair list is ever built.
+"""SimHash fingerprints and their near duplicates by multi-index hashing.
+
+A fingerprint is cut in segments, so few that prints within the wanted distance differ by at most one
+bit (or none) in some segment.  There is a table per segment: every print is stored under its value of
+the segment, and looks up all values of the small Hamming ball around that value.  What it meets is
+verified by the complete distance.
+
+A segment value that many prints share, as those of one large group of near copies do, would bring
+all pairs of them together.  Such hot values are split by the rest of the print: there a print is
+stored under the values of a ball around its rest too, and looks up what the distance leaves.  An
+entry then holds few prints however many share the segment, and no link is lost.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import stored
+from .storage import small, stored
 from .texts import id_type, rows_per_text, schema_of
 
 BITS = 64
@@ -63,20 +68,87 @@ def fingerprints(
     return rows_per_text(docs, columns, text, measure, schema_of(**fields))
 
 
-def near_links(prints: DataFrame, most_bits: int = 2) -> DataFrame:
-    """``a, b``: links whose components are those of all pairs of distinct ``fingerprint`` values
-    at most ``most_bits`` (even) apart."""
-    if most_bits % 2:
-        raise ValueError("the distance must be even: both sides walk half of it")
-    walks = [sum(1 << b for b in bits) for n in range(most_bits // 2 + 1) for bits in combinations(range(BITS), n)]
-    signed = np.array(walks, np.uint64).view(np.int64).tolist()
-    entries = prints.select(
-        "fingerprint", F.explode(F.array(*[F.lit(w).cast("long") for w in signed])).alias("walk")
-    ).selectExpr("fingerprint", "fingerprint ^ walk AS entry")
-    smallest = entries.selectExpr(
-        "fingerprint AS a", "min(fingerprint) OVER (PARTITION BY entry) AS b"
+@dataclass(frozen=True)
+class SegmentTables:
+    """How prints are cut for a distance, and the bits that are flipped where."""
+
+    most_bits: int
+
+    @property
+    def masks(self) -> list[int]:
+        """The bits of each segment: enough of them that one differs by at most one bit."""
+        count = max(2, self.most_bits // 2 + 1)
+        ends = [BITS * n // count for n in range(count + 1)]
+        return [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
+
+    @property
+    def segment_radius(self) -> int:
+        return self.most_bits // len(self.masks)
+
+    @property
+    def rest_radius(self) -> int:
+        """How far from its rest a print is stored under a hot value."""
+        return self.most_bits // 2
+
+
+def ball(mask: int, radius: int) -> list[int]:
+    """The whole numbers with at most ``radius`` bits set, all of them in ``mask``; signed."""
+    bits = [b for b in range(BITS) if mask >> b & 1]
+    found = [sum(1 << b for b in own) for n in range(radius + 1) for own in combinations(bits, n)]
+    return np.array(found, np.uint64).view(np.int64).tolist()
+
+
+def _per_segment(lists: list[list[int]]) -> str:
+    """SQL for the list of the row's ``segment``."""
+    arrays = ", ".join(f"array({', '.join(f'{v}L' if v > -(1 << 63) else '-9223372036854775807L - 1L' for v in own)})" for own in lists)
+    return f"element_at(array({arrays}), segment + 1)"
+
+
+def near_links(prints: DataFrame, most_bits: int = 2, most_per_value: int = 64) -> DataFrame:
+    """``a, b``: all pairs of distinct ``fingerprint`` values at most ``most_bits`` apart, with
+    ``a < b``; a pair may come more than once.  Give distinct fingerprints, in a stored frame.
+
+    A value of a segment that more than ``most_per_value`` prints share is hot.  Of two prints of
+    which one lies under a hot value and the other does not, the latter does the looking up.
+    """
+    cut = SegmentTables(most_bits)
+    whole = [(1 << BITS) - 1 ^ m for m in cut.masks]
+    masks = _per_segment([[v] for v in np.array(cut.masks, np.uint64).view(np.int64).tolist()])
+    cuts = prints.select("fingerprint", F.explode(F.sequence(F.lit(0), F.lit(len(whole) - 1))).alias("segment")).selectExpr(
+        "fingerprint", "segment", f"fingerprint & {masks}[0] AS value"
+    )
+    hot = stored(
+        cuts.groupBy("segment", "value").count().where(F.col("count") > most_per_value).drop("count"),
+        "hot-segments",
+    )
+    hot = small(hot)
+    entry = ["segment", "value"]
+    cold_prints, hot_prints = cuts.join(hot, entry, "left_anti"), cuts.join(hot, entry, "left_semi")
+
+    def looking_up(rows: DataFrame) -> DataFrame:
+        flips = _per_segment([ball(m, cut.segment_radius) for m in cut.masks])
+        flipped = rows.selectExpr("fingerprint", "segment", "value", f"explode({flips}) AS flip")
+        return flipped.selectExpr("fingerprint AS probe", "segment", "value ^ flip AS value", "bit_count(flip) AS flipped")
+
+    shallow = cold_prints.join(looking_up(cold_prints).join(hot, entry, "left_anti"), entry)
+    under = _per_segment([ball(w, cut.rest_radius) for w in whole])
+    kept = hot_prints.selectExpr("fingerprint", "segment", "value", f"explode({under}) AS walk").selectExpr(
+        "fingerprint", "segment", "fingerprint ^ walk AS place"
+    )
+    wanted = looking_up(cuts).join(hot, entry, "left_semi")
+    parts = []
+    for flipped in range(cut.segment_radius + 1):
+        walks = _per_segment([ball(w, max(0, most_bits - flipped - cut.rest_radius)) for w in whole])
+        parts.append(
+            wanted.where(f"flipped = {flipped}")
+            .selectExpr("probe", "segment", "value", f"explode({walks}) AS walk")
+            .selectExpr("probe", "segment", f"((probe & ~{masks}[0]) | value) ^ walk AS place")
+        )
+    deep = kept.join(reduce(DataFrame.unionByName, parts), ["segment", "place"])
+    met = shallow.select("fingerprint", "probe").unionByName(deep.select("fingerprint", "probe"))
+    return met.where(f"fingerprint != probe AND bit_count(fingerprint ^ probe) <= {most_bits}").selectExpr(
+        "least(fingerprint, probe) AS a", "greatest(fingerprint, probe) AS b"
     )
-    return smallest.where(f"a != b AND bit_count(a ^ b) <= {most_bits}")
 
 
 def simhash_near_duplicates(

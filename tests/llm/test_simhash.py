@@ -1,5 +1,6 @@
 """Fingerprints and their components against plain Python."""
 
+import random
 import re
 
 import pytest
@@ -39,17 +40,57 @@ def test_components_against_all_pairs(spark):
     assert got == expected
 
 
-def test_links_find_every_pair_within_the_distance(spark):
-    base = 0x0123456789ABCDEF
-    near = [base, base ^ 1, base ^ (1 << 63) ^ 2, base ^ 7, base ^ 0b11111, base ^ (0b11 << 40)]
-    signed = [(p - (1 << 64) if p >> 63 else p,) for p in near]
-    links = near_links(spark.createDataFrame(signed, "fingerprint long")).collect()
-    root = components_of([(n, n) for (n,) in signed] + [(r["a"], r["b"]) for r in links])
-    pairs = [(a, b) for a in range(6) for b in range(a, 6) if (near[a] ^ near[b]).bit_count() <= 2]
-    expected = components_of([(signed[a][0], signed[b][0]) for a, b in pairs])
-    assert {frozenset(k for k in root if root[k] == v) for v in root.values()} == {
-        frozenset(k for k in expected if expected[k] == v) for v in expected.values()
-    }
+def signed(prints):
+    return [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+
+
+def pairs_within(prints, most):
+    return {tuple(sorted((a, b))) for n, (a,) in enumerate(prints) for (b,) in prints[:n] if bin((a ^ b) % (1 << 64)).count("1") <= most}
+
+
+def found_pairs(spark, prints, most, per_value=64):
+    links = near_links(spark.createDataFrame(prints, "fingerprint long"), most, per_value).collect()
+    assert all(r["a"] < r["b"] for r in links)
+    return {(r["a"], r["b"]) for r in links}
+
+
+def scattered(seed, count=25):
+    """Prints in small groups, up to six bits from a centre."""
+    pick = random.Random(seed)
+    out = {0, (1 << 64) - 1, 1 << 63, (1 << 63) | 1}
+    for _ in range(count):
+        centre = pick.getrandbits(64)
+        out |= {centre ^ sum(1 << b for b in pick.sample(range(64), pick.randrange(7))) for _ in range(5)}
+    return signed(sorted(out))
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
+def test_links_are_all_pairs_within_the_distance(spark, most):
+    prints = scattered(most)
+    assert found_pairs(spark, prints, most) == pairs_within(prints, most)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_a_segment_value_that_a_third_shares(spark, most):
+    pick = random.Random(9)
+    shared = pick.getrandbits(32)
+    hot = {shared | (pick.getrandbits(5) << 32 | pick.getrandbits(3) << 60) for _ in range(60)}
+    beside = {p ^ 1 << pick.randrange(32) for p in list(hot)[:20]} | {p ^ 1 << pick.randrange(64) for p in list(hot)[:20]}
+    prints = sorted({*signed(hot | beside), *scattered(5, 12)})
+    expected = pairs_within(prints, most)
+    assert len(expected) > 20
+    assert found_pairs(spark, prints, most, 8) == expected
+    assert found_pairs(spark, prints, most, 1) == expected
+
+
+def test_a_group_of_near_copies_meets_few(spark):
+    """Prints that share one half in full: entries grow with their number, not its square."""
+    pick = random.Random(3)
+    prints = signed(sorted({pick.getrandbits(32) << 32 | 77 for _ in range(1500)}))
+    links = near_links(spark.createDataFrame(prints, "fingerprint long"))
+    assert {(r["a"], r["b"]) for r in links.collect()} == pairs_within(prints, 2)
+    met = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in met
 
 
 def test_one_row_of_each_group_stays(spark, docs, empty):
