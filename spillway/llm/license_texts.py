@@ -48,6 +48,54 @@ NOTICES = {
         This program is free software: you can redistribute it and/or modify it under the terms of
         the GNU General Public License as published by the Free Software Foundation, either version 3
         of the License, or (at your option) any later version.""",
+    "gpl-2": """
+        This program is free software; you can redistribute it and/or modify it under the terms of
+        the GNU General Public License as published by the Free Software Foundation; either version 2
+        of the License, or (at your option) any later version.""",
+    "lgpl": """
+        This library is free software; you can redistribute it and/or modify it under the terms of
+        the GNU Lesser General Public License as published by the Free Software Foundation; either
+        version 2.1 of the License, or (at your option) any later version.""",
+    "agpl": """
+        This program is free software: you can redistribute it and/or modify it under the terms of
+        the GNU Affero General Public License as published by the Free Software Foundation, either
+        version 3 of the License, or (at your option) any later version.""",
+    "mpl-2": """
+        This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy
+        of the MPL was not distributed with this file, You can obtain one at
+        https://mozilla.org/MPL/2.0/.""",
+    "epl": """
+        This program and the accompanying materials are made available under the terms of the Eclipse
+        Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "bsl-1": """
+        Distributed under the Boost Software License, Version 1.0. (See accompanying file
+        LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)""",
+    "cc-by": """
+        This work is licensed under a Creative Commons Attribution 4.0 International License.""",
+    "cc-by-sa": """
+        This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International
+        License.""",
+    "cc-by-nd": """
+        This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International
+        License.""",
+    "cc-by-nc": """
+        This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International
+        License.""",
+    "cc-by-nc-sa": """
+        This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0
+        International License.""",
+    "cc-by-nc-nd": """
+        This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0
+        International License.""",
+    "bsd-3": """
+        Redistribution and use in source and binary forms, with or without modification, are
+        permitted provided that the following conditions are met: Redistributions of source code must
+        retain the above copyright notice, this list of conditions and the following disclaimer.
+        Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided
+        with the distribution. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission.""",
     "bsd-2": """
         Redistribution and use in source and binary forms, with or without modification, are
         permitted provided that the following conditions are met: Redistributions of source code must
@@ -65,3 +113,23 @@ NOTICES = {
         form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
         means.""",
 }
+
+#: Words of a notice that tell it from others, which share nearly all the rest.
+DECISIVE = {
+    "gpl-2": ("gnu general", "version 2"),
+    "gpl-3": ("gnu general", "version 3"),
+    "lgpl": ("lesser",),
+    "agpl": ("affero",),
+    "mpl-2": ("mozilla",),
+    "epl": ("eclipse",),
+    "bsl-1": ("boost software",),
+    "cc-by": ("attribution 4",),
+    "cc-by-sa": ("attribution sharealike 4",),
+    "cc-by-nd": ("attribution noderivatives 4",),
+    "cc-by-nc": ("attribution noncommercial 4",),
+    "cc-by-nc-sa": ("noncommercial sharealike",),
+    "cc-by-nc-nd": ("noncommercial noderivatives",),
+    "bsd-3": ("neither the name", "endorse or promote"),
+    "mit": ("sublicense",),
+    "isc": ("with or without fee",),
+}

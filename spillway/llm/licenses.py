@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import MORE_PHRASES, NOTICES, PHRASES
+from .license_texts import DECISIVE, MORE_PHRASES, NOTICES, PHRASES
 from .storage import small, stored
 from .texts import id_type, schema_of, texts_of
 
@@ -35,12 +35,22 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Template:
-    """``exact``: counts only word for word.  ``base``: one of the phrases every scan reports."""
+    """``exact``: counts only word for word.  ``base``: one of the phrases every scan reports.
+    ``decisive``: places of words that have to stand in the text, whatever share of the others does."""
 
     label: str
     words: tuple[bytes, ...]
     exact: bool
     base: bool = False
+    decisive: frozenset[int] = frozenset()
+
+
+def places_of(phrase: tuple[bytes, ...], words: tuple[bytes, ...]) -> set[int]:
+    """All places in ``words`` that lie in an occurrence of ``phrase``."""
+    starts = [n for n in range(len(words)) if words[n : n + len(phrase)] == phrase]
+    if not starts:
+        raise ValueError(f"{phrase} is not in its notice")
+    return {n + k for n in starts for k in range(len(phrase))}
 
 
 def templates() -> tuple[Template, ...]:
@@ -52,7 +62,15 @@ def templates() -> tuple[Template, ...]:
     return (
         *(Template(label, words(text), True, True) for text, label in PHRASES.items()),
         *(Template(label, words(text), True) for text, label in MORE_PHRASES.items()),
-        *(Template(label, words(text), False) for label, text in NOTICES.items()),
+        *(
+            Template(
+                label,
+                words(text),
+                False,
+                decisive=frozenset().union(*(places_of(words(p), words(text)) for p in DECISIVE.get(label, ()))),
+            )
+            for label, text in NOTICES.items()
+        ),
     )
 
 
@@ -106,9 +124,10 @@ def _text_key(text: str):
 
 def spans(
     words: list[bytes], hits: list[dict], known: tuple[Template, ...], k: int, drift: int
-) -> list[tuple[int, int, int, float]]:
-    """(template, first word, word after the last, share of the template's words found in place)
-    after merging diagonals at most ``drift`` apart and comparing words."""
+) -> list[tuple[int, int, int, float, bool]]:
+    """(template, first word, word after the last, share of the template's words found in place,
+    whether all its decisive words are) after merging diagonals at most ``drift`` apart and comparing
+    words."""
     out = []
     by_template: dict[int, list[dict]] = {}
     for hit in hits:
@@ -131,10 +150,28 @@ def spans(
                         found.add(at)
                         begin, end = min(begin, place), max(end, place + 1)
             if found:
-                out.append((number, begin, end, len(found) / size))
+                out.append((number, begin, end, len(found) / size, template.decisive <= found))
     return out
 
 
+def best_of_overlapping(
+    sound: list[tuple[int, int, int, float, bool]], known: tuple[Template, ...]
+) -> list[tuple[int, int, int, float, bool]]:
+    """``sound`` without the notices that lie by more than half in the place of a better one, or a
+    better one in theirs: one with more words in place, of equal ones the one with the larger share,
+    then the smaller label.  Phrases stay."""
+    kept = [s for s in sound if known[s[0]].exact]
+    notices = [s for s in sound if not known[s[0]].exact]
+    best: list[tuple[int, int, int, float, bool]] = []
+    for found in sorted(
+        notices, key=lambda s: (-round(s[3] * len(known[s[0]].words)), -s[3], known[s[0]].label, s[1])
+    ):
+        _, begin, end, *_ = found
+        if all(2 * (min(end, b) - max(begin, a)) <= min(end - begin, b - a) for _, a, b, *_ in best):
+            best.append(found)
+    return kept + best
+
+
 #: Hits, of four numbers each, that may be broadcast with their texts' ids.
 MOST_HITS = 500_000
 
@@ -153,10 +190,12 @@ def license_scan(
 
     ``n_base`` counts the places of base phrases, ``first_word`` and ``last_word`` are the first and
     last of their starts (null without any).  ``labels`` are those of all phrases found and of
-    notices of whose words at least ``least`` lie in place; ``score`` is the largest such share of
+    notices of whose words at least ``least`` lie in place, all decisive ones (version, name, clause)
+    among them, and whose place no better notice has; ``score`` is the largest such share of
     any template, 0 without a hit.  ``spans`` lists label, first word, word after the last, share.
 
-    Null and empty texts have no words.  Repeated rows have equal results; a null id is an id like
+    Null and empty texts have no words; ties between notices go to the larger share, then the smaller
+    label.  A very long text is one task's, with its hits.  Repeated rows have equal results; a null id is an id like
     any other; an empty table gives an empty one; other columns are not read.  Templates have at
     least ``k`` words.  Only the hits per diagonal are shuffled; they return to the texts by a join
     on id and text hash, broadcast where the number of texts and that of all their hits
@@ -199,11 +238,12 @@ def license_scan(
 
 def _verdict(words, hits, known, k, drift, least) -> tuple:
     found = spans(words, hits, known, k, drift) if hits else []
-    sound = [s for s in found if s[3] >= (1.0 if known[s[0]].exact else least)]
+    sound = [s for s in found if s[4] and s[3] >= (1.0 if known[s[0]].exact else least)]
+    sound = best_of_overlapping(sound, known)
     starts = [s[1] for s in sound if known[s[0]].base]
     base = sorted({known[s[0]].label for s in sound if known[s[0]].base})
     every = sorted({known[s[0]].label for s in sound})
-    rows = sorted((known[n].label, a, b, share) for n, a, b, share in sound)
+    rows = sorted((known[n].label, a, b, share) for n, a, b, share, _ in sound)
     return (
         len(words),
         len(starts),
