@@ -90,16 +90,21 @@ def fit_quality(
 ) -> Trees:
     """Trees that tell label 1 from label 0, from labelled rows outside the held-out fold.
 
-    At most about ``sample`` labelled rows are used, those with the smallest hashes of their ids, so
-    what the driver gathers is ``sample`` rows of statistics at any input size.  Labels other than 0
-    and 1, and null ids, are left out; a document with several labels counts once for each.
+    At most about ``sample`` pairs of an id and a label are used, those with the smallest hashes of
+    their ids, so what the driver gathers is ``sample`` rows of statistics at any input size, however
+    often an id is repeated: a pair counts once, with the statistics of one of the texts of its id
+    (the one with the least, compared from left to right).  Labels other than 0 and 1, and null ids,
+    are left out; a document with both labels counts once for each.
     """
-    usable = labels.where(~held_out("doc_id", folds) & F.col(label).isin(0, 1)).select(
-        F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")
+    usable = (
+        labels.where(~held_out("doc_id", folds) & F.col(label).isin(0, 1))
+        .select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
+        .distinct()
     )
     total = usable.where("_id IS NOT NULL").count()
     chance = min(1.0, sample / max(1, total))
-    small_hash = f"pmod(xxhash64(CAST(_id AS STRING), 'quality sample'), 1000000) < {chance} * 1000000"
+    hashed = "pmod(xxhash64(CAST(_id AS STRING), 'quality sample'), 1000000000000000L)"
+    small_hash = f"{hashed} < CAST({chance} * 1e15D AS BIGINT)"
     chosen = F.broadcast(usable.where(small_hash))  # about ``sample`` rows by construction
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id")
     names = [f"f{i}" for i in range(len(FEATURES))]
@@ -111,7 +116,10 @@ def fit_quality(
             columns = [batch.column(0).cast(pa.string()), batch.column(2), *map(pa.array, found.T)]
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    seen = rows.select("_id", "_text", "_label").mapInArrow(run, schema).toPandas()
+    measured = rows.select("_id", "_text", "_label").mapInArrow(run, schema)
+    # Texts of one id are combined in the task: what is shuffled and gathered is a row per pair.
+    one_each = measured.groupBy("_id", "_label").agg(F.min(F.struct(*names)).alias("least"))
+    seen = one_each.select("_id", "_label", "least.*").toPandas()
     seen = seen.sort_values(["_id", "_label", *names], kind="stable")  # the same trees at any order
     return fitted(seen[names].to_numpy(np.float64), seen["_label"].to_numpy(np.float64), settings)
 

@@ -84,3 +84,25 @@ def test_awkward_rows(spark, docs, empty):
     assert not any(r["held_out"] for r in rows if r["doc_id"] is None)
     assert accepted(docs, model).schema == docs.schema
     assert quality_scores(empty, fit_quality(empty, labels)).count() == 0
+
+
+def test_a_repeated_id_is_gathered_once_for_each_label(spark, monkeypatch):
+    from spillway.llm import quality_model
+
+    seen = []
+
+    def kept_apart(rows, labels, settings):
+        seen.append((rows, labels))
+        return fitted(rows, labels, settings)
+
+    monkeypatch.setattr(quality_model, "fitted", kept_apart)
+    texts = [(n, f"some words of text {n}") for n in range(60)]
+    texts += [(3, f"another text of this id {n % 7}") for n in range(400)] + [(3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(60)] + [(3, n % 2) for n in range(500)], "doc_id long, quality int")
+    quality_model.fit_quality(docs, labels)
+    quality_model.fit_quality(docs.orderBy("text"), labels, sample=20)
+    (rows, found), (fewer, _) = seen
+    used = labels.distinct().where(~quality_model.held_out("doc_id", 3)).count()
+    assert len(rows) == used and 0 < len(fewer) < len(rows)
+    assert {tuple(r) for r in fewer.tolist()} <= {tuple(r) for r in rows.tolist()}
