@@ -27,12 +27,13 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class RepetitionRules:
     """Least words, the most words (in percent) inside repeated 3-word windows, and the most
-    characters inside n-grams and lines seen before; with fewer than ``least_duplicate`` words
-    inside them, such as one heading that comes again, they reject nothing."""
+    characters inside n-grams and lines seen before.  A heading is no repetition of its own: where
+    one line alone was seen before, only once, and has at most ``heading_words`` words, the rules of
+    n-grams that fit into it leave its characters out; the rule of lines still counts them."""
 
     least_words: int = 50
     most_repeated_percent: int = 50
-    least_duplicate: int = 20
+    heading_words: int = 20
     ngrams: tuple[tuple[int, float], ...] = tuple(DUPLICATE_NGRAM_SHARES.items())
     lines: float = DUPLICATE_LINE_CHARACTERS
 
@@ -101,13 +102,17 @@ def measures(text: bytes, rules: RepetitionRules) -> dict[str, float]:
     out["base_failed"] = (
         len(words) < rules.least_words or 100 * repeated > rules.most_repeated_percent * len(words)
     )
-    doubled = sum(len(line.split()) for line in again)
-    rejected = doubled >= rules.least_duplicate and out["dup_line_chars"] > rules.lines * characters
+    rejected = out["dup_line_chars"] > rules.lines * characters
+    heading = len(again[0].split()) if len(again) == 1 else 0
+    if heading > rules.heading_words:
+        heading = 0
     for n, most in rules.ngrams:
         _, before = repeats(rolling_hashes(numbers, n))
         inside = covered(before, n, len(words))
         out[f"dup_{n}gram_chars"] = share = int(lengths[inside].sum())
-        rejected |= inside.sum() >= rules.least_duplicate and share > most * characters
+        # Every word of a heading of n words or more lies in an n-gram seen before.
+        own = out["dup_line_chars"] if heading >= n else 0
+        rejected |= share - own > most * characters
     out["kept"] = not (out["base_failed"] or bool(rejected))
     return out
 

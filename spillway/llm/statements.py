@@ -77,7 +77,7 @@ FROM (SELECT *, unnest(range(times::BIGINT)) AS epoch FROM taken WHERE times > 0
 _NGRAMS = "".join(
     f""",
 c{n} AS (
-    SELECT doc_id, sum(size)::BIGINT AS chars_{n}, count(*) AS words_{n} FROM (
+    SELECT doc_id, sum(size)::BIGINT AS chars_{n} FROM (
         SELECT doc_id, size, max(again) OVER (PARTITION BY doc_id ORDER BY pos
             ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside
         FROM (SELECT *, gram IS NOT NULL
@@ -88,11 +88,11 @@ c{n} AS (
     for n in (5, 6, 7, 8, 9, 10)
 )
 _JOINS = " ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in (5, 6, 7, 8, 9, 10))
-_SHARES = ", ".join(f"coalesce(chars_{n}, 0) AS dup_{n}gram_chars, coalesce(words_{n}, 0) AS words_{n}" for n in (5, 6, 7, 8, 9, 10))
+_SHARES = ", ".join(f"coalesce(chars_{n}, 0) AS dup_{n}gram_chars" for n in (5, 6, 7, 8, 9, 10))
 _FOLLOWING = ", ".join(f"lead(hash(word), {k}) OVER o AS h{k}" for k in range(1, 10))
-_WORDS = ", ".join(f"words_{n}" for n in (5, 6, 7, 8, 9, 10))
 _FAILS = " OR ".join(
-    f"(words_{n} >= 20 AND dup_{n}gram_chars > {most} * word_chars)"
+    f"dup_{n}gram_chars - CASE WHEN n_dup_lines = 1 AND line_words BETWEEN {n} AND 20 THEN dup_line_chars ELSE 0 END"
+    f" > {most} * word_chars"
     for n, most in {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}.items()
 )
 
@@ -132,9 +132,9 @@ found AS (
         coalesce(line_words, 0) AS line_words,
         coalesce(n_repeat_words, 0) AS n_repeat_words, {_SHARES}
     FROM base LEFT JOIN line_counts USING (doc_id) LEFT JOIN repeated USING (doc_id) {_JOINS})
-SELECT * EXCLUDE (line_words, {_WORDS}), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+SELECT * EXCLUDE (line_words), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
-        OR (line_words >= 20 AND dup_line_chars > 0.20 * word_chars) OR {_FAILS}) AS kept
+        OR dup_line_chars > 0.20 * word_chars OR {_FAILS}) AS kept
 FROM found
 """
 

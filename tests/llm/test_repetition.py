@@ -35,18 +35,23 @@ def brute(text):
 
 
 def brute_kept(text):
-    """The verdict, with the limits of the published rules."""
+    """The verdict, with the limits of the published rules and a heading left out word by word."""
     found = brute(text)
-    split = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x.split() for x in (text or "").split("\n")]
+    raw = (text or "").split("\n")
+    again = [i for i, x in enumerate(raw) if x.strip() and x in raw[:i]]
+    split, heading = [w for x in lines for w in x], range(0)
+    if len(again) == 1 and len(lines[again[0]]) <= 20:
+        before = sum(map(len, lines[: again[0]]))
+        heading = range(before, before + len(lines[again[0]]))
     limits = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
     for n, most in limits.items():
         windows = [tuple(split[i : i + n]) for i in range(len(split) - n + 1)]
         inside = {i + k for i, w in enumerate(windows) if w in windows[:i] for k in range(n)}
-        if len(inside) >= 20 and found[f"dup_{n}gram_chars"] > most * found["word_chars"]:
+        left = inside.difference(heading) if len(heading) >= n else inside
+        if sum(len(split[i]) for i in left) > most * found["word_chars"]:
             return False
-    lines = (text or "").split("\n")
-    again = [len(x.split()) for i, x in enumerate(lines) if x.strip() and x in lines[:i]]
-    if sum(again) >= 20 and found["dup_line_chars"] > 0.2 * found["word_chars"]:
+    if found["dup_line_chars"] > 0.2 * found["word_chars"]:
         return False
     return not found["base_failed"]
 
@@ -71,6 +76,27 @@ def test_one_repeated_heading_is_kept_and_many_are_not():
     assert not found["kept"]
 
 
+HEADING = "A heading of nine words that stands here again"
+LONG = HEADING.replace(" ", "xxxxx ")
+
+
+@pytest.mark.parametrize(
+    "text, kept",
+    [
+        (f"{HEADING}\n{words(7, 65)}\n{HEADING}", True),  # beyond the limits of 5 to 9 words alone
+        (f"{HEADING}\n{words(7, 65)}\n{HEADING}\nAgain\nAgain", False),  # two lines
+        (f"{HEADING}\n{words(7, 55)}\n{HEADING}\n{HEADING}", False),  # it comes three times
+        (f"{HEADING} {words(7, 65)} {HEADING}", False),  # no line of its own
+        (f"{HEADING}\n{words(7, 40)}\n{HEADING} ", False),  # no equal line, for the blank at its end
+        (f"{LONG}\n{words(7, 36)}\n{LONG}", False),  # over a fifth of the text
+        (f"{HEADING}\n{words(7, 65)}\n{HEADING}\n{' '.join(words(7, 65).split()[:12])}", False),  # and more
+        (f"{words(9, 21).strip()}\n{words(7, 160)}\n{words(9, 21).strip()}", False),  # too long for a heading
+    ],
+)
+def test_headings(text, kept):
+    assert measures(text.encode(), RepetitionRules())["kept"] == kept == brute_kept(text)
+
+
 @pytest.mark.parametrize("n", [5, 10])
 def test_share_is_compared_with_its_own_limit(n):
     rules = RepetitionRules(ngrams=((n, 0.10),), lines=1.0)
