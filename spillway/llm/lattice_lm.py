@@ -4,7 +4,8 @@ The vocabulary is an existing one.  Every piece has a log probability; the proba
 the sum, over all its segmentations, of the products of their pieces, and then of its end.  No piece
 crosses the blank in front of a word, so the lattice of a text falls apart into those of its words,
 and a word's marginal is worked out once wherever it occurs: a forward recursion in log space over
-many words of one length at a time.
+many words of one length at a time.  A long word (unbroken text) is swept alone, stretch by stretch:
+numpy finds the pieces of a stretch, and the recursion runs along them.
 
 The piece probabilities are learned by expectation maximisation over the distinct words of the
 corpus and their counts, which a shuffle gathers; backward values give the expected piece counts.
@@ -17,6 +18,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, inf, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,16 @@ from .texts import held_out, id_type, schema_of, texts_of
 END = b""
 #: Words counted in a task before they go to the shuffle, and words whose values a worker keeps.
 COUNTED, KEPT = 300_000, 200_000
+#: Bytes of words held for these at once, beside one word of any length.
+HELD = 1 << 26
 #: Words whose lattices a task works through at once.
 TOGETHER = 100_000
 #: Words this frequent, and no longer, may be broadcast: at most this many.
 HEAD, HEAD_BYTES = 1 << 17, 64
+#: Bytes from which a word is swept alone, and bytes of it whose pieces are held at once.
+LONG, STRETCH = 256, 1 << 14
+#: Bytes of words of one length worked through together.
+BLOCK = 1 << 18
 _LN10 = np.log(10)
 
 
@@ -104,14 +112,22 @@ class Lattice:
         """The natural log probability of each word, the blank before it included."""
         out = np.empty(len(words))
         for places, raw in _by_length(words):
-            out[places] = self._forward(raw)[0][-1]
+            if raw.shape[1] > LONG:
+                out[places] = [self._swept(row) for row in raw]
+            else:
+                out[places] = self._forward(raw)[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """How often each piece occurs in the words, over all segmentations."""
         out = np.zeros(len(self.pieces.surfaces))
         for places, raw in _by_length(words):
-            forward, edges = self._forward(raw)
+            if raw.shape[1] > LONG:
+                for place, row in zip(places, raw):
+                    self._swept_back(row, counts[place], out)
+                continue
+            edges: list[tuple] = []
+            forward = self._forward(raw, edges)
             backward = [np.full(len(raw), -np.inf) for _ in forward]
             backward[-1] = np.zeros(len(raw))
             for begin, end, rows, ids in reversed(edges):
@@ -123,27 +139,82 @@ class Lattice:
                 out += np.bincount(ids, np.exp(logs) * weights[rows], len(out))
         return out
 
-    def _forward(self, raw: np.ndarray):
-        """Log sums up to each byte, and the pieces found: (begin, end, rows, piece ids), by begin."""
+    def _forward(self, raw: np.ndarray, edges: list[tuple] | None = None) -> list[np.ndarray]:
+        """Log sums up to each byte; ``edges`` gets the pieces: (begin, end, rows, piece ids), by begin."""
         number, size = raw.shape
         forward = [np.full(number, -np.inf) for _ in range(size + 1)]
         forward[0] = np.zeros(number)
-        edges = []
         for begin in range(size):
             keys = np.zeros(number, np.uint64)
             for end in range(begin + 1, min(size, begin + self.longest) + 1):
                 keys = _extended(keys, raw[:, end - 1])
-                known, ids = self.tables[end - begin - 1]
-                if not len(known):
-                    continue
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                rows = np.flatnonzero(known[at] == keys)
+                rows, own = self._known(keys, end - begin)
                 if len(rows):
-                    own = ids[at[rows]]
-                    edges.append((begin, end, rows, own))
+                    if edges is not None:
+                        edges.append((begin, end, rows, own))
                     through = forward[begin][rows] + self.pieces.logs[own]
                     forward[end][rows] = np.logaddexp(forward[end][rows], through)
-        return forward, edges
+        return forward
+
+    def _known(self, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes of ``size`` bytes are pieces, and which pieces."""
+        known, ids = self.tables[size - 1]
+        if not len(known):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        rows = np.flatnonzero(known[at] == keys)
+        return rows, ids[at[rows]]
+
+    def _stretch(self, word: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, ...]:
+        """Begins and ends (from ``start``) and ids of the pieces that begin in a stretch, by begin."""
+        keys = np.zeros(stop - start, np.uint64)
+        found = []
+        for size in range(1, min(self.longest, len(word) - start) + 1):
+            keys = keys[: len(word) - size + 1 - start]
+            keys = _extended(keys, word[start + size - 1 : start + size - 1 + len(keys)])
+            rows, ids = self._known(keys, size)
+            found.append((rows, rows + size, ids))
+        begins, ends, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(begins, kind="stable")
+        return begins[order], ends[order], ids[order]
+
+    def _swept(self, word: np.ndarray, values: np.ndarray | None = None) -> float:
+        """The log sum of one word; ``values`` gets the log sums up to each byte."""
+        ahead = [0.0] + [-inf] * (STRETCH + self.longest)
+        for start in range(0, len(word), STRETCH):
+            stop = min(start + STRETCH, len(word))
+            begins, ends, ids = self._stretch(word, start, stop)
+            for begin, end, log in zip(begins.tolist(), ends.tolist(), self.pieces.logs[ids].tolist()):
+                ahead[end] = _added(ahead[end], ahead[begin] + log)
+            if values is not None:
+                values[start:stop] = ahead[: stop - start]
+            ahead = ahead[stop - start :] + [-inf] * (stop - start)
+        if values is not None:
+            values[len(word)] = ahead[0]
+        return ahead[0]
+
+    def _swept_back(self, word: np.ndarray, count: float, out: np.ndarray) -> None:
+        """Adds to ``out`` how often each piece occurs in ``count`` times one word."""
+        values = np.empty(len(word) + 1)
+        total = self._swept(word, values)
+        behind = [0.0] + [-inf] * self.longest
+        for start in reversed(range(0, len(word), STRETCH)):
+            stop = min(start + STRETCH, len(word))
+            begins, ends, ids = self._stretch(word, start, stop)
+            logs = self.pieces.logs[ids]
+            behind = [-inf] * (stop - start) + behind
+            for begin, end, log in zip(begins[::-1].tolist(), ends[::-1].tolist(), logs[::-1].tolist()):
+                behind[begin] = _added(behind[begin], log + behind[end])
+            through = values[start + begins] + logs + np.array(behind)[ends] - total
+            out += np.bincount(ids, np.exp(through) * count, len(out))
+            del behind[self.longest + 1 :]
+
+
+def _added(a: float, b: float) -> float:
+    """The logarithm of the sum of two numbers given by theirs."""
+    if a < b:
+        a, b = b, a
+    return a if b == -inf else a + log1p(exp(b - a))
 
 
 def _extended(keys: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -157,18 +228,20 @@ def _by_length(words: list[bytes], together: int = 4096):
     order = np.argsort(sizes, kind="stable")
     cuts = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=-1))
     for a, b in zip(cuts, cuts[1:]):
-        for c in range(a, b, together):
-            places = order[c : min(b, c + together)]
+        step = min(together, max(1, BLOCK // (int(sizes[order[a]]) + 1)))
+        for c in range(a, b, step):
+            places = order[c : min(b, c + step)]
             raw = np.frombuffer(b"".join([b" " + words[i] for i in places]), np.uint8)
             yield places, raw.reshape(len(places), -1)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, c``: lower-cased words, and :data:`END` once per text.  Tasks count before the
-    shuffle, and only hold so many words at a time."""
+    shuffle, and only hold so many words, and bytes of long ones, at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter[bytes] = Counter()
+        held = 0
 
         def flushed() -> pa.RecordBatch:
             words, counts = pa.array(tally.keys(), pa.binary()), pa.array(tally.values(), pa.int64())
@@ -176,11 +249,15 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for found in texts_of(batch.column(0)):
-                tally.update(words_of(found))
+                words = words_of(found)
+                tally.update(words)
                 tally[END] += 1
-                if len(tally) > COUNTED:
+                if max(map(len, words), default=0) > LONG:
+                    held += len(found)
+                if len(tally) > COUNTED or held > HELD:
                     yield flushed()
                     tally.clear()
+                    held = 0
         yield flushed()
 
     counted = docs.select(text).mapInArrow(run, "word binary, c long")
@@ -200,13 +277,14 @@ def learned(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(shared.value)
-            total, found, times = np.zeros(size), [], []
+            total, found, times, held = np.zeros(size), [], [], 0
             for batch in batches:
                 found += batch.column(0).to_pylist()
                 times += batch.column(1).to_pylist()
-                if len(found) > TOGETHER:
+                held += batch.column(0).nbytes
+                if len(found) > TOGETHER or held > HELD:
                     total += lattice.expected(found, np.array(times))
-                    found, times = [], []
+                    found, times, held = [], [], 0
             total += lattice.expected(found, np.array(times, np.int64))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
@@ -236,7 +314,9 @@ def lattice_scores(
     ``base_score`` is that of single words (and the end) with counts from the same rows and half a
     count added.  A null or empty text is its end alone; a null id is never held out; repeated rows
     each count and each get a row; without training rows the pieces keep their first scores; an
-    empty table gives an empty one; other columns are not read.
+    empty table gives an empty one; other columns are not read.  Ties cannot arise: each text is
+    scored alone.  A very long text is held by one task; its words are scored one by one, an unbroken
+    one in time that grows with its bytes.
 
     Frequent words, at most :data:`HEAD`, are broadcast with their values; the others of each text
     are looked up by a join on the word.  A word's marginal needs no look-up.
@@ -316,6 +396,7 @@ class Scorer:
     def __init__(self, pieces: Pieces, head: dict[bytes, int], divisor: float):
         self.lattice, self.end, self.head, self.divisor = Lattice(pieces), pieces.end, head, divisor
         self.marginal: dict[bytes, float] = {}
+        self.held = 0
 
     @staticmethod
     def of(key: str, model) -> Scorer:
@@ -329,9 +410,11 @@ class Scorer:
         met: set[bytes] = set()
         for text in texts:
             met.update(words_of(text))
-        if len(self.marginal) > KEPT:
+        if len(self.marginal) > KEPT or self.held > HELD:
             self.marginal.clear()
+            self.held = 0
         new = list(met.difference(self.marginal))
+        self.held += sum(map(len, new))
         self.marginal.update(zip(new, self.lattice.marginals(new).tolist()))
 
     def score(self, text: bytes) -> tuple:

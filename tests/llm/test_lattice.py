@@ -1,6 +1,8 @@
 """Lattice probabilities against the sum over all segmentations, and the scores of texts."""
 
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -57,6 +59,35 @@ def test_public_vocabulary_covers_every_text():
     assert np.isfinite(Lattice(pieces).marginals(odd)).all()
 
 
+@pytest.mark.parametrize("stretch", [7, 1 << 14])
+def test_long_words_are_swept_to_the_same_values(monkeypatch, stretch):
+    pieces = pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    lattice, pick = Lattice(pieces), random.Random(5)
+    found = [bytes(pick.randrange(33, 256) for _ in range(n)) for n in (1, 24, 25, 26, 60, 300, 300, 900)]
+    found += ["日本語テスト".encode() * 40, b"the" * 200]
+    counts = np.arange(1, len(found) + 1)
+    together = lattice.marginals(found), lattice.expected(found, counts)
+    for longest in (0, 1 << 40):
+        monkeypatch.setattr("spillway.llm.lattice_lm.LONG", longest)
+        monkeypatch.setattr("spillway.llm.lattice_lm.STRETCH", stretch)
+        assert np.allclose(lattice.marginals(found), together[0], rtol=1e-12)
+        assert np.allclose(lattice.expected(found, counts), together[1], rtol=1e-9, atol=1e-9)
+
+
+def test_a_megabyte_of_unbroken_text(spark, monkeypatch):
+    monkeypatch.setattr("spillway.llm.lattice_lm.HELD", 1 << 16)
+    pieces, pick = pieces_of(public_tokenizers.path("piece_bpe_32k.model")), random.Random(6)
+    word = "".join(pick.choices("etaoinshrdlu", k=1 << 20))
+    rows = spark.createDataFrame([(2, word), (3, word[: 1 << 17]), (8, "a b")], "doc_id long, text string")
+    started = time.monotonic()
+    one, two, three = sorted(rows_of(lattice_scores(rows, pieces, rounds=1)), key=lambda r: r["doc_id"])
+    assert time.monotonic() - started < 120
+    assert one["score"] < two["score"] < three["score"] < 0
+    assert (one["n_tokens"], three["n_tokens"]) == (2, 3)
+    counted = {bytes(r["word"]): r["c"] for r in word_counts(rows).collect()}
+    assert counted == {word.encode(): 1, word[: 1 << 17].encode(): 1, b"a": 1, b"b": 1, b"": 3}
+
+
 def test_learning_raises_the_likelihood(spark, docs):
     counts = word_counts(docs)
     seen = {bytes(r["word"]): r["c"] for r in counts.collect()}
