@@ -1,6 +1,7 @@
 """Column-level building blocks."""
 
 from .bands import AGE_GROUPS, CREDIT_BANDS, JOURNEY_SPEEDS, RESPONSE_TIERS, Band, Bands
+from .joins import by_merge
 from .ladder import LOAN_LADDER, StageLadder, StageLog
 from .scalars import (
     columns,
@@ -31,6 +32,7 @@ __all__ = [
     "Bands",
     "StageLadder",
     "StageLog",
+    "by_merge",
     "columns",
     "day_of_hour",
     "days_between",

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import by_merge
 from ..operators import area_under_curve, calibration, entity_progress, reached
 from ..sources import LoanBook
 
@@ -24,10 +25,10 @@ def approval_features(book: LoanBook) -> DataFrame:
     )
     return (
         book.loan_applications.select("application_id", "applicant_id", "loan_amount")
-        .join(outcome, "application_id")
-        .join(book.applicants.select("applicant_id", "employment_status"), "applicant_id", "left")
+        .join(by_merge(outcome), "application_id")
+        .join(by_merge(book.applicants.select("applicant_id", "employment_status")), "applicant_id", "left")
         .join(
-            book.credit_profiles.select("applicant_id", "credit_score", "debt_to_income_ratio"),
+            by_merge(book.credit_profiles.select("applicant_id", "credit_score", "debt_to_income_ratio")),
             "applicant_id",
             "left",
         )

@@ -7,6 +7,7 @@ from helpers import SMALL, book
 
 from spillway import plans
 from spillway.catalog import QUERIES
+from spillway.sources import loan_book_from_orders
 
 
 def learned_book(spark, count=300):
@@ -35,3 +36,9 @@ def test_mean_probability_is_the_share_approved(spark):
     rows = QUERIES["approval_probability"](spark, SMALL).toPandas()
     assert len(rows) == rows["application_id"].nunique() > 1000
     assert abs(rows["probability"].mean() - rows["approved"].mean()) < 1e-3
+
+
+def test_features_are_joined_without_a_broadcast(spark):
+    """However small the files of the people look; the driver holds none of the tables."""
+    plan = plans.approval_features(loan_book_from_orders(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan
