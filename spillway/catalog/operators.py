@@ -11,6 +11,7 @@ from ..functions import (
     CREDIT_BANDS,
     JOURNEY_SPEEDS,
     RESPONSE_TIERS,
+    by_merge,
     columns,
     days_between,
     display_name,
@@ -160,7 +161,7 @@ def join_fact_events(book):
     per_application = _count(book.application_events, "application_id", "stage")
     return (
         book.loan_applications.select("application_id", "loan_type")
-        .join(per_application, "application_id")
+        .join(by_merge(per_application), "application_id")
         .groupBy("loan_type", "stage")
         .agg(*columns(["sum(n) AS n"]))
     )
@@ -169,7 +170,7 @@ def join_fact_events(book):
 def join_dimension(book):
     per_person = _count(book.loan_applications, "applicant_id")
     people = book.applicants.select("applicant_id", "acquisition_channel")
-    return per_person.join(people, "applicant_id").groupBy("acquisition_channel").agg(
+    return per_person.join(by_merge(people), "applicant_id").groupBy("acquisition_channel").agg(
         *columns(["sum(n) AS n"])
     )
 
@@ -178,8 +179,8 @@ def join_four_tables(book):
     facts = outcomes(book.log, book.loan_applications.select("application_id", "applicant_id"))
     per_person = tally(book.log, facts, ["applicant_id"], ["disbursed"])
     return (
-        per_person.join(book.applicants.select("applicant_id", "age"), "applicant_id")
-        .join(book.credit_profiles.select("applicant_id", "credit_score"), "applicant_id")
+        per_person.join(by_merge(book.applicants.select("applicant_id", "age")), "applicant_id")
+        .join(by_merge(book.credit_profiles.select("applicant_id", "credit_score")), "applicant_id")
         .groupBy("age")
         .agg(
             *columns(
@@ -199,7 +200,7 @@ def join_stage_pair(book):
     log = book.log
     opened = entity_progress(log.where("stage = 'submitted'"), first_of=["submitted"])
     answered = entity_progress(log.where("stage = 'under_review'"), first_of=["under_review"])
-    pairs = opened.alias("s").join(answered.alias("r"), "application_id")
+    pairs = opened.alias("s").join(by_merge(answered.alias("r")), "application_id")
     return pairs.selectExpr(
         "application_id", f"{hours_between('first_submitted', 'first_under_review')} AS hours"
     )
@@ -207,7 +208,7 @@ def join_stage_pair(book):
 
 def join_derived_to_table(book):
     return journeys(book.log).join(
-        book.loan_applications.select("application_id", "loan_amount"), "application_id"
+        by_merge(book.loan_applications.select("application_id", "loan_amount")), "application_id"
     ).select("application_id", "loan_amount", "total_days")
 
 
@@ -243,7 +244,7 @@ def join_derived_aggregate(book):
     outcome = entity_progress(book.log).selectExpr(
         "application_id", f"{reached(book.log, 'disbursed')} AS paid"
     )
-    return book.loan_applications.join(outcome, "application_id").groupBy("paid").agg(
+    return book.loan_applications.join(by_merge(outcome), "application_id").groupBy("paid").agg(
         *columns(["count(1) AS n", "sum(loan_amount) AS amount"])
     )
 
@@ -272,7 +273,7 @@ def rows_without_partner(book):
     applicants first, so one with very many of them is one row in the join."""
     applied = book.loan_applications.where("loan_type = 'home_loan' AND loan_term_months = 12")
     return book.applicants.select("applicant_id").join(
-        applied.select("applicant_id").distinct(), "applicant_id", "left_anti"
+        by_merge(applied.select("applicant_id").distinct()), "applicant_id", "left_anti"
     )
 
 
@@ -369,7 +370,7 @@ def median_by_group(book):
     """Exact interpolated median from a histogram, so no group is held in one task."""
     histogram = _count(
         journeys(book.log).join(
-            book.loan_applications.select("application_id", "loan_type"), "application_id"
+            by_merge(book.loan_applications.select("application_id", "loan_type")), "application_id"
         ),
         "loan_type",
         "total_days",
@@ -592,7 +593,7 @@ def text_replace(book):
 
 def coalesce_to_zero(book):
     applied = _count(book.loan_applications, "applicant_id")
-    return book.applicants.select("applicant_id").join(applied, "applicant_id", "left").selectExpr(
+    return book.applicants.select("applicant_id").join(by_merge(applied), "applicant_id", "left").selectExpr(
         "applicant_id", "coalesce(n, 0L) AS applications"
     )
 
@@ -752,7 +753,7 @@ def two_aliases(book):
     log = book.log
     first = entity_progress(log.where("stage = 'submitted'"), first_of=["submitted"]).alias("a")
     others = next_stages(log).where("stage_order > 1").alias("b")
-    return first.join(others, "application_id").selectExpr(
+    return first.join(by_merge(others), "application_id").selectExpr(
         "application_id",
         "b.stage_order AS stage_order",
         f"{days_between('a.first_submitted', 'b.at')} AS days_since_submission",

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from ..functions import columns, name, rows_of, text
+from ..functions import by_merge, columns, name, rows_of, text
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def _orphans(table, frame, rule, parent) -> DataFrame:
     key = name(rule.column)
     used = frame.where(f"{key} IS NOT NULL").selectExpr(f"{key} AS reference").groupBy("reference")
     known = parent.selectExpr(f"{name(rule.parent_column)} AS reference")
-    lost = used.count().join(known, "reference", "left_anti")
+    lost = used.count().join(by_merge(known), "reference", "left_anti")
     return _one_count(table, rule, lost, "coalesce(sum(count), 0L)")
 
 

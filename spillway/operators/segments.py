@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions import StageLog, columns, name, percent, ratio, settled_round
+from ..functions import StageLog, by_merge, columns, name, percent, ratio, settled_round
 from .progress import entity_progress, reached
 
 TOTAL = "total_applications"
@@ -20,7 +20,7 @@ TOTAL = "total_applications"
 
 def outcomes(log: StageLog, facts: DataFrame, **progress) -> DataFrame:
     """Fact rows whose entity has events, with the columns of :func:`entity_progress`."""
-    return facts.join(entity_progress(log, **progress), log.entity)
+    return facts.join(by_merge(entity_progress(log, **progress)), log.entity)
 
 
 def tally(
@@ -65,7 +65,7 @@ def segment_conversion(
     for c in weighted:
         measures.append(f"sum(CAST({name(c)} AS BIGINT) * {TOTAL}) AS {name(f'sum_{c}')}")
         measures.append(f"sum({TOTAL}) FILTER (WHERE {name(c)} IS NOT NULL) AS {name(f'n_{c}')}")
-    return per_key.join(dimension, on).groupBy(*by).agg(*columns(measures))
+    return per_key.join(by_merge(dimension), on).groupBy(*by).agg(*columns(measures))
 
 
 # Report columns over a finished tally (one row per segment, so whole-table windows are small).

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
-from ..functions import StageLog, columns, days_between, mean_of, name
+from ..functions import StageLog, by_merge, columns, days_between, mean_of, name
 from .progress import furthest_stage
 
 
@@ -16,7 +16,7 @@ def stuck_report(log: StageLog, facts: DataFrame, amount: str, as_of: dt.date) -
     stopped = furthest_stage(log).where(f"stage_order < {len(log.ladder.stages)}")
     idle, value = days_between("last_activity", f"DATE '{as_of}'"), name(amount)
     return (
-        stopped.join(facts.select(log.entity, amount), log.entity)
+        stopped.join(by_merge(facts.select(log.entity, amount)), log.entity)
         .groupBy("stage_order")
         .agg(
             *columns(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import columns, days_between, mean_of, percent
+from ..functions import by_merge, columns, days_between, mean_of, percent
 from ..operators import entity_progress, reached
 from ..sources import LoanBook
 from .funnel_reports import funnel_overview, stage_dropoff
@@ -28,7 +28,7 @@ def executive_dashboard(book: LoanBook) -> DataFrame:
     days = days_between(f"first_{start}", f"last_{end}")
     return dashboard_figures(
         entity_progress(log, first_of=[start], last_of=[end])
-        .join(amounts, "application_id", "left")
+        .join(by_merge(amounts), "application_id", "left")
         .agg(
             *columns(
                 [

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
-from ..functions import columns, percent
+from ..functions import by_merge, columns, percent
 from ..operators import (
     bootstrap_lift,
     entity_progress,
@@ -73,7 +73,7 @@ def registration_step(book: LoanBook) -> DataFrame:
     applied = book.loan_applications.select("applicant_id").distinct()
     return (
         book.applicants.select("applicant_id")
-        .join(applied.selectExpr("applicant_id", "1 AS applied"), "applicant_id", "left")
+        .join(by_merge(applied.selectExpr("applicant_id", "1 AS applied")), "applicant_id", "left")
         .agg(
             *columns(
                 [
@@ -111,9 +111,10 @@ def fast_review_interval(book: LoanBook, within_hours: int = 6, replicates: int
     log = book.log
     gaps = response_gaps(log, "submitted", "under_review", repeats="first")
     people = book.applicants.selectExpr("applicant_id", "acquisition_channel AS channel")
-    channels = book.loan_applications.select("application_id", "applicant_id").join(people, "applicant_id", "left")
+    applied = book.loan_applications.select("application_id", "applicant_id")
+    channels = applied.join(by_merge(people), "applicant_id", "left")
     return bootstrap_lift(
-        gaps.join(channels.select("application_id", "channel"), "application_id", "left"),
+        gaps.join(by_merge(channels.select("application_id", "channel")), "application_id", "left"),
         "application_id",
         "channel",
         f"hours <= {within_hours}",

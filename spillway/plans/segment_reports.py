@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import AGE_GROUPS, CREDIT_BANDS, display_name, mean_of
+from ..functions import AGE_GROUPS, CREDIT_BANDS, by_merge, display_name, mean_of
 from ..operators import outcomes, reached, segment_conversion, tally
 from ..operators.segments import (
     TOTAL,
@@ -144,7 +144,7 @@ def conv_by_credit_band(book: LoanBook) -> DataFrame:
         "credit_score",
         f"{CREDIT_BANDS.label('credit_score')} AS credit_band",
         f"{CREDIT_BANDS.position('credit_score')} AS band_sort",
-    ).join(book.applicants.select("applicant_id"), "applicant_id")
+    ).join(by_merge(book.applicants.select("applicant_id")), "applicant_id")
     bands = segment_conversion(
         book.log,
         book.loan_applications,

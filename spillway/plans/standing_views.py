@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import LOAN_LADDER, StageLog, columns, days_between
+from ..functions import LOAN_LADDER, StageLog, by_merge, columns, days_between
 from ..operators import entity_progress, reached
 from ..operators.segments import TOTAL
 from ..sources.partitions import merge, overwrite_partitions, read_partitions
@@ -81,7 +81,7 @@ class StandingViews:
         if applications is not None:
             people = applicants.selectExpr("applicant_id", "acquisition_channel AS channel", "true AS person")
             parts.append(
-                applications.join(people, "applicant_id", "left").selectExpr(
+                applications.join(by_merge(people), "applicant_id", "left").selectExpr(
                     "application_id", "CAST(NULL AS BIGINT) AS stage_set",
                     "CAST(NULL AS TIMESTAMP_NTZ) AS first_submitted", "CAST(NULL AS TIMESTAMP_NTZ) AS last_disbursed",
                     f"""struct({number}L AS load, {day} AS applied_on, loan_type,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from ..functions import (
     JOURNEY_SPEEDS,
     RESPONSE_TIERS,
+    by_merge,
     columns,
     days_between,
     display_name,
@@ -59,7 +60,7 @@ def journey_durations(book: LoanBook, outlier_factor: int = 2, ordered: bool = T
     all into one task.
     """
     finished = journeys(book.log).join(
-        book.loan_applications.select("application_id", "loan_type", "loan_amount"), "application_id"
+        by_merge(book.loan_applications.select("application_id", "loan_type", "loan_amount")), "application_id"
     )
     days, n = "sum(total_days)", "count(total_days)"
     means = finished.agg(
@@ -154,7 +155,7 @@ def time_to_convert_by_channel(book: LoanBook) -> DataFrame:
     people = book.applicants.selectExpr("applicant_id", "acquisition_channel AS channel")
     channels = (
         _journey_tally(book, "applicant_id")
-        .join(people, "applicant_id")
+        .join(by_merge(people), "applicant_id")
         .groupBy("channel")
         .agg(
             *columns(f"sum({c}) AS {c}" for c in (TOTAL, "disbursed", "days", "days_known")),

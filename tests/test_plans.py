@@ -92,3 +92,10 @@ def test_bucketed_tables_need_no_shuffle_by_application(spark, stored):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
         spark.sql("DROP DATABASE lending CASCADE")
+
+
+@pytest.mark.parametrize("name", ["vw_channel_performance", "vw_executive_dashboard", "read_all_views", "join_four_tables"])
+def test_people_are_never_broadcast(spark, name):
+    """However small their files look: the plan before any shuffle has merge joins only."""
+    plan = physical(QUERIES[name](spark, SMALL))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
