@@ -70,9 +70,18 @@ def read_parquet_book(spark: SparkSession, folder: str) -> LoanBook:
     )
 
 
-def write_bucketed_book(book: LoanBook, database: str, buckets: int, split: int = 8) -> None:
+#: Rows of the largest table in a bucket, about: what a task holds of it while it reduces events.
+BUCKET_ROWS = 1 << 20
+
+
+def write_bucketed_book(
+    book: LoanBook, database: str, buckets: int, split: int = 8, rows: int = BUCKET_ROWS
+) -> None:
     """Managed tables bucketed by their clustering column.
 
+    ``buckets`` is the least number; it is doubled until a bucket has about ``rows`` rows of the
+    largest table or fewer, so that a task's share does not grow with the tables.
+
     Events and applications share the application buckets: reports that reduce events per
     application and join the application then run without shuffling either table.  A bucket is
     read by one task, so where one application may own a large share of all events, keep the
@@ -81,6 +90,9 @@ def write_bucketed_book(book: LoanBook, database: str, buckets: int, split: int
     Rows are gathered per bucket before the write, events in up to ``split`` parts per bucket, so
     that neither many small files nor one very long task comes of it.
     """
+    largest = max(frame.count() for frame in book.tables().values())
+    while buckets * rows < largest:
+        buckets *= 2
     for table, frame in book.tables().items():
         key = CLUSTERING[table]
         parts = [f"pmod(hash({key}), {buckets})"]

@@ -158,3 +158,22 @@ def test_constraint_breakers(spark):
 def test_table_types(spark):
     frame = table(spark, "credit_profiles", [{"applicant_id": 1, "debt_to_income_ratio": "0.25"}])
     assert dict(frame.dtypes)["debt_to_income_ratio"] == "decimal(5,2)"
+
+
+def test_buckets_grow_with_the_largest_table(spark):
+    """A bucket has about so many rows at most; the given number of buckets is the least."""
+    from spillway.sources import read_table_book, write_bucketed_book
+
+    loans = book(spark, [(a, s, "2023-01-02 08:00:00") for a in range(20) for s in ("submitted", "verified")])
+    spark.sql("CREATE DATABASE growing")
+    try:
+        for rows, buckets in ((20, 2), (19, 4), (5, 8)):
+            write_bucketed_book(loans, "growing", 2, rows=rows)
+            stored = read_table_book(spark, "growing")
+            assert stored.application_events.exceptAll(loans.application_events).isEmpty()
+            assert stored.application_events.count() == 40
+            for table in ("application_events", "loan_applications"):
+                told = spark.sql(f"DESCRIBE EXTENDED growing.{table}").where("col_name = 'Num Buckets'").first()
+                assert int(told["data_type"]) == buckets
+    finally:
+        spark.sql("DROP DATABASE growing CASCADE")
