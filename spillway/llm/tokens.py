@@ -9,6 +9,7 @@ beyond Latin-1 that are not all letters, go through the whole library.
 from __future__ import annotations
 
 import os
+import string
 import sys
 import unicodedata
 from array import array
@@ -26,11 +27,11 @@ _RUNS = {
     True: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"),
     False: regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
 }
-#: What often ends a word, and is a run of its own.
-_ENDS = ".,;:!?"
+#: What often ends a word; together a run of its own.
+_ENDS = string.punctuation
 #: New words, and their characters, a memory takes up before it drops those not met since the last
 #: time.
-WORDS_KEPT, CHARACTERS_KEPT = 300_000, 8_000_000
+WORDS_KEPT, CHARACTERS_KEPT = 400_000, 8_000_000
 
 
 class Memory(dict):
@@ -116,8 +117,12 @@ class WordEncoder:
                 return self._run_ids(before + plain)
         if not plain.isascii() and max(plain) > "ÿ":
             return self._library_ids(before + word)
-        if word and word[-1] in _ENDS and word[:-1].isalpha():
-            return (self.after_blank if before else self.at_start)[plain[:-1]] + self._known_run(word[-1])
+        letters = plain.rstrip(_ENDS)
+        if letters.isalpha() and letters != plain:
+            known = (self.after_blank if before else self.at_start).get(letters)
+            if known is None:
+                known = self._word_ids(letters, before)
+            return known + self._known_run(plain[len(letters) :])
         return b"".join([self._known_run(run) for run in _RUNS[self.blanks_count].findall(before + plain)])
 
     def _known_run(self, run: str) -> bytes:

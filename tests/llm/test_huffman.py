@@ -9,7 +9,7 @@ import pytest
 from llm_helpers import TEXTS, rows_of
 from tokenizers import Tokenizer
 
-from spillway.llm.huffman import Code, code_lengths, ids_written_and_read
+from spillway.llm.huffman import _TOGETHER, Code, code_lengths, ids_written_and_read
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -86,3 +86,13 @@ def test_written_and_read(docs, empty, monkeypatch):
         assert r["start"] == before
         before += len(r["ids"]) // 4
     assert ids_written_and_read(empty, PATH, False, 1).count() == 0
+
+
+def test_long_blocks_are_put_in_place_in_parts():
+    """The bits are the codes one behind the other, whatever part a code is placed with."""
+    code = Code(code_lengths(np.random.default_rng(1).integers(1, 1 << 16, 300), 18))
+    ids = np.random.default_rng(2).integers(0, 300, 3 * _TOGETHER + 77).astype("<u2")
+    bits, checkpoints = code.encode(ids)
+    plain = "".join(format(int(code.codes[i]), f"0{code.lengths[i]}b") for i in ids)
+    assert "".join(format(b, "08b") for b in bits)[: len(plain)] == plain and len(bits) == -(-len(plain) // 8)
+    assert (code.decode(bits, checkpoints, len(ids)) == ids).all()

@@ -29,3 +29,16 @@ def test_same_as_library(name, blanks, monkeypatch):
                 ids, spans = own.ids_and_spans([text])[0]
                 assert ids.tolist() == expected.ids
                 assert [tuple(s) for s in spans.tolist()] == expected.offsets
+
+
+@pytest.mark.parametrize("name, blanks_count", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_a_word_with_symbols_behind_it_is_made_from_both(name, blanks_count):
+    """As by the library, and only the symbols are remembered as runs, not every word before them."""
+    path = public_tokenizers.path(name)
+    own, library = WordEncoder(path, blanks_count), Tokenizer.from_file(path)
+    stems = ("leen", "Straße", "ouè", "ÉÉN", "don't", "x1", "", "ª", "日本", "ΟΔΟΣ", "é")
+    ends = ("***", ",###", "'", "''", "!?", "_", "-", "$$$.")
+    texts = [f"{s}{e} {s}{e}\n{s}" for s in stems for e in ends]
+    for text, ids in zip(texts, own.ids(texts)):
+        assert np.frombuffer(ids, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert {"***", ",###", "$$$."} <= set(own.runs) and not {"leen", " leen", "straße", " Straße"} & set(own.runs)
