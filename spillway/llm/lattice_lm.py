@@ -395,7 +395,9 @@ class Scorer:
 
     def __init__(self, pieces: Pieces, head: dict[bytes, int], divisor: float):
         self.lattice, self.end, self.head, self.divisor = Lattice(pieces), pieces.end, head, divisor
-        self.marginal: dict[bytes, float] = {}
+        #: Every kept word's place in the two arrays: its marginal, and its count if it is frequent.
+        self.places: dict[bytes, int] = {}
+        self.marginal, self.count = np.empty(0), np.empty(0, np.int64)
         self.held = 0
 
     @staticmethod
@@ -407,30 +409,36 @@ class Scorer:
         return _SCORERS[key]
 
     def learn(self, texts: list[bytes]) -> None:
+        """Take up the texts' words; once there are many, drop those that are not in these texts."""
         met: set[bytes] = set()
         for text in texts:
             met.update(words_of(text))
-        if len(self.marginal) > KEPT or self.held > HELD:
-            self.marginal.clear()
-            self.held = 0
-        new = list(met.difference(self.marginal))
+        if len(self.places) > KEPT or self.held > HELD:
+            kept = [word for word in self.places if word in met]
+            at = np.fromiter(map(self.places.__getitem__, kept), np.int64, len(kept))
+            self.marginal, self.count = self.marginal[at], self.count[at]
+            self.places = dict(zip(kept, range(len(kept))))
+            self.held = sum(map(len, kept))
+        new = list(met.difference(self.places))
         self.held += sum(map(len, new))
-        self.marginal.update(zip(new, self.lattice.marginals(new).tolist()))
+        counts = np.fromiter((self.head.get(word, 0) for word in new), np.int64, len(new))
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        self.marginal = np.append(self.marginal, self.lattice.marginals(new))
+        self.count = np.append(self.count, counts)
 
     def score(self, text: bytes) -> tuple:
         """Tokens, known tokens, base score, score, and the words whose counts are not at hand
         (they are in neither of the two in between)."""
-        head, marginal = self.head, self.marginal
-        tail, frequent, times = [], [head.get(END, 0)], [1]
-        score, total = self.end, 1
-        for word, n in Counter(words_of(text)).items():
-            total += n
-            score += n * marginal[word]
-            if c := head.get(word):
-                frequent.append(c)
-                times.append(n)
-            else:
-                tail.append((word, n))
-        known = sum(times) - (not frequent[0])
-        base = float(np.dot(np.log10((np.array(frequent) + 0.5) / self.divisor), times))
-        return total, known, base, score / _LN10, tail
+        found = Counter(words_of(text))
+        at = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))
+        times = np.fromiter(found.values(), np.int64, len(found))
+        # Added up one after the other.
+        score = np.add.accumulate(np.append(self.end, times * self.marginal[at]))[-1]
+        counts, ends = self.count[at], self.head.get(END, 0)
+        frequent = counts > 0
+        words = list(found.items())
+        tail = [words[i] for i in np.flatnonzero(~frequent).tolist()]
+        known = np.append(1, times[frequent])
+        logs = np.log10((np.append(ends, counts[frequent]) + 0.5) / self.divisor)
+        base = float(np.dot(logs, known))
+        return int(times.sum()) + 1, int(known.sum()) - (not ends), base, float(score) / _LN10, tail

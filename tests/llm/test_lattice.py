@@ -11,7 +11,8 @@ import public_tokenizers
 import pytest
 from llm_helpers import TEXTS, rows_of
 
-from spillway.llm.lattice_lm import Lattice, Pieces, lattice_scores, learned, pieces_of, word_counts
+from spillway.llm import lattice_lm
+from spillway.llm.lattice_lm import END, Lattice, Pieces, lattice_scores, learned, pieces_of, word_counts
 from spillway.llm.texts import held_out
 
 SURFACES = (b" ", b" a", b"a", b"b", b"ab", b"ba", b"aba", b" ab", b" abab")
@@ -136,3 +137,21 @@ def test_scores(docs, empty, monkeypatch, head):
 def test_held_out_fold(docs):
     for row in docs.select("doc_id", held_out("doc_id", 5).alias("h")).collect():
         assert row["h"] == (row["doc_id"] is not None and zlib.crc32(str(row["doc_id"]).encode()) % 5 == 1)
+
+
+def test_words_met_again_keep_their_marginals(monkeypatch):
+    """Once a worker holds many words, only those of other texts are dropped."""
+    monkeypatch.setattr(lattice_lm, "KEPT", 2)
+    scorer, asked = lattice_lm.Scorer(toy(), {b"ab": 5, END: 3}, 9.0), []
+    marginals = scorer.lattice.marginals
+    monkeypatch.setattr(Lattice, "marginals", lambda self, words: asked.append(set(words)) or marginals(words))
+    scorer.learn([b"a ab", b"ba a"])
+    first = scorer.score(b"ab ba ab")
+    scorer.learn([b"ab ba ab bb"])
+    assert asked == [{b"a", b"ab", b"ba"}, {b"bb"}]
+    assert scorer.score(b"ab ba ab") == first
+    total, known, base, score, tail = first
+    assert (total, known, tail) == (4, 3, [(b"ba", 1)])
+    assert base == pytest.approx(2 * math.log10(5.5 / 9) + math.log10(3.5 / 9))
+    by_hand = toy().end + 2 * marginals([b"ab"])[0] + marginals([b"ba"])[0]
+    assert score == pytest.approx(by_hand / math.log(10))
