@@ -130,3 +130,20 @@ def test_query(spark):
     }
     assert got == expected
     assert sum(x[1] > 0 for x in expected.values()) > 5
+
+
+def test_planted_passages_of_400_bytes_go_and_nothing_else(spark):
+    """A passage put into two documents goes where it has 400 bytes, in both; shorter ones stay."""
+    pick = random.Random(7)
+    word = lambda: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, least = [], {}
+    for n in range(30):
+        passage = text(51 if n % 3 == 0 else 49 if n % 3 == 1 else 0)  # 407, 391 or no bytes
+        for doc in (2 * n, 2 * n + 1):
+            rows.append((doc, f"{text(30)} {passage} {text(40)}"))
+            least[doc] = 407 if n % 3 == 0 else 0
+    got = rows_of(without_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    removed = {r["doc_id"]: r["n_bytes"] - len(r["kept"]) for r in got}
+    assert {r["doc_id"]: r["n_bytes"] for r in got} == {doc: len(t) for doc, t in rows}
+    assert all(removed[d] == 0 if not n else n <= removed[d] <= n + 2 for d, n in least.items())
