@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -147,3 +148,51 @@ def test_planted_passages_of_400_bytes_go_and_nothing_else(spark):
     removed = {r["doc_id"]: r["n_bytes"] - len(r["kept"]) for r in got}
     assert {r["doc_id"]: r["n_bytes"] for r in got} == {doc: len(t) for doc, t in rows}
     assert all(removed[d] == 0 if not n else n <= removed[d] <= n + 2 for d, n in least.items())
+
+
+FILES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_only_what_is_still_read_stays_on_disk(spark, monkeypatch, tmp_path):
+    """Steps and shuffle files go as soon as nothing reads them; the session's settings stay."""
+    from spillway.llm import storage, suffixes as module
+    from spillway.sources import shared_folder
+
+    def own(session, purpose):
+        return shared_folder(session, purpose, str(tmp_path))
+
+    for place in (storage, module):
+        monkeypatch.setattr(place, "shared_folder", own)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {files.apply(n).getName() for n in range(files.size()) if files.apply(n).getName().endswith(".data")}
+
+    before, setting = shuffled(), spark.conf.get(FILES_END, None)
+    rows = list(enumerate(passages(11, 20)))
+    found = without_repeats(table(spark, rows), least=40, depth=16)
+    assert [p.name.split("-")[1] for p in tmp_path.iterdir()] == ["repeated"]
+    assert spark.conf.get(FILES_END, None) == setting
+    for _ in range(50):  # the files are removed behind the run's back
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert found.count() == 20
+
+
+def test_values_of_many_contexts_take_little_beside_themselves():
+    """The running sums of 15,000 contexts (the most a portion can have, about) are not all held."""
+    import tracemalloc
+
+    pick = np.random.default_rng(3)
+    backs = pick.integers(0, 273, 15_000)
+    contexts = [pick.bytes(int(b) + 400) for b in backs]
+    tracemalloc.start()
+    values, there = suffix_dedup._windows(backs, contexts, 400, 128)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * (values.nbytes + there.nbytes)
+    some, there_too = suffix_dedup._windows(backs[700:720], contexts[700:720], 400, 128)
+    assert (np.where(there_too, some, 0) == np.where(there[700:720], values[700:720], 0)).all()
