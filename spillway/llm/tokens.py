@@ -17,6 +17,8 @@ from collections.abc import Callable
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: White space that is more than one character long, or neither a blank nor a line end.
@@ -32,6 +34,9 @@ _ENDS = string.punctuation
 #: New words, and their characters, a memory takes up before it drops those not met since the last
 #: time.
 WORDS_KEPT, CHARACTERS_KEPT = 400_000, 8_000_000
+#: Characters of the texts whose words are looked up together, unless one text has more, and the words
+#: whose ids are put in place at once.
+_GROUP, _GATHERED = 1 << 22, 1 << 18
 
 
 class Memory(dict):
@@ -158,15 +163,48 @@ class WordEncoder:
         return out
 
     def _separated(self, texts: list[str]) -> list[bytes]:
-        known, out = self.at_start.__getitem__, []
-        for text in texts:
+        """The texts in groups, each distinct word of a group looked up once."""
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[tuple[int, str]] = []
+        size = 0
+        for n, text in enumerate(texts):
             # The library's white space does not include the four separators that str.split knows.
             if any(c in text for c in "\x1c\x1d\x1e\x1f") or self._whole(text):
-                out.append(self._library_ids(text) + self.end)
-            else:
-                out.append(b"".join(map(known, _small(text).split())) + self.end)
+                out[n] = self._library_ids(text) + self.end
+                continue
+            if plain and size + len(text) > _GROUP:
+                self._grouped(plain, out)
+                plain, size = [], 0
+            plain.append((n, _small(text)))
+            size += len(text)
+        if plain:
+            self._grouped(plain, out)
         return out
 
+    def _grouped(self, plain: list[tuple[int, str]], out: list[bytes]) -> None:
+        """Put the ids of each text into its place of ``out``."""
+        split = pc.utf8_split_whitespace(pa.array([text for _, text in plain], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        found = list(map(self.at_start.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        flat, firsts = np.frombuffer(b"".join(found), self.kind), np.cumsum(sizes) - sizes
+        codes, offsets = words.indices.to_numpy(), split.offsets.to_numpy()
+        first = 0
+        parts: list[list[bytes]] = [[] for _ in plain]
+        while first < len(plain):  # a text's words in stretches, texts of few words together
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _GATHERED, "right")) - 1)
+            for at in range(offsets[first], max(offsets[last], offsets[first] + 1), _GATHERED):
+                own = codes[at : min(at + _GATHERED, offsets[last])]
+                lengths = sizes[own]
+                ends = np.append(0, np.cumsum(lengths))
+                raw = flat[np.arange(ends[-1]) + np.repeat(firsts[own] - ends[:-1], lengths)].tobytes()
+                cuts = ends[np.clip(offsets[first : last + 1] - at, 0, len(own))] * self.kind.itemsize
+                for n, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()), first):
+                    parts[n].append(raw[a:b])
+            first = last
+        for (n, _), own in zip(plain, parts):
+            out[n] = b"".join([*own, self.end])
+
     def ids_and_spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Each text's ids, and rows of first and last-plus-one character, without the end id; for
         vocabularies in which blanks count, whose ids spell the text byte by byte.  Ids that share a

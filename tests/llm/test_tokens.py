@@ -42,3 +42,39 @@ def test_a_word_with_symbols_behind_it_is_made_from_both(name, blanks_count):
     for text, ids in zip(texts, own.ids(texts)):
         assert np.frombuffer(ids, own.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
     assert {"***", ",###", "$$$."} <= set(own.runs) and not {"leen", " leen", "straße", " Straße"} & set(own.runs)
+
+
+def test_words_of_a_group_are_looked_up_once(monkeypatch):
+    """And each text has the library's ids, wherever groups and stretches of words end."""
+    from spillway.llm import tokens
+
+    texts = [*ODD, *(words(n % 7, 40 + n) for n in range(30)), "", " \n", "one", "x " * 90]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    expected = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for group, gathered in ((1 << 22, 1 << 18), (300, 17), (1, 1), (1 << 22, 64)):
+        monkeypatch.setattr(tokens, "_GROUP", group, raising=False)
+        monkeypatch.setattr(tokens, "_GATHERED", gathered, raising=False)
+        own = tokens.WordEncoder(path, False, 1)
+        assert [np.frombuffer(x, own.kind).tolist() for x in own.ids(texts)] == expected
+
+    class Counted(tokens.Memory):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(tokens, "_GROUP", 1 << 22, raising=False)
+    own.at_start = Counted(own.at_start.find)
+    own.ids(["some words and some more"] * 50)
+    assert Counted.asked == 4
+
+
+def test_words_end_at_the_same_white_space():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    found = pc.list_value_length(pc.utf8_split_whitespace(pa.array([f"a{c}b" for c in marks]))).to_pylist()
+    assert [n == 2 for n in found] == [len(f"a{c}b".split()) == 2 for c in marks]
